@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+from ledgerline.llm.bpe import op9_bpe
 from ledgerline.llm.chat import OP7_SQL, op7_chat
+from ledgerline.llm.decontaminate import op2_decontaminate
+from ledgerline.llm.jaccard import OP4_SQL, op4_jaccard
+from ledgerline.llm.quality import op8_quality
 from ledgerline.llm.secrets import op1_secrets
 from ledgerline.llm.sharding import OP3_SQL, op3_sharding
+from ledgerline.llm.suffixes import op10_suffixes
 from ledgerline.llm.tiff import op5_media
+from ledgerline.llm.unit_dedup import op6_unit_dedup
 
-QUERIES = {"op1_secrets": op1_secrets, "op3_sharding": op3_sharding, "op5_media": op5_media, "op7_chat": op7_chat}
-ORACLE_SQL = {"op3_sharding": OP3_SQL, "op7_chat": OP7_SQL}
+QUERIES = {
+    "op1_secrets": op1_secrets,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_sharding": op3_sharding,
+    "op4_jaccard": op4_jaccard,
+    "op5_media": op5_media,
+    "op6_unit_dedup": op6_unit_dedup,
+    "op7_chat": op7_chat,
+    "op8_quality": op8_quality,
+    "op9_bpe": op9_bpe,
+    "op10_suffixes": op10_suffixes,
+}
+ORACLE_SQL = {"op3_sharding": OP3_SQL, "op4_jaccard": OP4_SQL, "op7_chat": OP7_SQL}

@@ -267,7 +267,7 @@ def tiff_pages(df: DataFrame, media: str, keep: list[str]) -> DataFrame:
     if clash := {*keep} & {*names}:
         raise ValueError(f"columns {sorted(clash)} would clash with those of the pages")
     source = df.select(*keep, F.col(media).alias("__media"))
-    schema = df.select(*keep).schema.simpleString()[7:-1].replace(":", " ")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
 
     def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int32()] * 7 + [pa.binary(), pa.string()]
@@ -297,7 +297,7 @@ def bytes_as_tiff(df: DataFrame, data: str, out: str = "media") -> DataFrame:
     2 KB, PackBits under 4 KB, deflate tiles under 8 KB, deflate strips above,
     the last two with horizontal differencing.
     """
-    fields = df.schema.simpleString()[7:-1].replace(":", " ")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, data):
@@ -321,7 +321,7 @@ def bytes_as_tiff(df: DataFrame, data: str, out: str = "media") -> DataFrame:
 
 def features(pages: DataFrame) -> DataFrame:
     """``pages`` with ``feature``: mean, spread, share of zero samples and mean step between neighbouring rows of 8-bit pages, as text."""
-    fields = pages.schema.simpleString()[7:-1].replace(":", " ")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "pixels"):

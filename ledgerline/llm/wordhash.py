@@ -87,3 +87,18 @@ def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
         else:
             out.append(shingles(value[a:b], b - a) if b > a else np.zeros(0, np.uint64))
     return out
+
+
+def span_hash(value: np.ndarray, begin: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
+    """Hash of the words begin:end for many spans at once; other salts give independent hashes."""
+    base = (_POSITION + 4 * salt) & ((1 << 64) - 1) | 1
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value + _U(salt)) * _power(base, len(value)), dtype=np.uint64)])
+    inverse = _power(pow(base, -1, 1 << 64), len(value) + 1)
+    return mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+
+
+def code_points(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(points, begins): byte b of texts[i] is at code point points[begins[i] + b] - points[begins[i]]."""
+    begins = np.concatenate([[0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))])
+    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    return np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)]), begins
