@@ -187,12 +187,13 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text") ->
         sized = open_lists.withColumn("__size", F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))))
         before = Window.partitionBy("token").orderBy("n", "gid")
         hub = Window.partitionBy("token", "__size").orderBy("n", "gid").rowsBetween(Window.unboundedPreceding, 0)
-        partner = lambda f: F.struct(f("head").alias("head"), f("n").alias("m"), f("low").alias("low"), f("high").alias("high"))
-        near = sized.select("gid", "head", "n", "low", "high", F.explode(F.array(partner(lambda c: F.lag(c).over(before)), partner(lambda c: F.first(c).over(hub)))).alias("p"))
-        near = near.filter(F.col("p.head").isNotNull() & (F.col("head") != F.col("p.head")) & _sizes_fit("n", "p.m") & (F.least("low", "p.low") != F.greatest("high", "p.high")))
+        own = F.struct("head", F.col("n").alias("m"), "low", "high")
+        near = sized.withColumn("__before", F.lag(own).over(before)).withColumn("__hub", F.first(own).over(hub))
+        near = near.select("head", "n", "low", "high", F.explode(F.array("__before", "__hub")).alias("p"))
+        near = near.filter((F.col("head") != F.col("p.head")) & _sizes_fit("n", "p.m") & (F.least("low", "p.low") != F.greatest("high", "p.high")))
         counted = near.groupBy("head", F.col("p.head").alias("other")).count()
         best = counted.withColumn("__rank", F.row_number().over(Window.partitionBy("head").orderBy(F.desc("count"), "other"))).filter("__rank <= 2")
-        inside = labelled.join(heads.select("gid", "head"), "gid").filter("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b"))
+        inside = labelled.join(heads.select("gid", "head", "low", "high"), "gid").filter("cls <> head AND low <> high").select(F.col("head").alias("a"), F.col("cls").alias("b"))
         pairs = best.select(F.least("head", "other").alias("a"), F.greatest("head", "other").alias("b")).unionByName(inside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
         found = materialise(_verified(pairs, sets), "star-links")
         links = found if links is None else links.unionByName(found)
