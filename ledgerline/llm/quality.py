@@ -75,6 +75,18 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return own, length, first
 
 
+def sample_features(texts: list[bytes], limit: int = 500_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """line_features() of a sample, taken in pieces of about ``limit`` bytes so that the byte arrays stay small."""
+    parts, begin, held = [], 0, 0
+    for i, text in enumerate([*texts, b""]):
+        if i == len(texts) or i > begin and held + len(text) > limit:
+            parts.append(line_features(texts[begin:i]))
+            begin, held = i, 0
+        held += len(text)
+    lines = np.concatenate([np.diff(first) for _, _, first in parts])
+    return np.concatenate([own for own, _, _ in parts]), np.concatenate([length for _, length, _ in parts]), np.concatenate([[0], np.cumsum(lines)])
+
+
 def with_neighbours(own: np.ndarray, first: np.ndarray) -> np.ndarray:
     """A line's figures, those of the lines before and after it in its text (zeros beyond the ends), and a constant."""
     before, after = np.zeros_like(own), np.zeros_like(own)
@@ -142,7 +154,7 @@ class LineCrf:
         """Maximum likelihood with a ridge, by Adam steps over all chains; then the aggregate is calibrated."""
         if not len(texts) or labels.min() == labels.max():
             return cls.constant(float(labels.mean()) if len(labels) else 0.5)
-        own, length, first = line_features(texts)
+        own, length, first = sample_features(texts)
         x = with_neighbours(own, first)
         centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
         centre[-1], scale[-1] = 0.0, 1.0
