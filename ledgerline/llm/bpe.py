@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import chunks, table
 
 #: Words that a task remembers; beyond it, it starts anew.
-MEMORY = 300_000
+MEMORY = 150_000
 #: Words above this many symbols are merged by the long-word path.
 SHORT = 512
 _NONE = 1 << 60
@@ -206,19 +206,21 @@ def decode_ids(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str
 
 
 def digests(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document, through encode and decode."""
-    encoded = encode_texts(docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")), "text", "ids").drop("text")
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document, encoded and decoded in one pass (one Python worker a task, one model each)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def ids_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("ids")
-            ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
-            hashes = [hashlib.sha256(flat[a:b].astype("<u4").tobytes()).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield batch.append_column("ids_sha256", pa.array(hashes, pa.string()))
-
-    hashed = encoded.mapInArrow(ids_digest, "doc_id long, ids array<int>, ids_sha256 string")
-    decoded = decode_ids(hashed, "ids", "decoded")
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(bpe_path())
+        for batch in chunks(batches, "text", 500_000):
+            n, of_ids, of_text = [], [], []
+            for t in batch.column("text").to_pylist():
+                ids = m.encode(t or "")
+                n.append(len(ids))
+                of_ids.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+                of_text.append(hashlib.sha256(m.decode(ids).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
