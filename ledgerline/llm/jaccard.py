@@ -13,13 +13,18 @@ prefixes; any order gives the same result.
    group has are dropped.
 4. Star rounds: in every list of the index each group is compared with the
    list's first group of about its size and with the one before it.  Each group
-   keeps its best two partners; expanded to classes and verified on the sets,
-   they join most of each family without pairs of all its members.
+   keeps its best two partners; verified on the sets, they join most of each
+   family without pairs of all its members.
 5. Last round: all pairs of groups that share a prefix shingle, pass the size
    and position filters and are not joined yet are expanded to their classes
    and verified.  What remains apart shares no link.
 6. Connected components over the verified links.
 
+Before sets are fetched for a pair, 1024-bit sketches bound its overlap: bit b
+of a sketch is the parity of the shingles that fall on b, so two sketches never
+differ in more bits than the sets differ in shingles.  Only texts of pairs that
+may still link are read again.
+
 Sets are compared by 64-bit hashes of their shingles.  Classes and groups have
 64-bit ids; in a corpus of a billion different documents the chance that any
 two of them coincide is a few per cent.
@@ -45,6 +50,7 @@ SHINGLE = 5
 PERCENT = 80
 #: Shingles in at least so many documents are frequent; the list holds at most so many.
 FREQUENT, FREQUENT_MAX = 32, 1_000_000
+SKETCH = 1024
 _COUNTED = np.uint64(1 << 62)  # hashes below are counted
 STAR_ROUNDS = 2
 
@@ -79,19 +85,19 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """docs (id, text) as id, n, cls, gid, prefix: set size, ids of the set and of (n, prefix), and the prefix in order."""
+    """docs (id, text) as id, n, cls, gid, sketch, prefix: set size, ids of the set and of (n, prefix), parity sketch, and the prefix in order."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
         for batch in chunks(batches, "text"):
-            n, cls, gid, prefix = [], [], [], []
+            n, cls, gid, sketch, prefix = [], [], [], [], []
             for s in _sets(batch):
                 size = len(s)
                 n.append(size)
                 if not size:
-                    cls.append(None), gid.append(None), prefix.append(None)
+                    cls.append(None), gid.append(None), sketch.append(None), prefix.append(None)
                     continue
                 if len(often):
                     common = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
@@ -101,10 +107,12 @@ def prefixes(docs: DataFrame) -> DataFrame:
                 head = ordered[: size - _need(size) + 1]
                 cls.append(_digest(s.tobytes()))
                 gid.append(_digest(size.to_bytes(8, "little") + head.tobytes()))
+                odd = np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1
+                sketch.append(np.packbits(odd).view(np.int64))
                 prefix.append(head.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(gid, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["id", "n", "cls", "gid", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(gid, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))], names=["id", "n", "cls", "gid", "sketch", "prefix"])
 
-    return docs.mapInArrow(run, f"id {kind}, n int, cls long, gid long, prefix array<long>")
+    return docs.mapInArrow(run, f"id {kind}, n int, cls long, gid long, sketch array<long>, prefix array<long>")
 
 
 def _class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -122,8 +130,19 @@ def _class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "cls long, members binary").dropDuplicates(["cls"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets link."""
+def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose sizes and sketches allow a link."""
+    one, two = (classes.select(F.col("cls").alias(c), F.col("size").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    # overlap <= (na + nb - differ) / 2, and a link needs 180 * overlap >= 80 * (na + nb).
+    total = F.col("na") + F.col("nb")
+    return pairs.join(one, "a").join(two, "b").filter((total - differ) * (100 + PERCENT) >= 2 * PERCENT * total).select("a", "b")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose sets link; sets are made again from one text of each class."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct().join(classes.select(F.col("cls").alias("of"), "rep"), "of")
+    sets = materialise(_class_sets(docs, needed), "sets")
     one, two = sets.select(F.col("cls").alias("a"), F.col("members").alias("x")), sets.select(F.col("cls").alias("b"), F.col("members").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +185,7 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
     rows = materialise(prefixes(docs), "prefixes")
     filled = rows.filter("n > 0")
-    classes = filled.groupBy("cls").agg(F.min("id").alias("rep"), F.min("gid").alias("gid"))
+    classes = filled.groupBy("cls").agg(F.min("id").alias("rep"), F.min("gid").alias("gid"), F.min("n").alias("size"), F.first("sketch").alias("sketch"))
     groups = filled.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     index = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
     index = index.withColumn("__many", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("__many > 1").drop("__many")
@@ -175,11 +194,10 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     crowded = classes.groupBy("gid").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("gid")
     live = index.select("gid").unionByName(crowded).distinct()
     classes = materialise(classes.join(live, "gid", "left_semi"), "classes")
-    sets = materialise(_class_sets(docs, classes.select("rep", F.col("cls").alias("of"))), "sets")
 
     links = None
     for _ in range(STAR_ROUNDS):
-        labelled = materialise(_labelled(classes, links), "labelled")
+        labelled = materialise(_labelled(classes.select("cls", "gid"), links), "labelled")
         heads = labelled.groupBy("gid").agg(F.min("cls").alias("head"), F.min("comp").alias("low"), F.max("comp").alias("high"))
         held = index.join(heads, "gid")
         by = Window.partitionBy("token")
@@ -191,14 +209,16 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text") ->
         near = sized.withColumn("__before", F.lag(own).over(before)).withColumn("__hub", F.first(own).over(hub))
         near = near.select("head", "n", "low", "high", F.explode(F.array("__before", "__hub")).alias("p"))
         near = near.filter((F.col("head") != F.col("p.head")) & _sizes_fit("n", "p.m") & (F.least("low", "p.low") != F.greatest("high", "p.high")))
-        counted = near.groupBy("head", F.col("p.head").alias("other")).count()
-        best = counted.withColumn("__rank", F.row_number().over(Window.partitionBy("head").orderBy(F.desc("count"), "other"))).filter("__rank <= 2")
+        counted = near.groupBy(F.least("head", "p.head").alias("a"), F.greatest("head", "p.head").alias("b")).count()
+        hopeful = materialise(_plausible(counted, classes).join(counted, ["a", "b"]), "star-pairs")
+        both = hopeful.select(F.col("a").alias("head"), F.col("b").alias("other"), "count").unionByName(hopeful.select(F.col("b").alias("head"), F.col("a").alias("other"), "count"))
+        best = both.withColumn("__rank", F.row_number().over(Window.partitionBy("head").orderBy(F.desc("count"), "other"))).filter("__rank <= 2")
         inside = labelled.join(heads.select("gid", "head", "low", "high"), "gid").filter("cls <> head AND low <> high").select(F.col("head").alias("a"), F.col("cls").alias("b"))
         pairs = best.select(F.least("head", "other").alias("a"), F.greatest("head", "other").alias("b")).unionByName(inside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-        found = materialise(_verified(pairs, sets), "star-links")
+        found = materialise(_verified(_plausible(pairs, classes), classes, docs), "star-links")
         links = found if links is None else links.unionByName(found)
 
-    labelled = materialise(_labelled(classes, links), "labelled")
+    labelled = materialise(_labelled(classes.select("cls", "gid"), links), "labelled")
     bounds = labelled.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     held = index.join(bounds, "gid")
     by = Window.partitionBy("token")
@@ -214,9 +234,9 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     ends = [member.select(*(F.col(c).alias(f"{c}{side}") for c in ("gid", "cls", "comp"))) for side in (1, 2)]
     pairs = met.join(ends[0], "gid1").join(ends[1], "gid2").filter("comp1 <> comp2 AND (gid1 <> gid2 OR cls1 < cls2)")
     pairs = pairs.select(F.least("cls1", "cls2").alias("a"), F.greatest("cls1", "cls2").alias("b")).distinct()
-    links = links.unionByName(materialise(_verified(pairs, sets), "last-links"))
+    links = links.unionByName(materialise(_verified(materialise(_plausible(pairs, classes), "last-pairs"), classes, docs), "last-links"))
 
-    joined = materialise(_labelled(classes, links).select("cls", "comp"), "labelled")
+    joined = materialise(_labelled(classes.select("cls", "gid"), links).select("cls", "comp"), "labelled")
     whole = rows.select("id", "n", "cls").join(joined, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = whole.filter("n > 0").groupBy("comp").agg(F.min("id").alias("least"))
     out = whole.join(least, "comp", "left")
