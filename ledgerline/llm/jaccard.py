@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm import wordhash
-from ledgerline.llm.common import chunks, materialise, table
+from ledgerline.llm.common import chunks, materialise, release, table
 from ledgerline.llm.components import components
 
 SHINGLE = 5
@@ -52,7 +52,9 @@ PERCENT = 80
 FREQUENT, FREQUENT_MAX = 32, 1_000_000
 SKETCH = 1024
 _COUNTED = np.uint64(1 << 62)  # hashes below are counted
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
+#: Up to so many wanted classes go to all tasks; more are found by a shuffle of the texts.
+BROADCAST_CLASSES = 500_000
 
 
 def _need(n: np.ndarray | int):
@@ -117,7 +119,8 @@ def prefixes(docs: DataFrame) -> DataFrame:
 
 def _class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """cls and its set, as bytes of ascending hashes, for the documents in ``wanted`` (rep, of)."""
-    texts = docs.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("of", "text")
+    small = wanted.count() <= BROADCAST_CLASSES
+    texts = docs.join(F.broadcast(wanted) if small else wanted, F.col("id").eqNullSafe(F.col("rep"))).select("of", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
@@ -141,6 +144,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sets link; sets are made again from one text of each class."""
+    pairs = materialise(pairs, "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct().join(classes.select(F.col("cls").alias("of"), "rep"), "of")
     sets = materialise(_class_sets(docs, needed), "sets")
     one, two = sets.select(F.col("cls").alias("a"), F.col("members").alias("x")), sets.select(F.col("cls").alias("b"), F.col("members").alias("y"))
@@ -156,7 +160,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
                 keep.append(100 * shared >= PERCENT * (len(p) + len(q) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    links = materialise(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "verified")
+    release(sets)
+    return links
 
 
 def _sizes_fit(n: str, m: str):
@@ -215,7 +221,7 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text") ->
         best = both.withColumn("__rank", F.row_number().over(Window.partitionBy("head").orderBy(F.desc("count"), "other"))).filter("__rank <= 2")
         inside = labelled.join(heads.select("gid", "head", "low", "high"), "gid").filter("cls <> head AND low <> high").select(F.col("head").alias("a"), F.col("cls").alias("b"))
         pairs = best.select(F.least("head", "other").alias("a"), F.greatest("head", "other").alias("b")).unionByName(inside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-        found = materialise(_verified(_plausible(pairs, classes), classes, docs), "star-links")
+        found = _verified(_plausible(pairs, classes), classes, docs)
         links = found if links is None else links.unionByName(found)
 
     labelled = materialise(_labelled(classes.select("cls", "gid"), links), "labelled")
@@ -234,7 +240,7 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     ends = [member.select(*(F.col(c).alias(f"{c}{side}") for c in ("gid", "cls", "comp"))) for side in (1, 2)]
     pairs = met.join(ends[0], "gid1").join(ends[1], "gid2").filter("comp1 <> comp2 AND (gid1 <> gid2 OR cls1 < cls2)")
     pairs = pairs.select(F.least("cls1", "cls2").alias("a"), F.greatest("cls1", "cls2").alias("b")).distinct()
-    links = links.unionByName(materialise(_verified(materialise(_plausible(pairs, classes), "last-pairs"), classes, docs), "last-links"))
+    links = links.unionByName(_verified(_plausible(pairs, classes), classes, docs))
 
     joined = materialise(_labelled(classes.select("cls", "gid"), links).select("cls", "comp"), "labelled")
     whole = rows.select("id", "n", "cls").join(joined, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
