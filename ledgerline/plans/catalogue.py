@@ -48,7 +48,7 @@ def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 grid AS (SELECT symbol, session, last_value(close IGNORE NULLS) {W} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS close,
   last_value(volume IGNORE NULLS) {W} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS volume
   FROM days CROSS JOIN (SELECT DISTINCT symbol FROM bars) LEFT JOIN bars USING (symbol, session))
-SELECT symbol, session, {_r('close', 'volume')} FROM grid""")
+SELECT symbol, session, {_r('close', 'volume', places=8)} FROM grid""", places=8)
 def bars_calendar_fill(spark, sf_dir):
     b = bars(spark, sf_dir).select("symbol", "session", "close", "volume")
     return panel.align(b, ["close", "volume"], panel.business_days(b), limit=5)
@@ -244,9 +244,9 @@ costs AS (SELECT *, shortfall - half_spread AS residual, (shortfall - half_sprea
   CASE WHEN participation <= 0.005 THEN '0-0.5%' WHEN participation <= 0.01 THEN '0.5-1%' WHEN participation <= 0.02 THEN '1-2%' WHEN participation <= 0.05 THEN '2-5%' ELSE '>5%' END AS bucket FROM d)"""
 
 
-@query(f"""WITH {COSTS} SELECT order_id, root, contract, side, {_r('quantity', 'mid', 'half_spread', 'shortfall', 'residual', 'residual_bps', places=8)}, CAST(latency_days AS INTEGER) AS latency_days, bucket FROM costs""", places=8)
+@query(f"""WITH {COSTS} SELECT order_id, root, contract, side, {_r('quantity', 'mid', 'half_spread', 'shortfall', 'residual', places=8)}, CAST(latency_days AS INTEGER) AS latency_days, bucket FROM costs""", places=8)
 def fill_costs(spark, sf_dir):
-    return audit.fill_costs(fills(spark, sf_dir)).select("order_id", "root", "contract", "side", "quantity", "mid", "half_spread", "shortfall", "residual", "residual_bps", "latency_days", "bucket")
+    return audit.fill_costs(fills(spark, sf_dir)).select("order_id", "root", "contract", "side", "quantity", "mid", "half_spread", "shortfall", "residual", "latency_days", "bucket")
 
 
 @query(f"""WITH {COSTS}, o AS (SELECT order_id, sum(quantity) AS quantity, sum(quantity * shortfall) / sum(quantity) AS shortfall, sum(fees) AS fees, max(interval_volume) AS interval_volume, CAST(max(latency_days) AS INTEGER) AS latency_days, count(*) AS fills FROM costs GROUP BY order_id)
