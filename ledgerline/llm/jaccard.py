@@ -20,10 +20,11 @@ prefixes; any order gives the same result.
    and verified.  What remains apart shares no link.
 6. Connected components over the verified links.
 
-Before sets are fetched for a pair, 1024-bit sketches bound its overlap: bit b
-of a sketch is the parity of the shingles that fall on b, so two sketches never
-differ in more bits than the sets differ in shingles.  Only texts of pairs that
-may still link are read again.
+Before sets are fetched for a pair, sketches bound its overlap: bit b of a
+sketch is the parity of the shingles that fall on b, so two sketches never
+differ in more bits than the sets differ in shingles.  A sketch has at least a
+bit for each shingle; the longer of two is folded to the length of the shorter.
+Only texts of pairs that may still link are read again.
 
 Sets are compared by 64-bit hashes of their shingles.  Classes and groups have
 64-bit ids; in a corpus of a billion different documents the chance that any
@@ -50,6 +51,7 @@ SHINGLE = 5
 PERCENT = 80
 #: Shingles in at least so many documents are frequent; the list holds at most so many.
 FREQUENT, FREQUENT_MAX = 32, 1_000_000
+#: Bits of the smallest sketch; longer ones are 4, 16, ... times as long.
 SKETCH = 1024
 _COUNTED = np.uint64(1 << 62)  # hashes below are counted
 STAR_ROUNDS = 1
@@ -109,12 +111,15 @@ def prefixes(docs: DataFrame) -> DataFrame:
                 head = ordered[: size - _need(size) + 1]
                 cls.append(_digest(s.tobytes()))
                 gid.append(_digest(size.to_bytes(8, "little") + head.tobytes()))
-                odd = np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1
-                sketch.append(np.packbits(odd).view(np.int64))
+                bits = SKETCH
+                while bits < size:
+                    bits *= 4
+                odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+                sketch.append(np.packbits(odd).tobytes())
                 prefix.append(head.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(gid, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))], names=["id", "n", "cls", "gid", "sketch", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(gid, pa.int64()), pa.array(sketch, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=["id", "n", "cls", "gid", "sketch", "prefix"])
 
-    return docs.mapInArrow(run, f"id {kind}, n int, cls long, gid long, sketch array<long>, prefix array<long>")
+    return docs.mapInArrow(run, f"id {kind}, n int, cls long, gid long, sketch binary, prefix array<long>")
 
 
 def _class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -136,10 +141,18 @@ def _class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sizes and sketches allow a link."""
     one, two = (classes.select(F.col("cls").alias(c), F.col("size").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
-    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    # overlap <= (na + nb - differ) / 2, and a link needs 180 * overlap >= 80 * (na + nb).
-    total = F.col("na") + F.col("nb")
-    return pairs.join(one, "a").join(two, "b").filter((total - differ) * (100 + PERCENT) >= 2 * PERCENT * total).select("a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")), strict=True):
+                p, q = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+                differ = int(np.bitwise_count(np.bitwise_xor.reduce(q.reshape(-1, len(p)), axis=0) ^ p).sum())
+                # overlap <= (n + m - differ) / 2, and a link needs 180 * overlap >= 80 * (n + m).
+                keep.append((n + m - differ) * (100 + PERCENT) >= 2 * PERCENT * (n + m))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
