@@ -48,7 +48,7 @@ def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 grid AS (SELECT symbol, session, last_value(close IGNORE NULLS) {W} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS close,
   last_value(volume IGNORE NULLS) {W} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS volume
   FROM days CROSS JOIN (SELECT DISTINCT symbol FROM bars) LEFT JOIN bars USING (symbol, session))
-SELECT symbol, session, {_r('close', 'volume', places=8)} FROM grid""", places=8)
+SELECT symbol, session, {_r('close', 'volume', places=9)} FROM grid""", places=9)
 def bars_calendar_fill(spark, sf_dir):
     b = bars(spark, sf_dir).select("symbol", "session", "close", "volume")
     return panel.align(b, ["close", "volume"], panel.business_days(b), limit=5)
