@@ -11,13 +11,14 @@ prefixes; any order gives the same result.
 2. Documents with one prefix and size are one group; equal sets one class.
 3. Prefix shingles are the keys of an index of groups.  Those that a single
    group has are dropped.
-4. Star rounds: in every list of the index each group is compared with the
-   list's first group of about its size and with the one before it.  Each group
-   keeps its best two partners; verified on the sets, they join most of each
-   family without pairs of all its members.
-5. Last round: all pairs of groups that share a prefix shingle, pass the size
-   and position filters and are not joined yet are expanded to their classes
-   and verified.  What remains apart shares no link.
+4. Star rounds: in every list of the index each group meets the list's first
+   group of about its size and one other, in an order shuffled anew for each
+   list and round.  Each group keeps the partners of its closest sketches;
+   verified on the sets, they join most of each family without pairs of all
+   its members.  Rounds end when one finds no link.
+5. Last round: in lists that still hold more than one component, all pairs that
+   pass the size, position and sketch filters and are not joined yet are
+   expanded to classes and verified.  What remains apart shares no link.
 6. Connected components over the verified links.
 
 Before sets are fetched for a pair, sketches bound its overlap: bit b of a
@@ -54,7 +55,9 @@ FREQUENT, FREQUENT_MAX = 32, 1_000_000
 #: Bits of the smallest sketch; longer ones are 4, 16, ... times as long.
 SKETCH = 1024
 _COUNTED = np.uint64(1 << 62)  # hashes below are counted
-STAR_ROUNDS = 1
+STAR_ROUNDS = 3
+#: Partners that a group keeps in a star round.
+PARTNERS = 3
 #: Up to so many wanted classes go to all tasks; more are found by a shuffle of the texts.
 BROADCAST_CLASSES = 500_000
 
@@ -89,19 +92,19 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """docs (id, text) as id, n, cls, gid, sketch, prefix: set size, ids of the set and of (n, prefix), parity sketch, and the prefix in order."""
+    """docs (id, text) as id, n, cls, gid, sketch, fold, prefix: set size, ids of the set and of (n, prefix), parity sketch, the sketch folded to its smallest size, and the prefix in order."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
         for batch in chunks(batches, "text"):
-            n, cls, gid, sketch, prefix = [], [], [], [], []
+            n, cls, gid, sketch, fold, prefix = [], [], [], [], [], []
             for s in _sets(batch):
                 size = len(s)
                 n.append(size)
                 if not size:
-                    cls.append(None), gid.append(None), sketch.append(None), prefix.append(None)
+                    cls.append(None), gid.append(None), sketch.append(None), fold.append(None), prefix.append(None)
                     continue
                 if len(often):
                     common = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
@@ -115,11 +118,13 @@ def prefixes(docs: DataFrame) -> DataFrame:
                 while bits < size:
                     bits *= 4
                 odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
-                sketch.append(np.packbits(odd).tobytes())
+                packed = np.packbits(odd)
+                sketch.append(packed.tobytes())
+                fold.append(np.bitwise_xor.reduce(packed.reshape(-1, SKETCH // 8), axis=0).view(np.int64))
                 prefix.append(head.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(gid, pa.int64()), pa.array(sketch, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=["id", "n", "cls", "gid", "sketch", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(gid, pa.int64()), pa.array(sketch, pa.binary()), pa.array(fold, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))], names=["id", "n", "cls", "gid", "sketch", "fold", "prefix"])
 
-    return docs.mapInArrow(run, f"id {kind}, n int, cls long, gid long, sketch binary, prefix array<long>")
+    return docs.mapInArrow(run, f"id {kind}, n int, cls long, gid long, sketch binary, fold array<long>, prefix array<long>")
 
 
 def _class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -139,25 +144,26 @@ def _class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sizes and sketches allow a link."""
+    """The pairs (a, b) of classes whose sizes and sketches allow a link, and how far apart the sketches are."""
     one, two = (classes.select(F.col("cls").alias(c), F.col("size").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            keep, apart = [], []
             for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")), strict=True):
                 p, q = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
                 differ = int(np.bitwise_count(np.bitwise_xor.reduce(q.reshape(-1, len(p)), axis=0) ^ p).sum())
                 # overlap <= (n + m - differ) / 2, and a link needs 180 * overlap >= 80 * (n + m).
                 keep.append((n + m - differ) * (100 + PERCENT) >= 2 * PERCENT * (n + m))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                apart.append(differ / (n + m))
+            yield batch.select(["a", "b"]).append_column("apart", pa.array(apart, pa.float64())).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, apart double")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sets link; sets are made again from one text of each class."""
-    pairs = materialise(pairs, "pairs")
+    pairs = materialise(pairs.select("a", "b"), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct().join(classes.select(F.col("cls").alias("of"), "rep"), "of")
     sets = materialise(_class_sets(docs, needed), "sets")
     one, two = sets.select(F.col("cls").alias("a"), F.col("members").alias("x")), sets.select(F.col("cls").alias("b"), F.col("members").alias("y"))
@@ -204,7 +210,7 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
     rows = materialise(prefixes(docs), "prefixes")
     filled = rows.filter("n > 0")
-    classes = filled.groupBy("cls").agg(F.min("id").alias("rep"), F.min("gid").alias("gid"), F.min("n").alias("size"), F.first("sketch").alias("sketch"))
+    classes = filled.groupBy("cls").agg(F.min("id").alias("rep"), F.min("gid").alias("gid"), F.min("n").alias("size"), F.first("sketch").alias("sketch"), F.first("fold").alias("fold"))
     groups = filled.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     index = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
     index = index.withColumn("__many", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("__many > 1").drop("__many")
@@ -215,44 +221,48 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     classes = materialise(classes.join(live, "gid", "left_semi"), "classes")
 
     links = None
-    for _ in range(STAR_ROUNDS):
+    for turn in range(STAR_ROUNDS):
         labelled = materialise(_labelled(classes.select("cls", "gid"), links), "labelled")
         heads = labelled.groupBy("gid").agg(F.min("cls").alias("head"), F.min("comp").alias("low"), F.max("comp").alias("high"))
         held = index.join(heads, "gid")
         by = Window.partitionBy("token")
         open_lists = held.withColumn("__low", F.min("low").over(by)).withColumn("__high", F.max("high").over(by)).filter("__low <> __high")
         sized = open_lists.withColumn("__size", F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))))
-        before = Window.partitionBy("token").orderBy("n", "gid")
+        shuffled = Window.partitionBy("token").orderBy(F.xxhash64(F.lit(turn), "token", "gid"))
         hub = Window.partitionBy("token", "__size").orderBy("n", "gid").rowsBetween(Window.unboundedPreceding, 0)
         own = F.struct("head", F.col("n").alias("m"), "low", "high")
-        near = sized.withColumn("__before", F.lag(own).over(before)).withColumn("__hub", F.first(own).over(hub))
+        near = sized.withColumn("__before", F.lag(own).over(shuffled)).withColumn("__hub", F.first(own).over(hub))
         near = near.select("head", "n", "low", "high", F.explode(F.array("__before", "__hub")).alias("p"))
         near = near.filter((F.col("head") != F.col("p.head")) & _sizes_fit("n", "p.m") & (F.least("low", "p.low") != F.greatest("high", "p.high")))
-        counted = near.groupBy(F.least("head", "p.head").alias("a"), F.greatest("head", "p.head").alias("b")).count()
-        hopeful = materialise(_plausible(counted, classes).join(counted, ["a", "b"]), "star-pairs")
-        both = hopeful.select(F.col("a").alias("head"), F.col("b").alias("other"), "count").unionByName(hopeful.select(F.col("b").alias("head"), F.col("a").alias("other"), "count"))
-        best = both.withColumn("__rank", F.row_number().over(Window.partitionBy("head").orderBy(F.desc("count"), "other"))).filter("__rank <= 2")
+        met = near.select(F.least("head", "p.head").alias("a"), F.greatest("head", "p.head").alias("b")).distinct()
+        hopeful = materialise(_plausible(met, classes), "star-pairs")
+        both = hopeful.select(F.col("a").alias("head"), F.col("b").alias("other"), "apart").unionByName(hopeful.select(F.col("b").alias("head"), F.col("a").alias("other"), "apart"))
+        best = both.withColumn("__rank", F.row_number().over(Window.partitionBy("head").orderBy("apart", "other"))).filter(F.col("__rank") <= PARTNERS)
         inside = labelled.join(heads.select("gid", "head", "low", "high"), "gid").filter("cls <> head AND low <> high").select(F.col("head").alias("a"), F.col("cls").alias("b"))
         pairs = best.select(F.least("head", "other").alias("a"), F.greatest("head", "other").alias("b")).unionByName(inside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
         found = _verified(_plausible(pairs, classes), classes, docs)
         links = found if links is None else links.unionByName(found)
+        if found.isEmpty():
+            break
 
     labelled = materialise(_labelled(classes.select("cls", "gid"), links), "labelled")
     bounds = labelled.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     held = index.join(bounds, "gid")
     by = Window.partitionBy("token")
     open_lists = held.withColumn("__low", F.min("low").over(by)).withColumn("__high", F.max("high").over(by)).filter("__low <> __high").drop("__low", "__high")
-    left, right = (open_lists.select("token", *(F.col(c).alias(f"{c}{side}") for c in ("gid", "n", "pos", "low", "high"))) for side in (1, 2))
-    met = left.join(right, "token").filter(F.col("gid1") < F.col("gid2")).filter(_sizes_fit("n1", "n2") & (F.least("low1", "low2") != F.greatest("high1", "high2")))
-    # The shingles before and at the shared one bound the overlap from above.
-    most = F.least("pos1", "pos2") + F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
-    met = met.filter(most * (100 + PERCENT) >= (F.col("n1") + F.col("n2")) * PERCENT).select("gid1", "gid2").distinct()
-    # Groups with several classes that are not all joined are also pairs with themselves.
-    met = met.unionByName(bounds.filter("low <> high").select(F.col("gid").alias("gid1"), F.col("gid").alias("gid2")))
-    member = labelled.select("gid", "cls", "comp")
-    ends = [member.select(*(F.col(c).alias(f"{c}{side}") for c in ("gid", "cls", "comp"))) for side in (1, 2)]
-    pairs = met.join(ends[0], "gid1").join(ends[1], "gid2").filter("comp1 <> comp2 AND (gid1 <> gid2 OR cls1 < cls2)")
-    pairs = pairs.select(F.least("cls1", "cls2").alias("a"), F.greatest("cls1", "cls2").alias("b")).distinct()
+    member = labelled.join(classes.select("cls", "fold"), "cls").select("gid", "cls", "comp", *(F.col("fold")[i].alias(f"s{i}") for i in range(SKETCH // 64)))
+    open_rows = materialise(open_lists.select("token", "gid", "n", "pos").join(member, "gid"), "open-lists")
+    left, right = (open_rows.select("token", *(F.col(c).alias(f"{c}_{side}") for c in open_rows.columns if c not in ("token", "gid"))) for side in (1, 2))
+    total = F.col("n_1") + F.col("n_2")
+    # The shingles before and at the shared one bound the overlap from above; so do the sketches.
+    most = F.least("pos_1", "pos_2") + F.least(F.col("n_1") - F.col("pos_1"), F.col("n_2") - F.col("pos_2"))
+    differ = sum((F.bit_count(F.col(f"s{i}_1").bitwiseXOR(F.col(f"s{i}_2"))) for i in range(SKETCH // 64)), F.lit(0))
+    fits = _sizes_fit("n_1", "n_2") & (most * (100 + PERCENT) >= total * PERCENT) & ((total - differ) * (100 + PERCENT) >= 2 * PERCENT * total)
+    pairs = left.join(right, "token").filter((F.col("cls_1") < F.col("cls_2")) & (F.col("comp_1") != F.col("comp_2")) & fits).select(F.col("cls_1").alias("a"), F.col("cls_2").alias("b"))
+    # Groups of several classes may have no shingle in a shared list.
+    mixed = labelled.join(bounds.filter("low <> high").select("gid"), "gid").select("gid", "cls", "comp")
+    inside = mixed.alias("x").join(mixed.alias("y"), "gid").filter("x.cls < y.cls AND x.comp <> y.comp").select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    pairs = pairs.unionByName(inside).distinct()
     links = links.unionByName(_verified(_plausible(pairs, classes), classes, docs))
 
     joined = materialise(_labelled(classes.select("cls", "gid"), links).select("cls", "comp"), "labelled")
