@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BY = Window.partitionBy("symbol").orderBy("session")
+
+def by_symbol():
+    """Rows of a symbol in session order (made on use: a window needs a session)."""
+    return Window.partitionBy("symbol").orderBy("session")
 
 
 def business_days(panel: DataFrame) -> DataFrame:
@@ -22,7 +25,7 @@ def sessions(panel: DataFrame) -> DataFrame:
 def align(panel: DataFrame, fields: list[str], calendar: DataFrame | None = None, limit: int | None = 5) -> DataFrame:
     """Every symbol on every calendar day; a missing field takes the last value of at most ``limit`` rows before (None: any)."""
     grid = (calendar if calendar is not None else sessions(panel)).join(panel.select("symbol").distinct(), how="cross")
-    frame = BY.rowsBetween(Window.unboundedPreceding if limit is None else -limit, 0)
+    frame = by_symbol().rowsBetween(Window.unboundedPreceding if limit is None else -limit, 0)
     filled = [F.last(f, True).over(frame).alias(f) for f in fields]
     return grid.join(panel, ["symbol", "session"], "left").select("symbol", "session", *filled)
 
@@ -41,7 +44,7 @@ def truncate(panel: DataFrame, last: str) -> DataFrame:
 
 def simple_returns(panel: DataFrame, field: str = "close") -> DataFrame:
     """Adds ``ret``: field over its previous row, less one; null where undefined."""
-    return panel.withColumn("ret", F.try_divide(F.col(field), F.lag(field).over(BY)) - 1)
+    return panel.withColumn("ret", F.try_divide(F.col(field), F.lag(field).over(by_symbol())) - 1)
 
 
 def month_end_rows(panel: DataFrame, keep_partial: bool = True) -> DataFrame:
@@ -59,8 +62,8 @@ def month_end_rows(panel: DataFrame, keep_partial: bool = True) -> DataFrame:
 def project(labels: DataFrame, panel: DataFrame, field: str, lag: int = 1) -> DataFrame:
     """Labels of earlier decision rows carried forward onto the panel's sessions, then ``lag`` rows later."""
     joined = panel.select("symbol", "session").join(labels.select("symbol", "session", field), ["symbol", "session"], "left")
-    carried = joined.withColumn(field, F.last(field, True).over(BY.rowsBetween(Window.unboundedPreceding, 0)))
-    return carried.withColumn(field, F.lag(field, lag).over(BY))
+    carried = joined.withColumn(field, F.last(field, True).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0)))
+    return carried.withColumn(field, F.lag(field, lag).over(by_symbol()))
 
 
 def bad_rows(panel: DataFrame, fields: list[str]) -> DataFrame:

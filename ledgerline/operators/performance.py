@@ -5,21 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PATH = Window.partitionBy("member").orderBy("session")
-RUN = PATH.rowsBetween(Window.unboundedPreceding, 0)
+
+def path_rows():
+    """Rows of a member in session order."""
+    return Window.partitionBy("member").orderBy("session")
+
+
+def so_far():
+    return path_rows().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def wealth(paths: DataFrame) -> DataFrame:
     """Adds nav (from 1), peak (at least the initial 1) and drawdown."""
-    out = paths.withColumn("nav", F.exp(F.sum(F.log1p("ret")).over(RUN)))
-    out = out.withColumn("peak", F.greatest(F.lit(1.0), F.max("nav").over(RUN)))
+    out = paths.withColumn("nav", F.exp(F.sum(F.log1p("ret")).over(so_far())))
+    out = out.withColumn("peak", F.greatest(F.lit(1.0), F.max("nav").over(so_far())))
     return out.withColumn("drawdown", F.col("nav") / F.col("peak") - 1)
 
 
 def path_metrics(paths: DataFrame, periods: int = 252) -> DataFrame:
     """One row per member: growth, volatility, Sharpe (n - 1), Sortino, drawdown, tails, moments and best and worst runs."""
-    rows = wealth(paths).withColumn("__five", F.when(F.count("ret").over(PATH.rowsBetween(-4, 0)) == 5, F.expm1(F.sum(F.log1p("ret")).over(PATH.rowsBetween(-4, 0)))))
-    rows = rows.withColumn("__cut", F.percentile("ret", 0.05).over(Window.partitionBy("member"))).withColumn("__before", F.lag("ret").over(PATH))
+    rows = wealth(paths).withColumn("__five", F.when(F.count("ret").over(path_rows().rowsBetween(-4, 0)) == 5, F.expm1(F.sum(F.log1p("ret")).over(path_rows().rowsBetween(-4, 0)))))
+    rows = rows.withColumn("__cut", F.percentile("ret", 0.05).over(Window.partitionBy("member"))).withColumn("__before", F.lag("ret").over(path_rows()))
     n, sd = F.count("ret"), F.stddev_samp("ret")
     down = F.sqrt(F.avg(F.pow(F.least("ret", F.lit(0.0)), 2)))
     root = periods**0.5
@@ -45,7 +51,7 @@ def loss_shape(paths: DataFrame, periods: int = 252) -> DataFrame:
     """Drawdown to volatility, ulcer and pain index, worst 21 and 63 sessions per member."""
     rows = wealth(paths)
     for k in (21, 63):
-        frame = PATH.rowsBetween(-(k - 1), 0)
+        frame = path_rows().rowsBetween(-(k - 1), 0)
         rows = rows.withColumn(f"__w{k}", F.when(F.count("ret").over(frame) == k, F.expm1(F.sum(F.log1p("ret")).over(frame))))
     return rows.groupBy("member").agg(
         F.try_divide(F.min("drawdown"), F.stddev_samp("ret") * periods**0.5).alias("drawdown_to_vol"), F.sqrt(F.avg(F.pow("drawdown", 2))).alias("ulcer"), F.avg(-F.col("drawdown")).alias("pain"), F.min("__w21").alias("worst_21"), F.min("__w63").alias("worst_63")
@@ -55,7 +61,7 @@ def loss_shape(paths: DataFrame, periods: int = 252) -> DataFrame:
 def drawdown_episodes(paths: DataFrame, depth: float = 0.02) -> DataFrame:
     """Spells under water deeper than ``depth``: start, trough, end, sessions, recovered."""
     rows = wealth(paths).withColumn("__under", F.col("drawdown") < -1e-12)
-    rows = rows.withColumn("__spell", F.sum(F.when(F.col("__under"), 0).otherwise(1)).over(RUN))
+    rows = rows.withColumn("__spell", F.sum(F.when(F.col("__under"), 0).otherwise(1)).over(so_far()))
     last = F.max("session").over(Window.partitionBy("member"))
     rows = rows.withColumn("__last", last).filter("__under")
     out = rows.groupBy("member", "__spell").agg(F.min("session").alias("start"), F.min_by("session", F.struct("drawdown", "session")).alias("trough"), F.max("session").alias("end"), F.count(F.lit(1)).alias("sessions"), F.min("drawdown").alias("depth"), (F.max("session") < F.first("__last")).alias("recovered"))

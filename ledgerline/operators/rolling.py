@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.operators.panel import BY, month_end_rows, project
+from ledgerline.operators.panel import by_symbol, month_end_rows, project
 
 
 def full(value: Column, over: str | Column, window, need: int) -> Column:
@@ -18,12 +18,12 @@ def full(value: Column, over: str | Column, window, need: int) -> Column:
 
 
 def trailing(n: int, skip: int = 0):
-    return BY.rowsBetween(-(n - 1) - skip, -skip)
+    return by_symbol().rowsBetween(-(n - 1) - skip, -skip)
 
 
 def trend_sign(panel: DataFrame, lookback: int = 252) -> DataFrame:
     """Sign of the price change over ``lookback`` rows."""
-    return panel.withColumn("signal", F.signum(F.col("close") - F.lag("close", lookback).over(BY)))
+    return panel.withColumn("signal", F.signum(F.col("close") - F.lag("close", lookback).over(by_symbol())))
 
 
 def liquidity_mask(panel: DataFrame, field: str = "volume", window: int = 60, floor: float = 0.0, strict: bool = True, lag: int = 0) -> DataFrame:
@@ -31,19 +31,19 @@ def liquidity_mask(panel: DataFrame, field: str = "volume", window: int = 60, fl
     median = full(F.percentile(F.coalesce(F.col(field), F.lit(0.0)), 0.5), F.lit(1), trailing(window), window)
     ok = F.coalesce(median > floor if strict else median >= floor, F.lit(False))
     out = panel.withColumn("median", median).withColumn("tradeable", ok)
-    return out.withColumn("tradeable", F.lag("tradeable", lag, False).over(BY)) if lag else out
+    return out.withColumn("tradeable", F.lag("tradeable", lag, False).over(by_symbol())) if lag else out
 
 
 def realized_volatility(returns: DataFrame, window: int = 63, periods: int = 252, demean: bool = False, lag: int = 0) -> DataFrame:
     """Annualised root mean square (or population deviation) of the last ``window`` returns."""
     spread = (F.var_pop("ret") if demean else F.avg(F.col("ret") * F.col("ret"))).over(trailing(window))
     out = returns.withColumn("vol", F.when(F.count("ret").over(trailing(window)) >= window, F.sqrt(spread * periods)))
-    return out.withColumn("vol", F.lag("vol", lag).over(BY)) if lag else out
+    return out.withColumn("vol", F.lag("vol", lag).over(by_symbol())) if lag else out
 
 
 def terciles(frame: DataFrame, field: str, history: int | None = 252, need: int = 126) -> DataFrame:
     """Low, Middle or High against the thirds of strictly earlier values; null with too few of them."""
-    before = BY.rowsBetween(-history if history else Window.unboundedPreceding, -1)
+    before = by_symbol().rowsBetween(-history if history else Window.unboundedPreceding, -1)
     cuts = F.when(F.count(field).over(before) >= need, F.percentile(field, F.array(F.lit(1 / 3), F.lit(2 / 3))).over(before))
     out = frame.withColumn("__cuts", cuts)
     label = F.when(F.col(field) <= F.col("__cuts")[0], "Low").when(F.col(field) > F.col("__cuts")[1], "High").otherwise("Middle")
@@ -54,7 +54,7 @@ def compounded(returns: DataFrame, window: int, need: int, name: str = "momentum
     """Compounded return of the last ``window`` rows with at least ``need`` observations."""
     logs = F.sum(F.coalesce(F.log1p("ret"), F.lit(0.0)))
     frame = trailing(window)
-    ready = (F.row_number().over(BY) >= window) & (F.count("ret").over(frame) >= need)
+    ready = (F.row_number().over(by_symbol()) >= window) & (F.count("ret").over(frame) >= need)
     return returns.withColumn(name, F.when(ready, F.expm1(logs.over(frame))))
 
 
@@ -68,8 +68,8 @@ def blended_signs(returns: DataFrame, windows: tuple[int, ...] = (21, 63, 252))
 
 def time_trend_t(returns: DataFrame, window: int = 252) -> DataFrame:
     """t-statistic of the slope of cumulative log return on time over the window, in closed form from rolling sums."""
-    run = BY.rowsBetween(Window.unboundedPreceding, 0)
-    out = returns.withColumn("__c", F.sum(F.coalesce(F.log1p("ret"), F.lit(0.0))).over(run)).withColumn("__s", F.row_number().over(BY).cast("double"))
+    run = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
+    out = returns.withColumn("__c", F.sum(F.coalesce(F.log1p("ret"), F.lit(0.0))).over(run)).withColumn("__s", F.row_number().over(by_symbol()).cast("double"))
     frame = trailing(window)
     n, s = float(window), F.col("__s")
     mean_t = s - (n - 1) / 2
@@ -92,7 +92,7 @@ def volatility_scale(returns: DataFrame, window: int = 126, budget: float = 0.12
     """budget / realised volatility, clipped, ``lag`` rows later."""
     out = realized_volatility(returns, window)
     scale = F.when(F.col("vol") > 0, F.least(F.lit(high), F.greatest(F.lit(low), budget / F.col("vol"))))
-    return out.withColumn("scale", F.lag(scale, lag).over(BY))
+    return out.withColumn("scale", F.lag(scale, lag).over(by_symbol()))
 
 
 def pair_correlation(returns: DataFrame, window: int = 63, symbols: list[str] | None = None) -> DataFrame:
@@ -113,7 +113,7 @@ def pair_correlation(returns: DataFrame, window: int = 63, symbols: list[str] |
 def moving_average_state(panel: DataFrame, months: int = 10, lag: int = 1) -> DataFrame:
     """Risk-on when the month-end close exceeds the mean of the last ``months`` month ends, projected on sessions."""
     ends = month_end_rows(panel)
-    mean = full(F.avg("close"), "close", BY.rowsBetween(-(months - 1), 0), months)
+    mean = full(F.avg("close"), "close", by_symbol().rowsBetween(-(months - 1), 0), months)
     state = F.when(mean.isNotNull(), F.when(F.col("close") > mean, "Risk-on").otherwise("Risk-off"))
     return project(ends.withColumn("state", state), panel, "state", lag)
 
@@ -121,7 +121,7 @@ def moving_average_state(panel: DataFrame, months: int = 10, lag: int = 1) -> Da
 def past_return_state(panel: DataFrame, months: int = 24, lag: int = 1, below: str = "Bear", above: str = "Not bear") -> DataFrame:
     """State of the return over ``months`` month ends that ended a month before, projected on sessions."""
     ends = month_end_rows(panel)
-    past = F.try_divide(F.lag("close", 1).over(BY), F.lag("close", months + 1).over(BY)) - 1
+    past = F.try_divide(F.lag("close", 1).over(by_symbol()), F.lag("close", months + 1).over(by_symbol())) - 1
     state = F.when(past.isNotNull(), F.when(past < 0, below).otherwise(above))
     return project(ends.withColumn("state", state), panel, "state", lag)
 
