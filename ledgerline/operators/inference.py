@@ -25,6 +25,37 @@ def hac_standard_error(paths: DataFrame, lags: int = 21) -> DataFrame:
     return out.select("member", "n", "mean", "se", F.try_divide(F.col("mean"), F.col("se")).alias("t"))
 
 
+def paired_hac(paths: DataFrame, benchmark: str, z: float = 1.6448536269514722) -> DataFrame:
+    """Every other member against the benchmark on common sessions: mean difference, its HAC error, t, 90 % bounds and the least effect that could be told from 0."""
+    base = paths.filter(F.col("member") == benchmark).select("session", F.col("ret").alias("__base"))
+    gap = paths.filter(F.col("member") != benchmark).join(base, "session").select("member", "session", (F.col("ret") - F.col("__base")).alias("ret"))
+    return hac_standard_error(gap).withColumn("low", F.col("mean") - z * F.col("se")).withColumn("high", F.col("mean") + z * F.col("se")).withColumn("detectable", z * F.col("se"))
+
+
+def alpha_report(paths: DataFrame, benchmark: str) -> DataFrame:
+    """Regression of every other member on the benchmark: beta, and alpha with its HAC error.
+
+    The error of alpha is that of the mean of its influence values
+    alpha + e * (1 - mx * (x - mx) / vx), whose mean is alpha.
+    """
+    base = paths.filter(F.col("member") == benchmark).select("session", F.col("ret").alias("x"))
+    both = paths.filter(F.col("member") != benchmark).join(base, "session")
+    fit = both.groupBy("member").agg(F.avg("x").alias("mx"), F.avg("ret").alias("my"), F.var_pop("x").alias("vx"), F.try_divide(F.covar_pop("x", "ret"), F.var_pop("x")).alias("beta"))
+    fit = fit.withColumn("alpha", F.col("my") - F.col("beta") * F.col("mx"))
+    error = F.col("ret") - F.col("alpha") - F.col("beta") * F.col("x")
+    influence = F.col("alpha") + error * (1 - F.try_divide(F.col("mx") * (F.col("x") - F.col("mx")), F.col("vx")))
+    hac = hac_standard_error(both.join(fit, "member").select("member", "session", influence.alias("ret")))
+    return hac.withColumnRenamed("mean", "alpha").join(fit.select("member", "beta"), "member")
+
+
+def hit_rates(paths: DataFrame, z: float = 1.959963984540054) -> DataFrame:
+    """Share of sessions above 0 per member, with its 95 % Wilson bounds."""
+    n, p = F.col("n"), F.col("rate")
+    out = paths.groupBy("member").agg(F.count("ret").alias("n"), F.avg((F.col("ret") > 0).cast("double")).alias("rate"))
+    centre, half = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
+    return out.withColumn("low", (centre - half) / (1 + z * z / n)).withColumn("high", (centre + half) / (1 + z * z / n))
+
+
 def stationary_draws(spark: SparkSession, length: int, samples: int, horizon: int, block: int, seed: int) -> DataFrame:
     """(rep, step, position): circular blocks of geometric length, mean ``block``."""
     grid = spark.range(samples).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(horizon - 1))).alias("step"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.operators import audit, inference, panel, performance, rolling
+from ledgerline.operators import audit, episodes, inference, panel, performance, rolling
 from ledgerline.sources.views import BARS, FILLS, PATHS, bars, fills, paths, read
+from ledgerline.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -279,8 +280,12 @@ ORDER_EVENTS = """ev AS (SELECT user_id AS key, event_id, ts, CASE event_type WH
 
 
 def order_events(spark, sf_dir):
+    return _orders(read(spark, sf_dir, "events"))
+
+
+def _orders(events: DataFrame) -> DataFrame:
     kind = F.when(F.col("event_type") == "signup", "OUTBOX").when(F.col("event_type") == "view", "ACK").when(F.col("event_type") == "error", "REJECT").otherwise("FILL")
-    return read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "event_id", "ts", kind.alias("event"))
+    return events.select(F.col("user_id").alias("key"), "event_id", "ts", kind.alias("event"))
 
 
 @query(f"""WITH {ORDER_EVENTS}, l AS (SELECT *, lag(event) OVER (PARTITION BY key ORDER BY ts, event_id) AS before, row_number() OVER (PARTITION BY key, event_id ORDER BY ts) AS seen FROM ev)
@@ -295,8 +300,6 @@ c AS (SELECT *, CASE WHEN ascii(record_hash) = 48 THEN 'tampered' ELSE lag(recor
 l AS (SELECT *, lag(sequence) OVER w AS s0, lag(record_hash) OVER w AS h0, lag(ts) OVER w AS t0 FROM c WINDOW w AS (PARTITION BY journal ORDER BY sequence, ts, record_hash))
 SELECT journal, count(*) AS entries, CAST(sum(CASE WHEN s0 IS NOT NULL AND sequence <> s0 + 1 THEN 1 ELSE 0 END) AS BIGINT) AS sequence_breaks, CAST(sum(CASE WHEN h0 IS NOT NULL AND previous_hash <> h0 THEN 1 ELSE 0 END) AS BIGINT) AS hash_breaks, CAST(sum(CASE WHEN ts < t0 THEN 1 ELSE 0 END) AS BIGINT) AS time_breaks FROM l GROUP BY journal""")
 def chain_audit(spark, sf_dir):
-    from pyspark.sql import Window
-
     own = Window.partitionBy("journal").orderBy("ts", "event_id")
     e = read(spark, sf_dir, "events").withColumn("journal", F.col("user_id"))
     e = e.withColumn("sequence", F.row_number().over(own) + F.when(F.col("event_id") % 97 == 0, 1).otherwise(0)).withColumn("record_hash", F.sha2(F.concat_ws(":", "event_id", "event_type"), 256))
@@ -336,3 +339,95 @@ def walk_forward_select(spark, sf_dir):
 @query()
 def bootstrap_drawdown(spark, sf_dir):
     return inference.bootstrap_drawdown(paths(spark, sf_dir))
+
+
+LEDGER = f"""{BARS}, pos AS (SELECT symbol, session, close, CASE WHEN volume::BIGINT % 11 = 0 THEN 0 ELSE coalesce(sign(close - lag(close, 21) {W})) * (1 + volume::BIGINT % 3), 0) END::DOUBLE AS position FROM bars),
+ledger AS (SELECT *, coalesce(lag(position) {W}), 0) AS before, coalesce(lag(position) {W}) * (close - lag(close) {W})), 0) AS gross, 0.5::DOUBLE * abs(position - coalesce(lag(position) {W}), 0)) AS cost FROM pos)"""
+TRADES = f"""{LEDGER}, o AS (SELECT *, sign(position) <> sign(before) AND position <> 0 AS opens, sign(position) <> sign(before) AND before <> 0 AS closes FROM ledger), k AS (SELECT *, sum(opens::INT) {W}) AS number FROM o),
+legs AS (SELECT symbol, session, number - opens::INT AS episode, sign(before)::INT AS direction, gross, cost * CASE WHEN opens AND closes THEN abs(before) / (abs(before) + abs(position)) ELSE 1.0::DOUBLE END AS cost, closes AS closed, NOT closes AND position <> before AS resized FROM k WHERE before <> 0
+  UNION ALL SELECT symbol, session, number, sign(position)::INT, 0.0::DOUBLE, cost * CASE WHEN closes THEN abs(position) / (abs(before) + abs(position)) ELSE 1.0::DOUBLE END, false, false FROM k WHERE opens),
+r AS (SELECT *, sum(gross - cost) OVER (PARTITION BY symbol, episode ORDER BY session) AS running FROM legs),
+trades AS (SELECT symbol, episode::BIGINT AS episode, any_value(direction) AS direction, min(session) AS entry, max(session) FILTER (closed) AS "exit", count(*) - 1 AS sessions, count(*) FILTER (resized) AS resizes, sum(gross) AS gross, sum(cost) AS cost, sum(gross - cost) AS net,
+  greatest(max(running), 0) AS mfe, least(min(running), 0) AS mae FROM r GROUP BY symbol, episode)"""
+
+
+def trades(spark, sf_dir):
+    by = Window.partitionBy("symbol").orderBy("session")
+    whole = F.col("volume").cast("long")
+    size = F.when(whole % 11 == 0, 0.0).otherwise(F.coalesce(F.signum(F.col("close") - F.lag("close", 21).over(by)) * (1 + whole % 3), F.lit(0.0)))
+    return episodes.trade_episodes(episodes.ledger(bars(spark, sf_dir).select("symbol", "session", "close", size.alias("position")), 0.5))
+
+
+@query(f"""WITH {TRADES} SELECT symbol, episode, direction, entry, "exit", sessions, resizes, {_r('gross', 'cost', 'net', 'mfe', 'mae')} FROM trades""")
+def trade_episodes(spark, sf_dir):
+    return trades(spark, sf_dir)
+
+
+@query(f"""WITH {TRADES}, m AS (SELECT symbol, count("exit") AS closed, count(*) - count("exit") AS open, count(*) FILTER ("exit" IS NOT NULL AND net > 0.01) AS wins, count(*) FILTER ("exit" IS NOT NULL AND net < -0.01) AS losses,
+  sum(net) FILTER ("exit" IS NOT NULL AND net > 0.01) / -sum(net) FILTER ("exit" IS NOT NULL AND net < -0.01) AS profit_factor, avg(net) FILTER ("exit" IS NOT NULL) AS expectancy, avg(net) FILTER ("exit" IS NOT NULL AND net > 0.01) / -avg(net) FILTER ("exit" IS NOT NULL AND net < -0.01) AS payoff,
+  quantile_cont(sessions, 0.5) FILTER ("exit" IS NOT NULL)::DOUBLE AS median_holding FROM trades GROUP BY symbol) SELECT symbol, closed, open, wins, losses, {_r('profit_factor', 'expectancy', 'payoff', 'median_holding')} FROM m""")
+def trade_episode_metrics(spark, sf_dir):
+    return episodes.episode_metrics(trades(spark, sf_dir))
+
+
+def _hac(source: str) -> str:
+    """CTE ``hac`` (member, n, mean, se) of a CTE (member, session, ret)."""
+    return f"""hd AS (SELECT member, session, ret, ret - avg(ret) OVER (PARTITION BY member) AS d FROM {source}), hl AS (SELECT *, {", ".join(f"lag(d, {k}) {P}) AS l{k}" for k in range(1, 22))} FROM hd),
+hac AS (SELECT member, count(*) AS n, avg(ret) AS mean, sqrt(greatest(sum(d * d) + {" + ".join(f"2 * (1 - {k} / 22.0::DOUBLE) * coalesce(sum(d * l{k}), 0)" for k in range(1, 22))}, 0)) / count(*) AS se FROM hl GROUP BY member)"""
+
+
+Z90, Z95 = "1.6448536269514722::DOUBLE", "1.959963984540054::DOUBLE"
+
+
+@query(f"""WITH {PATHS}, gap AS (SELECT p.member, p.session, p.ret - b.ret AS ret FROM paths p JOIN paths b ON p.session = b.session AND b.member = 'AF' WHERE p.member <> 'AF'), {_hac('gap')},
+t AS (SELECT *, mean / se AS t, mean - {Z90} * se AS low, mean + {Z90} * se AS high, {Z90} * se AS detectable FROM hac) SELECT member, n, {_r('mean', 'se', 't', 'low', 'high', 'detectable')} FROM t""")
+def paired_hac(spark, sf_dir):
+    return inference.paired_hac(paths(spark, sf_dir), "AF")
+
+
+@query(f"""WITH {PATHS}, j AS (SELECT p.member, p.session, p.ret AS y, b.ret AS x FROM paths p JOIN paths b ON p.session = b.session AND b.member = 'AF' WHERE p.member <> 'AF'),
+fit AS (SELECT member, avg(x) AS mx, var_pop(x) AS vx, covar_pop(x, y) / var_pop(x) AS beta, avg(y) - covar_pop(x, y) / var_pop(x) * avg(x) AS a FROM j GROUP BY member),
+f AS (SELECT member, session, a + (y - a - beta * x) * (1 - mx * (x - mx) / vx) AS ret FROM j JOIN fit USING (member)), {_hac('f')},
+t AS (SELECT hac.*, mean AS alpha, mean / se AS t, beta FROM hac JOIN fit USING (member)) SELECT member, n, {_r('alpha', 'se', 't', 'beta')} FROM t""")
+def alpha_report(spark, sf_dir):
+    return inference.alpha_report(paths(spark, sf_dir), "AF")
+
+
+@query(f"""WITH {PATHS}, h AS (SELECT member, count(ret) AS n, avg((ret > 0)::INT) AS rate FROM paths GROUP BY member),
+w AS (SELECT *, rate + {Z95} * {Z95} / (2 * n) AS c, {Z95} * sqrt(rate * (1 - rate) / n + {Z95} * {Z95} / (4 * n * n)) AS half, 1 + {Z95} * {Z95} / n AS d FROM h),
+b AS (SELECT member, n, rate, (c - half) / d AS low, (c + half) / d AS high FROM w) SELECT member, n, {_r('rate', 'low', 'high')} FROM b""")
+def hit_rates(spark, sf_dir):
+    return inference.hit_rates(paths(spark, sf_dir))
+
+
+@query("""WITH need AS (SELECT unnest(['signup', 'view', 'click', 'purchase', 'error', 'settlement']) AS component), l AS (SELECT event_type AS component, max(ts) AS seen FROM events GROUP BY 1),
+a AS (SELECT component, CAST(floor(epoch((SELECT max(ts) FROM events))) AS BIGINT) - CAST(floor(epoch(seen)) AS BIGINT) AS age_seconds FROM need LEFT JOIN l USING (component)) SELECT component, age_seconds, CASE WHEN age_seconds <= 1800 THEN 'PASS' ELSE 'BLOCKED' END AS status FROM a""")
+def heartbeat_freshness(spark, sf_dir):
+    beats = read(spark, sf_dir, "events").select(F.col("event_type").alias("component"), F.col("ts").cast("timestamp").alias("ts"))
+    as_of = beats.agg(F.max("ts").cast("string")).first()[0]
+    return audit.monitoring(beats, ["signup", "view", "click", "purchase", "error", "settlement"], as_of, 1800).select("component", "age_seconds", "status")
+
+
+def _stamps(df: DataFrame) -> DataFrame:
+    return df.select(*(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes))
+
+
+STAMP = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}"
+
+
+@query(f"""WITH g AS (SELECT *, sum(CASE WHEN ts - before <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)),
+w AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS events FROM g GROUP BY user_id, s) SELECT user_id, {STAMP.format('start')}, {STAMP.format('"end"')}, events FROM w WHERE "end" <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def stream_sessions(spark, sf_dir):
+    return _stamps(streams.finish(streams.activity_sessions(streams.stream(spark, f"{sf_dir}/events.parquet"), "user_id"), "sessions"))
+
+
+@query(f"""WITH s AS (SELECT event_type, date_trunc('day', ts) - to_days(CAST(k AS INTEGER)) AS start FROM events CROSS JOIN (SELECT unnest(range(7)) AS k)), w AS (SELECT event_type, s.start::TIMESTAMP AS start, (s.start + INTERVAL 7 DAY)::TIMESTAMP AS "end", count(*) AS events FROM s GROUP BY ALL)
+SELECT event_type, {STAMP.format('start')}, {STAMP.format('"end"')}, events FROM w WHERE "end" <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def stream_window_counts(spark, sf_dir):
+    return _stamps(streams.finish(streams.window_counts(streams.stream(spark, f"{sf_dir}/events.parquet"), "event_type", "7 days", "1 day"), "windows"))
+
+
+@query(f"""WITH {ORDER_EVENTS}, l AS (SELECT *, lag(event) OVER (PARTITION BY key ORDER BY ts, event_id) AS before FROM ev)
+SELECT key, event_id, before, event FROM l WHERE NOT ((before IS NULL AND event = 'OUTBOX') OR (before IS NOT NULL AND ((before = 'OUTBOX' AND event IN ('ACK', 'REJECT')) OR (before = 'ACK' AND event IN ('FILL', 'REJECT', 'ACK')) OR (before = 'FILL' AND event IN ('FILL', 'ACK')) OR (before = 'REJECT' AND event = 'OUTBOX'))))""")
+def stream_illegal_transitions(spark, sf_dir):
+    return streams.finish(streams.illegal_transitions(_orders(streams.stream(spark, f"{sf_dir}/events.parquet"))), "illegal")

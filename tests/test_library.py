@@ -5,8 +5,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators import audit, inference, panel, performance, rolling
+from ledgerline.operators import audit, episodes, inference, panel, performance, rolling
 from ledgerline.sources.views import bars
+from ledgerline.streaming import events as streams
 
 S = "/root/testdata/sf0.01"
 
@@ -53,3 +54,39 @@ def test_truncation_invariance(spark, op):
     b = op(panel.truncate(whole, cut))
     columns = [F.round(c, 9) if t == "double" else F.col(c) for c, t in b.dtypes]
     assert a.select(columns).exceptAll(b.select(columns)).count() == 0
+
+
+def test_episodes_open_resize_flip_close_and_stay_open(spark):
+    rows = [("A", d, 10.0 + i, p) for i, (_, d, p) in enumerate(days(2.0, 3.0, -1.0, 0.0, 0.0, 4.0))]
+    held = episodes.ledger(spark.createDataFrame(rows, "symbol string, session date, close double, position double"), 1.0)
+    got = episodes.trade_episodes(held).orderBy("episode").collect()
+    assert [(r["direction"], r["sessions"], r["resizes"], r["exit"] is None) for r in got] == [(1, 2, 1, False), (-1, 1, 0, False), (1, 0, 0, True)]
+    # 2 and 3 contracts earn 1 each; the flip costs 4, three quarters of it on the old side.
+    assert [(r["gross"], r["cost"]) for r in got] == [(5.0, 6.0), (-1.0, 2.0), (0.0, 4.0)]
+    assert (got[0]["mfe"], got[0]["mae"]) == (0.0, -2.0)
+    figures = episodes.episode_metrics(episodes.trade_episodes(held)).first()
+    assert (figures["closed"], figures["open"], figures["wins"], figures["losses"]) == (2, 1, 0, 2)
+
+
+def test_episodes_of_a_flat_or_empty_ledger(spark):
+    kind = "symbol string, session date, close double, position double"
+    for rows in ([], [("A", d, 1.0, 0.0) for _, d, _ in days(0, 0)]):
+        assert episodes.trade_episodes(episodes.ledger(spark.createDataFrame(rows, kind), 1.0)).count() == 0
+
+
+def test_alpha_report_finds_the_line(spark):
+    rows = [("base", d, (i * 7 % 11 - 5) / 100) for i, (_, d, _) in enumerate(days(*range(60)))]
+    rows += [("own", d, 0.01 + 2 * r) for _, d, r in rows]
+    got = inference.alpha_report(spark.createDataFrame(rows, "member string, session date, ret double"), "base").first()
+    assert (got["alpha"], got["beta"]) == (pytest.approx(0.01), pytest.approx(2.0)) and got["se"] < 1e-9
+
+
+def test_stream_keeps_the_last_event_between_micro_batches(spark, tmp_path):
+    kind = "key long, event_id long, event string, ts timestamp"
+    at, late = dt.datetime(2020, 1, 1), dt.timedelta(hours=1)
+    parts = [[(1, 1, "OUTBOX", at), (2, 9, "FILL", at)], [(1, 2, "ACK", at + late), (1, 3, "OUTBOX", at + 2 * late)]]
+    for rows in parts:
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+    source = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "e"))
+    got = streams.finish(streams.illegal_transitions(source), "illegal").orderBy("key").collect()
+    assert [(r["key"], r["event_id"], r["before"], r["event"]) for r in got] == [(1, 3, "ACK", "OUTBOX"), (2, 9, None, "FILL")]
