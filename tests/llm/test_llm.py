@@ -160,6 +160,16 @@ def test_units_equal_brute_force(docs, empty):
     assert unit_dedup.repeated_units(empty).count() == 0
 
 
+def test_short_lines_and_lines_of_short_sentences_are_units(spark):
+    licence, short = "Released under the MIT license.", "En la. Et enim. Tu quoque. Ave atque."
+    texts = [(0, f"{licence}\n{short}\n\nYes"), (1, f"one\n{licence.upper()}\ntwo"), (2, f"{short}\nthree"), (3, f"four\n\n{licence}\n{short}\n\nyes"), (4, f"five {licence}")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    removed = unit_dedup.repeated_units(df)
+    assert {r["kept_key"] for r in removed.collect()} == {0}
+    got = {r["doc_id"]: r["text"] for r in unit_dedup.remove_units(df, removed).collect()}
+    assert got == {0: texts[0][1], 1: "one\n\ntwo", 2: "\nthree", 3: "four\n\n\n\n", 4: texts[4][1]}
+
+
 def test_passages_equal_brute_force(docs, empty):
     seen = {}
     for i, text, *_ in corpus():
