@@ -12,6 +12,11 @@ whose common part lies mostly to the left.  Extension needs 26 words to either
 side only: a match that goes further has another retained suffix there, and
 the overlapping spans of a document are joined at the end.
 
+Neighbours say that a passage repeats, not which copy comes first.  So every
+LENGTH-word window of the spans is hashed to 96 bits, and the smallest key and
+place of each digest, a minimum that combines before the shuffle, is the copy
+that stays.  Spans are joined for the report only after that.
+
 Suffixes whose 25 words occur once are dropped by a count that combines before
 the shuffle; only the others fetch their surroundings from the texts.
 """
@@ -26,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm import wordhash
-from ledgerline.llm.common import chunks, materialise, table
+from ledgerline.llm.common import chunks, materialise, release, table
 
 #: Shortest repeated passage, in words.
 LENGTH = 50
@@ -130,32 +135,73 @@ def _compare(rows: DataFrame, order: str) -> DataFrame:
     return sorted_rows.mapInArrow(run, f"key {kind}, start int, end int, other {kind}, other_start int")
 
 
+def _windows(df: DataFrame) -> DataFrame:
+    """For rows (key, text, runs): digest and place of every LENGTH-word window inside a run: key, pos, h1, h2."""
+    kind = df.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+            value, _, _, first = wordhash.words(texts)
+            runs = batch.column("runs").to_pylist()
+            of = np.repeat(np.arange(len(texts)), [len(r) for r in runs])
+            begin, end = (np.array([x[c] for own in runs for x in own], np.int64) for c in ("start", "end"))
+            many = np.maximum(np.minimum(end, np.diff(first)[of]) - LENGTH + 1 - begin, 0)  # a run is cut only where several texts share a key
+            pos = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
+            of = np.repeat(of, many)
+            at = first[of] + pos
+            one, two = (wordhash.span_hash(value, at, at + LENGTH, salt) if len(at) else np.zeros(0, np.uint64) for salt in (4, 5))
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(of)), pa.array(pos).cast(pa.int32()), pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32))], names=["key", "pos", "h1", "h2"])
+
+    return df.mapInArrow(run, f"key {kind}, pos int, h1 long, h2 int")
+
+
+def _islands(spans: DataFrame, reach: int) -> DataFrame:
+    """``spans`` (key, start, end, ...) with ``group``: spans of a key that begin at most ``reach`` behind the furthest end so far go together."""
+    by = Window.partitionBy("key").orderBy("start", "end")
+    spans = spans.withColumn("__far", F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    return spans.withColumn("group", F.sum(F.when(F.col("start") <= F.col("__far") + reach, 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("__far")
+
+
 def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every passage of at least LENGTH words that occurs elsewhere: key, start, end (words, end exclusive), other, first.
 
-    ``other`` is the smallest key among the compared occurrences; ``first`` says
-    that no compared occurrence comes earlier by key and place, so removing the
-    rows where it is false leaves one of each.  Words are compared in lower case
-    (A-Z).  Null and short texts have no passage; null keys stand for one
-    document, and repeated rows of a key are one document.  Other columns are
-    not read.
+    ``first``: the words belong to the earliest occurrence, by key and place, of
+    some repeated LENGTH words.  Removing the rows where it is false leaves that
+    occurrence of each whole, and no other unless earliest occurrences of its
+    neighbours hold all its words.  Touching passages are split into rows only
+    where ``first`` changes, so a row may be what an earliest occurrence leaves
+    of a passage.  ``other`` is the smallest key among the compared occurrences
+    of the touching passages.  Words are compared in lower case (A-Z).  Null and
+    short texts have no passage; null keys rank last and stand for one document,
+    and repeated rows of a key are one document.  Other columns are not read.
     """
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     found = suffixes(docs)
     repeated = found.groupBy("h").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("h")
-    places = found.join(repeated, "h").groupBy("key").agg(F.collect_set("pos").alias("places"))
-    places = materialise(places, "suffix-places").withColumnRenamed("key", "__key")
-    around = docs.join(places, F.col("key").eqNullSafe(F.col("__key"))).select("key", "text", "places")
-    rows = materialise(_surroundings(around), "suffix-rows")
+    places = materialise(found.join(repeated, "h").groupBy("key").agg(F.collect_set("pos").alias("places")), "suffix-places")
+    by_key = lambda own: docs.join(own.withColumnRenamed("key", "__key"), F.col("key").eqNullSafe(F.col("__key"))).drop("__key")
+    rows = materialise(_surroundings(by_key(places)), "suffix-rows")
+    release(places)
     pairs = _compare(rows, "after").unionByName(_compare(rows, "before"))
     same = F.col("key").eqNullSafe(F.col("other"))
     pairs = pairs.filter(~(same & (F.col("start") == F.col("other_start"))))
-    earlier = F.when(same, F.col("other_start") < F.col("start")).otherwise(F.col("other").isNotNull() & (F.col("key").isNull() | (F.col("other") < F.col("key"))))
-    own = pairs.groupBy("key", "start", "end").agg(F.min("other").alias("other"), F.max(earlier).alias("later"))
-    by = Window.partitionBy("key").orderBy("start", "end")
-    own = own.withColumn("__far", F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)))
-    own = own.withColumn("__group", F.sum(F.when(F.col("start") <= F.col("__far"), 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return own.groupBy("key", "__group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("other").alias("other"), (~F.max("later")).alias("first")).drop("__group")
+    own = pairs.groupBy("key", "start", "end").agg(F.min("other").alias("other"))
+    # Spans that share all but one of LENGTH words have no window between them that neither holds.
+    runs = materialise(_islands(own, 1 - LENGTH).groupBy("key", "group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("other").alias("other")).drop("group"), "suffix-runs")
+    release(rows)
+
+    windows = _windows(by_key(runs.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("runs"))))
+    place = F.min(F.struct(F.col("key").isNull().alias("null"), "key", "pos")).alias("place")
+    stays = windows.groupBy("h1", "h2").agg(place).select("place.key", F.col("place.pos").alias("start"), (F.col("place.pos") + LENGTH).alias("end"))
+    stays = _islands(stays, 0).groupBy("key", "group").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("group")
+    both = runs.withColumn("stays", F.lit(False)).unionByName(stays.withColumn("stays", F.lit(True)), allowMissingColumns=True)
+    span = F.struct("start", "end", F.lit(True).alias("first"))
+    whole = _islands(both, 0).groupBy("key", "group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("other").alias("other"), F.array_sort(F.collect_list(F.when(F.col("stays"), span))).alias("stays"))
+    begins = F.concat(F.array("start"), F.transform("stays", lambda x: x["end"]))
+    ends = F.concat(F.transform("stays", lambda x: x["start"]), F.array("end"))
+    gone = F.filter(F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end"), F.lit(False).alias("first"))), lambda x: x["start"] < x["end"])
+    return whole.select("key", "other", F.explode(F.concat("stays", gone)).alias("x")).select("key", "x.start", "x.end", "other", "x.first")
 
 
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,6 +182,22 @@ def test_passages_equal_brute_force(docs, empty):
     assert suffixes.repeated_passages(empty).count() == 0
 
 
+def test_removing_later_passages_leaves_one_of_each(spark):
+    p, q = prose(60, 800), prose(70, 801)
+    texts = [(i, f"{prose(30, 900 + i)} {p} {prose(30, 1000 + i)}") for i in range(100, 140)]
+    texts += [(50, f"{p} {q}"), (20, f"{prose(30, 1)} {q} {prose(30, 2)}"), (60, f"{q} {p}"), (None, f"{p} {p}")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    gone = {}
+    for r in suffixes.repeated_passages(df).collect():
+        if not r["first"]:
+            gone.setdefault(r["key"], set()).update(range(r["start"], r["end"]))
+    left = [" ".join(w for j, w in enumerate(words(t)) if j not in gone.get(i, ())) for i, t in texts]
+    for passage in (words(p), words(q)):
+        for k in range(len(passage) - suffixes.LENGTH + 1):
+            assert sum(t.count(" ".join(passage[k : k + suffixes.LENGTH])) for t in left) == 1
+    assert {i: t for (i, _), t in zip(texts, left, strict=True)}[50].startswith(" ".join(words(p)))
+
+
 def test_chat_reads_back_and_expands(spark):
     turns = [(1, 0, "system", "be \\ kind"), (1, 1, "user", None), (1, 2, "assistant", "<|end|>\n</s>[INST] ok"), (1, 3, "user", "b"), (1, 4, "assistant", "é\U0001f600"), (2, None, None, "lone"), (2, None, None, "lone")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
