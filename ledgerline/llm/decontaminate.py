@@ -14,6 +14,12 @@ Each candidate is aligned to the whole item and kept if the weighted Jaccard
 similarity of the shingles (weights: how often a shingle occurs) is at least
 0.8.  The documents are not shuffled.
 
+A changed item can have all those windows beyond the radius.  So each of its
+shingles is a window too, the shortest one, whose fingerprint is the shingle
+itself and is looked up exactly: similarity 0.8 needs 0.8 of an item's shingles
+in as many words, and every alignment that has them is compared.  For items of
+five words or more this finds what comparing every alignment would find.
+
 The benchmark is read in blocks of bounded size.  Each block is indexed and
 sent to the tasks, and the documents are scanned once per block, so a large
 benchmark costs more passes and not more memory.
@@ -88,6 +94,45 @@ class BenchmarkIndex:
                 ends = np.searchsorted(keys[order], np.arange((1 << _WIDTH) + 1))
                 blocks.append((ends, order // len(near)))
             self.classes[size] = (prints, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), blocks)
+        owned = [s if n >= SHINGLE else s[:0] for (s, _), n in zip(self.shingles, self.lengths.tolist(), strict=True)]
+        keys = np.concatenate([np.zeros(0, np.uint64), *owned])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.key_items = keys[order], np.repeat(np.arange(len(owned)), [len(s) for s in owned])[order]
+        self.shift = np.uint64(64 - max(16, (8 * len(keys)).bit_length()))
+        self.seen = np.zeros(1 << (64 - int(self.shift)), bool)  # the keys' leading bits, to pass over most shingles
+        self.seen[self.keys >> self.shift] = True
+
+    def alignments(self, full: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(text, item, begins): where as many words as the item has (or the whole of a shorter text) hold SIMILARITY of its shingles' number.
+
+        ``full``: the shingle that begins at each word of all texts.
+        """
+        at = np.flatnonzero(self.seen[full >> self.shift])
+        low, high = (np.searchsorted(self.keys, full[at], side) for side in ("left", "right"))
+        text = np.searchsorted(first, at, side="right") - 1
+        many = np.where(at + SHINGLE <= first[text + 1], high - low, 0)
+        item = self.key_items[np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        text, at = np.repeat(text, many), np.repeat(at, many)
+        order = np.lexsort((at, item, text))
+        text, item, at = text[order], item[order], at[order]
+        edge = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1])])) if len(at) else at
+        size = np.diff(np.append(edge, len(at)))
+        need = np.ceil(SIMILARITY * (self.lengths[item[edge]] - SHINGLE + 1) - 1e-9)
+        for e, m, k in zip(edge[size >= need].tolist(), size[size >= need].tolist(), need[size >= need].tolist(), strict=True):
+            t, i, hits = int(text[e]), int(item[e]), at[e : e + m]
+            n = min(int(self.lengths[i]), int(first[t + 1] - first[t]))
+            # k hits in a row lie in the n words of an alignment that begins at the first of them or so much earlier that the last still fits.
+            k = int(k)
+            spots = [np.arange(max(b - n + SHINGLE, int(first[t])), min(a, int(first[t + 1]) - n) + 1) for a, b in zip(hits[: m - k + 1].tolist(), hits[k - 1 :].tolist(), strict=True) if b - a <= n - SHINGLE]
+            if spots:
+                yield t, i, np.unique(np.concatenate(spots))
+
+    def distance(self, item: int, value: np.ndarray) -> int:
+        """Bits that differ between the SimHash of the whole item and that of the words."""
+        theirs, weights = self.shingles[item]
+        ours, counts = np.unique(wordhash.shingles(value, min(SHINGLE, len(value))), return_counts=True)
+        bits = [(np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1) * w[:, None]).sum(axis=0) > w.sum() // 2 for x, w in ((theirs, weights), (ours, counts))]
+        return int((bits[0] != bits[1]).sum())
 
     def candidates(self, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, row, distance) of every window and indexed row within the radius."""
@@ -142,9 +187,21 @@ class BenchmarkIndex:
                 s = self.similarity(item, value[a : a + n])
                 if s >= SIMILARITY and (text, item) not in best or (text, item) in best and s > best[text, item][0]:
                     best[text, item] = (s, d, a)
+        for text, item, begins in self.alignments(wordhash.shingles(value, SHINGLE), first):
+            n = int(self.lengths[item])
+            for a in begins.tolist():
+                had = best.get((text, item))
+                if had and had[0] == 1:
+                    break
+                if (a, item) in tried:
+                    continue
+                words = value[a : min(a + n, int(first[text + 1]))]
+                s = self.similarity(item, words)
+                if s >= SIMILARITY and (not had or s > had[0]):
+                    best[text, item] = (s, self.distance(item, words), a)
         for (text, item), (s, d, a) in sorted(best.items()):
             data = texts[text]
-            b, e = int(start[a]), int(end[a + int(self.lengths[item]) - 1])
+            b, e = int(start[a]), int(end[min(a + int(self.lengths[item]), int(first[text + 1])) - 1])
             begin = len(data[:b].decode())
             out[text].append((self.ids[item], s, d, begin, begin + len(data[b:e].decode())))
         return out
@@ -164,7 +221,8 @@ def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[i
 def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", out: str = "leaks") -> DataFrame:
     """``df`` with ``out``: array of structs (item, similarity, distance, start, end), one for each benchmark item found.
 
-    Offsets are code points of the best window.  Null and empty texts hold
+    Offsets are code points of the best window, which is as many words as the item
+    has, or the whole of a shorter text.  Null and empty texts hold
     nothing; null or empty items, and items with a null id, match nothing.  Items
     under five words match where the same words stand in a row.  An empty table
     or benchmark gives empty arrays at most.  An input column called ``out`` is

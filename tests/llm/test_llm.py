@@ -107,6 +107,29 @@ def test_leaks_are_found_where_they_stand(spark, docs, empty):
     assert all(not r["leaks"] for r in decontaminate.find_leaks(df, bench.limit(0)).collect())
 
 
+def test_changed_items_are_found_as_by_brute_force():
+    r, items, texts = random.Random(5), [], []
+    for i in range(60):
+        w = prose(r.choice((20, 39, 50, 60, 80, 150, 300)), 2000 + i).split()
+        items.append((i, " ".join(w)))
+        for kind in ("change", "insert", "drop"):
+            v = list(w)
+            for _ in range(r.choice((1, 1, 2, 3))):
+                at = r.randrange(len(v))
+                v[at : at + (kind != "insert")] = [] if kind == "drop" else ["new"]
+            texts += [" ".join(v), f"{prose(20, i)} {' '.join(v)} {prose(20, i + 1)}"]
+    index = decontaminate.BenchmarkIndex(items)
+    got = {(t, x[0]): x[1] for t, row in enumerate(index.leaks([t.encode() for t in texts])) for x in row}
+    want = {}
+    for t, text in enumerate(texts):
+        value = decontaminate.wordhash.words([text.encode()])[0]
+        n = min(int(index.lengths[t // 6]), len(value))
+        s = max(index.similarity(t // 6, value[a : a + n]) for a in range(len(value) - n + 1))
+        if s >= decontaminate.SIMILARITY:
+            want[t, t // 6] = s
+    assert got == want and len(want) > 100
+
+
 def test_multi_index_finds_every_fingerprint_within_the_radius():
     index = decontaminate.BenchmarkIndex([(i, prose(40, i)) for i in range(50)])
     size, (own, *_) = next(iter(index.classes.items()))
