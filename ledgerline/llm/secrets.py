@@ -5,8 +5,9 @@ name), ``access`` (access key ids) and ``hex`` (long hexadecimal runs).
 
 The kind ``random`` is found by a battery of randomness tests on every run of
 20 or more token characters.  The run's encoding (decimal, hex, base32,
-lower-case or upper-case letters, base62 or base64) is inferred from its
-characters, and its characters become numbers 0 to K-1 in that alphabet.
+lower-case letters, lower-case or upper-case base36, base62 or base64) is
+inferred from its characters, and its characters become numbers 0 to K-1 in
+that alphabet.
 
 * chi-squared uniformity over the K symbols, against the exact mean and
   variance of the statistic for a run of that length;
@@ -20,7 +21,8 @@ The first three ask whether the run looks uniformly random; a run that any of
 them rejects is out.  The last gives the p-value of the discovery "random and
 not built of words".  Benjamini-Hochberg control at ``FDR`` runs over all
 candidates of the corpus in each length class, because short runs are both more
-frequent and weaker evidence.  P-values are rounded up to a grid, so the
+frequent and weaker evidence.  A run of one class (only digits, or only letters
+of one case) never changes and is never a discovery.  P-values are rounded up to a grid, so the
 counts that the control needs are one small bounded table at any corpus size.
 """
 
@@ -82,6 +84,8 @@ _CODE = {  # name: (a whole token's pattern, alphabet)
     "hex": ("^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
     "base32": ("^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     "lower": ("^[a-z]+$", "abcdefghijklmnopqrstuvwxyz"),
+    "base36": ("^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    "upper base36": ("^[0-9A-Z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     "base62": ("^[0-9A-Za-z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     "base64": ("^.*$", "+/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
 }

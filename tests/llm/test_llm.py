@@ -95,6 +95,16 @@ def test_battery_rejects_patterned_runs(spark):
     assert not any(r["b"]["uniform"] for r in df.collect())
 
 
+def test_battery_accepts_random_base36_of_any_length(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(11)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        tokens = [("".join(r.choice(letters + "0123456789") for _ in range(n)),) for n in (32, 48, 64, 128) for _ in range(25)]
+        got = [x["b"]["uniform"] for x in spark.createDataFrame(tokens, "t string").select(secrets.battery(F.col("t")).alias("b")).collect()]
+        assert [sum(got[i : i + 25]) >= 23 for i in range(0, 100, 25)] == [True] * 4, [sum(got[i : i + 25]) for i in range(0, 100, 25)]
+
+
 def test_leaks_are_found_where_they_stand(spark, docs, empty):
     items = [(0, prose(30, 500)), (1, prose(13, 501)), (2, None), (3, ""), (4, "tiny words here")]
     bench = spark.createDataFrame(items, "item_id long, text string")
