@@ -9,17 +9,22 @@ prefixes; any order gives the same result.
 1. Shingles whose hash lies in the lowest quarter (prefixes take about the
    lowest fifth) are counted; a bounded list of frequent ones goes to all tasks.
 2. Documents with one prefix and size are one group; equal sets one class.
-3. Prefix shingles are the keys of an index of groups.  Those that a single
-   group has are dropped.
-4. Star rounds: in every list of the index each group meets the list's first
-   group of about its size and one other, in an order shuffled anew for each
-   list and round.  Each group keeps the partners of its closest sketches;
-   verified on the sets, they join most of each family without pairs of all
-   its members.  Rounds end when one finds no link.
-5. Last round: in lists that still hold more than one component, all pairs that
-   pass the size, position and sketch filters and are not joined yet are
+3. Prefix shingles are the keys of an index of groups.  Those that one document
+   alone has are dropped.
+4. Star rounds: in every list of the index, and in every group of several
+   classes, each member meets two others of about its size: the first in order
+   of size, and one that is drawn anew for each list and round.  Each keeps the
+   partners of its closest sketches; verified on the sets, they join most of
+   each family without pairs of all its members.  Links are carried over as
+   labels of components, and lists that hold one component only leave the index.
+   Rounds end when one joins fewer than a hundredth of the classes.
+5. Last round: in the lists that still hold more than one component, all pairs
+   of different components that pass the size, position and sketch filters are
    expanded to classes and verified.  What remains apart shares no link.
-6. Connected components over the verified links.
+
+Lists are only ever reduced to minima, which combine before the shuffle, or
+joined by an inner join whose large keys adaptive execution can split; no list
+is gathered in one task.
 
 Before sets are fetched for a pair, sketches bound its overlap: bit b of a
 sketch is the parity of the shingles that fall on b, so two sketches never
@@ -27,9 +32,10 @@ differ in more bits than the sets differ in shingles.  A sketch has at least a
 bit for each shingle; the longer of two is folded to the length of the shorter.
 Only texts of pairs that may still link are read again.
 
-Sets are compared by 64-bit hashes of their shingles.  Classes and groups have
-64-bit ids; in a corpus of a billion different documents the chance that any
-two of them coincide is a few per cent.
+Sets are compared by 64-bit hashes of their shingles (see ``wordhash``: no
+arrangement of words makes two coincide, only a chance of 2**-64).  Classes and
+groups have 64-bit ids cut from BLAKE2b; in a corpus of a billion different
+documents the chance that any two of them coincide is a few per cent.
 """
 
 from __future__ import annotations
@@ -44,7 +50,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm import wordhash
-from ledgerline.llm.common import chunks, materialise, release, table
+from ledgerline.llm.common import chunks, materialise, release, sweep, table
 from ledgerline.llm.components import components
 
 SHINGLE = 5
@@ -55,8 +61,10 @@ FREQUENT, FREQUENT_MAX = 32, 1_000_000
 #: Bits of the smallest sketch; longer ones are 4, 16, ... times as long.
 SKETCH = 1024
 _COUNTED = np.uint64(1 << 62)  # hashes below are counted
-STAR_ROUNDS = 3
-#: Partners that a group keeps in a star round.
+#: Star rounds go on while one joins at least one in so many classes.
+WORTHWHILE = 100
+_FOLD = [f"s{i}" for i in range(SKETCH // 64)]
+#: Partners that a member keeps in a star round.
 PARTNERS = 3
 #: Up to so many wanted classes go to all tasks; more are found by a shuffle of the texts.
 BROADCAST_CLASSES = 500_000
@@ -75,15 +83,19 @@ def _digest(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
-def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """Counted shingles in FREQUENT documents or more; if those are too many, the bar is doubled until they fit."""
+def repeated_shingles(docs: DataFrame) -> DataFrame:
+    """h and count of the counted shingles that more than one document has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             low = [s[: np.searchsorted(s, _COUNTED)] for s in _sets(batch)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*low, np.zeros(0, np.uint64)]).view(np.int64))], names=["h"])
 
-    counts = materialise(docs.select("text").mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") >= FREQUENT), "frequent")
+    return materialise(docs.select("text").mapInArrow(run, "h long").groupBy("h").count().filter("count > 1"), "shingles")
+
+
+def frequent_shingles(counts: DataFrame) -> np.ndarray:
+    """Counted shingles in FREQUENT documents or more; if those are too many, the bar is doubled until they fit."""
     bar = FREQUENT
     while counts.filter(F.col("count") >= bar).count() > FREQUENT_MAX:
         bar *= 2
@@ -91,20 +103,20 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(rows["h"].to_numpy(np.int64).view(np.uint64))
 
 
-def prefixes(docs: DataFrame) -> DataFrame:
-    """docs (id, text) as id, n, cls, gid, sketch, fold, prefix: set size, ids of the set and of (n, prefix), parity sketch, the sketch folded to its smallest size, and the prefix in order."""
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
+def prefixes(docs: DataFrame, often: np.ndarray) -> DataFrame:
+    """docs (id, text) as id, n, cls, gid, sketch, prefix: set size, ids of the set and of (n, prefix), parity sketch, and the prefix in order."""
+    frequent = docs.sparkSession.sparkContext.broadcast(often)
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
         for batch in chunks(batches, "text"):
-            n, cls, gid, sketch, fold, prefix = [], [], [], [], [], []
+            n, cls, gid, sketch, prefix = [], [], [], [], []
             for s in _sets(batch):
                 size = len(s)
                 n.append(size)
                 if not size:
-                    cls.append(None), gid.append(None), sketch.append(None), fold.append(None), prefix.append(None)
+                    cls.append(None), gid.append(None), sketch.append(None), prefix.append(None)
                     continue
                 if len(often):
                     common = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
@@ -118,13 +130,23 @@ def prefixes(docs: DataFrame) -> DataFrame:
                 while bits < size:
                     bits *= 4
                 odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
-                packed = np.packbits(odd)
-                sketch.append(packed.tobytes())
-                fold.append(np.bitwise_xor.reduce(packed.reshape(-1, SKETCH // 8), axis=0).view(np.int64))
+                sketch.append(np.packbits(odd).tobytes())
                 prefix.append(head.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(gid, pa.int64()), pa.array(sketch, pa.binary()), pa.array(fold, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))], names=["id", "n", "cls", "gid", "sketch", "fold", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(gid, pa.int64()), pa.array(sketch, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=["id", "n", "cls", "gid", "sketch", "prefix"])
+
+    return docs.mapInArrow(run, f"id {kind}, n int, cls long, gid long, sketch binary, prefix array<long>")
+
+
+def _folded(classes: DataFrame) -> DataFrame:
+    """cls, size and the sketch folded to its smallest length, as long columns s0, s1, ..."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fold = [np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, SKETCH // 8), axis=0).view(np.int64) for x in batch.column("sketch").to_pylist()]
+            parts = np.array(fold, np.int64).reshape(-1, SKETCH // 64)
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("size"), *(pa.array(np.ascontiguousarray(parts[:, i])) for i in range(SKETCH // 64))], names=["cls", "size", *_FOLD])
 
-    return docs.mapInArrow(run, f"id {kind}, n int, cls long, gid long, sketch binary, fold array<long>, prefix array<long>")
+    return classes.select("cls", "size", "sketch").mapInArrow(run, "cls long, size int, " + ", ".join(f"{s} long" for s in _FOLD))
 
 
 def _class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -180,7 +202,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     links = materialise(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "verified")
-    release(sets)
+    release(sets, pairs)
     return links
 
 
@@ -190,85 +212,125 @@ def _sizes_fit(n: str, m: str):
     return low * 100 >= high * PERCENT
 
 
-def _labelled(classes: DataFrame, links: DataFrame | None) -> DataFrame:
-    """classes (cls, gid, ...) with comp, the component by the links so far."""
-    if links is None:
-        return classes.withColumn("comp", F.col("cls"))
-    found = components(links)
-    return classes.join(found, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls")).drop("node", "component")
+def _heads(labelled: DataFrame) -> DataFrame:
+    """Each group's smallest class, and its smallest and largest component."""
+    return labelled.groupBy("gid").agg(F.min("cls").alias("head"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+
+
+def _open(index: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The index (token, gid, n, pos) with head, low, high, where a list holds more than one component."""
+    held = index.select("token", "gid", "n", "pos").join(_heads(labelled), "gid")
+    lists = held.groupBy("token").agg(F.min("low").alias("__low"), F.max("high").alias("__high")).filter("__low <> __high")
+    return materialise(held.join(lists.select("token"), "token", "left_semi"), "open-lists")
+
+
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """The members (gid, cls, comp) of groups that hold more than one component."""
+    return labelled.join(_heads(labelled).filter("low <> high").select("gid"), "gid").select("gid", "cls", "comp")
+
+
+def _star_pairs(index: DataFrame, labelled: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of a class in an open list and one of the two that stand for its list and size."""
+    # In every other round the size classes begin half a step later.
+    cell = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + F.lit(turn % 2 / 2)).cast("int")
+    members = index.select("token", cell.alias("cell"), F.col("head").alias("cls"), "n", "low", "high")
+    inside = _mixed(labelled).select(F.col("gid").alias("token"), F.lit(-1).alias("cell"), "cls", F.lit(1).alias("n"), F.col("comp").alias("low"), F.col("comp").alias("high"))
+    members = members.unionByName(inside)
+    drawn = F.struct(F.xxhash64(F.lit(turn), "token", "cls").alias("__draw"), "cls", "n", "low", "high")
+    hubs = members.groupBy("token", "cell").agg(F.min(F.struct("n", "cls", "low", "high")).alias("first"), F.min(drawn).alias("drawn"))
+    hub = lambda c: F.struct(*(F.col(f"{c}.{x}").alias(x) for x in ("cls", "n", "low", "high")))
+    near = members.join(hubs, ["token", "cell"]).select("cls", "n", "low", "high", F.explode(F.array(hub("first"), hub("drawn"))).alias("p"))
+    near = near.filter((F.col("cls") != F.col("p.cls")) & _sizes_fit("n", "p.n") & (F.least("low", "p.low") != F.greatest("high", "p.high")))
+    return near.select(F.col("cls").alias("a"), F.col("p.cls").alias("b")).distinct()
+
+
+def _joined(labelled: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
+    """``labelled`` (cls, gid, comp) with components joined by the links, and the number of links between different ones."""
+    one, two = (labelled.select(F.col("cls").alias(c), F.col("comp").alias(f"comp_{c}")) for c in "ab")
+    across = materialise(links.join(one, "a").join(two, "b").filter("comp_a <> comp_b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct(), "across")
+    many = across.count()
+    if not many:
+        release(across)
+        return labelled, 0
+    found = components(across)
+    out = materialise(labelled.join(found, F.col("comp") == F.col("node"), "left").select("cls", "gid", F.coalesce("component", "comp").alias("comp")), "labelled")
+    release(found, across, labelled)
+    return out, many
+
+
+def _rest(index: DataFrame, labelled: DataFrame, classes: DataFrame) -> DataFrame:
+    """All pairs (a, b) of classes of different components in the open lists that pass the size, position and sketch filters."""
+    member = labelled.join(_folded(classes), "cls")
+    rows = index.select("token", "gid", "n", "pos").join(member.select("gid", "cls", "comp", *_FOLD), "gid").select("token", "cls", "comp", "n", "pos", *_FOLD)
+    # Groups of several classes may have no shingle in a shared list: they are lists themselves.
+    inside = _mixed(labelled).join(_folded(classes), "cls").select(F.col("gid").alias("token"), "cls", "comp", F.col("size").alias("n"), F.lit(0).alias("pos"), *_FOLD)
+    rows = materialise(rows.unionByName(inside), "open-members")
+    left, right = (rows.select("token", *(F.col(c).alias(f"{c}_{side}") for c in rows.columns if c != "token")) for side in (1, 2))
+    total = F.col("n_1") + F.col("n_2")
+    # The shingles before and at the shared one bound the overlap from above; so do the sketches.
+    most = F.least("pos_1", "pos_2") + F.least(F.col("n_1") - F.col("pos_1"), F.col("n_2") - F.col("pos_2"))
+    differ = sum((F.bit_count(F.col(f"{s}_1").bitwiseXOR(F.col(f"{s}_2"))) for s in _FOLD), F.lit(0))
+    fits = _sizes_fit("n_1", "n_2") & (most * (100 + PERCENT) >= total * PERCENT) & ((total - differ) * (100 + PERCENT) >= 2 * PERCENT * total)
+    pairs = left.join(right, "token").filter((F.col("cls_1") < F.col("cls_2")) & (F.col("comp_1") != F.col("comp_2")) & fits).select(F.col("cls_1").alias("a"), F.col("cls_2").alias("b"))
+    out = materialise(pairs.distinct(), "rest")
+    release(rows)
+    return out
 
 
 def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id (the smallest key reachable by links) of every row.
 
     Null and empty texts have no shingles, link with nothing and are their own
-    component; texts of under five words are one shingle.  Rows that repeat a
-    key are one node each time with the same result.  A null key takes the
-    smallest key of its component, null if it has none.  Other columns are not
-    read, so their names cannot clash.
+    component; texts of under five words are one shingle.  Long texts take a
+    sketch as long as their set.  Rows that repeat a key are one node each time
+    with the same result, also where their texts differ and link with different
+    components.  A null key takes the smallest key of its component, null if it
+    has none.  Equal texts tie and are one class.  An empty table gives an empty
+    table.  Other columns are not read, so their names cannot clash.
     """
     docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    rows = materialise(prefixes(docs), "prefixes")
+    counts = repeated_shingles(docs)
+    rows = materialise(prefixes(docs, frequent_shingles(counts)), "prefixes")
+    sweep(df.sparkSession)
     filled = rows.filter("n > 0")
-    classes = filled.groupBy("cls").agg(F.min("id").alias("rep"), F.min("gid").alias("gid"), F.min("n").alias("size"), F.first("sketch").alias("sketch"), F.first("fold").alias("fold"))
     groups = filled.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     index = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
-    index = index.withColumn("__many", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("__many > 1").drop("__many")
-    index = materialise(index, "index")
-
-    crowded = classes.groupBy("gid").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("gid")
+    counted = F.col("token").between(0, int(_COUNTED) - 1)
+    shared = index.filter(counted).join(counts.select(F.col("h").alias("token")), "token", "left_semi").select(*index.columns)
+    index = materialise(shared.unionByName(index.filter(~counted)), "index")
+    crowded = filled.select("gid", "cls").distinct().groupBy("gid").count().filter("count > 1").select("gid")
     live = index.select("gid").unionByName(crowded).distinct()
-    classes = materialise(classes.join(live, "gid", "left_semi"), "classes")
-
-    links = None
-    for turn in range(STAR_ROUNDS):
-        labelled = materialise(_labelled(classes.select("cls", "gid"), links), "labelled")
-        heads = labelled.groupBy("gid").agg(F.min("cls").alias("head"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-        held = index.join(heads, "gid")
-        by = Window.partitionBy("token")
-        open_lists = held.withColumn("__low", F.min("low").over(by)).withColumn("__high", F.max("high").over(by)).filter("__low <> __high")
-        sized = open_lists.withColumn("__size", F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))))
-        shuffled = Window.partitionBy("token").orderBy(F.xxhash64(F.lit(turn), "token", "gid"))
-        hub = Window.partitionBy("token", "__size").orderBy("n", "gid").rowsBetween(Window.unboundedPreceding, 0)
-        own = F.struct("head", F.col("n").alias("m"), "low", "high")
-        near = sized.withColumn("__before", F.lag(own).over(shuffled)).withColumn("__hub", F.first(own).over(hub))
-        near = near.select("head", "n", "low", "high", F.explode(F.array("__before", "__hub")).alias("p"))
-        near = near.filter((F.col("head") != F.col("p.head")) & _sizes_fit("n", "p.m") & (F.least("low", "p.low") != F.greatest("high", "p.high")))
-        met = near.select(F.least("head", "p.head").alias("a"), F.greatest("head", "p.head").alias("b")).distinct()
-        hopeful = materialise(_plausible(met, classes), "star-pairs")
-        both = hopeful.select(F.col("a").alias("head"), F.col("b").alias("other"), "apart").unionByName(hopeful.select(F.col("b").alias("head"), F.col("a").alias("other"), "apart"))
-        best = both.withColumn("__rank", F.row_number().over(Window.partitionBy("head").orderBy("apart", "other"))).filter(F.col("__rank") <= PARTNERS)
-        inside = labelled.join(heads.select("gid", "head", "low", "high"), "gid").filter("cls <> head AND low <> high").select(F.col("head").alias("a"), F.col("cls").alias("b"))
-        pairs = best.select(F.least("head", "other").alias("a"), F.greatest("head", "other").alias("b")).unionByName(inside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-        found = _verified(_plausible(pairs, classes), classes, docs)
-        links = found if links is None else links.unionByName(found)
-        if found.isEmpty():
+    classes = materialise(filled.join(live, "gid", "left_semi").groupBy("cls").agg(F.min("id").alias("rep"), F.min("gid").alias("gid"), F.min("n").alias("size"), F.first("sketch").alias("sketch")), "classes")
+    members = materialise(rows.select("id", "n", "cls"), "members")
+    release(rows, counts)
+    sweep(df.sparkSession)
+
+    many, turn = classes.count(), 0
+    labelled = materialise(classes.select("cls", "gid", F.col("cls").alias("comp")), "labelled")
+    while many:
+        before, index = index, _open(index, labelled)
+        release(before)
+        hopeful = materialise(_plausible(_star_pairs(index, labelled, turn), classes), "star-pairs")
+        best = hopeful.withColumn("__rank", F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))).filter(F.col("__rank") <= PARTNERS)
+        links = _verified(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes, docs)
+        labelled, joined = _joined(labelled, links)
+        release(hopeful, links)
+        sweep(df.sparkSession)
+        turn += 1
+        if joined * WORTHWHILE < many:
             break
 
-    labelled = materialise(_labelled(classes.select("cls", "gid"), links), "labelled")
-    bounds = labelled.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    held = index.join(bounds, "gid")
-    by = Window.partitionBy("token")
-    open_lists = held.withColumn("__low", F.min("low").over(by)).withColumn("__high", F.max("high").over(by)).filter("__low <> __high").drop("__low", "__high")
-    member = labelled.join(classes.select("cls", "fold"), "cls").select("gid", "cls", "comp", *(F.col("fold")[i].alias(f"s{i}") for i in range(SKETCH // 64)))
-    open_rows = materialise(open_lists.select("token", "gid", "n", "pos").join(member, "gid"), "open-lists")
-    left, right = (open_rows.select("token", *(F.col(c).alias(f"{c}_{side}") for c in open_rows.columns if c not in ("token", "gid"))) for side in (1, 2))
-    total = F.col("n_1") + F.col("n_2")
-    # The shingles before and at the shared one bound the overlap from above; so do the sketches.
-    most = F.least("pos_1", "pos_2") + F.least(F.col("n_1") - F.col("pos_1"), F.col("n_2") - F.col("pos_2"))
-    differ = sum((F.bit_count(F.col(f"s{i}_1").bitwiseXOR(F.col(f"s{i}_2"))) for i in range(SKETCH // 64)), F.lit(0))
-    fits = _sizes_fit("n_1", "n_2") & (most * (100 + PERCENT) >= total * PERCENT) & ((total - differ) * (100 + PERCENT) >= 2 * PERCENT * total)
-    pairs = left.join(right, "token").filter((F.col("cls_1") < F.col("cls_2")) & (F.col("comp_1") != F.col("comp_2")) & fits).select(F.col("cls_1").alias("a"), F.col("cls_2").alias("b"))
-    # Groups of several classes may have no shingle in a shared list.
-    mixed = labelled.join(bounds.filter("low <> high").select("gid"), "gid").select("gid", "cls", "comp")
-    inside = mixed.alias("x").join(mixed.alias("y"), "gid").filter("x.cls < y.cls AND x.comp <> y.comp").select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-    pairs = pairs.unionByName(inside).distinct()
-    links = links.unionByName(_verified(_plausible(pairs, classes), classes, docs))
-
-    joined = materialise(_labelled(classes.select("cls", "gid"), links).select("cls", "comp"), "labelled")
-    whole = rows.select("id", "n", "cls").join(joined, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    least = whole.filter("n > 0").groupBy("comp").agg(F.min("id").alias("least"))
-    out = whole.join(least, "comp", "left")
+    before, index = index, _open(index, labelled)
+    rest = _rest(index, labelled, classes)
+    links = _verified(_plausible(rest, classes), classes, docs)
+    release(before, index, rest)
+    labelled, _ = _joined(labelled, links)
+    release(links)
+
+    least = labelled.join(classes.select("cls", "rep"), "cls")
+    least = labelled.select("cls", "comp").join(least.groupBy("comp").agg(F.min("rep").alias("least")), "comp").select("cls", "least")
+    of = members.filter("n > 0").groupBy("cls").agg(F.min("id").alias("own")).join(least, "cls", "left").select("cls", F.coalesce("least", "own").alias("least"))
+    out = members.join(of, "cls", "left")
     return out.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 

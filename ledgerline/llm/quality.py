@@ -6,15 +6,17 @@ before and the line after.  Forward-backward gives every line's probability of
 being good, and the mean over a document's lines, weighted by their length, is
 the document's quality.
 
-Training reads a bounded sample of labelled documents; a document's label
-stands for all its lines.  The likelihood is maximised by gradient steps on
-the driver over a few thousand short chains.  Scoring reads every document
-once, without a shuffle: line figures are array sums over the bytes, and the
-chains of a chunk are walked side by side.
+Training reads a sample of labelled documents that is bounded in documents,
+bytes and lines; a document's label stands for all its lines.  The likelihood
+is maximised by gradient steps over a few thousand short chains, in one task:
+the driver gets the weights only.  Scoring reads every document once, without
+a shuffle: line figures are array sums over the bytes, and the chains of a
+chunk are walked side by side.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +27,11 @@ from pyspark.sql import functions as F
 from ledgerline.llm import wordhash
 from ledgerline.llm.common import chunks, table
 
-#: Labelled documents that training reads at most, and the longest it takes.
+#: Labelled documents that training reads at most, the longest it takes (bytes,
+#: lines), and the lines of all together.
 TRAIN_DOCS = 4000
 TRAIN_BYTES = 100_000
+TRAIN_LINES, ALL_LINES = 2000, 200_000
 ROUNDS = 300
 RIDGE = 1e-3
 
@@ -207,18 +211,44 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> LineCrf:
     """Fit on at most TRAIN_DOCS labelled documents, chosen by a hash of their key; held-out keys are left out.
 
-    Rows with a null key, label or text are not used; of several labels for one
-    key the smallest counts.
+    Documents beyond TRAIN_BYTES or TRAIN_LINES are not used, nor rows with a
+    null key, label or text; of several labels for one key the smallest counts,
+    and of several texts the smallest.  Documents are taken in the order of that
+    hash until their lines reach ALL_LINES.  Without a labelled document, or
+    with one kind of label only, the model is a constant.  Other columns are not
+    read, so their names cannot clash.
     """
-    chosen = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("__key")).agg(F.min(label).alias("__label"))
-    chosen = chosen.orderBy(F.md5(F.col("__key").cast("string").cast("binary")), "__key").limit(TRAIN_DOCS)
-    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).filter(F.octet_length("__text") <= TRAIN_BYTES).join(F.broadcast(chosen), "__key")
-    sample = rows.dropDuplicates(["__key"]).orderBy("__key").collect()  # at most TRAIN_DOCS rows
-    return LineCrf.fit([r["__text"].encode() for r in sample], np.array([int(r["__label"]) for r in sample], float))
+    marks = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("__key")).agg(F.min(F.col(label).cast("double")).alias("__label"))
+    usable = (F.octet_length(text) <= TRAIN_BYTES) & (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) < TRAIN_LINES)
+    there = docs.filter(usable).select(F.col(key).alias("__key")).distinct()
+    place = F.md5(F.col("__key").cast("string").cast("binary"))
+    chosen = marks.join(there, "__key", "left_semi").orderBy(place, "__key").limit(TRAIN_DOCS)
+    rows = docs.filter(usable).select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__key")
+    rows = rows.groupBy("__key", "__label").agg(F.min("__text").alias("text")).select(place.alias("place"), F.col("__label").alias("label"), "text")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels, lines = [], [], 0
+        for batch in batches:
+            for value, mark in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                lines += value.count("\n") + 1
+                if lines <= ALL_LINES:
+                    texts.append(value.encode())
+                    labels.append(mark)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(LineCrf.fit(texts, np.array(labels, float)))])], names=["model"])
+
+    # At most TRAIN_DOCS rows meet in the one task that fits.
+    fitted = rows.repartition(1).sortWithinPartitions("place").mapInArrow(fit, "model binary").first()
+    return pickle.loads(fitted["model"]) if fitted else LineCrf.constant(0.5)
 
 
 def score_quality(df: DataFrame, model: LineCrf, text: str = "text", out: str = "score") -> DataFrame:
-    """``df`` with ``out``, the quality of each text; null counts as empty, which is one empty line.  An input column called ``out`` is refused."""
+    """``df`` with ``out``, the quality of each text; null counts as empty, which is one empty line.
+
+    Each text is scored on its own, so repeated rows and equal texts get equal
+    scores; an empty table gives an empty table.  A very long text takes about
+    thirty bytes of memory a byte and a few hundred a line.  An input column
+    called ``out`` is refused.
+    """
     if out in df.columns:
         raise ValueError(f"the table already has a column {out}")
     held = df.sparkSession.sparkContext.broadcast(model)

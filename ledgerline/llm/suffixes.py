@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm import wordhash
-from ledgerline.llm.common import chunks, materialise, release, table
+from ledgerline.llm.common import chunks, materialise, release, sweep, table
 
 #: Shortest repeated passage, in words.
 LENGTH = 50
@@ -100,7 +100,7 @@ def _surroundings(df: DataFrame) -> DataFrame:
             left = at - 1 - np.arange(SPAN)
             right = short[np.where(right < end, right, len(value))].astype(">u4")
             left = short[np.where(left >= begin, left, len(value))].astype(">u4")
-            h = wordhash.span_hash(value, at.ravel(), at.ravel() + KEY, 3) if len(value) else np.zeros(0, np.uint64)
+            h = wordhash.shingles(value, KEY)[at.ravel()]
             pack = lambda a: pa.array([r.tobytes() for r in np.ascontiguousarray(a)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(of)), pa.array(pos).cast(pa.int32()), pa.array(h.view(np.int64)), pack(left), pack(right)], names=["key", "pos", "h", "before", "after"])
 
@@ -131,7 +131,7 @@ def _compare(rows: DataFrame, order: str) -> DataFrame:
             end = pos[a] + KEY + np.tile(to_right, 2)
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(a)), pa.array(begin).cast(pa.int32()), pa.array(end).cast(pa.int32()), keys.take(pa.array(b)), pa.array(pos[b] - np.tile(to_left, 2)).cast(pa.int32())], names=["key", "start", "end", "other", "other_start"])
 
-    sorted_rows = rows.repartition("h").sortWithinPartitions("h", *((order, "before") if order == "after" else (order, "after")), "key", "pos")
+    sorted_rows = rows.sortWithinPartitions("h", *((order, "before") if order == "after" else (order, "after")), "key", "pos")
     return sorted_rows.mapInArrow(run, f"key {kind}, start int, end int, other {kind}, other_start int")
 
 
@@ -150,7 +150,7 @@ def _windows(df: DataFrame) -> DataFrame:
             pos = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
             of = np.repeat(of, many)
             at = first[of] + pos
-            one, two = (wordhash.span_hash(value, at, at + LENGTH, salt) if len(at) else np.zeros(0, np.uint64) for salt in (4, 5))
+            one, two = (wordhash.shingles(value, LENGTH, salt)[at] for salt in (1, 2))
             yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(of)), pa.array(pos).cast(pa.int32()), pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32))], names=["key", "pos", "h1", "h2"])
 
     return df.mapInArrow(run, f"key {kind}, pos int, h1 long, h2 int")
@@ -181,15 +181,16 @@ def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     repeated = found.groupBy("h").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("h")
     places = materialise(found.join(repeated, "h").groupBy("key").agg(F.collect_set("pos").alias("places")), "suffix-places")
     by_key = lambda own: docs.join(own.withColumnRenamed("key", "__key"), F.col("key").eqNullSafe(F.col("__key"))).drop("__key")
-    rows = materialise(_surroundings(by_key(places)), "suffix-rows")
-    release(places)
+    # Both orders read one shuffle of these rows, which has a short lineage.
+    rows = _surroundings(by_key(places)).repartition("h")
     pairs = _compare(rows, "after").unionByName(_compare(rows, "before"))
     same = F.col("key").eqNullSafe(F.col("other"))
     pairs = pairs.filter(~(same & (F.col("start") == F.col("other_start"))))
     own = pairs.groupBy("key", "start", "end").agg(F.min("other").alias("other"))
     # Spans that share all but one of LENGTH words have no window between them that neither holds.
     runs = materialise(_islands(own, 1 - LENGTH).groupBy("key", "group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("other").alias("other")).drop("group"), "suffix-runs")
-    release(rows)
+    release(places)
+    sweep(df.sparkSession)
 
     windows = _windows(by_key(runs.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("runs"))))
     place = F.min(F.struct(F.col("key").isNull().alias("null"), "key", "pos")).alias("place")

@@ -1,7 +1,7 @@
 """Substring removal by hashing lines, paragraphs and sentences.
 
 A text is cut into paragraphs, lines and sentences, each normalised (A-Z in
-lower case, white space collapsed) and hashed to 128 bits.  Lines and
+lower case, white space collapsed) and hashed to 128 bits by BLAKE2b of its bytes.  Lines and
 paragraphs count at any length; sentences are taken in addition, from
 ``MIN_WORDS`` words.  Digests are grouped globally, whatever the kind of unit;
 the earliest document that has a unit keeps its first occurrence, every other
@@ -17,6 +17,7 @@ partitions adaptive execution can split.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm import wordhash
-from ledgerline.llm.common import chunks, table
+from ledgerline.llm.common import chunks, materialise, table
 
 #: Sentences of fewer words say too little about their origin and only go with their line.
 MIN_WORDS = 6
@@ -58,13 +59,15 @@ def split_units(texts: list[bytes], unit: str, min_words: int) -> tuple[np.ndarr
         keep = stop - begin >= (min_words if kind == "sentence" else 1)
         spans.append(begin[keep] * (len(value) + 1) + stop[keep])
     begin, stop = np.divmod(np.unique(np.concatenate(spans)), len(value) + 1)
-    one, two = wordhash.span_hash(value, begin, stop, 1), wordhash.span_hash(value, begin, stop, 2)
+    tokens = wordhash.lowered(texts).split()
+    digest = b"".join([blake2b(b" ".join(tokens[a:b]), digest_size=16).digest() for a, b in zip(begin.tolist(), stop.tolist(), strict=True)])
+    one, two = np.frombuffer(digest, np.int64).reshape(-1, 2).T
     of = text[begin]
-    order = np.lexsort((np.arange(len(one)), one, of))
+    order = np.lexsort((np.arange(len(one)), two, one, of))
     new = np.ones(len(one), bool)
-    new[order[1:]] = (one[order[1:]] != one[order[:-1]]) | (of[order[1:]] != of[order[:-1]])
+    new[order[1:]] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]]) | (of[order[1:]] != of[order[:-1]])
     origin = points[begins[of]]
-    return of, points[at[begin]] - origin, points[to[stop - 1]] - origin, stop - begin, one.view(np.int64), two.view(np.int64), new
+    return of, points[at[begin]] - origin, points[to[stop - 1]] - origin, stop - begin, one, two, new
 
 
 def units(df: DataFrame, key: str, text: str, unit: str = "all", min_words: int = MIN_WORDS) -> DataFrame:
@@ -89,7 +92,7 @@ def repeated_units(df: DataFrame, key: str = "doc_id", text: str = "text", unit:
     rows of a key are one document and do not remove each other.  Null and empty
     texts have no units; other columns are not read.
     """
-    found = units(df, key, text, unit, min_words)
+    found = materialise(units(df, key, text, unit, min_words), "units")
     groups = found.groupBy(F.col("h1").alias("g1"), F.col("h2").alias("g2")).agg(F.min("key").alias("kept_key"), F.count(F.lit(1)).alias("__n"))
     repeated = groups.filter("__n > 1")
     rows = found.join(repeated, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))

@@ -2,23 +2,43 @@
 
 A text is lower-cased in A-Z and cut at the six ASCII space characters
 (space, tab, line feed, vertical tab, form feed, carriage return), so UTF-8
-bytes can be scanned directly.  A word's hash is a polynomial in its bytes
-modulo 2**64, read off a prefix sum, so no Python loop touches a word.
+bytes can be scanned directly.  A word under eight bytes is its own 64-bit
+hash (its bytes and its length, spread by a bijection), so two of them never
+coincide; a longer word's hash is BLAKE2b of its bytes, cut to 64 bits.  Runs
+of words are hashed by doubling: the hash of 2k words mixes those of their two
+halves, so no arrangement of words cancels out as it can in a polynomial.
+Different runs of words share a hash with a chance of 2**-64.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 _U = np.uint64
-SPACES = b" \t\n\x0b\x0c\r"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[list(SPACES)] = True
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POSITION = 0xD6E8FEB86659FD93
-_powers: dict[int, np.ndarray] = {}
+_IS_SPACE[list(b" \t\n\x0b\x0c\r")] = True
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(8)], np.uint64)  # masks of a word's first k bytes
+_LEFT, _SALT = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
+#: Words that a process remembers, and the longest of them in bytes; beyond the number it starts anew.
+REMEMBERED, LONGEST = 200_000, 48
+
+
+class _Hashes(dict):
+    """Word to hash; a word that is not there is hashed, and kept if it is short."""
+
+    def __missing__(self, word: bytes) -> int:
+        out = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = out
+        return out
+
+
+_hashes = _Hashes()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -30,50 +50,56 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(33))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x2545F4914F6CDD1D))
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept and grown by doubling."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(10, (n - 1).bit_length())
-        have = np.ones(1, np.uint64)
-        while len(have) < size:
-            have = np.concatenate([have, have * _U(pow(base, len(have), 1 << 64))])
-        _powers[base] = have
-    return have[:n]
+def lowered(texts: list[bytes | None]) -> bytes:
+    """The texts in lower case, each followed by a space."""
+    return b" ".join([*(t or b"" for t in texts), b""]).translate(_LOWER)
 
 
 def words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end) of every word, offsets in bytes of its own text, and
     ``first``: words first[i]:first[i+1] belong to texts[i]; None has none."""
-    texts = [t or b"" for t in texts]
-    sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+    sizes = np.fromiter((len(t or b"") for t in texts), np.int64, len(texts))
     begins = np.concatenate([[0], np.cumsum(sizes + 1)])
     if not texts or not begins[-1]:
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, np.zeros(len(texts) + 1, np.int64)
-    data = np.frombuffer(b" ".join([*texts, b""]).translate(_LOWER), np.uint8)
+    body = lowered(texts)
+    padded = body + bytes(8)
+    data = np.frombuffer(body, np.uint8)
     edge = np.diff(np.concatenate([[True], _IS_SPACE[data], [True]]).view(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _power(_BASE, len(data)), dtype=np.uint64)])
-    value = mix((total[end] - total[start]) * _power(_INVERSE, len(data))[start])
+    size = end - start
+    short = size < 8
+    value = np.empty(len(start), np.uint64)
+    eight = np.ndarray(len(body), "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    few = size[short]
+    value[short] = mix(eight[start[short]] & _FIRST[few] | few.astype(np.uint64) << _U(56))
+    spans = zip(start[~short].tolist(), end[~short].tolist(), strict=True)
+    value[~short] = np.fromiter((_hashes[body[a:b]] for a, b in spans), np.uint64, len(start) - len(few))
     first = np.searchsorted(start, begins)
     of = np.repeat(begins[:-1], np.diff(first))
     return value, start - of, end - of, first
 
 
-def shingles(value: np.ndarray, size: int) -> np.ndarray:
+def shingles(value: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     """Hash of the ``size`` words that begin at each word (of the whole array;
-    the last size-1 have none)."""
+    the last size-1 have none); other salts give independent hashes."""
     n = len(value) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for j in range(size):
-        out += value[j : j + n] * _U(pow(_POSITION, j + 1, 1 << 64))
-    return mix(out + _U(size))
+    level, width, whole, held = mix(value + _SALT * _U(2 * salt + 1)), 1, None, 0
+    while True:
+        if size & width:
+            if whole is None:
+                whole = level
+            else:
+                part = level[held:]
+                whole = mix(whole[: len(part)] * _LEFT + part + _U(held))
+            held += width
+        if held == size:
+            return mix(whole[:n] + _U(size))
+        level = mix(level[:-width] * _LEFT + level[width:])
+        width *= 2
 
 
 def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
@@ -89,14 +115,6 @@ def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
     return out
 
 
-def span_hash(value: np.ndarray, begin: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
-    """Hash of the words begin:end for many spans at once; other salts give independent hashes."""
-    base = (_POSITION + 4 * salt) & ((1 << 64) - 1) | 1
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value + _U(salt)) * _power(base, len(value)), dtype=np.uint64)])
-    inverse = _power(pow(base, -1, 1 << 64), len(value) + 1)
-    return mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
-
-
 def code_points(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(points, begins): byte b of texts[i] is at code point points[begins[i] + b] - points[begins[i]]."""
     begins = np.concatenate([[0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))])
