@@ -5,7 +5,10 @@ one list, and beside each boundary stands the rank of the pair that begins
 there.  The list is scanned for the smallest rank, the boundary between the
 two parts is deleted, and the ranks of the two neighbouring pairs are looked
 up again, until no pair has a rank.  For words of a few dozen bytes this scan
-beats a heap.  Words recur, so each task keeps a bounded memory of word to ids.
+beats a heap.  A scan for each merge would take the square of a long word's
+length, so above SHORT symbols the same merges in the same order come from a
+heap of (rank, place) over linked parts.  Words recur, so each task keeps a
+bounded memory of word to ids.
 
 ``BpeModel`` reads a tokenizer file whose texts are normalised (NFC, white
 space to one space, lower case), split by a pattern, mapped to byte symbols
@@ -21,6 +24,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +34,9 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import chunks, table
 
-#: Words that a task remembers; beyond it, it starts anew.
-MEMORY = 150_000
-#: Words above this many symbols are merged by the long-word path.
+#: Words that a task remembers, and the longest of them; beyond the number it starts anew.
+MEMORY, LONGEST = 150_000, 64
+#: Words above this many symbols take their merges from a heap.
 SHORT = 512
 _NONE = 1 << 60
 _SPACE, _SEPARATORS = regex.compile(r"\s+"), re.compile("[\x1c-\x1f]")
@@ -93,23 +97,26 @@ class BpeModel:
         return parts
 
     def _merge_long(self, parts: list[int]) -> list[int]:
-        """The same merges for long words: all places of the smallest rank in one sweep, so the work stays near the length."""
-        get = self.pairs.get
-        while len(parts) > 1:
-            ranks = [get(a << 32 | b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
-            best = min(ranks)
-            if best == _NONE:
-                break
-            out, i = [], 0
-            while i < len(parts):
-                if i < len(ranks) and ranks[i] == best:
-                    out.append(self.merged[best])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return parts
+        """The same merges for long words, the next one from a heap: n log n steps."""
+        get, n = self.pairs.get, len(parts)
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        heap = [(r, i) for i, r in enumerate(get(a << 32 | b, _NONE) for a, b in zip(parts, parts[1:], strict=False)) if r != _NONE]
+        heapify(heap)
+        while heap:
+            rank, i = heappop(heap)
+            j = after[i]
+            # Of a pair that has changed since, the heap holds the new rank too.
+            if parts[i] < 0 or j >= n or get(parts[i] << 32 | parts[j], _NONE) != rank:
+                continue
+            parts[i], parts[j] = self.merged[rank], -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := get(parts[i] << 32 | parts[k], _NONE)) != _NONE:
+                    heappush(heap, (r, i))
+            if (h := before[i]) >= 0 and (r := get(parts[h] << 32 | parts[i], _NONE)) != _NONE:
+                heappush(heap, (r, h))
+        return [p for p in parts if p >= 0]
 
     def word(self, word: str) -> tuple[int, ...]:
         """Ids of one piece of text that the split pattern has found."""
@@ -126,9 +133,11 @@ class BpeModel:
         for w in self.split.findall(run):
             ids = known.get(w)
             if ids is None:
-                if len(known) >= MEMORY:
-                    known.clear()
-                ids = known[w] = self.word(w)
+                ids = self.word(w)
+                if len(w) <= LONGEST:
+                    if len(known) >= MEMORY:
+                        known.clear()
+                    known[w] = ids
             out += ids
         return tuple(out)
 
@@ -138,9 +147,11 @@ class BpeModel:
         for run in text.split() if not _SEPARATORS.search(text) else _SPACE.split(text):
             ids = seen.get(run)
             if ids is None:
-                if len(seen) >= MEMORY:
-                    seen.clear()
-                ids = seen[run] = self._between(run)
+                ids = self._between(run)
+                if len(run) <= LONGEST:
+                    if len(seen) >= MEMORY:
+                        seen.clear()
+                    seen[run] = ids
             out += ids
 
     def encode(self, text: str) -> list[int]:
@@ -205,9 +216,15 @@ def decode_ids(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str
     return df.mapInArrow(run, f"{fields}, {out} string")
 
 
-def digests(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document, encoded and decoded in one pass (one Python worker a task, one model each)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_tokens, ids_sha256 and decoded_sha256 of every document, encoded and decoded in one pass (one Python worker a task, one model each).
+
+    A null text counts as empty: no ids, and the digests of nothing.  Null keys
+    stay, repeated rows give repeated results, an empty table an empty one.
+    Whole texts are encoded whatever their length; a row's ids are held at once.
+    Other columns are not read, so their names cannot clash.
+    """
+    kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(bpe_path())
@@ -218,9 +235,10 @@ def digests(docs: DataFrame, text: str = "text") -> DataFrame:
                 n.append(len(ids))
                 of_ids.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
                 of_text.append(hashlib.sha256(m.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return out.withColumnRenamed("key", key)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,22 +20,26 @@ itself and is looked up exactly: similarity 0.8 needs 0.8 of an item's shingles
 in as many words, and every alignment that has them is compared.  For items of
 five words or more this finds what comparing every alignment would find.
 
+What is reported is counted again on the words themselves, not on hashes.
+
 The benchmark is read in blocks of bounded size.  Each block is indexed and
-sent to the tasks, and the documents are scanned once per block, so a large
-benchmark costs more passes and not more memory.
+sent to the tasks, and the documents are scanned once per block and written
+before the next one, so a large benchmark costs more passes and not more memory.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgerline.llm import wordhash
-from ledgerline.llm.common import chunks, table
+from ledgerline.llm.common import chunks, materialise, release, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -45,7 +49,14 @@ CLASSES = (1, 2, 3, 4, 5, 6, 8, 10, 13, 17, 22, 29, 38, 49, 64, 83, 108, 140, 18
 #: Bytes of benchmark text that one pass indexes.
 BLOCK_BYTES = 16_000_000
 _BLOCKS, _WIDTH = 4, 16
-LEAK = "array<struct<item:long,similarity:double,distance:int,start:int,end:int>>"
+
+
+def _exact(one: list[bytes], two: list[bytes]) -> float:
+    """Weighted Jaccard similarity of the shingles of two word lists."""
+    k = min(SHINGLE, len(one), len(two))
+    a, b = (Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) for w in (one, two))
+    shared = (a & b).total()
+    return shared / (a.total() + b.total() - shared)
 
 
 def window_counts(value: np.ndarray) -> np.ndarray:
@@ -68,7 +79,7 @@ class BenchmarkIndex:
     def __init__(self, items: list[tuple[int, str]]) -> None:
         texts = [t.encode() for _, t in items]
         value, _, _, first = wordhash.words(texts)
-        self.ids = [i for i, _ in items]
+        self.ids, self.texts = [i for i, _ in items], texts
         self.lengths = np.diff(first)
         self.shingles: list[tuple[np.ndarray, np.ndarray]] = []
         found: dict[int, list[tuple[int, int, int]]] = {}
@@ -199,17 +210,21 @@ class BenchmarkIndex:
                 s = self.similarity(item, words)
                 if s >= SIMILARITY and (not had or s > had[0]):
                     best[text, item] = (s, self.distance(item, words), a)
-        for (text, item), (s, d, a) in sorted(best.items()):
+        tokens = wordhash.lowered(texts).split() if best else []
+        for (text, item), (_, d, a) in sorted(best.items()):
             data = texts[text]
+            s = _exact(wordhash.lowered([self.texts[item]]).split(), tokens[a : min(a + int(self.lengths[item]), int(first[text + 1]))])
+            if s < SIMILARITY:
+                continue
             b, e = int(start[a]), int(end[min(a + int(self.lengths[item]), int(first[text + 1])) - 1])
             begin = len(data[:b].decode())
             out[text].append((self.ids[item], s, d, begin, begin + len(data[b:e].decode())))
         return out
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[object, str]]]:
     """The benchmark's items in blocks of about BLOCK_BYTES, chosen by hash."""
-    items = benchmark.select(F.col(item).cast("long").alias("item"), F.col(text).alias("text")).filter("item IS NOT NULL AND text IS NOT NULL")
+    items = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).filter("item IS NOT NULL AND text IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     many = max(1, -(-total // BLOCK_BYTES))
     for i in range(many):
@@ -222,32 +237,43 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item: st
     """``df`` with ``out``: array of structs (item, similarity, distance, start, end), one for each benchmark item found.
 
     Offsets are code points of the best window, which is as many words as the item
-    has, or the whole of a shorter text.  Null and empty texts hold
-    nothing; null or empty items, and items with a null id, match nothing.  Items
-    under five words match where the same words stand in a row.  An empty table
-    or benchmark gives empty arrays at most.  An input column called ``out`` is
-    refused.  Each row is judged on its own, so repeated rows get equal results.
+    has, or the whole of a shorter text; of equally similar windows an earlier
+    one found counts.  Item ids may be of any type that can be ordered.  Null and
+    empty texts hold nothing; null or empty items, and items with a null id,
+    match nothing.  Items under five words match where the same words stand in a
+    row.  An empty table or benchmark gives empty arrays at most.  Texts of any
+    length are scanned whole.  An input column called ``out`` is refused.  Each
+    row is judged on its own, so repeated rows get equal results.
     """
     if out in df.columns:
         raise ValueError(f"the table already has a column {out}")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    names = []
-    for n, block in enumerate(_blocks(benchmark, item, item_text)):
+    names = ("item", "similarity", "distance", "start", "end")
+    id_type = benchmark.schema[item].dataType
+    kind = pa.list_(pa.struct([("item", to_arrow_type(id_type)), ("similarity", pa.float64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+    leak = f"array<struct<item:{id_type.simpleString()},similarity:double,distance:int,start:int,end:int>>"
+    held = None
+    for block in _blocks(benchmark, item, item_text):
         index = df.sparkSession.sparkContext.broadcast(BenchmarkIndex(block))
-        name = f"__leaks{n}"
+        first = out not in df.columns
+        if not first:
+            # One block's index at a time: what is found so far is written down.
+            df, before = materialise(df, "leaks"), held
+            if before is not None:
+                release(before)
+            held = df
 
-        def scan(batches: Iterator[pa.RecordBatch], index=index, name=name) -> Iterator[pa.RecordBatch]:
-            kind = pa.list_(pa.struct([("item", pa.int64()), ("similarity", pa.float64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+        def scan(batches: Iterator[pa.RecordBatch], index=index, first=first) -> Iterator[pa.RecordBatch]:
             for batch in chunks(batches, text, 500_000):
                 texts = [(t or "").encode() for t in batch.column(text).to_pylist()]
-                found = [[dict(zip(("item", "similarity", "distance", "start", "end"), x, strict=True)) for x in row] for row in index.value.leaks(texts)]
-                yield batch.append_column(name, pa.array(found, kind))
-
-        df = df.mapInArrow(scan, f"{fields}, {name} {LEAK}")
-        fields += f", {name} {LEAK}"
-        names.append(name)
-    whole = F.concat(*names) if names else F.array().cast(LEAK)
-    return df.withColumn(out, whole).drop(*names)
+                found = [[dict(zip(names, x, strict=True)) for x in row] for row in index.value.leaks(texts)]
+                if not first:
+                    found = [a + b for a, b in zip(batch.column(out).to_pylist(), found, strict=True)]
+                    batch = batch.drop_columns([out])
+                yield batch.append_column(out, pa.array(found, kind))
+
+        df = df.mapInArrow(scan, f"{fields}, `{out}` {leak}")
+    return df if out in df.columns else df.withColumn(out, F.array().cast(leak))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

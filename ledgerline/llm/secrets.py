@@ -4,26 +4,30 @@ Base kinds are patterns: ``assign`` (a value assigned to a password-like
 name), ``access`` (access key ids) and ``hex`` (long hexadecimal runs).
 
 The kind ``random`` is found by a battery of randomness tests on every run of
-20 or more token characters.  The run's encoding (decimal, hex, base32,
-lower-case letters, lower-case or upper-case base36, base62 or base64) is
-inferred from its characters, and its characters become numbers 0 to K-1 in
-that alphabet.
-
-* chi-squared uniformity over the K symbols, against the exact mean and
-  variance of the statistic for a run of that length;
-* runs test above and below the middle of the alphabet;
-* serial correlation of neighbouring symbols;
-* class runs: how often neighbours change between lower case, upper case,
-  digits and signs.  Words and identifiers change rarely (at most one time in
-  ``STRUCTURE_RATE``), random strings of an encoding change often.
-
-The first three ask whether the run looks uniformly random; a run that any of
-them rejects is out.  The last gives the p-value of the discovery "random and
-not built of words".  Benjamini-Hochberg control at ``FDR`` runs over all
-candidates of the corpus in each length class, because short runs are both more
-frequent and weaker evidence.  A run of one class (only digits, or only letters
-of one case) never changes and is never a discovery.  P-values are rounded up to a grid, so the
-counts that the control needs are one small bounded table at any corpus size.
+20 or more token characters.  The run's encoding (decimal, hex, base32, letters
+of one case, lower-case or upper-case base36, base62 or base64) is inferred from
+its characters, and its characters become numbers 1 to K in that alphabet.
+
+* chi-squared uniformity: how often two characters are equal;
+* runs test: how often neighbours change between groups of characters, which
+  are lower case, upper case, digits and signs, or in an encoding of one of
+  them the frequent and the rare half of its alphabet;
+* serial correlation of neighbouring symbols.
+
+Each test is read twice.  Against "uniformly random" (exact mean and variance
+for the length), a run that any of them rejects is out.  Against "written by
+people" (the figures of ``NATURAL``), each gives evidence in standard
+deviations; the three are added as if each two were correlated by one half, and
+the upper tail of the sum is the p-value of the discovery.  Benjamini-Hochberg
+control of these p-values at ``FDR`` runs over all candidates of the corpus in
+each length class, because short runs are both more frequent and weaker
+evidence.  P-values are rounded up to a grid, so the counts that the control
+needs are one small bounded table at any corpus size.
+
+Figures of natural text differ little from chance where the alphabet is small:
+most runs of random letters of one case are found from about 40 characters on.
+Digits alone are hardly ever told from ordinary numbers; from 24 characters on
+they are the base kind ``hex`` in any case.
 """
 
 from __future__ import annotations
@@ -42,14 +46,26 @@ TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 
 #: Parameters of the battery.
-REJECT = 0.001  # a uniformity test below this says "not random"
-STRUCTURE_RATE = 10  # words change class at most once in so many characters
+REJECT = 0.001  # a test against uniformity below this says "not random"
+#: What people write: chance that two characters are equal, that three are, that
+#: neighbours change group, and the correlation of neighbours (none: no evidence).
+NATURAL = {
+    "digits": (0.13, 0.02, 0.46, None),
+    "hex": (0.09, 0.011, 0.1, 0.3),
+    "letters": (0.0655, 0.0055, 0.3, None),
+    "letters and digits": (0.0655, 0.0055, 0.1, 0.3),
+    "mixed": (0.05, 0.0035, 0.1, 0.3),
+}
 FDR = 0.01
 GRID = 20  # steps of the p-value grid for each power of ten
 GRID_MAX = 300  # powers of ten
 LENGTHS = (24, 32, 48, 64, 96, 128)  # upper ends of the length classes
 
 
+#: Matches whose places are summed in one go; a text of many matches copies no growing list.
+_RUN = 256
+
+
 def matches(text: Column, pattern: str, keep: Column | None = None) -> Column:
     """Array of structs (s, e): leftmost non-overlapping matches, in code points.
 
@@ -58,14 +74,19 @@ def matches(text: Column, pattern: str, keep: Column | None = None) -> Column:
     """
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     empty = F.array().cast("array<struct<s:int,e:int>>")
-    state = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    last = F.greatest(F.size(found) - 1, F.lit(0))
 
     def step(acc: Column, i: Column) -> Column:
         begin = acc["at"] + F.length(F.get(gaps, i))
         end = begin + F.length(F.get(found, i))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("s"), end.alias("e")))).alias("out"))
 
-    spans = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), state, step, lambda acc: acc["out"])
+    def run(acc: Column, i: Column) -> Column:
+        some = F.aggregate(F.sequence(i, F.least(i + _RUN - 1, last)), F.struct(acc["at"].alias("at"), empty.alias("out")), step)
+        return _let(some, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<s:int,e:int>>>").alias("out"))
+    spans = F.flatten(F.aggregate(F.sequence(F.lit(0), last, F.lit(_RUN)), start, run, lambda acc: acc["out"]))
     if keep is not None:
         spans = F.filter(spans, lambda x, i: F.get(keep, i))
     return F.when(F.size(found) > 0, spans).otherwise(empty)
@@ -79,16 +100,20 @@ def _tail(z: Column) -> Column:
     return F.when(z > 5, density / z).otherwise(near)
 
 
-_CODE = {  # name: (a whole token's pattern, alphabet)
-    "decimal": ("^[0-9]+$", "0123456789"),
-    "hex": ("^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
-    "base32": ("^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    "lower": ("^[a-z]+$", "abcdefghijklmnopqrstuvwxyz"),
-    "base36": ("^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
-    "upper base36": ("^[0-9A-Z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-    "base62": ("^[0-9A-Za-z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
-    "base64": ("^.*$", "+/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
-}
+# Letters and digits in the order in which natural text uses them.
+_LOWER, _DIGITS = "etaoinshrdlucmfwypvbgkjqxz", "1023456789"
+_UPPER = _LOWER.upper()
+_CODE = (  # a whole token's pattern, alphabet, kind of natural text
+    ("^[0-9]+$", _DIGITS, "digits"),
+    ("^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", "hex"),
+    ("^([a-z]+)$", _LOWER, "letters"),
+    ("^([A-Z]+)$", _UPPER, "letters"),
+    ("^[A-Z2-7]+$", _UPPER + "234567", "letters and digits"),
+    ("^[0-9a-z]+$", _LOWER + _DIGITS, "letters and digits"),
+    ("^[0-9A-Z]+$", _UPPER + _DIGITS, "letters and digits"),
+    ("^[0-9A-Za-z]+$", _LOWER + _UPPER + _DIGITS, "mixed"),
+    ("^.*$", _LOWER + _UPPER + _DIGITS + "+/", "mixed"),
+)
 
 
 def _let(value: Column, then) -> Column:
@@ -97,10 +122,12 @@ def _let(value: Column, then) -> Column:
 
 
 def _encoding(token: Column) -> Column:
-    """The alphabet of the first encoding that holds the whole token."""
+    """Alphabet and natural figures of the first encoding that holds the whole token."""
     out = F
-    for pattern, alphabet in _CODE.values():
-        out = out.when(token.rlike(pattern), F.lit(alphabet))
+    for pattern, alphabet, kind in _CODE:
+        pair, triple, change, serial = NATURAL[kind]
+        given = {"alphabet": alphabet, "pair": pair, "triple": triple, "change": change, "serial": serial or 0.0, "grouped": serial is not None}
+        out = out.when(token.rlike(pattern), F.struct(*(F.lit(v).alias(k) for k, v in given.items())))
     return out
 
 
@@ -108,47 +135,64 @@ def _sum(a: Column, f) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + f(x))
 
 
+def _capped(z: Column) -> Column:
+    """Upper tail for z, which may be negative (then 1, which no test turns on)."""
+    return _let(F.greatest(z, F.lit(0.0)), lambda v: F.when(v > 0, _tail(v)).otherwise(1.0))
+
+
 def battery(token: Column) -> Column:
     """Struct (stratum, uniform, score) of a run of at least 20 token characters.
 
-    ``uniform``: no uniformity test rejects.  ``score``: grid step of the
+    ``uniform``: no test rejects uniformity.  ``score``: grid step of the
     discovery p-value, rounded towards 1.  ``stratum``: length class.
     """
     plain = F.translate(token, "-_", "+/")
     plain = F.when(token.rlike("^[0-9A-F]+$"), F.lower(plain)).otherwise(plain)
     n = F.length(token).cast("double")
     steps = F.sequence(F.lit(0), F.length(token) - 2)
+    kinds = F.transform(F.split(token, ""), lambda c: F.when(c.between("a", "z"), 1).when(c.between("A", "Z"), 2).when(c.between("0", "9"), 3).otherwise(4))
+    changes = lambda a: _sum(steps, lambda i: (F.get(a, i) != F.get(a, i + 1)).cast("double"))
 
-    def uniform(k: Column, x: Column) -> Column:
+    def figures(k: Column, x: Column) -> Column:
         """x: the symbols as numbers 1 to k."""
-        pairs = lambda f: _sum(steps, lambda i: f(F.get(x, i), F.get(x, i + 1)))
         squares = _sum(F.array_distinct(x), lambda s: F.pow(F.size(F.filter(x, lambda y: y == s)).cast("double"), 2.0))
-        chi = (k / n * squares - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-        high = lambda v: v > k / 2
-
-        def runs(n1: Column) -> Column:
-            both = 2 * n1 * (n - n1)
-            spread = F.sqrt(F.greatest(both * (both - n), F.lit(0.0)) / (n * n * (n - 1)))
-            return _let(spread, lambda sd: F.when(sd > 0, F.abs(1 + pairs(lambda a, b: (high(a) != high(b)).cast("double")) - both / n - 1) / sd).otherwise(99.0))
-
-        def serial(mean: Column) -> Column:
-            var = _sum(x, lambda v: (v - mean) * (v - mean))
-            return _let(var, lambda v: F.when(v > 0, F.abs(pairs(lambda a, b: (a - mean) * (b - mean)) / v + 1 / n) * F.sqrt(n)).otherwise(99.0))
+        halves = F.transform(x, lambda v: v > k / 2)
+        mean = _sum(x, lambda v: v) / n
+
+        def serial(m: Column) -> Column:
+            spread = _sum(x, lambda v: (v - m) * (v - m))
+            return _let(spread, lambda v: F.when(v > 0, _sum(steps, lambda i: (F.get(x, i) - m) * (F.get(x, i + 1) - m)) / v).otherwise(1.0))
+
+        high = _sum(halves, lambda v: v.cast("double"))
+        return F.struct(squares.alias("squares"), _let(halves, changes).alias("flips"), high.alias("high"), _let(mean, serial).alias("serial"))
+
+    def judged(e: Column, k: Column, f: Column) -> Column:
+        chi = (k / n * f["squares"] - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
+        both = 2 * f["high"] * (n - f["high"])
+        spread = F.sqrt(F.greatest(both * (both - n), F.lit(0.0)) / (n * n * (n - 1)))
+        runs = F.when(spread > 0, F.abs(f["flips"] - both / n) / spread).otherwise(99.0)
+        serial = F.abs(f["serial"] + 1 / n) * F.sqrt(n)
+        uniform = (_capped(chi) >= REJECT) & (2 * _capped(runs) >= REJECT) & (2 * _capped(serial) >= REJECT)
+
+        pairs = n * (n - 1) / 2
+        square = e["pair"] * e["pair"]
+        equal = (pairs * e["pair"] - (f["squares"] - n) / 2) / F.sqrt(pairs * (e["pair"] - square) + n * (n - 1) * (n - 2) * (e["triple"] - square))
+        moves = F.when(e["grouped"], _let(kinds, changes)).otherwise(f["flips"])
+        moved = (moves - (n - 1) * e["change"]) / F.sqrt((n - 1) * e["change"] * (1 - e["change"]))
+        loose = (e["serial"] - f["serial"]) * F.sqrt(n)
+        evidence = F.when(e["grouped"], (equal + moved + loose) / 6**0.5).otherwise((equal + moved) / 3**0.5)
+        power = -F.log10(F.greatest(_capped(evidence), F.lit(10.0**-GRID_MAX)))
+        return F.struct(uniform.alias("uniform"), F.floor(power * GRID).cast("int").alias("score"))
+
+    def verdict(e: Column) -> Column:
+        k = F.length(e["alphabet"]).cast("double")
+        symbols = F.transform(F.split(plain, ""), lambda c: F.call_function("instr", e["alphabet"], c).cast("double"))
+        return _let(_let(symbols, lambda x: figures(k, x)), lambda f: judged(e, k, f))
 
-        fair = lambda z, sides: _let(F.greatest(z, F.lit(0.0)), lambda v: sides * _tail(v)) >= REJECT
-        return fair(chi, 1) & fair(_let(_sum(x, lambda v: high(v).cast("double")), runs), 2) & fair(_let(_sum(x, lambda v: v) / n, serial), 2)
-
-    fits = _let(_encoding(token), lambda alphabet: _let(F.transform(F.split(plain, ""), lambda c: F.call_function("instr", alphabet, c).cast("double")), lambda x: uniform(F.length(alphabet).cast("double"), x)))
-
-    kinds = F.transform(F.split(token, ""), lambda c: F.when(c.between("a", "z"), 1).when(c.between("A", "Z"), 2).when(c.between("0", "9"), 3).otherwise(4))
-    changes = _let(kinds, lambda kind: _sum(steps, lambda i: (F.get(kind, i) != F.get(kind, i + 1)).cast("double")))
-    mean = (n - 1) / STRUCTURE_RATE
-    z = (changes - 0.5 - mean) / F.sqrt(mean * (1 - 1 / STRUCTURE_RATE))
-    power = _let(z, lambda v: F.when(v > 0, -F.log10(F.greatest(_tail(v), F.lit(10.0**-GRID_MAX)))).otherwise(0.0))
     stratum = F.lit(len(LENGTHS))
     for i, top in reversed(list(enumerate(LENGTHS))):
         stratum = F.when(n <= top, i).otherwise(stratum)
-    return F.struct(stratum.alias("stratum"), fits.alias("uniform"), F.floor(power * GRID).cast("int").alias("score"))
+    return _let(_let(_encoding(token), verdict), lambda v: F.struct(stratum.alias("stratum"), v["uniform"].alias("uniform"), v["score"].alias("score")))
 
 
 def thresholds(tested: DataFrame, fdr: float = FDR) -> dict[int, int]:
@@ -180,10 +224,15 @@ def scan_secrets(df: DataFrame, text: str = "text", out: str = "secrets") -> Dat
 
     Offsets are code points, ends exclusive.  ``random`` spans that overlap a
     base span are left out.  A null text counts as empty and has no spans; an
-    empty table gives an empty table.  An input column called ``out`` is
-    replaced.  Two passes: one over the candidates for the corpus-wide
+    empty table gives an empty table; repeated rows get equal spans, and each
+    counts for the thresholds; of spans that begin together the kind listed
+    first comes first.  Texts of any length are read whole.  An input column
+    called ``out`` is replaced; columns called ``__base``, ``__free`` or
+    ``__found`` are refused.  Two passes: one over the candidates for the corpus-wide
     thresholds, one that marks the spans.
     """
+    if clash := {"__base", "__free", "__found"} & {*df.columns}:
+        raise ValueError(f"columns {sorted(clash)} are reserved")
     body = F.coalesce(F.col(text), F.lit(""))
     cut = thresholds(_candidates(df, body))
 
@@ -195,12 +244,13 @@ def scan_secrets(df: DataFrame, text: str = "text", out: str = "secrets") -> Dat
     if not cut:
         return df.withColumn(out, F.array_sort("__base")).drop("__base")
     # Runs that might be discoveries are tested again, each where it stands.
-    runs = matches(body, TOKEN)
+    found = F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0))
+    runs = F.zip_with(matches(body, TOKEN), found, lambda r, t: F.struct(r["s"].alias("s"), r["e"].alias("e"), t.alias("t")))
     free = F.filter(runs, lambda r: ~F.exists("__base", lambda b: (b["s"] < r["e"]) & (r["s"] < b["e"])))
     df = df.withColumn("__free", free)
     least = F.create_map(*(F.lit(x) for pair in cut.items() for x in pair))
     passes = lambda b: b["uniform"] & (b["score"] >= F.coalesce(F.try_element_at(least, b["stratum"]), F.lit(GRID * GRID_MAX + 1)))
-    df = df.withColumn("__found", F.filter("__free", lambda r: passes(battery(F.substring(body, r["s"] + 1, r["e"] - r["s"])))))
+    df = df.withColumn("__found", F.filter("__free", lambda r: passes(battery(r["t"]))))
     return df.withColumn(out, F.array_sort(F.concat("__base", tag(F.col("__found"), 3)))).drop("__base", "__free", "__found")
 
 

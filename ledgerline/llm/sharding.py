@@ -22,7 +22,7 @@ from ledgerline.llm.common import table
 BUCKET_ROWS = 50_000
 SHARDS = 24
 SEED = 20260
-_HEX = 12  # hexadecimal digits of the shuffle key that order rows by buckets
+_HEX = 8  # hexadecimal digits of the shuffle key that order rows by buckets: 32 bits, so that the product with up to 2**31 buckets stays a long
 
 
 def interleave(df: DataFrame, stratum: str, key: str, shards: int, seed: int = SEED, tie: list[str] | None = None) -> DataFrame:
@@ -30,17 +30,20 @@ def interleave(df: DataFrame, stratum: str, key: str, shards: int, seed: int = S
 
     Shard sizes differ by at most one row, and each shard's rows of a stratum
     differ from its even share by at most about one.  A null stratum is a
-    stratum of its own; null keys are shuffled together.  Rows equal in key and
-    in the ``tie`` columns get neighbouring places in no fixed order.  An empty
+    stratum of its own.  A null key is shuffled by its ``tie`` columns instead, so
+    that many of them spread.  Rows equal in key and in the ``tie`` columns get
+    neighbouring places in no fixed order; texts of any length are never moved,
+    unless the table itself holds them.  An empty
     table gives an empty table.  Columns named ``shard`` or ``slot`` are
     replaced; names starting with ``__`` are reserved for the operator.
     """
     total = df.count()
     buckets = max(1, -(-total // BUCKET_ROWS))
     tie = [F.col(c) for c in tie or []]
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
+    instead = F.concat_ws(":", *(c.cast("string") for c in tie))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), instead)).cast("binary"))
     df = df.drop("shard", "slot").withColumn("__key", digest)
-    df = df.withColumn("__bucket", (F.conv(F.substring("__key", 1, _HEX), 16, 10).cast("long") * F.lit(buckets) / F.lit(16**_HEX)).cast("long"))
+    df = df.withColumn("__bucket", F.shiftright(F.conv(F.substring("__key", 1, _HEX), 16, 10).cast("long") * F.lit(buckets), 4 * _HEX))
     order = [F.col("__key"), F.col(key), *tie]
 
     counts = df.groupBy(F.col(stratum).alias("__s"), F.col("__bucket").alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
@@ -75,10 +78,10 @@ WITH RECURSIVE poly AS (SELECT i, i AS v, 0 AS k FROM range(256) t(i)
   UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM poly WHERE k < 8),
 crc_table AS (SELECT list(v ORDER BY i) AS t FROM poly WHERE k = 8),
 bytes AS (SELECT doc_id, source, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
-sized AS (SELECT doc_id, source, CAST(length(h) / 2 + 8 AS BIGINT) AS size,
+measured AS (SELECT doc_id, source, CAST(length(h) / 2 + 8 AS BIGINT) AS size,
   xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(h, '..'), lambda x: CAST(('0x' || x) AS BIGINT))),
-      lambda a, b: xor(a >> 8, t[xor(a, b) % 256 + 1]))) AS text_crc32,
-  md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM bytes, crc_table),
+      lambda a, b: xor(a >> 8, t[xor(a, b) % 256 + 1]))) AS text_crc32 FROM bytes, crc_table),
+sized AS (SELECT *, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), concat_ws(':', text_crc32, size))) AS k FROM measured),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY k, doc_id NULLS FIRST, text_crc32, size) AS r, count(*) OVER (PARTITION BY source) AS n FROM sized),
 placed AS (SELECT *, row_number() OVER (ORDER BY (2 * r - 1) / CAST(2 * n AS DOUBLE), source NULLS FIRST, k, doc_id NULLS FIRST, text_crc32, size) - 1 AS p, count(*) OVER () AS total FROM ranked)
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST((p * {SHARDS}) // total AS INTEGER) AS shard,

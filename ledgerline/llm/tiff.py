@@ -29,8 +29,8 @@ PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FO
 FIELD = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 13: "I"}
 PLAIN, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 
-#: Pages of one file at most; a longer chain of directories is taken for a loop.
-MAX_PAGES = 65_536
+#: No codec here makes more bytes of one than this (LZW: 12 bits for at most some 4,000).
+MOST_FROM_ONE = 3000
 
 
 class Page(NamedTuple):
@@ -151,7 +151,9 @@ def _unpacked(codec: int, data: bytes, size: int) -> bytes:
         out = zlib.decompressobj().decompress(data, size)
     else:
         raise ValueError(f"unknown compression {codec}")
-    return out.ljust(size, b"\0")
+    if len(out) < size:
+        raise ValueError(f"a strip or tile ends after {len(out)} of {size} bytes")
+    return out
 
 
 def _unpredicted(block: bytes, rows: int, columns: int, samples: int, bits: int, predictor: int, order: str) -> np.ndarray:
@@ -175,7 +177,7 @@ def read_pages(data: bytes) -> Iterator[Page]:
     if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise ValueError("not a TIFF file")
     at, seen = struct.unpack_from(order + "I", data, 4)[0], set()
-    while at and at not in seen and len(seen) < MAX_PAGES:
+    while at and at not in seen:
         seen.add(at)
         count = struct.unpack_from(order + "H", data, at)[0]
         tags: dict[int, tuple] = {}
@@ -202,10 +204,16 @@ def _page(data: bytes, tags: dict[int, tuple], order: str) -> Page:
     across, down = (one(TILE_WIDTH, width), one(TILE_HEIGHT, height)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
     offsets, sizes = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_COUNTS])
     row_bytes = lambda columns: (columns * each * bits + 7) // 8
+    if planes * height * row_bytes(width) > MOST_FROM_ONE * len(data):
+        raise ValueError(f"{width} x {height} samples cannot come from {len(data)} bytes")
     whole = np.zeros((planes, height, row_bytes(width)), np.uint8)
     per_row = -(-width // across) if across else 0
     per_plane = per_row * (-(-height // down) if down else 0)
-    for i in range(min(len(offsets), per_plane * planes)):
+    if min(len(offsets), len(sizes)) < per_plane * planes:
+        raise ValueError("strips or tiles are missing")
+    if tiled and down * row_bytes(across) > MOST_FROM_ONE * len(data):
+        raise ValueError(f"tiles of {across} x {down} cannot come from {len(data)} bytes")
+    for i in range(per_plane * planes):
         plane, place = divmod(i, per_plane)
         top, left = place // per_row * down, place % per_row * across
         rows = down if tiled else min(down, height - top)
@@ -216,6 +224,9 @@ def _page(data: bytes, tags: dict[int, tuple], order: str) -> Page:
         whole[plane, top : top + len(part), x : x + part.shape[1]] = part
     if planes > 1 and bits >= 8:
         whole = whole.reshape(planes, height, width, bits // 8).transpose(1, 2, 0, 3)
+    elif planes > 1:
+        each_bit = np.unpackbits(whole, axis=2)[:, :, : width * bits].reshape(planes, height, width, bits)
+        whole = np.packbits(np.ascontiguousarray(each_bit.transpose(1, 2, 0, 3)).reshape(height, -1), axis=1)
     return Page(width, height, samples, bits, codec, predictor, whole.tobytes())
 
 
@@ -259,9 +270,12 @@ def tiff_pages(df: DataFrame, media: str, keep: list[str]) -> DataFrame:
     """One row per page: the ``keep`` columns, then page, width, height, samples, bits, codec, predictor, pixels, error.
 
     ``pixels`` holds the samples row by row, little-endian, interleaved.  A null
-    file and a file without a directory give no row; a broken file gives one row
-    that has only ``error``.  Kept columns that bear a page column's name are
-    refused.  Repeated rows give repeated pages.
+    file and a file without a directory give no row; a broken file gives the
+    pages before the break and then one row that has only ``error``.  Broken are
+    also strips that end early or are missing, and sizes that the file cannot
+    hold.  A chain of directories may be of any length; a loop ends it.  Kept
+    columns that bear a page column's name are refused.  Repeated rows give
+    repeated pages, an empty table no page.
     """
     names = [f.split()[0] for f in PAGES.split(", ")]
     if clash := {*keep} & {*names}:
@@ -280,7 +294,7 @@ def tiff_pages(df: DataFrame, media: str, keep: list[str]) -> DataFrame:
                     for k, page in enumerate(read_pages(data)):
                         at.append(i)
                         rows.append((k, *page, None))
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+                except (ValueError, KeyError, IndexError, ZeroDivisionError, MemoryError, struct.error, zlib.error) as e:
                     at.append(i)
                     rows.append((*[None] * 8, f"{type(e).__name__}: {e}"))
             kept = batch.select(keep).take(pa.array(at, pa.int64())) if keep else batch.select([])
@@ -290,13 +304,20 @@ def tiff_pages(df: DataFrame, media: str, keep: list[str]) -> DataFrame:
     return source.mapInArrow(pages, f"{schema}, {PAGES}" if keep else PAGES)
 
 
+#: The forms that stored bytes take: codec, predictor, tile.
+FORMS = ((LZW, 1, None), (PACKBITS, 1, None), (DEFLATE, 2, (32, 32)), (DEFLATE, 2, None), (DEFLATE, 1, None))
+
+
 def bytes_as_tiff(df: DataFrame, data: str, out: str = "media") -> DataFrame:
     """``df`` with its binary column ``data``, padded with zero bytes to a positive multiple of 64, as a TIFF image of 64 columns.
 
-    Nulls count as empty.  The codec follows from the length alone: LZW under
-    2 KB, PackBits under 4 KB, deflate tiles under 8 KB, deflate strips above,
-    the last two with horizontal differencing.
+    Nulls count as empty.  The form (one of FORMS) follows from a checksum of
+    the padded bytes, so every form meets every length and equal bytes are
+    stored alike.  An empty table gives an empty one; an input column called
+    ``out`` is refused.
     """
+    if out in df.columns:
+        raise ValueError(f"the table already has a column {out}")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,23 +325,22 @@ def bytes_as_tiff(df: DataFrame, data: str, out: str = "media") -> DataFrame:
             media = []
             for raw in batch.column(data).to_pylist():
                 raw = raw or b""
-                size = max(64, -(-len(raw) // 64) * 64)
-                pixels = np.frombuffer(raw.ljust(size, b"\0"), np.uint8).reshape(-1, 64)
-                if size < 2048:
-                    media.append(tiff_bytes(pixels, LZW))
-                elif size < 4096:
-                    media.append(tiff_bytes(pixels, PACKBITS))
-                elif size < 8192:
-                    media.append(tiff_bytes(pixels, DEFLATE, 2, tile=(32, 32)))
-                else:
-                    media.append(tiff_bytes(pixels, DEFLATE, 2))
+                padded = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+                codec, predictor, tile = FORMS[zlib.crc32(padded) % len(FORMS)]
+                media.append(tiff_bytes(np.frombuffer(padded, np.uint8).reshape(-1, 64), codec, predictor, tile=tile))
             yield batch.append_column(out, pa.array(media, pa.binary()))
 
     return df.mapInArrow(store, f"{fields}, {out} binary")
 
 
 def features(pages: DataFrame) -> DataFrame:
-    """``pages`` with ``feature``: mean, spread, share of zero samples and mean step between neighbouring rows of 8-bit pages, as text."""
+    """``pages`` with ``feature``: mean, spread, share of zero samples and mean step between neighbouring rows of 8-bit pages, as text.
+
+    Pages without samples (error rows) have none; an empty table gives an empty
+    one; an input column called ``feature`` is refused.
+    """
+    if "feature" in pages.columns:
+        raise ValueError("the table already has a column feature")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -232,19 +232,25 @@ def test_removing_later_passages_leaves_one_of_each(spark):
 
 
 def test_chat_reads_back_and_expands(spark):
-    turns = [(1, 0, "system", "be \\ kind"), (1, 1, "user", None), (1, 2, "assistant", "<|end|>\n</s>[INST] ok"), (1, 3, "user", "b"), (1, 4, "assistant", "é\U0001f600"), (2, None, None, "lone"), (2, None, None, "lone")]
-    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    turns = [(1, 0, "system", "be \\ kind"), (1, 1, "user", None), (1, 2, "assistant", "<|end|>\n</s>[INST] ok"), (1, 3, "user", "b"), (1, 4, "assistant", "é\U0001f600"), (2, None, None, "lone"), (2, None, None, "lone"), (None, 0, "us\ner\\n", "hi"), (None, 1, "assistant", "long " * 30000)]
+    df = spark.createDataFrame([(*t, "clash") for t in turns], "conv_id long, turn long, role string, text string, segment string")
     formatted = chat.format_turns(df)
-    got = {r["conv_id"]: r for r in chat.read_back(formatted).collect()}
-    for c in (1, 2):
+    assert chat.read_back(*[f(chat.format_turns(df.limit(0))) for f in (lambda t: t, chat.examples)]).count() == 0
+    one = chat.read_back(*[f(chat.format_turns(spark.createDataFrame([(1, 0, "us\ner", "hi")], df.drop("segment").schema))) for f in (lambda t: t, chat.examples)]).first()
+    assert one["turns_sha256"] == hashlib.sha256(b"us\ner\nhi\n").hexdigest() and chat.unescape_role("us\\ner") == "us\ner"
+    got = {r["conv_id"]: r for r in chat.read_back(formatted, chat.examples(formatted)).collect()}
+    for c in (1, 2, None):
         own = [(r or "", t or "") for i, _, r, t in turns if i == c]
         loss = "".join(t for r, t in own if r == "assistant")
+        assert got[c]["n_examples"] == sum(r == "assistant" for r, _ in own)
         assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest()
         assert (got[c]["loss_chars"], got[c]["loss_sha256"], got[c]["n_turns"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(own))
-    examples = {r["example"]: r for r in chat.example_texts(formatted).collect()}
-    assert len(examples) == 2
-    assert chat.unescape(examples[0]["text"][examples[0]["loss_start"] : examples[0]["loss_end"]]) == turns[2][3]
-    assert examples[1]["text"].startswith(examples[0]["text"])
+    examples = {r["position"]: r for r in chat.example_texts(formatted.filter("conv_id = 1")).collect()}
+    assert sorted(examples) == [2, 4]
+    assert chat.unescape(examples[2]["text"][examples[2]["loss_start"] : examples[2]["loss_end"]]) == turns[2][3]
+    assert examples[4]["text"].startswith(examples[2]["text"])
+    short = {r["position"]: r for r in chat.examples(formatted).filter("conv_id = 1").collect()}
+    assert all(examples[p]["text"][short[p]["context_end"] :] == short[p]["reply"] for p in examples)
 
 
 def test_bpe_equals_the_library(docs):
@@ -295,3 +301,210 @@ def test_pipeline_keeps_columns(spark):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 50
+
+
+# Words whose polynomial hashes coincide modulo 2^64 whatever the odd base.
+THUE = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+MORSE = THUE.translate({97: "b", 98: "a"})
+
+
+def test_words_built_to_collide_do_not(spark):
+    head = "one two three four five "
+    df = spark.createDataFrame([(1, THUE), (2, MORSE), (3, head + THUE), (4, head + MORSE)], "doc_id long, text string")
+    assert {r["component_id"] for r in jaccard.similar_documents(df).collect()} == {1, 2, 3, 4}
+    assert unit_dedup.repeated_units(df).count() == 0
+    index = decontaminate.BenchmarkIndex([(0, prose(20, 1) + " " + THUE)])
+    assert index.leaks([(prose(20, 1) + " " + THUE).encode()])[0][0][1] == 1.0 and index.leaks([MORSE.encode()]) == [[]]
+    words = [decontaminate.wordhash.words([" ".join(THUE if (c == "a") == turn else MORSE for c in THUE).encode()])[0] for turn in (True, False)]
+    assert all(decontaminate.wordhash.shingles(words[0], k)[0] != decontaminate.wordhash.shingles(words[1], k)[0] for k in (2, 25, 50, 1024))
+
+
+def test_jaccard_of_null_keys_and_repeated_rows(spark):
+    a, b = prose(40, 60), prose(40, 61)
+    df = spark.createDataFrame([(None, a), (7, a), (7, a), (None, b), (3, None)], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard.similar_documents(df).collect()), key=str)
+    assert got == sorted([(None, 7), (7, 7), (7, 7), (None, None), (3, 3)], key=str)
+
+
+def test_large_families_of_near_copies_join_as_by_brute_force(spark):
+    r, base, rows = random.Random(4), prose(120, 70).split(), []
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.choice((0, 1, 1, 2, 3))):
+            w[r.randrange(len(w))] = f"new{i}"
+        rows.append((i, " ".join(w)))
+    sets = {i: shingles(t) for i, t in rows}
+    least = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(least[a], least[b])
+            changed |= least[a] != m or least[b] != m
+            least[a] = least[b] = m
+    got = {x["doc_id"]: x["component_id"] for x in jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == least
+
+
+def test_sharding_of_null_keys_ties_and_repeats(spark):
+    df = spark.createDataFrame([(None, f"t{i % 9}", "a") for i in range(40)] + [(5, "x", None)] * 10, "doc_id long, text string, source string")
+    rows = sharding.interleave(df, "source", "doc_id", 4, tie=["text"]).collect()
+    sizes = [sum(r["shard"] == s for r in rows) for s in range(4)]
+    assert sorted(sizes) == [12, 12, 13, 13]
+    assert all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sizes[s])) for s in range(4))
+
+
+def planted(kind, n, r):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    sets = {"hex": "0123456789ABCDEF", "base32": letters.upper() + "234567", "base36": letters + "0123456789", "BASE36": letters.upper() + "0123456789", "base62": letters + letters.upper() + "0123456789", "base64": letters + letters.upper() + "0123456789+/", "lower": letters, "upper": letters.upper()}
+    return "".join(r.choice(sets[kind]) for _ in range(n))
+
+
+def test_recall_and_precision_of_random_runs(spark):
+    r = random.Random(21)
+    natural = ["".join(r.choice(VOCAB) for _ in range(8))[: r.randrange(20, 60)] for _ in range(150)] + ["_".join(r.choice(VOCAB) for _ in range(6)) for _ in range(150)] + ["snakeCaseName".join(r.choice(VOCAB).title() for _ in range(3)) for _ in range(50)]
+    cases = [(kind, n, planted(kind, n, r)) for kind in ("hex", "base32", "base36", "BASE36", "base62", "base64") for n in (40, 64) for _ in range(15)] + [(kind, 128, planted(kind, 128, r)) for kind in ("lower", "upper") for _ in range(15)]
+    df = spark.createDataFrame([("natural", 0, t) for t in natural] + cases, "kind string, n int, text string")
+    found = secrets.scan_secrets(df).selectExpr("kind", "n", "exists(secrets, x -> x.k = 3) AS hit").toPandas().groupby(["kind", "n"])["hit"].mean().to_dict()
+    assert found.pop(("natural", 0)) <= 0.02
+    assert min(found.values()) >= 0.7 and np.mean(list(found.values())) >= 0.9, found
+
+
+def test_secrets_equal_brute_force_on_long_texts_and_repeats(spark):
+    r = random.Random(8)
+    parts = ["token=abcdef1234", "AKIA" + "Q" * 16, "0123456789abcdef" * 2, "PASSWORD: 'short'", "api_key = \"long.er/value=\"", "word", "\U0001f600"]
+    text = " ".join(r.choice(parts) for _ in range(6000))
+    df = spark.createDataFrame([(1, text), (1, text), (2, None)], "doc_id long, text string")
+    got = [[(x["s"], x["k"], x["e"]) for x in row["secrets"] if x["k"] < 3] for row in secrets.scan_secrets(df).orderBy("doc_id").collect()]
+    assign = re.compile(r"((?:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
+    want = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
+    want += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    assert got[0] == got[1] == sorted(want) and got[2] == [] and len(want) > 1000
+    with pytest.raises(ValueError):
+        secrets.scan_secrets(df.withColumn("__base", df.doc_id))
+
+
+def test_leaks_with_text_ids_blocks_and_long_texts(spark, monkeypatch):
+    items = [(f"item {i}", prose(30, 600 + i)) for i in range(6)]
+    texts = [(1, prose(20000, 5) + " " + items[2][1] + " " + items[4][1], "x"), (2, items[0][1], "y"), (2, None, "z")]
+    df = spark.createDataFrame(texts, "doc_id long, text string, item string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    want = [(1, ["item 2", "item 4"]), (2, []), (2, ["item 0"])]
+    for size in (decontaminate.BLOCK_BYTES, 300):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        rows = decontaminate.find_leaks(df, bench).collect()
+        assert sorted((r["doc_id"], sorted(x["item"] for x in r["leaks"])) for r in rows) == want
+
+
+def test_broken_and_oversized_tiffs_give_an_error_row(spark):
+    import struct
+
+    good = tiff.tiff_bytes(np.arange(4096, dtype=np.uint8).reshape(64, 64), tiff.PACKBITS)
+    cut = bytearray(good)
+    at = struct.unpack_from("<I", cut, 4)[0]
+    for k in range(struct.unpack_from("<H", cut, at)[0]):
+        tag = struct.unpack_from("<H", cut, at + 2 + 12 * k)[0]
+        if tag == tiff.STRIP_COUNTS:
+            struct.pack_into("<I", cut, at + 10 + 12 * k, 5)
+    huge = bytearray(good)
+    struct.pack_into("<I", huge, at + 10, 4_000_000_000)
+    df = spark.createDataFrame([(1, bytes(cut)), (2, bytes(huge)), (3, good)], "id int, media binary")
+    got = {r["id"]: r for r in tiff.tiff_pages(df, "media", ["id"]).collect()}
+    assert got[1]["error"] and got[2]["error"] and got[3]["error"] is None and got[3]["height"] == 64
+    assert tiff.tiff_pages(df.limit(0), "media", ["id"]).count() == tiff.bytes_as_tiff(df.limit(0), "media", "out").count() == 0
+    with pytest.raises(ValueError):
+        tiff.bytes_as_tiff(df, "media", "id")
+
+
+def test_every_form_of_storage_meets_every_length(spark):
+    r = random.Random(6)
+    data = [(i, r.choice((b"", b"ab", r.randbytes(100), prose(3000, i).encode(), prose(120, i).encode()))) for i in range(80)]
+    df = spark.createDataFrame(data, "id int, raw binary")
+    stored = tiff.bytes_as_tiff(df, "raw")
+    back = {x["id"]: (bytes(x["pixels"]), x["codec"]) for x in tiff.tiff_pages(stored, "media", ["id"]).collect()}
+    assert all(back[i][0] == d.ljust(max(64, -(-len(d) // 64) * 64), b"\0") for i, d in data)
+    assert {(back[i][1], len(d) > 5000) for i, d in data} >= {(c, True) for c in (tiff.LZW, tiff.PACKBITS, tiff.DEFLATE)}
+
+
+def test_planar_bits_are_interleaved():
+    tags = {tiff.WIDTH: (3,), tiff.HEIGHT: (1,), tiff.SAMPLES: (2,), tiff.BITS: (4, 4), tiff.PLANAR: (2,), tiff.STRIP_OFFSETS: (0, 2), tiff.STRIP_COUNTS: (2, 2)}
+    assert tiff._page(bytes([0x12, 0x30, 0xAB, 0xC0]), tags, "<").pixels == bytes([0x1A, 0x2B, 0x3C])
+
+
+def test_bpe_of_long_words_equals_the_library_in_bounded_time():
+    tokenizers = pytest.importorskip("tokenizers")
+    import time
+
+    library, own = tokenizers.Tokenizer.from_file(bpe.bpe_path()), bpe.BpeModel(bpe.bpe_path())
+    r = random.Random(3)
+    for n in (511, 513, 3000, 40000):
+        word = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        assert own.encode(word) == library.encode(word, add_special_tokens=False).ids
+    begin = time.time()
+    own.encode("".join(r.choice("etaoinshr") for _ in range(300_000)))
+    assert time.time() - begin < 30
+
+
+def test_bpe_edge_cases(spark, empty):
+    assert bpe.digests(empty).count() == bpe.encode_texts(empty).count() == 0
+    rows = bpe.digests(spark.createDataFrame([(None, None), (1, ""), (1, "")], "doc_id long, text string")).collect()
+    assert len(rows) == 3 and {r["ids_sha256"] for r in rows} == {hashlib.sha256(b"").hexdigest()}
+    with pytest.raises(ValueError):
+        bpe.encode_texts(empty.withColumnRenamed("source", "ids"))
+
+
+def test_quality_edge_cases(spark, empty):
+    marks = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    texts = [(i, ("good line of words here.\n" if i % 2 else "###!!!\n$$$\n") * 6, i) for i in range(40)]
+    docs = spark.createDataFrame(texts + [(None, "x", 0), (3, None, 0), (41, "\n" * 200_000, 0)], "doc_id long, text string, score int")
+    model = quality.train(docs, marks)
+    assert quality.train(empty, marks).weights[:-1].max() == 0 and quality.train(docs, marks.limit(0)).slope == 1.0
+    got = quality.score_quality(docs.drop("score"), model).collect()
+    assert len(got) == 43 and all(0 <= r["score"] <= 1 for r in got)
+    assert np.mean([(r["score"] >= 0.5) == r["doc_id"] % 2 for r in got if r["doc_id"] is not None and r["text"] and r["doc_id"] < 40]) == 1
+    with pytest.raises(ValueError):
+        quality.score_quality(docs, model)
+    assert quality.score_quality(empty, model).count() == 0
+
+
+def test_units_and_passages_of_null_keys_and_repeated_rows(spark):
+    line, text = "a line that stays", prose(60, 300)
+    df = spark.createDataFrame([(None, line), (4, line), (4, line), (9, None)], "doc_id long, text string")
+    assert [(r["key"], r["kept_key"]) for r in unit_dedup.repeated_units(df).collect()] == [(None, 4)]
+    df = spark.createDataFrame([(None, text), (4, text), (4, text)], "doc_id long, text string")
+    assert {(r["key"], r["first"]) for r in suffixes.repeated_passages(df).collect()} == {(None, False), (4, True)}
+
+
+def test_pipeline_stages_on_hard_rows(spark, tmp_path):
+    """Every stage on nulls, empty and long texts, ties and repeats, against what each operator says of the same rows."""
+    import corpus_pipeline
+
+    r = random.Random(9)
+    good = [prose(60, 700 + i).capitalize() for i in range(30)]
+    items = [(0, prose(25, 900)), (1, prose(40, 901))]
+    key = planted("base62", 44, r)
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(good)]
+    rows += [(50, good[3], "en", "s", 1), (50, good[3], "en", "s", 1), (51, f"{prose(30, 5)} {items[0][1]} {prose(30, 6)}", "en", "s", 1), (52, f"{prose(40, 7)} password = hunter2x {key}", "en", "s", 1), (53, None, None, None, None), (54, "", "en", "s", 0), (55, prose(6000, 8), "en", "s", 1), (None, prose(50, 11), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    folder = str(tmp_path)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, kept, folder)
+        assert after.columns == docs.columns, name
+        ids = sorted((x["doc_id"] for x in after.collect()), key=str)
+        if name == "near_duplicates":
+            assert 50 not in ids and 3 in ids and len(ids) == len(set(ids))
+        if name == "decontaminate":
+            assert 51 not in ids and {0, 52, 55, None} <= set(ids)
+        if name == "secrets":
+            masked = {x["doc_id"]: (x["text"], x["n_chars"]) for x in after.collect()}
+            assert "hunter2x" not in masked[52][0] and "[SECRET]" in masked[52][0] and masked[52][1] == len(masked[52][0]) and masked[0][0] == good[0]
+        kept = after
+    out = corpus_pipeline.run(spark, folder)
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and sorted((x["doc_id"] for x in out.collect()), key=str) == ids
+    none = docs.limit(0)
+    assert all(stage(spark, none, folder).count() == 0 for _, stage in corpus_pipeline.STAGES)
