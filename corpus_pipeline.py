@@ -2,7 +2,11 @@
 benchmark leaks go, secrets are masked, and what stays is tokenised.
 
 Every stage takes the table that the stage before has written and returns a
-DataFrame; all but the last keep the columns of ``documents``.
+DataFrame; all but the last keep the columns of ``documents``.  A null text is
+an empty one to every stage and stays null unless it goes; an empty table gives
+an empty table; whole texts of any length are read.  Columns beyond those of
+``documents`` are carried along; the names ``__score``, ``__leaks``,
+``__secrets``, ``__id``, ``__many`` and ``__t`` are reserved.
 """
 
 from __future__ import annotations
@@ -25,9 +29,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each class of similar documents."""
-    kept = similar_documents(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """Keep the document of the smallest id of each class of similar documents; of rows that repeat its id, the smallest."""
+    kept = similar_documents(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    ids = kept.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__many"))
+    own = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")))
+    # Ids that occur once, nearly all, go through; only the others are grouped.
+    once, several = own.filter("__many = 1").select(docs.columns), own.filter("__many > 1").select(docs.columns)
+    # Rows with a null id are documents of their own: only equal texts are one.
+    text = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    least = several.groupBy("doc_id", text.alias("__t")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return once.unionByName(least.select(*(F.col(f"row.{c}").alias(c) for c in docs.columns)))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
