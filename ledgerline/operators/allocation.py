@@ -93,3 +93,16 @@ def scaled_to_volatility(decisions: DataFrame, monthly: DataFrame, months: int =
     ex_ante = by_month.groupBy("month").agg(F.sqrt(F.var_samp("__r") * 12).alias("ex_ante")).filter("ex_ante > 0")
     own = raw.select("symbol", "month", "raw", F.col("__live").alias("live")).distinct()
     return own.join(ex_ante, "month").select("symbol", "month", "live", "ex_ante", (F.col("raw") * target / F.col("ex_ante")).alias("weight"))
+
+
+def fixed_weights(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """Adds ``weight`` (the symbol's constant one while it is a ``member``, else 0) and ``cash``, the rest of one in its session."""
+    given = F.coalesce(*(F.when(F.col("symbol") == s, F.lit(float(w))) for s, w in weights.items()), F.lit(0.0))
+    out = rows.withColumn("weight", F.when(F.col("member"), given).otherwise(0.0))
+    return out.withColumn("cash", 1 - F.sum("weight").over(Window.partitionBy("session")))
+
+
+def equal_weights(rows: DataFrame) -> DataFrame:
+    """Adds ``equal``: one over the number of members of the session; 0 for others."""
+    many = F.count_if("member").over(Window.partitionBy("session"))
+    return rows.withColumn("equal", F.when(F.col("member"), 1.0 / many).otherwise(0.0))

@@ -22,13 +22,47 @@ def order_costs(costs: DataFrame) -> DataFrame:
     return costs.groupBy("order_id").agg(F.sum("quantity").alias("quantity"), F.try_divide(F.sum(F.col("quantity") * F.col("shortfall")), F.sum("quantity")).alias("shortfall"), F.sum("fees").alias("fees"), F.max("interval_volume").alias("interval_volume"), F.max("latency_days").alias("latency_days"), F.count(F.lit(1)).alias("fills"))
 
 
+def exact_quantiles(df: DataFrame, group: str, value: str, shares: dict[str, float], accuracy: int = 10_000) -> DataFrame:
+    """Interpolated quantiles of ``value`` by ``group``: one column for each named share.
+
+    A mergeable sketch brackets each quantile, a second pass counts what lies
+    below the bracket, and only the values inside are sorted: some ten in
+    ``accuracy`` rows of a group and share, so a group is no single task.
+    """
+    rows = df.select(group, F.col(value).cast("double").alias("__v")).filter("__v IS NOT NULL")
+    wide = 4 / accuracy
+    edges = [e for q in shares.values() for e in (max(q - wide, 0.0), min(q + wide, 1.0))]
+    marks = rows.groupBy(group).agg(F.percentile_approx("__v", edges, accuracy).alias("__m"), F.count(F.lit(1)).alias("__n"))
+    # A group that is smaller than the sketch is sorted whole.
+    small, infinite = F.col("__n") <= accuracy, float("inf")
+    low = lambda i: F.when(small, -infinite).otherwise(F.get("__m", F.lit(2 * i)))
+    high = lambda i: F.when(small, infinite).otherwise(F.get("__m", F.lit(2 * i + 1)))
+    seen, many = rows.join(marks, group), range(len(shares))
+    below = seen.groupBy(group).agg(F.array(*(F.count_if(F.col("__v") < low(i)) for i in many)).alias("__b"))
+    tagged = F.array_compact(F.array(*(F.when((F.col("__v") >= low(i)) & (F.col("__v") <= high(i)), F.lit(i)) for i in many)))
+    inside = seen.select(group, "__v", "__n", F.explode(tagged).alias("__i"))
+    inside = inside.withColumn("__k", F.row_number().over(Window.partitionBy(group, "__i").orderBy("__v")) - 1).join(below, group)
+    place = (F.col("__n") - 1) * F.get(F.array(*map(F.lit, shares.values())), F.col("__i"))
+    at = lambda rank: F.max(F.when(F.col("__k") + F.get("__b", F.col("__i")) == rank, F.col("__v")))
+    first, second, part = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+    picks = inside.groupBy(group, "__i").agg((first + (second - first) * part).alias("__q"))
+    return picks.groupBy(group).agg(*(F.max(F.when(F.col("__i") == i, F.col("__q"))).alias(name) for i, name in enumerate(shares)))
+
+
+def _distinct(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
+    """Different values by group, counted after they are told apart, so that a group is spread over its values."""
+    return df.select(group, value).distinct().groupBy(group).agg(F.count(value).alias(name))
+
+
 def cost_calibration(costs: DataFrame) -> DataFrame:
     """Per root: counts, coverage and quantiles; impact is the upper quartile of residual bps over the root of participation, at least 0."""
-    impact = F.try_divide(F.col("residual_bps"), F.sqrt("participation"))
-    return costs.groupBy("root").agg(
-        F.count(F.lit(1)).alias("fills"), F.countDistinct("order_id").alias("orders"), F.countDistinct("filled").alias("sessions"), F.countDistinct("bucket").alias("buckets"), F.percentile("shortfall", 0.5).alias("p50"), F.percentile("shortfall", 0.75).alias("p75"), F.percentile("shortfall", 0.95).alias("p95"),
-        F.greatest(F.lit(0.0), F.percentile(impact, 0.75)).alias("impact"),
-    )
+    costs = costs.withColumn("__impact", F.try_divide(F.col("residual_bps"), F.sqrt("participation")))
+    out = costs.groupBy("root").agg(F.count(F.lit(1)).alias("fills"))
+    for value, name in (("order_id", "orders"), ("filled", "sessions"), ("bucket", "buckets")):
+        out = out.join(_distinct(costs, "root", value, name), "root")
+    out = out.join(exact_quantiles(costs, "root", "shortfall", {"p50": 0.5, "p75": 0.75, "p95": 0.95}), "root", "left")
+    impact = exact_quantiles(costs, "root", "__impact", {"impact": 0.75})
+    return out.join(impact, "root", "left").withColumn("impact", F.greatest(F.lit(0.0), F.col("impact")))
 
 
 def reconcile(internal: DataFrame, external: DataFrame, key: str, amount: str, tolerance: float) -> DataFrame:
@@ -43,7 +77,9 @@ def coverage_gaps(panel: DataFrame) -> DataFrame:
     """Per symbol: life, sessions, sessions of the union calendar missing inside its life, and the longest run of them."""
     life = panel.groupBy("symbol").agg(F.min("session").alias("first"), F.max("session").alias("last"), F.count(F.lit(1)).alias("sessions"))
     calendar = panel.select("session").distinct()
-    due = life.join(calendar, (F.col("session") >= F.col("first")) & (F.col("session") <= F.col("last"))).select("symbol", "session")
+    # Lives are split into calendar years, so that the range join has an equality to be dealt by.
+    yearly = life.select("symbol", "first", "last", F.explode(F.sequence(F.year("first"), F.year("last"))).alias("__year"))
+    due = yearly.join(calendar.withColumn("__year", F.year("session")), "__year").filter("session BETWEEN first AND last").select("symbol", "session")
     marks = due.join(panel.select("symbol", "session", F.lit(1).alias("there")), ["symbol", "session"], "left")
     by = Window.partitionBy("symbol").orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
     runs = marks.withColumn("__run", F.sum(F.coalesce("there", F.lit(0))).over(by)).filter("there IS NULL").groupBy("symbol", "__run").count()

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.columns import grown
 from ledgerline.operators.panel import by_symbol
 
 
@@ -133,7 +134,7 @@ def funded_paths(paths: DataFrame, rates: DataFrame, spread: float = 0.0, daycou
     days = days.select("session", "days", F.coalesce("rate", F.lit(0.0)).alias("rate"), F.col("rate").isNull().alias("unrated"), (earned * F.col("days") / daycount).alias("interest"))
     rows = paths.join(days, "session").withColumn("funded", F.col("ret") + F.col("interest"))
     by = Window.partitionBy("member").orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("nav", F.exp(F.sum(F.log1p("funded")).over(by)))
+    rows = rows.withColumn("nav", grown("funded", by))
     return rows.withColumn("drawdown", F.col("nav") / F.greatest(F.lit(1.0), F.max("nav").over(by)) - 1)
 
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.columns import uniform
 from ledgerline.operators.inference import stationary_draws
 
 EULER = 0.5772156649015329
@@ -40,20 +41,24 @@ def reality_check(draws: DataFrame) -> DataFrame:
 
 
 def superior_ability(draws: DataFrame) -> DataFrame:
-    """One row: the largest studentised lead (at least 0) and three p-values, by how poor members are recentred.
+    """One row: the largest studentised lead (at least 0) and three p-values, by which members keep their lead as the centre of the null.
 
-    ``upper`` recentres all on their own lead, ``consistent`` those above
-    -sqrt(2 log log n), ``lower`` on leads above 0.  Members whose draws do not
-    vary are left out.
+    ``lower``: those that lead; ``consistent``: those that trail by no more than
+    sampling explains, a t of at least -sqrt(2 log log n); ``upper``: all.  The
+    others have the centre 0.  Members whose draws do not vary are left out;
+    under three sessions, where that limit has no value, the p-values are null.
     """
-    root = F.sqrt("n")
-    omega = draws.groupBy("member").agg(F.sqrt(F.avg(F.pow((F.col("draw") - F.col("observed")) * root, 2))).alias("omega")).filter("omega > 0")
-    rows = draws.join(omega, "member").withColumn("t", root * F.col("observed") / F.col("omega"))
-    limit = -F.sqrt(2 * F.log(F.log(F.col("n").cast("double"))))
-    centres = {"upper": F.col("observed"), "consistent": F.when(F.col("t") >= limit, F.col("observed")).otherwise(0.0), "lower": F.greatest("observed", F.lit(0.0))}
-    most = {k: F.greatest(F.max((F.col("draw") - c) * root / F.col("omega")), F.lit(0.0)).alias(k) for k, c in centres.items()}
-    reps = rows.groupBy("rep").agg(F.greatest(F.max("t"), F.lit(0.0)).alias("statistic"), *most.values())
-    p = [((1 + F.count_if(F.col(k) >= F.col("statistic"))) / (1 + F.count(F.lit(1)))).alias(f"p_{k}") for k in centres]
+    noise = F.sqrt(F.col("n")) * (F.col("draw") - F.col("observed"))
+    scale = draws.groupBy("member").agg(F.sqrt(F.avg(noise * noise)).alias("scale"), F.first("n").alias("sessions"), F.first("observed").alias("lead")).filter("scale > 0")
+    scale = scale.withColumn("t", F.sqrt("sessions") * F.col("lead") / F.col("scale"))
+    bar = F.when(F.col("sessions") >= 3, -F.sqrt(2 * F.log(F.log(F.col("sessions").cast("double")))))
+    keeps = {"upper": F.lit(True), "consistent": F.col("t") >= bar, "lower": F.col("lead") > 0}
+    scale = scale.select("member", "sessions", "scale", "t", *(F.when(test, F.col("lead")).when(~test, 0.0).alias(k) for k, test in keeps.items()))
+    # The scale of a family is a row a member; every repetition takes the largest excess over each centre.
+    rows = draws.select("rep", "member", "draw").join(scale, "member")
+    excess = [F.greatest(F.max(F.sqrt("sessions") * (F.col("draw") - F.col(k)) / F.col("scale")), F.lit(0.0)).alias(k) for k in keeps]
+    reps = rows.groupBy("rep").agg(F.greatest(F.max("t"), F.lit(0.0)).alias("statistic"), F.min("sessions").alias("sessions"), *excess)
+    p = [F.when(F.min("sessions") >= 3, (1 + F.count_if(F.col(k) >= F.col("statistic"))) / (1 + F.count(F.lit(1)))).alias(f"p_{k}") for k in keeps]
     return reps.agg(F.max("statistic").alias("statistic"), *p)
 
 
@@ -83,11 +88,6 @@ def deflated_sharpe(figures: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("deflated").isNull() | F.isnan("deflated"), "NOT_ESTIMABLE").otherwise("ESTIMATED"))
 
 
-def _uniform(*parts) -> Column:
-    """A number below 2^32 from text, the same in every engine."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")
-
-
 def sequence_paths(outcomes: DataFrame, samples: int = 200, method: str = "permutation") -> DataFrame:
     """(symbol, rep, terminal, min_capital, drawdown, losing_streak) of reordered outcomes (symbol, trade, contribution).
 
@@ -101,7 +101,7 @@ def sequence_paths(outcomes: DataFrame, samples: int = 200, method: str = "permu
     if method == "permutation":
         drawn = reps.withColumn("step", F.row_number().over(Window.partitionBy("symbol", "rep").orderBy(F.md5(F.concat_ws(":", "rep", "i")))))
     else:
-        picks = reps.select("symbol", "rep", F.col("i").alias("step"), (_uniform("rep", "i") % F.col("n")).cast("int").alias("i"))
+        picks = reps.select("symbol", "rep", F.col("i").alias("step"), (uniform("rep", "i") % F.col("n")).cast("int").alias("i"))
         drawn = picks.join(rows.select("symbol", "i", "contribution"), ["symbol", "i"])
     order = Window.partitionBy("symbol", "rep").orderBy("step")
     past = order.rowsBetween(Window.unboundedPreceding, 0)
@@ -126,7 +126,7 @@ def sign_null(ledger: DataFrame, repetitions: int = 200, periods: int = 252) ->
     sharpe = F.round(F.try_divide(F.avg("net"), F.stddev_samp("net")) * periods**0.5, 9)
     own = daily(ledger).agg(sharpe.alias("sharpe"))
     flipped = ledger.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
-    flipped = flipped.withColumn("gross", F.when(_uniform("rep", "symbol", "run") % 2 == 1, -F.col("gross")).otherwise(F.col("gross")))
+    flipped = flipped.withColumn("gross", F.when(uniform("rep", "symbol", "run") % 2 == 1, -F.col("gross")).otherwise(F.col("gross")))
     null = daily(flipped, "rep").groupBy("rep").agg(sharpe.alias("null_sharpe"))
     # ``own`` is a single row.
     both = null.join(F.broadcast(own))

@@ -61,6 +61,15 @@ def stress_state(shift: Column, threshold: float = 1.0, above: str = "Stress", b
     return F.when(shift.isNotNull(), F.when(shift >= threshold, above).otherwise(below))
 
 
+def combined_states(labelled: dict[str, DataFrame]) -> DataFrame:
+    """One column of labels for each frame (symbol, session, state), on the rows of all, and ``panic`` from those called bear and volatility."""
+    out = None
+    for name, df in labelled.items():
+        part = df.withColumnRenamed("state", name)
+        out = part if out is None else out.join(part, ["symbol", "session"], "full_outer")
+    return out.withColumn("panic", panic_state(F.col("bear") == "Bear", F.col("volatility") == "High"))
+
+
 def panic_state(bear: Column, high: Column) -> Column:
     """Panic where both flags hold, No panic where one does not; null if either is unknown."""
     return F.when(bear.isNotNull() & high.isNotNull(), F.when(bear & high, "Panic").otherwise("No panic"))
@@ -80,7 +89,7 @@ def drawdown_multiplier(drawdown: Column, soft: float = 0.05, hard: float = 0.15
 def weekly_log_returns(returns: DataFrame) -> DataFrame:
     """(symbol, week, ret): log return of weeks that end on Friday; the last week, which may be open, is left out."""
     weeks = returns.withColumn("week", F.date_add(F.date_trunc("week", F.date_add("session", 2)).cast("date"), 4))
-    out = weeks.groupBy("symbol", "week").agg(F.sum(F.log1p("ret")).alias("ret"))
+    out = weeks.groupBy("symbol", "week").agg(F.sum(F.when(F.col("ret") > -1, F.log1p("ret"))).alias("ret"))
     return out.withColumn("__last", F.max("week").over(Window.partitionBy("symbol"))).filter("week < __last").drop("__last")
 
 
@@ -119,51 +128,66 @@ def outcomes_by_state(monthly: DataFrame, window: int = 12, need: int = 36) -> D
 FIT = "series string, status string, observations int, means array<double>, variances array<double>, transition array<array<double>>, initial array<double>, log_likelihood double, iterations int"
 
 
-def _density(y, means, variances):
-    return np.exp(-0.5 * (y - means) ** 2 / variances) / np.sqrt(2 * np.pi * variances)
+def log_likelihoods(y: np.ndarray, means: np.ndarray, variances: np.ndarray) -> np.ndarray:
+    """Normal log densities (time, fit, state) of the values under every fit's states."""
+    return -0.5 * (np.log(2 * np.pi * variances) + (y[:, None, None] - means) ** 2 / variances)
+
 
+def log_filter(seen: np.ndarray, start: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Log of the joint mass of the values so far and the state, (time, fit, state); all in logs, so nothing underflows."""
+    mass = np.empty_like(seen)
+    mass[0] = start + seen[0]
+    for t in range(1, len(seen)):
+        mass[t] = np.logaddexp.reduce(mass[t - 1][:, :, None] + moves, axis=1) + seen[t]
+    return mass
 
-def _forward(density, initial, transition):
-    """Filtered probabilities and their scales of many fits at once: density (time, fit, state)."""
-    tiny = np.finfo(float).tiny
-    filtered, scale = np.empty_like(density), np.empty(density.shape[:2])
-    for t, d in enumerate(density):
-        now = (initial if t == 0 else (filtered[t - 1][:, None, :] @ transition)[:, 0]) * d
-        scale[t] = np.maximum(now.sum(axis=1), tiny)
-        filtered[t] = now / scale[t][:, None]
-    return filtered, scale
+
+def _log_ahead(seen: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Log of the mass of later values given the state."""
+    mass = np.zeros_like(seen)
+    for t in range(len(seen) - 1, 0, -1):
+        mass[t - 1] = np.logaddexp.reduce(moves + (seen[t] + mass[t])[:, None, :], axis=2)
+    return mass
 
 
 def expectation_maximisation(y, means, variances, iterations: int, tolerance: float, floor: float):
-    """Gaussian mixtures with a Markov state, from many starts (fit, state) at once; returns parameters, log-likelihoods and iterations."""
-    y = np.asarray(y, dtype=float)[:, None, None]
-    fits, states = means.shape
-    transition = np.full((fits, states, states), 0.1 / (states - 1))
-    transition[:, np.arange(states), np.arange(states)] = 0.9
-    initial = np.full((fits, states), 1.0 / states)
-    before = np.full(fits, -np.inf)
-    for step in range(1, iterations + 1):
-        density = _density(y, means, variances)
-        filtered, scale = _forward(density, initial, transition)
-        backward = np.ones_like(density)
-        for t in range(len(y) - 2, -1, -1):
-            ahead = density[t + 1] * backward[t + 1] / scale[t + 1][:, None]
-            backward[t] = (transition @ ahead[:, :, None])[:, :, 0]
-        posterior = filtered * backward
-        posterior /= np.maximum(posterior.sum(axis=2, keepdims=True), np.finfo(float).tiny)
-        ahead = density[1:] * backward[1:] / scale[1:, :, None]
-        moves = np.einsum("tfi,tfj->fij", filtered[:-1], ahead) * transition
-        transition = moves / np.maximum(moves.sum(axis=2, keepdims=True), np.finfo(float).tiny)
-        initial = posterior[0]
-        weight = np.maximum(posterior.sum(axis=0), np.finfo(float).tiny)
-        means = (posterior * y).sum(axis=0) / weight
-        variances = np.maximum((posterior * (y - means) ** 2).sum(axis=0) / weight, floor)
-        now = np.log(scale).sum(axis=0)
-        done = np.all(np.abs(now - before) < tolerance)
-        before = now
-        if done:
+    """Normal mixtures with a Markov state, from many starts (fit, state); returns parameters, log-likelihoods and each fit's own number of steps.
+
+    Baum-Welch in logs on standardised values.  A step needs three expected
+    sums for each state (its weight, its values, their squares) and the expected
+    moves; a fit whose likelihood gains less than the tolerance leaves the batch.
+    """
+    y = np.asarray(y, dtype=float)
+    centre, unit = y.mean(), max(float(y.std()), 1e-300)
+    z = (y - centre) / unit
+    mu, var, least = (means - centre) / unit, variances / unit**2, floor / unit**2
+    fits, states = mu.shape
+    stay = np.eye(states, dtype=bool)
+    moves = np.log(np.broadcast_to(np.where(stay, 0.9, 0.1 / max(states - 1, 1)), (fits, states, states)).copy())
+    start = np.full((fits, states), -np.log(states))
+    likelihood, steps = np.full(fits, -np.inf), np.zeros(fits, int)
+    live = np.arange(fits)
+    powers = np.stack([np.ones_like(z), z, z * z])
+    for _ in range(iterations):
+        seen = log_likelihoods(z, mu[live], var[live])
+        so_far, ahead = log_filter(seen, start[live], moves[live]), _log_ahead(seen, moves[live])
+        total = np.logaddexp.reduce(so_far[-1], axis=1)
+        weight = np.exp(so_far + ahead - total[:, None])
+        between = so_far[:-1, :, :, None] + moves[live] + (seen[1:] + ahead[1:])[:, :, None, :] - total[:, None, None]
+        moved = np.exp(between).sum(axis=0)
+        n, s, q = np.einsum("kt,tfs->kfs", powers, weight)
+        n = np.maximum(n, np.finfo(float).tiny)
+        mu[live], var[live] = s / n, np.maximum(q / n - (s / n) ** 2, least)
+        with np.errstate(divide="ignore"):
+            start[live] = np.log(weight[0])
+            moves[live] = np.log(moved / np.maximum(moved.sum(axis=2, keepdims=True), np.finfo(float).tiny))
+        gained = total - likelihood[live]
+        likelihood[live] = total
+        steps[live] += 1
+        live = live[~(np.abs(gained) < tolerance)]
+        if not len(live):
             break
-    return means, variances, transition, initial, before, step
+    return mu * unit + centre, var * unit**2, np.exp(moves), np.exp(start), likelihood - len(y) * np.log(unit), steps
 
 
 def fit_switching(observations: DataFrame, states: int = 2, restarts: int = 20, iterations: int = 500, tolerance: float = 1e-8, floor: float = 1e-12, seed: int = 7) -> DataFrame:
@@ -188,7 +212,7 @@ def fit_switching(observations: DataFrame, states: int = 2, restarts: int = 20,
         best = int(np.argmax(np.where(np.isfinite(likelihood), likelihood, -np.inf)))
         order = np.argsort(means[best])
         moves = transition[best][np.ix_(order, order)]
-        row = [name, "ESTIMATED", len(y), means[best][order].tolist(), variances[best][order].tolist(), (moves / moves.sum(axis=1, keepdims=True)).tolist(), initial[best][order].tolist(), float(likelihood[best]), steps]
+        row = [name, "ESTIMATED", len(y), means[best][order].tolist(), variances[best][order].tolist(), (moves / moves.sum(axis=1, keepdims=True)).tolist(), initial[best][order].tolist(), float(likelihood[best]), int(steps[best])]
         return pd.DataFrame([row], columns=names)
 
     names = [part.split()[0] for part in FIT.split(", ")]
@@ -205,8 +229,10 @@ def filtered_states(observations: DataFrame, fits: DataFrame) -> DataFrame:
         one = fit.iloc[0]
         means, variances, initial = (np.asarray(one[c], dtype=float)[None] for c in ("means", "variances", "initial"))
         transition = np.vstack(list(one["transition"])).astype(float)[None]
-        filtered, _ = _forward(_density(rows["value"].to_numpy(float)[:, None, None], means, variances), initial, transition)
-        return rows[["series", "session"]].assign(probabilities=list(filtered[:, 0]), state=filtered[:, 0].argmax(axis=1))
+        with np.errstate(divide="ignore"):
+            mass = log_filter(log_likelihoods(rows["value"].to_numpy(float), means, variances), np.log(initial), np.log(transition))[:, 0]
+        share = np.exp(mass - np.logaddexp.reduce(mass, axis=1)[:, None])
+        return rows[["series", "session"]].assign(probabilities=list(share), state=share.argmax(axis=1))
 
     kind = dict(observations.dtypes)["session"]
     seen = observations.filter("value IS NOT NULL").groupBy("series")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.columns import grown
 from ledgerline.operators.panel import by_symbol, month_end_rows, project
 
 
@@ -52,10 +53,9 @@ def terciles(frame: DataFrame, field: str, history: int | None = 252, need: int
 
 def compounded(returns: DataFrame, window: int, need: int, name: str = "momentum") -> DataFrame:
     """Compounded return of the last ``window`` rows with at least ``need`` observations."""
-    logs = F.sum(F.coalesce(F.log1p("ret"), F.lit(0.0)))
     frame = trailing(window)
     ready = (F.row_number().over(by_symbol()) >= window) & (F.count("ret").over(frame) >= need)
-    return returns.withColumn(name, F.when(ready, F.expm1(logs.over(frame))))
+    return returns.withColumn(name, F.when(ready, grown("ret", frame) - 1))
 
 
 def blended_signs(returns: DataFrame, windows: tuple[int, ...] = (21, 63, 252)) -> DataFrame:
@@ -139,3 +139,28 @@ def ewm_volatility(returns: DataFrame, com: float = 60.0, need: int = 20, period
         return pdf.assign(vol=pdf["ret"].ewm(com=com, adjust=False, min_periods=need).std() * periods**0.5)
 
     return returns.groupBy("symbol").applyInPandas(fold, f"{fields}, vol double")
+
+
+def momentum_state(panel: DataFrame, lookback: int = 252, lag: int = 1) -> DataFrame:
+    """Positive or Negative by the sign of the price change over ``lookback`` rows, ``lag`` rows later."""
+    sign = trend_sign(panel, lookback)
+    state = F.when(F.col("signal") > 0, "Positive").when(F.col("signal") <= 0, "Negative")
+    return sign.withColumn("state", F.lag(state, lag).over(by_symbol()))
+
+
+def mean_correlation(pairs: DataFrame, need: int, lag: int = 1) -> DataFrame:
+    """(session, pairs, mean): mean of the pairs' correlations where at least ``need`` are known, ``lag`` sessions later."""
+    out = pairs.groupBy("session").agg(F.count("corr").alias("pairs"), F.avg("corr").alias("mean"))
+    # One row a session.
+    mean = F.lag(F.when(F.col("pairs") >= need, F.col("mean")), lag).over(Window.orderBy("session"))
+    return out.withColumn("mean", mean)
+
+
+def clipped_t(t: Column, at: float) -> Column:
+    """t over ``at``, at most 1 either way; null stays null."""
+    return F.when(t.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), t / at)))
+
+
+def threshold_t(t: Column, at: float) -> Column:
+    """The sign of t beyond ``at``, 0 inside; null stays null."""
+    return F.when(t > at, 1.0).when(t < -at, -1.0).when(t.isNotNull(), 0.0)

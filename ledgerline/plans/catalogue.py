@@ -184,10 +184,18 @@ def monthly_returns(spark, sf_dir):
     return performance.monthly_returns(paths(spark, sf_dir))
 
 
-@query(f"""WITH {WEALTH}, x AS (SELECT *, CASE WHEN count(ret) {P} ROWS 4 PRECEDING) = 5 THEN exp(sum(ln(1 + ret)) {P} ROWS 4 PRECEDING)) - 1 END AS five, quantile_cont(ret, 0.05) OVER (PARTITION BY member) AS cut, lag(ret) {P}) AS before FROM wealth),
-m AS (SELECT member, count(ret) AS n, exp(sum(ln(1 + ret)) * 252 / count(ret)) - 1 AS cagr, stddev_samp(ret) * sqrt(252::DOUBLE) AS vol, avg(ret) * sqrt(252::DOUBLE) / sqrt(avg(pow(least(ret, 0), 2))) AS sortino, min(drawdown) AS max_drawdown, min(cut) AS var95,
-  avg(ret) FILTER (ret <= cut) AS cvar95, skewness(ret) AS skew, kurtosis(ret) AS excess_kurtosis, corr(ret, before) AS autocorrelation, max(ret) AS best_day, min(ret) AS worst_day, min(five) AS worst_week, avg(ret) / stddev_samp(ret) * sqrt(252::DOUBLE) AS sharpe FROM x GROUP BY member)
-SELECT member, n, {_r('cagr', 'vol', 'sortino', 'max_drawdown', 'var95', 'cvar95', 'skew', 'excess_kurtosis', 'autocorrelation', 'best_day', 'worst_day', 'worst_week', 'sharpe')} FROM m""")
+_PATH = ("years", "vol", "sharpe", "sortino", "downside", "profit_factor", "win_rate", "skew", "excess_kurtosis", "autocorrelation", "max_drawdown", "best_day", "worst_day", "worst_5", "worst_21", "peak_vol", "cagr", "calmar", "hac_sharpe", "var95", "cvar95", "monthly_sharpe", "positive_months", "best_month", "worst_month")
+
+
+@query(f"""WITH {PATHS}, f AS (SELECT *, coalesce(lag(session) {P}), session) AS since, row_number() {P}) AS i, lag(ret) {P}) AS before, product(1 + ret) {P}) AS equity, ret - avg(ret) OVER (PARTITION BY member) AS d, quantile_cont(ret, 0.05) OVER (PARTITION BY member) AS cut FROM paths),
+g AS (SELECT *, equity / greatest(1.0::DOUBLE, max(equity) {P})) - 1 AS dd, {", ".join(f"lag(d, {k}) {P}) AS l{k}" for k in range(1, 22))}, {", ".join(f"CASE WHEN count(ret) {P} ROWS {k - 1} PRECEDING) = {k} THEN product(1 + ret) {P} ROWS {k - 1} PRECEDING) - 1 END AS w{k}" for k in (5, 21))}, CASE WHEN count(ret) {P} ROWS 62 PRECEDING) = 63 THEN stddev_samp(ret) {P} ROWS 62 PRECEDING) END AS v63 FROM f),
+h AS (SELECT *, i - coalesce(max(CASE WHEN NOT dd < 0 THEN i END) {P}), 0) AS streak FROM g), mo AS (SELECT member, date_trunc('month', session) AS m, product(1 + ret) - 1 AS r FROM paths GROUP BY ALL),
+mm AS (SELECT member, avg(r) / stddev_samp(r) * sqrt(12::DOUBLE) AS monthly_sharpe, avg((r > 0)::INT) AS positive_months, max(r) AS best_month, min(r) AS worst_month FROM mo GROUP BY member),
+a AS (SELECT member, count(*) AS n, min(since) AS period_start, greatest(max(session) - min(since), 1) / 365.2425 AS years, product(1 + ret) AS grown, stddev_samp(ret) * sqrt(252::DOUBLE) AS vol, avg(ret) / stddev_samp(ret) * sqrt(252::DOUBLE) AS sharpe, avg(ret) AS mean, avg(ret) * 252 / (sqrt(avg(pow(least(ret, 0), 2))) * sqrt(252::DOUBLE)) AS sortino, sqrt(avg(pow(least(ret, 0), 2))) * sqrt(252::DOUBLE) AS downside,
+  sum(ret) FILTER (ret > 0) / -sum(ret) FILTER (ret < 0) AS profit_factor, avg((ret > 0)::INT) AS win_rate, skewness(ret) AS skew, kurtosis(ret) AS excess_kurtosis, corr(ret, before) AS autocorrelation, min(dd) AS max_drawdown, CAST(max(streak) AS INTEGER) AS max_duration, max(ret) AS best_day, min(ret) AS worst_day, min(w5) AS worst_5, min(w21) AS worst_21, max(v63) * sqrt(252::DOUBLE) AS peak_vol,
+  -any_value(cut) AS var95, -avg(ret) FILTER (ret <= cut) AS cvar95, (sum(d * d) + {" + ".join(f"2 * (1 - {k} / 22.0::DOUBLE) * coalesce(sum(d * l{k}), 0)" for k in range(1, 22))}) / (count(*) - 1) AS lrv FROM h GROUP BY member),
+z AS (SELECT *, pow(grown, 1 / years) - 1 AS cagr, (pow(grown, 1 / years) - 1) / -max_drawdown AS calmar, mean / sqrt(lrv) * sqrt(252::DOUBLE) AS hac_sharpe FROM a JOIN mm USING (member))
+SELECT member, n, period_start, {_r('mean')}, max_duration, {_r(*_PATH)} FROM z""")
 def path_metrics(spark, sf_dir):
     return performance.path_metrics(paths(spark, sf_dir))
 
@@ -221,7 +229,7 @@ def episode_attribution(spark, sf_dir):
 
 @query(f"""WITH {PATHS}, s AS (SELECT member, session, multiplier, ret * multiplier AS ret FROM paths CROSS JOIN (SELECT unnest([0.5, 1.0, 2.0]::DOUBLE[]) AS multiplier)),
 n AS (SELECT *, exp(sum(ln(1 + ret)) OVER w) AS nav FROM s WINDOW w AS (PARTITION BY member, multiplier ORDER BY session)), d AS (SELECT *, nav / greatest(1.0::DOUBLE, max(nav) OVER (PARTITION BY member, multiplier ORDER BY session)) - 1 AS dd FROM n),
-m AS (SELECT member, multiplier, exp(sum(ln(1 + ret)) * 252 / count(ret)) - 1 AS cagr, stddev_samp(ret) * sqrt(252::DOUBLE) AS vol, min(dd) AS max_drawdown FROM d GROUP BY ALL) SELECT member, {_r('multiplier', 'cagr', 'vol', 'max_drawdown')} FROM m""")
+m AS (SELECT member, multiplier, pow(product(1 + ret), 1 / (greatest(max(session) - min(session), 1) / 365.2425)) - 1 AS cagr, stddev_samp(ret) * sqrt(252::DOUBLE) AS vol, min(dd) AS max_drawdown FROM d GROUP BY ALL) SELECT member, {_r('multiplier', 'cagr', 'vol', 'max_drawdown')} FROM m""")
 def rescale_frontier(spark, sf_dir):
     return performance.rescale_frontier(paths(spark, sf_dir), [0.5, 1.0, 2.0])
 
@@ -315,15 +323,22 @@ def hac_se(spark, sf_dir):
     return inference.hac_standard_error(paths(spark, sf_dir))
 
 
-@query(f"""WITH {PATHS}, b AS (SELECT member, ret, ntile(6) OVER (PARTITION BY member ORDER BY session) - 1 AS block FROM paths), s AS (SELECT member, block, count(*) AS n, sum(ret) AS s, sum(ret * ret) AS q FROM b GROUP BY ALL),
-i AS (SELECT unnest(range(6)) AS i), h AS (SELECT [a.i, b.i, c.i] AS half, row_number() OVER (ORDER BY a.i, b.i, c.i) - 1 AS split FROM i a, i b, i c WHERE a.i < b.i AND b.i < c.i),
-t AS (SELECT split, list_contains(half, block) AS inside, member, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM s CROSS JOIN h GROUP BY ALL), r AS (SELECT *, round((s / n) / nullif(sqrt(greatest(q / n - pow(s / n, 2), 0)), 0), 12) AS sharpe FROM t),
-f AS (SELECT split, member AS chosen FROM r WHERE inside QUALIFY row_number() OVER (PARTITION BY split ORDER BY sharpe DESC, member) = 1),
-o AS (SELECT split, member, sharpe, rank() OVER (PARTITION BY split ORDER BY sharpe) - 1 AS below, count(*) OVER (PARTITION BY split, sharpe) AS ties, count(*) OVER (PARTITION BY split) AS many FROM r WHERE NOT inside),
-x AS (SELECT CAST(o.split AS INTEGER) AS split, chosen, (below + (ties + 1) / 2.0::DOUBLE) / (many + 1) AS relative_rank, sharpe AS outside_sharpe FROM o JOIN f ON o.split = f.split AND o.member = f.chosen), z AS (SELECT *, ln(relative_rank / (1 - relative_rank)) AS logit FROM x)
-SELECT split, chosen, {_r('relative_rank', 'outside_sharpe', 'logit')}, logit <= 0 AS overfit FROM z""")
+_SPLITS = """b AS (SELECT member, ret, 15 - CAST(floor((row_number() OVER (PARTITION BY member ORDER BY session DESC) - 1) / (count(*) OVER (PARTITION BY member) // 16)) AS INTEGER) AS block FROM paths), s AS (SELECT member, block, count(*) AS n, sum(ret) AS s, sum(ret * ret) AS q FROM b WHERE block >= 0 GROUP BY ALL),
+h AS (SELECT id FROM (SELECT unnest(range(65536)) AS id) WHERE bit_count(CAST(id AS INTEGER)) = 8), t AS (SELECT id, (id >> (15 - block)) & 1 = 1 AS inside, member, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM s CROSS JOIN h GROUP BY ALL), r AS (SELECT *, round((s / n) / nullif(sqrt(greatest(q / n - pow(s / n, 2), 0)), 0), 12) AS sharpe FROM t),
+f AS (SELECT id, member AS chosen FROM r WHERE inside QUALIFY row_number() OVER (PARTITION BY id ORDER BY sharpe DESC, member) = 1),
+o AS (SELECT id, member, sharpe, rank() OVER (PARTITION BY id ORDER BY sharpe) - 1 AS below, count(*) OVER (PARTITION BY id, sharpe) AS ties, count(*) OVER (PARTITION BY id) AS many FROM r WHERE NOT inside),
+x AS (SELECT 65536 - o.id AS split, chosen, (below + (ties + 1) / 2.0::DOUBLE) / (many + 1) AS relative_rank, sharpe AS outside_sharpe FROM o JOIN f ON o.id = f.id AND o.member = f.chosen), z AS (SELECT *, ln(relative_rank / (1 - relative_rank)) AS logit FROM x)"""
+
+
+@query(f"""WITH {PATHS}, {_SPLITS} SELECT split, chosen, {_r('relative_rank', 'outside_sharpe', 'logit')}, logit <= 0 AS overfit FROM z""")
+def cscv_splits(spark, sf_dir):
+    return inference.cscv_splits(paths(spark, sf_dir))
+
+
+@query(f"""WITH {PATHS}, {_SPLITS}, c AS (SELECT CAST(count(*) AS INTEGER) AS each FROM paths GROUP BY member LIMIT 1)
+SELECT 'ESTIMATED' AS status, '' AS reason, 16 AS blocks, CAST(any_value(each) // 16 AS INTEGER) AS rows_a_block, CAST(any_value(each) % 16 AS INTEGER) AS dropped, 6 AS members, count(*) AS splits, round(avg((logit <= 0)::INT), 6) + 0.0::DOUBLE AS pbo, round(avg((outside_sharpe < 0)::INT), 6) + 0.0::DOUBLE AS loss FROM z, c""")
 def cscv_pbo(spark, sf_dir):
-    return inference.cscv_pbo(paths(spark, sf_dir))
+    return inference.cscv_report(paths(spark, sf_dir), need_members=6, need_rows=12)
 
 
 YEARS = list(range(1993, 1999))
@@ -336,11 +351,6 @@ def walk_forward_select(spark, sf_dir):
     return inference.walk_forward(paths(spark, sf_dir), YEARS)
 
 
-@query()
-def bootstrap_drawdown(spark, sf_dir):
-    return inference.bootstrap_drawdown(paths(spark, sf_dir))
-
-
 LEDGER = f"""{BARS}, pos AS (SELECT symbol, session, close, CASE WHEN volume::BIGINT % 11 = 0 THEN 0 ELSE coalesce(sign(close - lag(close, 21) {W})) * (1 + volume::BIGINT % 3), 0) END::DOUBLE AS position FROM bars),
 ledger AS (SELECT *, coalesce(lag(position) {W}), 0) AS before, coalesce(lag(position) {W}) * (close - lag(close) {W})), 0) AS gross, 0.5::DOUBLE * abs(position - coalesce(lag(position) {W}), 0)) AS cost FROM pos)"""
 TRADES = f"""{LEDGER}, o AS (SELECT *, sign(position) <> sign(before) AND position <> 0 AS opens, sign(position) <> sign(before) AND before <> 0 AS closes FROM ledger), k AS (SELECT *, sum(opens::INT) {W}) AS number FROM o),
@@ -415,6 +425,18 @@ def _stamps(df: DataFrame) -> DataFrame:
 STAMP = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}"
 
 
+@query(f"""WITH {FILLS}, c AS (SELECT root, filled, quantity, CASE WHEN side = 'BUY' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * (price - (bid + ask) / 2) AS shortfall FROM fills), w AS (SELECT root, CAST(floor(date_diff('day', DATE '1970-01-01', filled) / 30) AS INTEGER) * 30 AS d, count(*) AS fills, sum(quantity) AS quantity, sum(quantity * shortfall) AS cost FROM c GROUP BY ALL)
+SELECT root, strftime(DATE '1970-01-01' + d, '%Y-%m-%d %H:%M:%S') AS start, strftime(DATE '1970-01-01' + d + 30, '%Y-%m-%d %H:%M:%S') AS "end", fills, round(quantity, 4) + 0.0::DOUBLE AS quantity, round(cost, 4) + 0.0::DOUBLE AS cost FROM w WHERE DATE '1970-01-01' + d + 30 <= (SELECT max(filled) FROM fills) - INTERVAL 1 HOUR""", places=4)
+def stream_cost_rollup(spark, sf_dir):
+    line = streams.stream(spark, f"{sf_dir}/lineitem.parquet")
+    order, part = read(spark, sf_dir, "orders").select("o_orderkey"), read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
+    joined = line.join(order, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    sign = F.when(F.col("l_returnflag") == "R", -1.0).otherwise(1.0)
+    mid = (F.col("p_retailprice") * 0.999 + F.col("p_retailprice") * 1.001) / 2
+    costs = joined.select(F.col("p_brand").alias("root"), F.col("l_shipdate").alias("ts"), F.col("l_quantity").alias("quantity"), (sign * (F.col("l_extendedprice") / F.col("l_quantity") - mid)).alias("shortfall"))
+    return _stamps(streams.finish(streams.cost_rollup(costs, "root", "30 days"), "costs"))
+
+
 @query(f"""WITH g AS (SELECT *, sum(CASE WHEN ts - before <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)),
 w AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS events FROM g GROUP BY user_id, s) SELECT user_id, {STAMP.format('start')}, {STAMP.format('"end"')}, events FROM w WHERE "end" <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def stream_sessions(spark, sf_dir):
@@ -428,6 +450,6 @@ def stream_window_counts(spark, sf_dir):
 
 
 @query(f"""WITH {ORDER_EVENTS}, l AS (SELECT *, lag(event) OVER (PARTITION BY key ORDER BY ts, event_id) AS before FROM ev)
-SELECT key, event_id, before, event FROM l WHERE NOT ((before IS NULL AND event = 'OUTBOX') OR (before IS NOT NULL AND ((before = 'OUTBOX' AND event IN ('ACK', 'REJECT')) OR (before = 'ACK' AND event IN ('FILL', 'REJECT', 'ACK')) OR (before = 'FILL' AND event IN ('FILL', 'ACK')) OR (before = 'REJECT' AND event = 'OUTBOX'))))""")
+SELECT key, event_id, before, event FROM l WHERE epoch_ms(ts) < epoch_ms((SELECT max(ts) FROM events)) - 3600000 AND NOT ((before IS NULL AND event = 'OUTBOX') OR (before IS NOT NULL AND ((before = 'OUTBOX' AND event IN ('ACK', 'REJECT')) OR (before = 'ACK' AND event IN ('FILL', 'REJECT', 'ACK')) OR (before = 'FILL' AND event IN ('FILL', 'ACK')) OR (before = 'REJECT' AND event = 'OUTBOX'))))""")
 def stream_illegal_transitions(spark, sf_dir):
     return streams.finish(streams.illegal_transitions(_orders(streams.stream(spark, f"{sf_dir}/events.parquet"))), "illegal")

@@ -194,7 +194,7 @@ def weekly_log_returns(spark, sf_dir):
 @query()
 def markov_states(spark, sf_dir):
     weeks = regimes.weekly_log_returns(named_paths(spark, sf_dir)).select(F.col("symbol").alias("series"), F.col("week").alias("session"), F.col("ret").alias("value"))
-    fits = regimes.fit_switching(weeks.filter("session <= DATE '1998-12-31'"), restarts=8, iterations=120, tolerance=1e-6)
+    fits = regimes.fit_switching(weeks.filter("session <= DATE '1998-12-31'"))
     found = regimes.filtered_states(weeks, fits)
     return found.select("series", "session", "state", F.col("probabilities")[0].alias("low"), F.col("probabilities")[1].alias("high"))
 
@@ -303,14 +303,14 @@ def order_intents(spark, sf_dir):
     return out.select("symbol", "current", "target", "capacity", F.col("quantity").cast("long").alias("quantity"), "side", F.col("projected").cast("long").alias("projected"), "gross", "margin_share", "status")
 
 
-FUNDED = f"""{PATHS}, rates AS (SELECT CAST(o_orderdate AS DATE) AS session, 0.01::DOUBLE * (count(*) % 7) AS rate FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1), own AS (SELECT DISTINCT session, true AS own FROM paths), un AS (SELECT session, own, rate FROM own FULL JOIN rates USING (session)),
+FUNDED = f"""{PATHS}, rates AS (SELECT CAST(o_orderdate AS DATE) AS session, 0.01::DOUBLE * (count(*) % 7) AS rate FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1), own AS (SELECT DISTINCT session, true AS own FROM paths), un AS (SELECT session, own, rate FROM own FULL JOIN rates USING (session)),
 fi AS (SELECT session, own, last_value(rate IGNORE NULLS) OVER (ORDER BY session ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS rate FROM un), la AS (SELECT session, lag(rate) OVER (ORDER BY session) AS rate, coalesce(session - lag(session) OVER (ORDER BY session), 0) AS days FROM fi WHERE own),
 ea AS (SELECT session, days, coalesce(rate, 0.0::DOUBLE) AS rate, rate IS NULL AS unrated, coalesce(greatest(rate - 0.002, 0.0::DOUBLE), 0) * days / 360 AS interest FROM la), fu AS (SELECT member, session, ret, days, rate, unrated, CASE WHEN unrated THEN 0.0::DOUBLE ELSE interest END AS interest, ret + CASE WHEN unrated THEN 0.0::DOUBLE ELSE interest END AS funded FROM paths JOIN ea USING (session)),
 fn AS (SELECT *, exp(sum(ln(1 + funded)) {P})) AS nav FROM fu)"""
 
 
 def funded(spark, sf_dir) -> DataFrame:
-    rates = read(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").groupBy(F.col("o_orderdate").cast("date").alias("session")).agg((F.lit(0.01) * (F.count(F.lit(1)) % 7)).alias("rate"))
+    rates = read(spark, sf_dir, "orders").filter("o_orderstatus <> 'F'").groupBy(F.col("o_orderdate").cast("date").alias("session")).agg((F.lit(0.01) * (F.count(F.lit(1)) % 7)).alias("rate"))
     return controls.funded_paths(paths(spark, sf_dir), rates, spread=0.002)
 
 
@@ -342,12 +342,21 @@ def panel_quality(spark, sf_dir):
 # Families --------------------------------------------------------------------
 
 
-@query()
+def _family() -> str:
+    from ledgerline.plans.desk import draws_sql
+
+    return f"""{PATHS}, gp AS MATERIALIZED (SELECT p.member, row_number() OVER (PARTITION BY p.member ORDER BY p.session) - 1 AS position, p.ret - b.ret AS gap FROM paths p JOIN paths b ON b.session = p.session AND b.member = 'AF' WHERE p.member <> 'AF'), {draws_sql('dr', '(SELECT max(position) + 1 FROM gp)', 200, '(SELECT max(position) + 1 FROM gp)', 21, 7)},
+ti AS (SELECT rep, position, count(*) AS times FROM dr GROUP BY ALL), ob AS (SELECT member, count(*) AS n, avg(gap) * 252 AS observed FROM gp GROUP BY member), fd AS (SELECT rep, gp.member, sum(gap * times) / sum(times) * 252 AS draw FROM ti JOIN gp USING (position) GROUP BY ALL), fam AS (SELECT rep, member, n, observed, draw FROM fd JOIN ob USING (member))"""
+
+
+@query(f"""WITH {_family()}, r AS (SELECT rep, max(sqrt(n) * observed) AS statistic, max(sqrt(n) * (draw - observed)) AS resampled FROM fam GROUP BY rep), o AS (SELECT max(statistic) AS statistic, (1 + count(*) FILTER (resampled >= statistic)) / (1 + count(*)) AS p_value, count(*) AS samples FROM r) SELECT {_r('statistic', 'p_value')}, samples FROM o""")
 def reality_check(spark, sf_dir):
     return families.reality_check(families.family_draws(paths(spark, sf_dir), "AF"))
 
 
-@query()
+@query(f"""WITH {_family()}, w AS (SELECT member, sqrt(avg(pow((draw - observed) * sqrt(n), 2))) AS omega, any_value(observed) AS o, any_value(n) AS n FROM fam GROUP BY member), c AS (SELECT member, omega, n, sqrt(n) * o / omega AS t, o AS upper, CASE WHEN sqrt(n) * o / omega >= -sqrt(2 * ln(ln(n::DOUBLE))) THEN o ELSE 0 END AS consistent, greatest(o, 0) AS lower FROM w),
+r AS (SELECT rep, greatest(max(t), 0) AS statistic, greatest(max((draw - upper) * sqrt(c.n) / omega), 0) AS u, greatest(max((draw - consistent) * sqrt(c.n) / omega), 0) AS k, greatest(max((draw - lower) * sqrt(c.n) / omega), 0) AS l FROM fam JOIN c USING (member) GROUP BY rep),
+p AS (SELECT max(statistic) AS statistic, (1 + count(*) FILTER (u >= statistic)) / (1 + count(*)) AS p_upper, (1 + count(*) FILTER (k >= statistic)) / (1 + count(*)) AS p_consistent, (1 + count(*) FILTER (l >= statistic)) / (1 + count(*)) AS p_lower FROM r) SELECT {_r('statistic', 'p_upper', 'p_consistent', 'p_lower')} FROM p""")
 def superior_ability(spark, sf_dir):
     return families.superior_ability(families.family_draws(paths(spark, sf_dir), "AF"))
 
@@ -405,40 +414,44 @@ def sign_null(spark, sf_dir):
 
 E = "OVER (PARTITION BY key ORDER BY ts, event_id"
 VALUES = "ev AS (SELECT user_id AS key, ts, event_id, value FROM events)"
+#: Rows that a watermark of an hour has passed.
+PASSED = "epoch_ms(ts) < epoch_ms((SELECT max(ts) FROM events)) - 3600000"
 
 
 def values(spark, sf_dir) -> DataFrame:
     return streams.stream(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("key"), "ts", "event_id", "value")
 
 
-@query(f"""WITH {VALUES}, n AS (SELECT *, exp(sum(ln(1 + (value - 50) / 1000)) {E})) AS nav FROM ev), p AS (SELECT *, greatest(1.0::DOUBLE, max(nav) {E})) AS peak FROM n), d AS (SELECT key, event_id, nav, nav / peak - 1 AS drawdown FROM p) SELECT key, event_id, {_r('nav', 'drawdown')} FROM d""")
+@query(f"""WITH {VALUES}, n AS (SELECT *, exp(sum(ln(1 + (value - 50) / 1000)) {E})) AS nav FROM ev), p AS (SELECT *, greatest(1.0::DOUBLE, max(nav) {E})) AS peak FROM n), d AS (SELECT key, event_id, nav, nav / peak - 1 AS drawdown FROM p WHERE {PASSED}) SELECT key, event_id, {_r('nav', 'drawdown')} FROM d""")
 def stream_drawdown(spark, sf_dir):
     rows = values(spark, sf_dir).select("key", "ts", "event_id", ((F.col("value") - 50) / 1000).alias("ret"))
     return streams.finish(folds.running_drawdown(rows, ["ts", "event_id"]), "drawdown").select("key", "event_id", "nav", "drawdown")
 
 
 @query(f"""WITH RECURSIVE {VALUES}, n AS (SELECT *, row_number() {E}) AS i FROM ev), h AS (SELECT key, event_id, i, CASE WHEN abs(value) > 0.25 * abs(value) THEN value ELSE 0.0::DOUBLE END AS held FROM n WHERE i = 1
-  UNION ALL SELECT n.key, n.event_id, n.i, CASE WHEN abs(value - held) > 0.25 * greatest(abs(value), abs(held)) THEN value ELSE held END FROM h JOIN n ON n.key = h.key AND n.i = h.i + 1) SELECT key, event_id, {_r('held')} FROM h""")
+  UNION ALL SELECT n.key, n.event_id, n.i, CASE WHEN abs(value - held) > 0.25 * greatest(abs(value), abs(held)) THEN value ELSE held END FROM h JOIN n ON n.key = h.key AND n.i = h.i + 1) SELECT h.key, h.event_id, {_r('held')} FROM h JOIN ev ON ev.event_id = h.event_id WHERE {PASSED}""")
 def stream_dead_band(spark, sf_dir):
     return streams.finish(folds.dead_band(values(spark, sf_dir), ["ts", "event_id"]), "band").select("key", "event_id", "held")
 
 
-@query(f"""WITH {VALUES}, named AS (SELECT key AS symbol, event_id AS session, value FROM ev), {ewm_sql('em', 'named', 'value', 1 / 15)} SELECT symbol AS key, session AS event_id, {_r('mean')}, round(sd, 6) + 0.0::DOUBLE AS deviation FROM em""")
+@query(f"""WITH {VALUES}, named AS (SELECT key AS symbol, event_id AS session, value FROM ev), {ewm_sql('em', 'named', 'value', 1 / 15)} SELECT symbol AS key, session AS event_id, {_r('mean')}, round(sd, 6) + 0.0::DOUBLE AS deviation FROM em JOIN ev ON ev.event_id = em.session WHERE {PASSED}""")
 def stream_ewm(spark, sf_dir):
-    rows = values(spark, sf_dir).select("key", "event_id", "value")
+    rows = values(spark, sf_dir)
     return streams.finish(folds.ewm_moments(rows, ["event_id"], 1 / 15), "ewm").select("key", "event_id", "mean", "deviation")
 
 
-@query("""WITH c AS (SELECT user_id AS key, event_id AS sequence, sha256(concat(event_id, ':', event_type)) AS record_hash, CASE WHEN event_id % 10 = 0 THEN sha256(concat(event_id, ':', event_type)) ELSE sha256(concat(event_id - 1, ':', event_type)) END AS previous_hash FROM events),
-l AS (SELECT *, lag(sequence) OVER (PARTITION BY key ORDER BY sequence) AS s0, lag(record_hash) OVER (PARTITION BY key ORDER BY sequence) AS h0 FROM c) SELECT key, sequence, coalesce(sequence <> s0 + 1, false) AS sequence_break, coalesce(previous_hash <> h0, false) AS hash_break FROM l""")
+@query(f"""WITH c AS (SELECT user_id AS key, ts, event_id AS sequence, sha256(concat(event_id, ':', event_type)) AS record_hash, CASE WHEN event_id % 10 = 0 THEN sha256(concat(event_id, ':', event_type)) ELSE sha256(concat(event_id - 1, ':', event_type)) END AS previous_hash FROM events),
+l AS (SELECT *, lag(sequence) OVER (PARTITION BY key ORDER BY sequence) AS s0, lag(record_hash) OVER (PARTITION BY key ORDER BY sequence) AS h0 FROM c) SELECT key, sequence, coalesce(sequence <> s0 + 1, false) AS sequence_break, coalesce(previous_hash <> h0, false) AS hash_break FROM l WHERE {PASSED}""")
 def stream_chain_breaks(spark, sf_dir):
     own = lambda n: F.sha2(F.concat_ws(":", n, "event_type"), 256)
     e = streams.stream(spark, f"{sf_dir}/events.parquet")
-    rows = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("sequence"), own(F.col("event_id")).alias("record_hash"), F.when(F.col("event_id") % 10 == 0, own(F.col("event_id"))).otherwise(own(F.col("event_id") - 1)).alias("previous_hash"))
+    rows = e.select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("sequence"), own(F.col("event_id")).alias("record_hash"), F.when(F.col("event_id") % 10 == 0, own(F.col("event_id"))).otherwise(own(F.col("event_id") - 1)).alias("previous_hash"))
     return streams.finish(folds.chain_breaks(rows, ["sequence"]), "chain").select("key", "sequence", "sequence_break", "hash_break")
 
 
-@query()
+@query(f"""WITH RECURSIVE {VALUES}, n AS (SELECT *, row_number() {E}) AS i, exp(-0.5 * pow(value - 30, 2) / 400) / sqrt(2 * pi() * 400) AS a, exp(-0.5 * pow(value - 90, 2) / 3600) / sqrt(2 * pi() * 3600) AS b FROM ev),
+f AS (SELECT key, event_id, ts, i, 0.5 * a / (0.5 * a + 0.5 * b) AS low FROM n WHERE i = 1 UNION ALL SELECT n.key, n.event_id, n.ts, n.i, (low * 0.9 + (1 - low) * 0.2) * a / ((low * 0.9 + (1 - low) * 0.2) * a + (low * 0.1 + (1 - low) * 0.8) * b) FROM f JOIN n ON n.key = f.key AND n.i = f.i + 1)
+SELECT key, event_id, {_r('low')}, round(1 - low, 6) + 0.0::DOUBLE AS high FROM f WHERE {PASSED}""")
 def stream_markov_states(spark, sf_dir):
     out = folds.filtered_states(values(spark, sf_dir), ["ts", "event_id"], [30.0, 90.0], [400.0, 3600.0], [[0.9, 0.1], [0.2, 0.8]], [0.5, 0.5])
     return streams.finish(out, "states").select("key", "event_id", F.col("probabilities")[0].alias("low"), F.col("probabilities")[1].alias("high"))

@@ -10,8 +10,14 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; a local one only where no shared folder is set."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-scratch-')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder of ``spark.checkpoint.dir``; only a local session may go without one, and gets a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="spark-scratch-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def write_panel(panel: DataFrame, path: str, form: str = "csv", by: str | None = "symbol") -> None:
@@ -62,3 +68,23 @@ def fingerprint(rows: DataFrame, group: str) -> DataFrame:
     lanes = rows.select(group, own.alias("__h")).select(group, *(F.conv(F.substring("__h", 1 + 8 * k, 8), 16, 10).cast("long").alias(f"__{k}") for k in range(4)))
     sums = lanes.groupBy(group).agg(F.count(F.lit(1)).alias("rows"), *(F.sum(f"__{k}").alias(f"__{k}") for k in range(4)))
     return sums.select(group, "rows", F.concat_ws("-", *(f"__{k}" for k in range(4))).alias("digest"))
+
+
+def scan_field(spark: SparkSession, path: str, fields: dict[str, str], field: str, calendar: DataFrame | None = None, fill: int | None = None) -> DataFrame:
+    """(symbol, session, field) of delimited files: as observed, or with a calendar on its days, filled forward over at most ``fill`` rows.
+
+    Closes are filled, but what was observed, traded prices, volumes and
+    delivery labels are not.
+    """
+    from ledgerline.operators.panel import align
+
+    panel = scan_panel(spark, path, fields)[0].select("symbol", "session", field)
+    if calendar is None:
+        return panel.filter(F.col(field).isNotNull())
+    return align(panel, [field], calendar, fill or 0)
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, sha256) of every file below a folder, for inputs of files that fit in a task."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))

@@ -6,15 +6,12 @@ what is there and returns the rows it has emitted.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators.audit import NEXT
+from ledgerline.sources.files import scratch
+from ledgerline.streaming.folds import fold
 
 
 def stream(spark: SparkSession, path: str) -> DataFrame:
@@ -25,7 +22,7 @@ def stream(spark: SparkSession, path: str) -> DataFrame:
 def finish(rows: DataFrame, name: str) -> DataFrame:
     """Process all that is available, append to Parquet in the shared folder and read it."""
     spark = rows.sparkSession
-    at = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-stream-')}/{name}-{uuid.uuid4().hex}"
+    at = scratch(spark, name)
     run = rows.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state")
     run.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{at}/rows")
@@ -45,22 +42,25 @@ def window_counts(events: DataFrame, key: str, size: str, slide: str, late: str
     return out.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
 
-def illegal_transitions(events: DataFrame) -> DataFrame:
-    """Every event (key, event_id, event, ts) that may not follow the one before it, as it arrives.
+def stale_components(events: DataFrame, component: str, limit: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """(component, since, stale_at, beats): each time that a component has been silent for ``limit``, once the watermark has passed it."""
+    out = activity_sessions(events, component, limit, late)
+    return out.select(component, F.col("start").alias("since"), F.col("end").alias("stale_at"), F.col("events").alias("beats"))
+
+
+def cost_rollup(costs: DataFrame, group: str, size: str, late: str = "1 hour") -> DataFrame:
+    """(group, start, end, fills, quantity, cost): fill costs (ts, quantity, shortfall) in windows that the watermark has passed; cost is shortfall times quantity."""
+    rows = costs.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    out = rows.groupBy(F.window("ts", size).alias("w"), group).agg(F.count(F.lit(1)).alias("fills"), F.sum("quantity").alias("quantity"), F.sum(F.col("quantity") * F.col("shortfall")).alias("cost"))
+    return out.select(group, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "fills", "quantity", "cost")
 
-    The state of a key is its last event.  Within a micro-batch events are put
-    in order of (ts, event_id); over micro-batches arrival decides.
-    """
+
+def illegal_transitions(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Every event (key, event_id, event, ts) that may not follow the one before it, once the watermark has passed it; an event id that repeats while it waits counts once."""
     legal = {(a, b) for a, following in NEXT.items() for b in following} | {(None, "OUTBOX")}
 
-    def fold(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        now = rows["event"].tolist()
-        before = [state.get[0] if state.exists else None, *now[:-1]]
-        state.update((now[-1],))
-        bad = [pair not in legal for pair in zip(before, now, strict=True)]
-        yield pd.DataFrame({"key": rows["key"], "event_id": rows["event_id"], "before": before, "event": now})[bad]
-
-    kinds = dict(events.dtypes)
-    out = f"key {kinds['key']}, event_id {kinds['event_id']}, before string, event string"
-    return events.select("key", "event_id", "event", "ts").groupBy("key").applyInPandasWithState(fold, out, "event string", "append", "NoTimeout")
+    def step(state, row):
+        return row["event"], (state, (state, row["event"]) in legal)
+
+    rows = fold(events.select("key", "event_id", "event", "ts"), ["ts", "event_id"], "before string, legal boolean", step, late)
+    return rows.filter("NOT legal").select("key", "event_id", "before", "event")

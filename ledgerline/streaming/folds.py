@@ -1,34 +1,52 @@
 """Stateful streams that carry a small state per key: drawdown, hash chain, dead band, exponential moments, filtered states.
 
-Each takes a stream of (key, order columns, values) and returns a row for each
-row that arrives.  A key's rows are put in order within a micro-batch; over
-micro-batches arrival decides.
+Each takes a stream of (key, ts, order columns, values) and returns a row for
+each row that the watermark has passed, in order: rows wait in the state until
+no earlier one can come, so the result does not depend on how the stream is cut
+into micro-batches.  A key's waiting rows span the watermark's delay only; of
+rows that repeat the order columns while they wait one is taken.  Rows later
+than the watermark are dropped by the stream.  What a fold has seen of a key
+stays, as a chain or a drawdown has no end.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
-def fold(rows: DataFrame, order: list[str], state: str, out: str, step: Callable) -> DataFrame:
-    """Rows (key, ``order``, others) with what ``step(state or None, row)`` returns: the next state and the values of ``out``, both tuples."""
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    names = [part.split()[0] for part in out.split(", ")]
+def fold(rows: DataFrame, order: list[str], out: str, step: Callable, late: str = "1 hour") -> DataFrame:
+    """Rows (key, ts, ``order``, others) with what ``step(state or None, row)`` returns: the next state, and the values of ``out`` as a tuple."""
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).withColumn("__ms", F.unix_millis("ts"))
+    names = [c for c in rows.columns if c != "__ms"]
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__ms")
+    added = [part.split()[0] for part in out.split(", ")]
+    at, stamp = [rows.columns.index(c) for c in order], rows.columns.index("__ms")
 
     def run(key, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(frames)).sort_values(order)
-        now, values = held.get if held.exists else None, []
-        for row in batch.itertuples(index=False):
+        now, waiting = pickle.loads(held.get[0]) if held.exists else (None, {})
+        for frame in frames:
+            for row in frame.itertuples(index=False, name=None):
+                waiting.setdefault(tuple(row[i] for i in at), row)
+        mark = held.getCurrentWatermarkMs()
+        values = []
+        for place in sorted(p for p, row in waiting.items() if row[stamp] < mark):
+            row = dict(zip(rows_columns, waiting.pop(place), strict=True))
             now, value = step(now, row)
-            values.append(value)
-        held.update(now)
-        yield batch.assign(**{n: [v[i] for v in values] for i, n in enumerate(names)})
+            values.append((*(row[n] for n in names), *value))
+        held.update((pickle.dumps((now, waiting)),))
+        if waiting:
+            held.setTimeoutTimestamp(max(mark, min(row[stamp] for row in waiting.values())))
+        if values:
+            yield pd.DataFrame(values, columns=[*names, *added])
 
-    return rows.groupBy("key").applyInPandasWithState(run, f"{kept}, {out}", state, "append", "NoTimeout")
+    rows_columns = rows.columns
+    return rows.groupBy("key").applyInPandasWithState(run, f"{kept}, {out}", "held binary", "append", "EventTimeTimeout")
 
 
 def running_drawdown(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -36,22 +54,22 @@ def running_drawdown(rows: DataFrame, order: list[str]) -> DataFrame:
 
     def step(state, row):
         nav, peak, under = state or (1.0, 1.0, 0)
-        nav *= 1.0 + row.ret
+        nav *= 1.0 + row["ret"]
         peak = max(peak, nav)
         under = 0 if nav >= peak else under + 1
         return (nav, peak, under), (nav, nav / peak - 1.0, under)
 
-    return fold(rows, order, "nav double, peak double, under int", "nav double, drawdown double, under int", step)
+    return fold(rows, order, "nav double, drawdown double, under int", step)
 
 
 def chain_breaks(rows: DataFrame, order: list[str]) -> DataFrame:
     """Adds whether (sequence, previous_hash, record_hash) breaks the numbers or the links of its chain."""
 
     def step(state, row):
-        broken = (False, False) if state is None else (row.sequence != state[0] + 1, row.previous_hash != state[1])
-        return (int(row.sequence), row.record_hash), broken
+        broken = (False, False) if state is None else (row["sequence"] != state[0] + 1, row["previous_hash"] != state[1])
+        return (int(row["sequence"]), row["record_hash"]), broken
 
-    return fold(rows, order, "sequence long, record_hash string", "sequence_break boolean, hash_break boolean", step)
+    return fold(rows, order, "sequence_break boolean, hash_break boolean", step)
 
 
 def dead_band(rows: DataFrame, order: list[str], width: float = 0.25) -> DataFrame:
@@ -59,17 +77,17 @@ def dead_band(rows: DataFrame, order: list[str], width: float = 0.25) -> DataFra
 
     def step(state, row):
         held = state[0] if state else 0.0
-        held = float(row.value) if abs(row.value - held) > width * max(abs(row.value), abs(held)) else held
+        held = float(row["value"]) if abs(row["value"] - held) > width * max(abs(row["value"]), abs(held)) else held
         return (held,), (held,)
 
-    return fold(rows, order, "held double", "held double", step)
+    return fold(rows, order, "held double", step)
 
 
 def ewm_moments(rows: DataFrame, order: list[str], alpha: float) -> DataFrame:
     """Adds the exponentially weighted mean and bias-corrected deviation of ``value``, the first row with all the weight."""
 
     def step(state, row):
-        x = float(row.value)
+        x = float(row["value"])
         if state is None:
             return (x, 0.0, 1.0), (x, None)
         mean, var, squares = state
@@ -77,7 +95,7 @@ def ewm_moments(rows: DataFrame, order: list[str], alpha: float) -> DataFrame:
         mean, var, squares = mean + alpha * off, (1 - alpha) * (var + alpha * off * off), (1 - alpha) ** 2 * squares + alpha**2
         return (mean, var, squares), (mean, (var / (1 - squares)) ** 0.5)
 
-    return fold(rows, order, "mean double, var double, squares double", "mean double, deviation double", step)
+    return fold(rows, order, "mean double, deviation double", step)
 
 
 def filtered_states(rows: DataFrame, order: list[str], means: list[float], variances: list[float], transition: list[list[float]], initial: list[float]) -> DataFrame:
@@ -86,8 +104,8 @@ def filtered_states(rows: DataFrame, order: list[str], means: list[float], varia
 
     def step(state, row):
         before = start if state is None else np.asarray(state[0]) @ moves
-        now = before * np.exp(-0.5 * (row.value - mu) ** 2 / var) / np.sqrt(2 * np.pi * var)
+        now = before * np.exp(-0.5 * (row["value"] - mu) ** 2 / var) / np.sqrt(2 * np.pi * var)
         now = (now / max(now.sum(), np.finfo(float).tiny)).tolist()
         return (now,), (now,)
 
-    return fold(rows, order, "p array<double>", "probabilities array<double>", step)
+    return fold(rows, order, "probabilities array<double>", step)

@@ -18,23 +18,18 @@ def day(i):
     return DAY + dt.timedelta(days=i)
 
 
-def water_fill(raw, cap):
-    share = np.array(raw, dtype=float) / sum(raw)
-    for _ in range(200):
-        high = share > cap + 1e-15
-        spare, free = (share[high] - cap).sum(), ~high & (share > 0) & (share < cap - 1e-12)
-        share[high] = cap
-        if not free.any():
-            break
-        share[free] += spare * share[free] / share[free].sum()
-    return np.minimum(share, cap)
-
-
 @pytest.mark.parametrize("raw", [[5.0, 3.0, 1.0, 1.0], [9.0, 0.5, 0.3, 0.2], [1.0, 1.0, 1.0, 1.0], [2.0, 1.0, 0.0, 0.0]])
 def test_capped_shares(spark, raw):
+    """A share is at the cap or in one proportion to its size, capped sizes are the largest, and nothing is left unless all are at the cap."""
     df = spark.createDataFrame([(f"s{i}", DAY, r) for i, r in enumerate(raw)], "symbol string, session date, raw double")
     got = [r["budget"] for r in allocation.cap_and_normalise(df, "raw", 0.4).orderBy("symbol").collect()]
-    assert got == pytest.approx(water_fill(raw, 0.4))
+    live = [i for i, r in enumerate(raw) if r > 0]
+    free = [i for i in live if got[i] < 0.4 - 1e-12]
+    assert all(got[i] == 0 for i in range(len(raw)) if i not in live) and max(got) <= 0.4 + 1e-12
+    assert sum(got) == pytest.approx(1.0 if free else min(1.0, 0.4 * len(live)))
+    levels = [got[i] / raw[i] for i in free]
+    assert levels == pytest.approx(levels[:1] * len(levels))
+    assert all(levels[0] * raw[i] >= 0.4 - 1e-12 for i in live if i not in free and levels)
 
 
 def test_capped_shares_of_nothing(spark):
@@ -141,3 +136,111 @@ def test_scan_reports_what_it_cannot_read(spark, tmp_path):
     panel, wrong = files.scan_panel(spark, str(tmp_path), {"session": "date", "close": "double", "volume": "double"})
     assert panel.count() == 2
     assert {(r["field"], r["reason"]) for r in wrong.collect()} == {("session", "repeated"), ("close", "not a finite number"), ("volume", "negative"), ("session", "no date")}
+
+
+def test_superior_ability_of_two_sessions_has_no_p_value(spark):
+    rows = [(r, m, 2, 0.1, 0.1 * r) for m in "ab" for r in range(5)]
+    got = families.superior_ability(spark.createDataFrame(rows, "rep long, member string, n long, observed double, draw double")).first()
+    assert got["p_upper"] is None and got["p_consistent"] is None and got["statistic"] is not None
+
+
+def test_exact_quantiles_of_large_and_small_groups(spark):
+    rng = np.random.default_rng(7)
+    large, small = rng.normal(size=4000).round(2), rng.normal(size=9)
+    rows = [("large", float(v)) for v in large] + [("small", float(v)) for v in small] + [("one", 3.0), ("one", None)]
+    from ledgerline.operators import audit
+
+    df = spark.createDataFrame(rows, "g string, v double")
+    for accuracy in (100, 10_000):  # below and above the size of the large group
+        got = {r["g"]: (r["a"], r["b"], r["c"]) for r in audit.exact_quantiles(df, "g", "v", {"a": 0.05, "b": 0.5, "c": 0.95}, accuracy).collect()}
+        for name, values in (("large", large), ("small", small), ("one", [3.0])):
+            assert got[name] == pytest.approx(np.quantile(values, [0.05, 0.5, 0.95]).tolist())
+
+
+def test_spanning_regression_equals_least_squares(spark):
+    from ledgerline.operators import inference
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 2))
+    y = 0.3 + x @ [1.5, -0.5] + rng.normal(size=200)
+    rows = [(m, day(i), float(v)) for m, column in (("y", y), ("a", x[:, 0]), ("b", x[:, 1])) for i, v in enumerate(column)]
+    got = {r["term"]: r for r in inference.spanning_regression(spark.createDataFrame(rows, "member string, session date, ret double"), "y", lags=3).collect()}
+    design = np.column_stack([np.ones(200), x])
+    beta = np.linalg.lstsq(design, y, rcond=None)[0]
+    error = y - design @ beta
+    score = design * error[:, None]
+    meat = score.T @ score + sum((1 - k / 4) * (score[k:].T @ score[:-k] + score[:-k].T @ score[k:]) for k in (1, 2, 3))
+    bread = np.linalg.inv(design.T @ design)
+    want = np.sqrt(np.diag(bread @ meat @ bread))
+    for i, term in enumerate(("intercept", "a", "b")):
+        assert got[term]["coefficient"] == pytest.approx(beta[i]) and got[term]["se"] == pytest.approx(want[i], rel=1e-6)
+    assert got["a"]["condition"] == pytest.approx(np.linalg.cond(design)) and got["a"]["r2"] == pytest.approx(1 - error.var() / y.var())
+
+
+def test_snapshot_gates_and_validation(spark):
+    from ledgerline.operators import evidence
+
+    at = dt.datetime(2024, 3, 1, 12, tzinfo=dt.timezone.utc)
+    d = at.date()
+    row = dict(contract=" ES-1", root="ES", exchange="cme", currency="usd", seen=at, session=d, bid=-2.0, ask=-1.0, settlement=-1.5, volume=1.0, open_interest=0.0, point_value=50.0, tick_size=0.25, margin=1.0, fee=0.0, delivery="physical", expiry=d + dt.timedelta(9), notice=d + dt.timedelta(8), last_trade=d + dt.timedelta(7), cutoff=at + dt.timedelta(5), spec_from=at - dt.timedelta(1), spec_to=at + dt.timedelta(99))
+    kind = ", ".join(f"{c} {'string' if c in ('contract', 'root', 'exchange', 'currency', 'delivery') else 'timestamp' if c in ('seen', 'cutoff', 'spec_from', 'spec_to') else 'date' if c in ('session', 'expiry', 'notice', 'last_trade') else 'double'}" for c in evidence.SNAPSHOT)
+    make = lambda *rows: spark.createDataFrame([tuple(r[c] for c in evidence.SNAPSHOT) for r in rows], kind)
+    now = "2024-03-01 12:02:00"
+    assert evidence.validated_snapshot(make(row), now).select("contract", "exchange", "delivery").first() == ("ES-1", "CME", "PHYSICAL")
+    broken = {"fresh": {"seen": at - dt.timedelta(minutes=9)}, "identifiers": {"root": "ES-1"}, "market_values": {"ask": float("nan")}, "expiry": {"last_trade": d + dt.timedelta(10)}, "delivery": {"cutoff": at + dt.timedelta(8)}, "effective": {"spec_to": at}, "session": {"session": d - dt.timedelta(3)}, "venue_currency": {"currency": None}}
+    for gate, change in broken.items():
+        failed = {r["gate"] for r in evidence.snapshot_gates(make({**row, **change}), now).filter("status = 'BLOCKED'").collect()}
+        assert gate in failed, gate
+        with pytest.raises(ValueError, match=gate):
+            evidence.validated_snapshot(make({**row, **change}), now)
+    assert {r["gate"]: r["status"] for r in evidence.snapshot_gates(make(), now).collect()}["available"] == "BLOCKED"
+    assert evidence.snapshot_gates(make(row).drop("fee"), now).first()["gate"] == "columns"
+
+
+def test_identity_checks_catch_each_break(spark):
+    from ledgerline.operators import episodes, ledgers
+
+    rows = [("A", day(i), 10.0 + i, 100.0, p) for i, p in enumerate([1.0, 2.0, -1.0, 0.0])]
+    held = episodes.ledger(spark.createDataFrame(rows, "symbol string, session date, close double, volume double, position double"), 0.0).drop("cost")
+    from pyspark.sql import functions as F
+
+    held = held.withColumn("before", F.coalesce(F.lag("position").over(allocation.by_symbol()), F.lit(0.0))).withColumn("roll", F.col("session") == F.lit(day(1))).withColumn("tradeable", F.col("session") != F.lit(day(1)))
+    markets = ledgers.execution_costs(ledgers.roll_turnover(held))
+    assert [r["roll_turnover"] for r in markets.orderBy("session").collect()] == [0.0, 0.0, 4.0, 0.0]
+    daily = ledgers.portfolio(markets, 1000.0, 5.0)
+    spells = episodes.trade_episodes(markets.select("symbol", "session", "position", "gross", "cost"))
+    status = lambda d, m=markets: {r["check"]: r["status"] for r in ledgers.identity_checks(m, d, spells).collect()}
+    assert set(status(daily).values()) == {"PASS"}
+    for column, check in (("gross", "market_gross_to_portfolio"), ("net", "net_result"), ("nav", "nav_recursion"), ("ret", "net_return"), ("fixed", "fixed_and_impact_to_cost")):
+        assert status(daily.withColumn(column, F.col(column) + 1))[check] == "BLOCKED"
+    assert status(daily, markets.withColumn("trade", F.col("trade") + 1))["positions_to_trades"] == "BLOCKED"
+
+
+def test_collateral_checks_pass_and_catch(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerline.operators import controls, reports
+
+    paths = spark.createDataFrame([("p", day(i), 0.01 * (-1) ** i) for i in range(10)], "member string, session date, ret double")
+    rates = spark.createDataFrame([(day(i), 0.05) for i in range(0, 9, 2)], "session date, rate double")
+    funded, stressed = (controls.funded_paths(paths, rates, spread=s) for s in (0.002, 0.012))
+    status = lambda f, s=stressed: {r["check"]: r["status"] for r in reports.collateral_checks(f, s, 0.002, 360, 5).collect()}
+    assert set(status(funded).values()) == {"PASS"}
+    assert status(funded.withColumn("interest", F.col("interest") * 2))["accrual"] == "BLOCKED"
+    assert status(funded.withColumn("days", F.col("days") + 1))["days_complete"] == "BLOCKED"
+    assert status(stressed, funded)["spread_monotone"] == "BLOCKED"
+
+
+def test_manifest_and_fields(spark, tmp_path):
+    import hashlib
+
+    folder = tmp_path / "symbol=A"
+    folder.mkdir()
+    text = "session,close,delivery\n2020-01-01,1.5,202003\n2020-01-03,2.5,\n"
+    (folder / "a.csv").write_text(text)
+    kinds = {"session": "date", "close": "double", "delivery": "int"}
+    days = spark.createDataFrame([(day(i),) for i in range(5)], "session date")
+    assert [r["close"] for r in files.scan_field(spark, str(tmp_path), kinds, "close", days, 1).orderBy("session").collect()] == [1.5, 1.5, 2.5, 2.5, None]
+    assert [r["delivery"] for r in files.scan_field(spark, str(tmp_path), kinds, "delivery").collect()] == [202003]
+    got = files.manifest(spark, str(tmp_path)).first()
+    assert (got["bytes"], got["sha256"]) == (len(text), hashlib.sha256(text.encode()).hexdigest())
