@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -58,7 +59,11 @@ def release(*frames: DataFrame) -> None:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Let shuffle files go whose plans are no longer held; Spark removes them once the driver collects its garbage."""
+    """Let shuffle files go whose plans are no longer held; Spark removes them once the driver collects its garbage.
+
+    A query that has just ended is held until its last events are handled.
+    """
+    time.sleep(0.5)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
