@@ -53,7 +53,7 @@ def path_metrics(paths: DataFrame, start: str | None = None, end: str | None = N
     Growth is annualised by the calendar time since the session before the
     window (or its first, if there is none); Sharpe ratios with the plain, the
     monthly and the Newey-West deviation; tails, moments, drawdown and the best
-    and worst runs.  Figures that are not defined are null.  Sessions without a
+    and worst runs.  A drawdown within rounding of 0 ends a spell.  Figures that are not defined are null.  Sessions without a
     return are left out.
     """
     rows = paths.withColumn("__from", F.coalesce(F.lag("session").over(path_rows()), F.col("session")))
@@ -65,7 +65,7 @@ def path_metrics(paths: DataFrame, start: str | None = None, end: str | None = N
     months = monthly_returns(rows).groupBy("member").agg(F.when(F.stddev_samp("ret") > 0, F.avg("ret") / F.stddev_samp("ret") * 12**0.5).alias("monthly_sharpe"), F.avg((F.col("ret") > 0).cast("double")).alias("positive_months"), F.max("ret").alias("best_month"), F.min("ret").alias("worst_month"))
 
     out = wealth(rows).withColumn("__i", F.row_number().over(path_rows()))
-    out = out.withColumn("__streak", F.col("__i") - F.coalesce(F.max(F.when(~(F.col("drawdown") < 0), F.col("__i"))).over(so_far()), F.lit(0)))
+    out = out.withColumn("__streak", F.col("__i") - F.coalesce(F.max(F.when(~(F.col("drawdown") < -1e-12), F.col("__i"))).over(so_far()), F.lit(0)))
     for k in (5, 21):
         frame = path_rows().rowsBetween(-(k - 1), 0)
         out = out.withColumn(f"__w{k}", F.when(F.count("ret").over(frame) == k, grown("ret", frame) - 1))

@@ -189,7 +189,7 @@ _PATH = ("years", "vol", "sharpe", "sortino", "downside", "profit_factor", "win_
 
 @query(f"""WITH {PATHS}, f AS (SELECT *, coalesce(lag(session) {P}), session) AS since, row_number() {P}) AS i, lag(ret) {P}) AS before, product(1 + ret) {P}) AS equity, ret - avg(ret) OVER (PARTITION BY member) AS d, quantile_cont(ret, 0.05) OVER (PARTITION BY member) AS cut FROM paths),
 g AS (SELECT *, equity / greatest(1.0::DOUBLE, max(equity) {P})) - 1 AS dd, {", ".join(f"lag(d, {k}) {P}) AS l{k}" for k in range(1, 22))}, {", ".join(f"CASE WHEN count(ret) {P} ROWS {k - 1} PRECEDING) = {k} THEN product(1 + ret) {P} ROWS {k - 1} PRECEDING) - 1 END AS w{k}" for k in (5, 21))}, CASE WHEN count(ret) {P} ROWS 62 PRECEDING) = 63 THEN stddev_samp(ret) {P} ROWS 62 PRECEDING) END AS v63 FROM f),
-h AS (SELECT *, i - coalesce(max(CASE WHEN NOT dd < 0 THEN i END) {P}), 0) AS streak FROM g), mo AS (SELECT member, date_trunc('month', session) AS m, product(1 + ret) - 1 AS r FROM paths GROUP BY ALL),
+h AS (SELECT *, i - coalesce(max(CASE WHEN NOT dd < -1e-12 THEN i END) {P}), 0) AS streak FROM g), mo AS (SELECT member, date_trunc('month', session) AS m, product(1 + ret) - 1 AS r FROM paths GROUP BY ALL),
 mm AS (SELECT member, avg(r) / stddev_samp(r) * sqrt(12::DOUBLE) AS monthly_sharpe, avg((r > 0)::INT) AS positive_months, max(r) AS best_month, min(r) AS worst_month FROM mo GROUP BY member),
 a AS (SELECT member, count(*) AS n, min(since) AS period_start, greatest(max(session) - min(since), 1) / 365.2425 AS years, product(1 + ret) AS grown, stddev_samp(ret) * sqrt(252::DOUBLE) AS vol, avg(ret) / stddev_samp(ret) * sqrt(252::DOUBLE) AS sharpe, avg(ret) AS mean, avg(ret) * 252 / (sqrt(avg(pow(least(ret, 0), 2))) * sqrt(252::DOUBLE)) AS sortino, sqrt(avg(pow(least(ret, 0), 2))) * sqrt(252::DOUBLE) AS downside,
   sum(ret) FILTER (ret > 0) / -sum(ret) FILTER (ret < 0) AS profit_factor, avg((ret > 0)::INT) AS win_rate, skewness(ret) AS skew, kurtosis(ret) AS excess_kurtosis, corr(ret, before) AS autocorrelation, min(dd) AS max_drawdown, CAST(max(streak) AS INTEGER) AS max_duration, max(ret) AS best_day, min(ret) AS worst_day, min(w5) AS worst_5, min(w21) AS worst_21, max(v63) * sqrt(252::DOUBLE) AS peak_vol,
