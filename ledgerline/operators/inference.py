@@ -157,6 +157,38 @@ def paired_bootstrap(paths: DataFrame, incumbent: str, samples: int = 200, block
     return spread.join(observed, ["member", "statistic"]).select("member", "statistic", "block", "samples", "estimate", "se", F.least("p05", 2 * e - F.col("p95")).alias("low"), F.greatest("p95", 2 * e - F.col("p05")).alias("high"), (1.645 * F.col("se")).alias("detectable"))
 
 
+def loss_shape_resolution(paths: DataFrame, incumbent: str, samples: int = 100, blocks: tuple[int, ...] = (21, 63), seed: int = 17, periods: int = 252) -> DataFrame:
+    """Every other member less the incumbent in drawdown over volatility, ulcer and pain index, on histories that all of them share: estimate, error, detectable effect and status per mean block length.
+
+    The draws depend on the block length and the number of sessions only, so
+    floors of different members can be compared.  UNRESOLVED without spread.
+    """
+    numbered, length = _numbered(paths)
+    if not length:
+        raise ValueError("the members share no session")
+
+    def shapes(rows: DataFrame, *keys: str) -> DataFrame:
+        by = Window.partitionBy("member", *keys).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+        out = rows.withColumn("nav", grown("ret", by))
+        out = out.withColumn("dd", F.col("nav") / F.greatest(F.lit(1.0), F.max("nav").over(by)) - 1)
+        depth = F.try_divide(-F.min("dd"), F.nullif(F.stddev_samp("ret") * periods**0.5, F.lit(0.0)))
+        out = out.groupBy("member", *keys).agg(depth.alias("a"), F.sqrt(F.avg(F.pow("dd", 2))).alias("b"), F.avg(-F.col("dd")).alias("c"))
+        long = out.select("member", *keys, F.expr("stack(3, 'drawdown_to_vol', a, 'ulcer', b, 'pain', c) AS (statistic, value)"))
+        base = long.filter(F.col("member") == incumbent).select(*keys, "statistic", F.col("value").alias("__b"))
+        return long.filter(F.col("member") != incumbent).join(base, [*keys, "statistic"]).select("member", *keys, "statistic", (F.col("value") - F.col("__b")).alias("delta"))
+
+    observed = shapes(numbered.withColumnRenamed("position", "step")).withColumnRenamed("delta", "estimate")
+    out = None
+    for block in blocks:
+        drawn = stationary_draws(paths.sparkSession, length, samples, length, block, seed).join(numbered, "position")
+        part = shapes(drawn, "rep").withColumn("block", F.lit(block))
+        out = part if out is None else out.unionByName(part)
+    spread = out.groupBy("member", "statistic", "block").agg(F.stddev_samp("delta").alias("se"), F.count("delta").alias("samples"))
+    known = F.coalesce(F.col("se") > 0, F.lit(False))
+    rows = spread.join(observed, ["member", "statistic"])
+    return rows.select("member", "statistic", "block", "samples", "estimate", "se", F.when(known, 1.645 * F.col("se")).alias("detectable"), F.when(~known, "UNRESOLVED").when(F.abs("estimate") > 1.645 * F.col("se"), "DETECTED").otherwise("WITHIN_NOISE").alias("status"))
+
+
 def spanning_regression(paths: DataFrame, subject: str, lags: int = 21, periods: int = 252) -> DataFrame:
     """The subject on all other members at once: one row for each term (intercept first) with its coefficient, Newey-West error and t, and R2, residual volatility and the condition number of the design.
 
@@ -245,14 +277,20 @@ def cscv_report(paths: DataFrame, blocks: int = 16, need_members: int = 10, need
     return cscv_splits(paths, blocks).agg(F.count(F.lit(1)).alias("splits"), F.avg(F.col("overfit").cast("double")).alias("pbo"), F.avg((F.col("outside_sharpe") < 0).cast("double")).alias("loss")).select(*head, "splits", "pbo", "loss")
 
 
-def walk_forward(paths: DataFrame, years: list[int]) -> DataFrame:
-    """Anchored walk-forward: for each test year the member of the best Sharpe ratio on all earlier sessions, and its result in that year.
+def walk_forward(paths: DataFrame, years: list[int], stand_off: int = 0, least: int = 1) -> DataFrame:
+    """Anchored walk-forward: for each test year the member of the best Sharpe ratio on all earlier sessions but the last ``stand_off``, and its result in that year.
 
-    Ties go to the first member by name; folds without training rows are left out.
+    Ties go to the first member by name; folds with fewer than ``least`` training
+    rows are left out.
     """
     folds = paths.withColumn("fold", F.explode(F.array(*map(F.lit, years))))
     year = F.year("session")
-    train = folds.filter(year < F.col("fold")).groupBy("fold", "member").agg(F.round(F.try_divide(F.avg("ret"), F.stddev_pop("ret")), 12).alias("score"), F.count("ret").alias("train_n"))
+    train = folds.filter(year < F.col("fold"))
+    if stand_off or least > 1:
+        back = Window.partitionBy("fold", "member").orderBy(F.desc("session"))
+        train = train.withColumn("__back", F.row_number().over(back)).filter(F.col("__back") > stand_off)
+        train = train.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("fold", "member"))).filter(F.col("__n") >= least)
+    train = train.groupBy("fold", "member").agg(F.round(F.try_divide(F.avg("ret"), F.stddev_pop("ret")), 12).alias("score"), F.count("ret").alias("train_n"))
     best = train.withColumn("__r", F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("score"), "member"))).filter("__r = 1").drop("__r")
     test = folds.filter(year == F.col("fold")).groupBy("fold", "member").agg((grown("ret") - 1).alias("test_return"), F.count("ret").alias("test_n"))
     return best.join(test, ["fold", "member"])

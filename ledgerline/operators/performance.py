@@ -180,12 +180,6 @@ def calendar_boundaries(start: str, end: str, step: int = 1) -> list[dt.date]:
     return inside[::step]
 
 
-def stood_off(train: DataFrame, sessions: int = 44, least: int = 252) -> DataFrame:
-    """Training rows of each member without the last ``sessions`` before the test; members with fewer than ``least`` rows left are left out."""
-    rows = train.withColumn("__back", F.row_number().over(Window.partitionBy("member").orderBy(F.desc("session")))).filter(F.col("__back") > sessions)
-    return rows.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("member"))).filter(F.col("__n") >= least).drop("__back", "__n")
-
-
 def truncation_drift(work: Callable[[DataFrame], DataFrame], panel: DataFrame, cut: Callable[[DataFrame, str], DataFrame], last: str, fields: list[str]) -> DataFrame:
     """(symbol, session, drift, missing) of rows up to ``last``: the largest difference between a computation on the panel as known then and the same rows of the whole computation; 0 if it never looks ahead."""
     whole = work(panel).filter(F.col("session") <= F.lit(last).cast("date")).select("symbol", "session", *(F.col(f).alias(f"__w_{f}") for f in fields))

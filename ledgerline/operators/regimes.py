@@ -111,6 +111,35 @@ def managed_variance(returns: DataFrame, need_days: int = 5, need_months: int =
     return month_end_rows(rows).withColumn("weight", F.when(F.col("months") >= need_months, F.try_divide(F.col("c"), F.col("rv")))).select("symbol", "session", "weight")
 
 
+def fitted_variance_scale(returns: DataFrame, first: str, last: str, window: int = 21, high: float = 1.0, low: float = 0.0, lag: int = 1) -> DataFrame:
+    """Adds ``scale`` and ``status``: c / the mean square of the last ``window`` returns, ``lag`` rows before, clipped.
+
+    c is the deviation of returns over that of returns divided by that variance,
+    on the rows from ``first`` to ``last`` only, and frozen after it.  A symbol
+    with fewer than two such rows, or without spread, is NOT_ESTIMABLE and has no
+    scale.
+    """
+    square = F.col("ret") * F.col("ret")
+    variance = full(F.avg(square), square, trailing(window), window)
+    rows = returns.withColumn("__v", variance).withColumn("__v", F.nullif(F.lag("__v", lag).over(by_symbol()), F.lit(0.0)))
+    inside = F.col("session").between(F.lit(first).cast("date"), F.lit(last).cast("date")) & F.col("__v").isNotNull() & F.col("ret").isNotNull()
+    own, managed = F.when(inside, F.col("ret")), F.when(inside, F.col("ret") / F.col("__v"))
+    # One number a symbol, joined back.
+    fit = rows.groupBy("symbol").agg(F.count(own).alias("__n"), F.stddev_samp(own).alias("__a"), F.stddev_samp(managed).alias("__b"))
+    fit = fit.select("symbol", F.when((F.col("__n") >= 2) & (F.col("__b") > 0), F.col("__a") / F.col("__b")).alias("__c"))
+    scale = F.greatest(F.lit(low), F.least(F.lit(high), F.col("__c") / F.col("__v")))
+    rows = rows.join(fit, "symbol", "left").withColumn("scale", F.when(F.col("__c").isNotNull() & F.col("__v").isNotNull(), scale))
+    return rows.withColumn("status", F.when(F.col("__c").isNotNull(), "ESTIMATED").otherwise("NOT_ESTIMABLE")).drop("__v", "__c")
+
+
+def decision_scale(returns: DataFrame, target: float = 0.12, window: int = 126, month: int = 21) -> DataFrame:
+    """(symbol, session, scale) at month ends: the monthly target over the volatility of a month, from the mean square of the last ``window`` returns; not capped."""
+    square = F.col("ret") * F.col("ret")
+    spread = F.sqrt(month * full(F.avg(square), square, trailing(window), window))
+    rows = returns.withColumn("scale", F.when(spread > 0, target / 12**0.5 / spread))
+    return month_end_rows(rows).select("symbol", "session", "scale")
+
+
 def outcomes_by_state(monthly: DataFrame, window: int = 12, need: int = 36) -> DataFrame:
     """Per symbol and state of (symbol, session, ret), one row a month: outcomes under expanding thirds of the volatility known a month before."""
     vol = full(F.stddev_samp("ret"), "ret", trailing(window), window) * 12**0.5

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.operators import allocation, episodes, inference, ledgers, performance, regimes, reports, rolling, terms
+from ledgerline.operators import allocation, episodes, inference, ledgers, performance, regimes, reports, rolling, signals, terms
 from ledgerline.operators.panel import align, by_symbol, month_end_rows, truncate
-from ledgerline.plans.catalogue import LEDGER, MONTHS, P, RETURNS, STATE, TRADES, VOL, WEALTH, W, _r, query, returns, trades, vol_states
+from ledgerline.plans.catalogue import draws_sql, LEDGER, MONTHS, P, RETURNS, STATE, TRADES, VOL, WEALTH, W, _r, query, returns, trades, vol_states
 from ledgerline.plans.evidence import CATALOGUE, RATES, _catalogue, _rates
-from ledgerline.sources.views import BARS, PATHS, bars, paths, read
+from ledgerline.plans.studies import CHANGES, clip, ewm_sql, over, with_trend
+from ledgerline.sources.views import BARS, PATHS, bars, paths
 
 # Ledgers -----------------------------------------------------------------------
 
@@ -313,13 +314,6 @@ def trend_t_signals(spark, sf_dir):
 # Resampling ---------------------------------------------------------------------------
 
 
-def draws_sql(name: str, length: str, samples: int, horizon: int | str, block: int, seed: int) -> str:
-    """CTE ``name`` (rep, step, position): the stationary draws of the operators."""
-    pick = lambda salt: f"('0x' || substr(md5('{seed}:{salt}:{block}:' || rep || ':' || step), 1, 8))::BIGINT"
-    return f"""{name}0 AS MATERIALIZED (SELECT rep, step, step = 0 OR {pick(1)} * {block} < 4294967296 AS fresh, {pick(2)} % {length} AS spot FROM (SELECT unnest(range({samples})) AS rep) CROSS JOIN (SELECT unnest(range({horizon})) AS step)),
-{name} AS MATERIALIZED (SELECT rep, step, (last_value(CASE WHEN fresh THEN spot END IGNORE NULLS) OVER (PARTITION BY rep ORDER BY step) + step - last_value(CASE WHEN fresh THEN step END IGNORE NULLS) OVER (PARTITION BY rep ORDER BY step)) % {length} AS position FROM {name}0)"""
-
-
 NUMBERED = f"""{PATHS}, num AS MATERIALIZED (SELECT member, row_number() {P}) - 1 AS position, ret FROM paths)"""
 SESSIONS = "(SELECT count(DISTINCT session) FROM paths)"
 
@@ -370,3 +364,51 @@ def paired_bootstrap(spark, sf_dir):
 @query()
 def spanning_regression(spark, sf_dir):
     return inference.spanning_regression(paths(spark, sf_dir), "AF")
+
+
+def _shape(name: str, rows: str, keys: str) -> str:
+    """CTEs ending in ``name`` (member, keys, x): loss shapes of rows (member, keys, step, ret), less the incumbent's."""
+    k = f", {keys}" if keys else ""
+    by = f"OVER (PARTITION BY member{k} ORDER BY step)"
+    on = f"a.statistic = b.statistic{f' AND a.{keys} = b.{keys}' if keys else ''}"
+    return f"""{name}1 AS (SELECT *, product(1 + ret) {by} AS nav FROM {rows}), {name}2 AS (SELECT *, nav / greatest(1.0::DOUBLE, max(nav) {by}) - 1 AS dd FROM {name}1),
+{name}3 AS (SELECT member{k}, unnest([{{'s': 'drawdown_to_vol', 'v': -min(dd) / nullif(stddev_samp(ret) * sqrt(252::DOUBLE), 0)}}, {{'s': 'ulcer', 'v': sqrt(avg(dd * dd))}}, {{'s': 'pain', 'v': avg(-dd)}}]) AS x FROM {name}2 GROUP BY member{k}), {name}4 AS (SELECT member{k}, x.s AS statistic, x.v AS value FROM {name}3),
+{name} AS (SELECT a.member{f', a.{keys}' if keys else ''}, a.statistic, a.value - b.value AS delta FROM {name}4 a JOIN {name}4 b ON {on} AND b.member = 'AF' WHERE a.member <> 'AF')"""
+
+
+@query(f"""WITH {NUMBERED}, {draws_sql('d21', SESSIONS, 100, SESSIONS, 21, 17)}, {draws_sql('d63', SESSIONS, 100, SESSIONS, 63, 17)}, r21 AS (SELECT member, rep, step, ret FROM d21 JOIN num USING (position)), r63 AS (SELECT member, rep, step, ret FROM d63 JOIN num USING (position)), r0 AS (SELECT member, position AS step, ret FROM num),
+{_shape('s21', 'r21', 'rep')}, {_shape('s63', 'r63', 'rep')}, {_shape('s0', 'r0', '')}, u AS (SELECT 21 AS block, * FROM s21 UNION ALL SELECT 63, * FROM s63), g AS (SELECT member, statistic, block, stddev_samp(delta) AS se, count(delta) AS samples FROM u GROUP BY ALL), j AS (SELECT g.*, s0.delta AS estimate FROM g JOIN s0 ON s0.member = g.member AND s0.statistic = g.statistic)
+SELECT member, statistic, CAST(block AS INTEGER) AS block, samples, {_r('estimate', 'se')}, round(1.645 * se, 6) + 0.0::DOUBLE AS detectable, CASE WHEN abs(estimate) > 1.645 * se THEN 'DETECTED' ELSE 'WITHIN_NOISE' END AS status FROM j""")
+def loss_shape_resolution(spark, sf_dir):
+    return inference.loss_shape_resolution(paths(spark, sf_dir), "AF")
+
+
+@query(f"""WITH {PATHS}, y AS (SELECT unnest([1997, 1998, 1999, 2000]) AS fold), b AS (SELECT fold, member, ret, row_number() OVER (PARTITION BY fold, member ORDER BY session DESC) AS back FROM paths JOIN y ON year(session) < fold), t AS (SELECT fold, member, round(avg(ret) / nullif(stddev_pop(ret), 0), 12) AS score, count(*) AS train_n FROM b WHERE back > 44 GROUP BY ALL HAVING count(*) >= 500),
+c AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY fold ORDER BY score DESC, member) = 1), te AS (SELECT fold, member, product(1 + ret) - 1 AS test_return, count(*) AS test_n FROM paths JOIN y ON year(session) = fold GROUP BY ALL) SELECT CAST(fold AS INTEGER) AS fold, member, {_r('score')}, train_n, {_r('test_return')}, test_n FROM c JOIN te USING (fold, member)""")
+def stand_off_select(spark, sf_dir):
+    return inference.walk_forward(paths(spark, sf_dir), [1997, 1998, 1999, 2000], stand_off=44, least=500)
+
+
+NAMED = f"""{PATHS}, nr AS (SELECT member AS symbol, session, ret FROM paths)"""
+
+
+@query(f"""WITH {NAMED}, v AS (SELECT *, CASE WHEN count(ret) {W} ROWS 20 PRECEDING) >= 21 THEN avg(ret * ret) {W} ROWS 20 PRECEDING) END AS m FROM nr), l AS (SELECT symbol, session, ret, nullif(lag(m) {W}), 0) AS v FROM v), f AS (SELECT symbol, stddev_samp(ret) / stddev_samp(ret / v) AS c FROM l WHERE session BETWEEN DATE '1995-06-01' AND DATE '1997-12-31' AND v IS NOT NULL GROUP BY symbol)
+SELECT symbol, session, round(CASE WHEN v IS NOT NULL THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, c / v)) END, 6) + 0.0::DOUBLE AS scale, 'ESTIMATED' AS status FROM l JOIN f USING (symbol)""")
+def fitted_variance_scale(spark, sf_dir):
+    rows = paths(spark, sf_dir).withColumnRenamed("member", "symbol")
+    return regimes.fitted_variance_scale(rows, "1995-06-01", "1997-12-31").select("symbol", "session", "scale", "status")
+
+
+@query(f"""WITH {NAMED}, v AS (SELECT symbol, session, CASE WHEN count(ret) {W} ROWS 125 PRECEDING) >= 126 THEN sqrt(21 * avg(ret * ret) {W} ROWS 125 PRECEDING)) END AS s, row_number() OVER (PARTITION BY symbol, date_trunc('month', session) ORDER BY session DESC) AS r FROM nr) SELECT symbol, session, round(CASE WHEN s > 0 THEN 0.12::DOUBLE / sqrt(12::DOUBLE) / s END, 6) + 0.0::DOUBLE AS scale FROM v WHERE r = 1""")
+def decision_scale(spark, sf_dir):
+    return regimes.decision_scale(paths(spark, sf_dir).withColumnRenamed("member", "symbol"))
+
+
+@query(f"""WITH {CHANGES}, {ewm_sql('ev', 'ch', 'change', signals.span(60), 60)}, v AS (SELECT ch.symbol, ch.session, close, mid, trend, nullif(sd, 0) AS sd FROM ch LEFT JOIN ev ON ev.symbol = ch.symbol AND ev.session = ch.session),
+h AS (SELECT *, lag(trend, 2) {W}) / lag(sd, 2) {W}) * (mid - lag(close) {W})) + lag(trend) {W}) / lag(sd) {W}) * (close - mid) AS res FROM v), w AS (SELECT *, sqrt({over('avg(res * res)', 'res', 63)}) AS own FROM h),
+m AS (SELECT symbol, session, {clip('trend * CASE WHEN own > 0 THEN least(0.5::DOUBLE, 1 / own) END', -1, 1)} AS capped, {clip('trend * CASE WHEN own > 0 THEN 1 / own END', -1, 1)} AS relaxed FROM w) SELECT symbol, session, {_r('capped', 'relaxed')}, round(capped - relaxed, 6) + 0.0::DOUBLE AS bound FROM m""")
+def forecast_stages(spark, sf_dir):
+    panel = with_trend(spark, sf_dir).withColumnRenamed("mid", "open")
+    capped = signals.risk_managed_forecast(panel, cap=0.5).select("symbol", "session", F.col("managed").alias("capped"))
+    relaxed = signals.risk_managed_forecast(panel, cap=float("inf")).select("symbol", "session", F.col("managed").alias("relaxed"))
+    return capped.join(relaxed, ["symbol", "session"]).withColumn("bound", F.col("capped") - F.col("relaxed"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import allocation, controls, families, performance, regimes, rolling, signals
 from ledgerline.operators.panel import align, by_symbol, month_end_rows
-from ledgerline.plans.catalogue import LEDGER, MONTHS, P, TRADES, WEALTH, W, _r, query, trades
+from ledgerline.plans.catalogue import draws_sql, LEDGER, MONTHS, P, TRADES, WEALTH, W, _r, query, trades
 from ledgerline.sources.files import fingerprint, scan_panel, scratch, write_panel
 from ledgerline.sources.views import BARS, PATHS, bars, paths, read
 from ledgerline.streaming import events as streams
@@ -343,8 +343,6 @@ def panel_quality(spark, sf_dir):
 
 
 def _family() -> str:
-    from ledgerline.plans.desk import draws_sql
-
     return f"""{PATHS}, gp AS MATERIALIZED (SELECT p.member, row_number() OVER (PARTITION BY p.member ORDER BY p.session) - 1 AS position, p.ret - b.ret AS gap FROM paths p JOIN paths b ON b.session = p.session AND b.member = 'AF' WHERE p.member <> 'AF'), {draws_sql('dr', '(SELECT max(position) + 1 FROM gp)', 200, '(SELECT max(position) + 1 FROM gp)', 21, 7)},
 ti AS (SELECT rep, position, count(*) AS times FROM dr GROUP BY ALL), ob AS (SELECT member, count(*) AS n, avg(gap) * 252 AS observed FROM gp GROUP BY member), fd AS (SELECT rep, gp.member, sum(gap * times) / sum(times) * 252 AS draw FROM ti JOIN gp USING (position) GROUP BY ALL), fam AS (SELECT rep, member, n, observed, draw FROM fd JOIN ob USING (member))"""
 
