@@ -61,11 +61,13 @@ def release(*frames: DataFrame) -> None:
 def sweep(spark: SparkSession) -> None:
     """Let shuffle files go whose plans are no longer held; Spark removes them once the driver collects its garbage.
 
-    A query that has just ended is held until its last events are handled.
+    The first collection lets go of what holds the plan of a query that has just
+    ended, the second of the plan.
     """
-    time.sleep(0.5)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        time.sleep(0.3)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
