@@ -19,6 +19,11 @@ that stays.  Spans are joined for the report only after that.
 
 Suffixes whose 25 words occur once are dropped by a count that combines before
 the shuffle; only the others fetch their surroundings from the texts.
+
+A key of very many suffixes is not sorted in one task: all LENGTH-word windows
+about its places are hashed instead, and those that occur at two places or more
+are spans.  Digests are counted before the shuffle, and the join that finds
+their places again deals each key of many rows over several tasks.
 """
 
 from __future__ import annotations
@@ -37,7 +42,8 @@ from ledgerline.llm.common import chunks, materialise, release, sweep, table
 LENGTH = 50
 KEY = LENGTH // 2
 SPAN = LENGTH - KEY + 1  # window of the minimisers, and reach of the extension
-_MAX = np.uint64(2**64 - 1)
+#: A key of at least so many suffixes is crowded: its surroundings fill about 64 MB, Spark's advised size of a shuffle partition.  If more than CROWDED_MAX keys are, the bar is doubled until they fit.
+CROWDED, CROWDED_MAX = 250_000, 100_000
 
 
 def _slide(a: np.ndarray, size: int, pick) -> np.ndarray:
@@ -163,6 +169,42 @@ def _islands(spans: DataFrame, reach: int) -> DataFrame:
     return spans.withColumn("group", F.sum(F.when(F.col("start") <= F.col("__far") + reach, 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("__far")
 
 
+def _bar(counts: DataFrame) -> tuple[int, int]:
+    """From how many rows on a key of ``counts`` (..., n) is crowded, and how many keys are."""
+    bar = CROWDED
+    while (many := counts.filter(F.col("n") >= bar).count()) > CROWDED_MAX:
+        bar *= 2
+    return bar, many
+
+
+def _spread(rows: DataFrame, counts: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` (key, pos, ...) joined with the keys of ``counts`` (by, n, ...); a crowded key is dealt over about n / bar shares."""
+    bar, many = _bar(counts)
+    if not many:
+        return rows.join(counts, by)
+    shares = F.floor(F.col("n") / bar).cast("int")
+    marked = rows.join(F.broadcast(counts.filter(F.col("n") >= bar).select(*by, (shares + 1).alias("__shares"))), by, "left")
+    dealt = marked.withColumn("__share", F.coalesce(F.pmod(F.xxhash64("key", "pos"), F.col("__shares")), F.lit(0)).cast("int")).drop("__shares")
+    return dealt.join(counts.withColumn("__share", F.explode(F.sequence(F.lit(0), shares))), [*by, "__share"]).drop("__share")
+
+
+def _around(places: DataFrame, by_key) -> DataFrame:
+    """Repeated LENGTH-word windows about the places (key, crowded): key, start, end, other."""
+    at = places.select("key", F.explode("crowded").alias("pos"))
+    spans = at.select("key", F.greatest(F.col("pos") - (LENGTH - KEY), F.lit(0)).alias("start"), (F.col("pos") + LENGTH).alias("end"))
+    # Spans that share LENGTH - 1 words or more are one, so that no window is hashed twice.
+    spans = _islands(spans, 1 - LENGTH).groupBy("key", "group").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    windows = _windows(by_key(spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("runs"))))
+    found = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.count("key").alias("__keyed"), F.min("key").alias("__low"), F.max("key").alias("__high"), F.min("pos").alias("__first"), F.max("pos").alias("__last"))
+    several = F.coalesce(F.col("__low") != F.col("__high"), F.lit(False)) | (F.col("__first") != F.col("__last")) | ((F.col("__keyed") > 0) & (F.col("__keyed") < F.col("n")))
+    digests = materialise(found.filter(several).select("h1", "h2", "n", "__low", "__high"), "suffix-digests")
+    other = F.when(F.col("key").eqNullSafe(F.col("__low")), F.col("__high")).otherwise(F.col("__low"))
+    repeated = _spread(windows, digests, ["h1", "h2"]).select("key", F.col("pos").alias("start"), (F.col("pos") + LENGTH).alias("end"), other.alias("other"))
+    own = materialise(_islands(repeated, 1 - LENGTH).groupBy("key", "group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("other").alias("other")).drop("group"), "suffix-crowded")
+    release(digests)
+    return own
+
+
 def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every passage of at least LENGTH words that occurs elsewhere: key, start, end (words, end exclusive), other, first.
 
@@ -178,19 +220,24 @@ def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     found = suffixes(docs)
-    repeated = found.groupBy("h").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("h")
-    places = materialise(found.join(repeated, "h").groupBy("key").agg(F.collect_set("pos").alias("places")), "suffix-places")
+    counts = materialise(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "suffix-keys")
+    bar, many = _bar(counts)
+    sets = (F.collect_set(F.when(F.col("n") < bar, F.col("pos"))).alias("places"), F.collect_set(F.when(F.col("n") >= bar, F.col("pos"))).alias("crowded"))
+    places = materialise(_spread(found, counts, ["h"]).groupBy("key").agg(*sets), "suffix-places")
+    release(counts)
     sweep(df.sparkSession)
     by_key = lambda own: docs.join(own.withColumnRenamed("key", "__key"), F.col("key").eqNullSafe(F.col("__key"))).drop("__key")
     # Both orders read one shuffle of these rows, which has a short lineage.
-    rows = _surroundings(by_key(places)).repartition("h")
+    rows = _surroundings(by_key(places.filter(F.size("places") > 0).select("key", "places"))).repartition("h")
     pairs = _compare(rows, "after").unionByName(_compare(rows, "before"))
     same = F.col("key").eqNullSafe(F.col("other"))
     pairs = pairs.filter(~(same & (F.col("start") == F.col("other_start"))))
     own = pairs.groupBy("key", "start", "end").agg(F.min("other").alias("other"))
+    around = _around(places.filter(F.size("crowded") > 0), by_key) if many else None
+    own = own.unionByName(around) if many else own
     # Spans that share all but one of LENGTH words have no window between them that neither holds.
     runs = materialise(_islands(own, 1 - LENGTH).groupBy("key", "group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("other").alias("other")).drop("group"), "suffix-runs")
-    release(places)
+    release(places, *([around] if many else []))
     sweep(df.sparkSession)
 
     windows = _windows(by_key(runs.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("runs"))))

@@ -203,7 +203,9 @@ def test_short_lines_and_lines_of_short_sentences_are_units(spark):
     assert got == {0: texts[0][1], 1: "one\n\ntwo", 2: "\nthree", 3: "four\n\n\n\n", 4: texts[4][1]}
 
 
-def test_passages_equal_brute_force(docs, empty):
+@pytest.mark.parametrize("crowded", [suffixes.CROWDED, 3, 2])
+def test_passages_equal_brute_force(docs, empty, monkeypatch, crowded):
+    monkeypatch.setattr(suffixes, "CROWDED", crowded)
     seen = {}
     for i, text, *_ in corpus():
         w = words(text)
@@ -215,7 +217,9 @@ def test_passages_equal_brute_force(docs, empty):
     assert suffixes.repeated_passages(empty).count() == 0
 
 
-def test_removing_later_passages_leaves_one_of_each(spark):
+@pytest.mark.parametrize("crowded", [suffixes.CROWDED, 10])
+def test_removing_later_passages_leaves_one_of_each(spark, monkeypatch, crowded):
+    monkeypatch.setattr(suffixes, "CROWDED", crowded)
     p, q = prose(60, 800), prose(70, 801)
     texts = [(i, f"{prose(30, 900 + i)} {p} {prose(30, 1000 + i)}") for i in range(100, 140)]
     texts += [(50, f"{p} {q}"), (20, f"{prose(30, 1)} {q} {prose(30, 2)}"), (60, f"{q} {p}"), (None, f"{p} {p}")]
@@ -468,7 +472,9 @@ def test_quality_edge_cases(spark, empty):
     assert quality.score_quality(empty, model).count() == 0
 
 
-def test_units_and_passages_of_null_keys_and_repeated_rows(spark):
+@pytest.mark.parametrize("crowded", [suffixes.CROWDED, 2])
+def test_units_and_passages_of_null_keys_and_repeated_rows(spark, monkeypatch, crowded):
+    monkeypatch.setattr(suffixes, "CROWDED", crowded)
     line, text = "a line that stays", prose(60, 300)
     df = spark.createDataFrame([(None, line), (4, line), (4, line), (9, None)], "doc_id long, text string")
     assert [(r["key"], r["kept_key"]) for r in unit_dedup.repeated_units(df).collect()] == [(None, 4)]
