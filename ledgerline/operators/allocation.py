@@ -24,6 +24,19 @@ def capacity(panel: DataFrame, field: str = "turnover", limit: float = 0.02, win
     return out.withColumn("capacity", F.col("median") * limit)
 
 
+def trade_bounds(panel: DataFrame, limit: float = 0.1, window: int = 60, whole: bool = True) -> DataFrame:
+    """Adds ``rebalance_bound`` and ``session_bound``: the share ``limit`` of the median volume before the row and of its own volume, in whole contracts if ``whole``; and ``bound``, the smaller.
+
+    A missing volume (null or NaN) counts as 0, and so does an infinite one for its own session; without a full window before it the rebalance has no bound yet (null), and neither has the row.
+    """
+    out = panel.withColumn("__volume", F.when(~F.isnan("volume"), F.col("volume")))
+    out = capacity(out, "__volume", limit, window).withColumnsRenamed({"capacity": "rebalance_bound"}).drop("median")
+    out = out.withColumn("session_bound", F.when(F.abs("__volume") < float("inf"), F.col("__volume") * limit).otherwise(0.0)).drop("__volume")
+    if whole:
+        out = out.withColumns({c: F.floor(c).cast("double") for c in ("rebalance_bound", "session_bound")})
+    return out.withColumn("bound", F.when(F.col("rebalance_bound").isNotNull(), F.least("rebalance_bound", "session_bound")))
+
+
 def cap_and_normalise(rows: DataFrame, raw: str, cap: float, out: str = "budget") -> DataFrame:
     """Adds shares of one per session in proportion to ``raw``, none above ``cap``; what a capped symbol gives up goes to the others.
 

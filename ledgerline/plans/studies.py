@@ -133,6 +133,15 @@ def capacity(spark, sf_dir):
     return allocation.capacity(bars(spark, sf_dir)).select("symbol", "session", "median", "capacity")
 
 
+@query(f"""WITH {BARS}, v AS (SELECT symbol, session, CASE WHEN volume::BIGINT % 7 <> 0 THEN volume END AS volume FROM bars), f AS (SELECT *, coalesce(volume, 0) AS filled FROM v), m AS (SELECT *, {over('quantile_cont(filled, 0.5)', '1', 60)} AS m FROM f),
+b AS (SELECT symbol, session, floor(lag(m) {W}) * 0.125) AS rebalance_bound, floor(coalesce(volume, 0) * 0.125) AS session_bound FROM m)
+SELECT symbol, session, {_r('rebalance_bound', 'session_bound')}, round(CASE WHEN rebalance_bound IS NOT NULL THEN least(rebalance_bound, session_bound) END, 6) AS bound FROM b""")
+def trade_bounds(spark, sf_dir):
+    # Sessions without a volume are needed too: one in seven is taken as missing.
+    rows = bars(spark, sf_dir).withColumn("volume", F.when(F.col("volume").cast("long") % 7 != 0, F.col("volume")))
+    return allocation.trade_bounds(rows, 0.125).select("symbol", "session", "rebalance_bound", "session_bound", "bound")
+
+
 @query(f"""WITH {PATHS}, p AS (SELECT member AS symbol, session, ret, row_number() {W.replace('symbol', 'member')}) > 200 AS member FROM paths), g AS (SELECT *, round({over('sum(ret)', 'ret', 63)}, 9) > 0 AS up, {over('stddev_pop(ret)', 'ret', 63)} * sqrt(252::DOUBLE) AS v FROM p),
 l AS (SELECT *, lag(v) {W}) AS vol FROM g), r AS (SELECT *, CASE WHEN member AND vol IS NOT NULL THEN 1 / greatest(vol, 0.01::DOUBLE) ELSE 0.0::DOUBLE END AS raw FROM l), {fill_sql('r', 'raw', 0.25)},
 b AS (SELECT symbol, session, ret, CASE WHEN coalesce(up, false) THEN budget ELSE 0.0::DOUBLE END AS budget FROM fill), k AS (SELECT *, coalesce(lag(budget) {W}), 0) AS held FROM b),

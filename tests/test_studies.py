@@ -32,6 +32,15 @@ def test_capped_shares(spark, raw):
     assert all(levels[0] * raw[i] >= 0.4 - 1e-12 for i in live if i not in free and levels)
 
 
+def test_trade_bounds(spark):
+    rows = [("A", day(i), v) for i, v in enumerate([40.0, 20.0, None, 99.0, float("nan"), 35.0])]
+    got = allocation.trade_bounds(spark.createDataFrame(rows, "symbol string, session date, volume double"), 0.1, window=2).orderBy("session").collect()
+    # Medians of two rows, missing volumes as 0: 30, 10, 49.5, 49.5.
+    assert [r["session_bound"] for r in got] == [4, 2, 0, 9, 0, 3]
+    assert [r["rebalance_bound"] for r in got] == [None, None, 3, 1, 4, 4]
+    assert [r["bound"] for r in got] == [None, None, 0, 1, 0, 3]
+
+
 def test_capped_shares_of_nothing(spark):
     df = spark.createDataFrame([("a", DAY, None), ("b", DAY, -1.0), ("c", DAY, float("nan"))], "symbol string, session date, raw double")
     assert [r["budget"] for r in allocation.cap_and_normalise(df, "raw", 0.4).collect()] == [0.0] * 3
