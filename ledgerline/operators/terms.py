@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.operators.allocation import scaled_to_volatility
 from ledgerline.operators.panel import by_symbol, month_end_rows
 
 
@@ -99,6 +100,14 @@ def decisions(panel: DataFrame, weight: str, price: str = "close", point_value:
     return month_end_rows(panel).select("symbol", "session", contracts_per_dollar(F.col(weight), F.col(price), F.col(point_value)).alias("per_dollar"))
 
 
+def blended_decisions(panel: DataFrame, blend: DataFrame, monthly: DataFrame) -> DataFrame:
+    """(symbol, session, weight, per_dollar) at month ends: a ``blend`` (symbol, month, signal, vol) under one volatility target, in contracts; 0 where a symbol takes no part."""
+    weights = scaled_to_volatility(blend.select("symbol", "month", "signal", "vol"), monthly).select("symbol", "month", "weight")
+    ends = month_end_rows(panel).withColumn("month", F.trunc("session", "month")).join(weights, ["symbol", "month"], "left")
+    weight = F.coalesce("weight", F.lit(0.0))
+    return ends.select("symbol", "session", weight.alias("weight"), contracts_per_dollar(weight, F.col("close"), F.col("point_value_usd")).alias("per_dollar"))
+
+
 def overlaid(decided: DataFrame, overlay: DataFrame) -> DataFrame:
     """Decisions times the overlay's (session, weight); 1 where it has none."""
     joined = decided.join(overlay.select("session", F.col("weight").alias("__w")), "session", "left")

@@ -9,7 +9,7 @@ from ledgerline.operators import allocation, episodes, inference, ledgers, perfo
 from ledgerline.operators.panel import align, by_symbol, month_end_rows, truncate
 from ledgerline.plans.catalogue import draws_sql, LEDGER, MONTHS, P, RETURNS, STATE, TRADES, VOL, WEALTH, W, _r, query, returns, trades, vol_states
 from ledgerline.plans.evidence import CATALOGUE, RATES, _catalogue, _rates
-from ledgerline.plans.studies import CHANGES, clip, ewm_sql, over, with_trend
+from ledgerline.plans.studies import CHANGES, M, clip, ewm_sql, over, with_trend
 from ledgerline.sources.views import BARS, PATHS, bars, paths
 
 # Ledgers -----------------------------------------------------------------------
@@ -133,6 +133,23 @@ def equal_notional_decisions(spark, sf_dir):
     return terms.decisions(panel, "weight").select("symbol", "session", (F.col("per_dollar") * 1e6).alias("per_million"))
 
 
+@query(f"""WITH {TERMED}, steps AS (SELECT symbol, session, ln(close / lag(close) {W})) AS lr FROM bars), mr AS (SELECT symbol, CAST(date_trunc('month', session) AS DATE) AS month, sum(lr) AS lr, exp(sum(lr)) - 1 AS ret FROM steps WHERE lr IS NOT NULL GROUP BY ALL),
+g AS (SELECT symbol, month, count(ret) {M} ROWS 11 PRECEDING) AS n, (sign(round(lr, 9)) + sign(round(sum(lr) {M} ROWS 2 PRECEDING), 9)) + sign(round(sum(lr) {M} ROWS 11 PRECEDING), 9))) / 3.0::DOUBLE AS signal, stddev_samp(ret) {M} ROWS 11 PRECEDING) * sqrt(12::DOUBLE) AS vol FROM mr),
+h AS (SELECT g.symbol, g.month, g.signal, g.vol, m.month AS of_month, m.ret, count(m.ret) OVER (PARTITION BY g.symbol, g.month) AS months FROM g JOIN mr m ON m.symbol = g.symbol AND m.month <= g.month AND m.month > g.month - INTERVAL 36 MONTH WHERE n = 12 AND vol > 0),
+c AS (SELECT *, count(*) OVER (PARTITION BY month, of_month) AS live FROM h WHERE months = 36), r AS (SELECT *, signal * 0.4 / vol / live AS raw FROM c WHERE live >= 2), t AS (SELECT month, of_month, sum(raw * ret) AS r FROM r GROUP BY ALL), e AS (SELECT month, sqrt(var_samp(r) * 12) AS ex_ante FROM t GROUP BY month HAVING sqrt(var_samp(r) * 12) > 0),
+o AS (SELECT DISTINCT r.symbol, r.month, raw * 0.1 / ex_ante AS weight FROM r JOIN e USING (month)), w AS (SELECT *, CAST(date_trunc('month', session) AS DATE) AS month, row_number() OVER (PARTITION BY symbol, date_trunc('month', session) ORDER BY session DESC) AS k FROM tm)
+SELECT w.symbol, w.session, round(coalesce(weight, 0), 6) + 0.0::DOUBLE AS weight, round(coalesce(weight / nullif(abs(close * pv), 0), 0) * 1e6, 6) + 0.0::DOUBLE AS per_million FROM w LEFT JOIN o ON o.symbol = w.symbol AND o.month = w.month WHERE k = 1""")
+def blended_decisions(spark, sf_dir):
+    own = bars(spark, sf_dir)
+    step = own.withColumn("lr", F.ln(F.col("close") / F.lag("close").over(by_symbol()))).filter("lr IS NOT NULL")
+    m = step.groupBy("symbol", F.trunc("session", "month").alias("month")).agg(F.sum("lr").alias("lr")).withColumn("ret", F.exp("lr") - 1)
+    back = lambda n: Window.partitionBy("symbol").orderBy("month").rowsBetween(1 - n, 0)
+    signs = [F.signum(F.round(F.sum("lr").over(back(n)), 9)) for n in (1, 3, 12)]
+    blend = m.withColumns({"n": F.count("ret").over(back(12)), "signal": sum(signs, F.lit(0.0)) / 3, "vol": F.stddev_samp("ret").over(back(12)) * 12**0.5}).filter("n = 12")
+    out = terms.blended_decisions(_termed(spark, sf_dir, own), blend, m.select("symbol", "month", "ret"))
+    return out.select("symbol", "session", "weight", (F.col("per_dollar") * 1e6).alias("per_million"))
+
+
 @query(f"""WITH {TERMED}, ret AS (SELECT symbol, session, close / lag(close) {W}) - 1 AS ret, sign(close - lag(close, 252) {W})) AS signal FROM bars), v AS (SELECT *, CASE WHEN count(ret) {W} ROWS 62 PRECEDING) >= 63 THEN sqrt(avg(ret * ret) {W} ROWS 62 PRECEDING) * 252) END AS vol FROM ret),
 u AS (SELECT symbol, session, CASE WHEN signal IS NOT NULL AND vol > 0 THEN signal * 0.1::DOUBLE / vol / sum(CASE WHEN signal IS NOT NULL AND vol > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY session) END AS weight FROM v),
 d AS (SELECT tm.symbol, tm.session, coalesce(weight / nullif(abs(close * pv), 0), 0) * 1e6 AS per_million, row_number() OVER (PARTITION BY tm.symbol, date_trunc('month', tm.session) ORDER BY tm.session DESC) AS r FROM tm JOIN u ON u.symbol = tm.symbol AND u.session = tm.session),
