@@ -19,13 +19,31 @@ def stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def finish(rows: DataFrame, name: str) -> DataFrame:
-    """Process all that is available, append to Parquet in the shared folder and read it."""
+#: The store that timers and typed state need.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def start(rows: DataFrame, at: str, **trigger):
+    """Start a query that appends to Parquet under ``at``; rows with an outcome go to a folder for each."""
     spark = rows.sparkSession
-    at = scratch(spark, name)
-    run = rows.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state")
-    run.outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{at}/rows")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    try:
+        out = rows.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").outputMode("append")
+        return (out.partitionBy("outcome") if "outcome" in rows.columns else out).trigger(**trigger).start()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def finish(rows: DataFrame, name: str, outcome: str | None = "seen", **trigger) -> DataFrame:
+    """Process all that is available, append to Parquet in the shared folder and read it: rows of one outcome, or (None) all with theirs.
+
+    A stream with timers of the clock has no end, so it takes ``once=True``: one batch.
+    """
+    at = scratch(rows.sparkSession, name)
+    start(rows, at, **(trigger or {"availableNow": True})).awaitTermination()
+    out = rows.sparkSession.read.schema(rows.schema).parquet(f"{at}/rows")
+    return out.filter(F.col("outcome") == outcome).drop("outcome") if outcome and "outcome" in out.columns else out
 
 
 def activity_sessions(events: DataFrame, key: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
@@ -56,11 +74,13 @@ def cost_rollup(costs: DataFrame, group: str, size: str, late: str = "1 hour") -
 
 
 def illegal_transitions(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Every event (key, event_id, event, ts) that may not follow the one before it, once the watermark has passed it; an event id that repeats while it waits counts once."""
+    """Every event (key, event_id, event, ts) that may not follow the one before it, once the watermark has passed it.
+
+    An event id that repeats while it waits counts once; the repeated and the late events have outcomes of their own."""
     legal = {(a, b) for a, following in NEXT.items() for b in following} | {(None, "OUTBOX")}
 
     def step(state, row):
         return row["event"], (state, (state, row["event"]) in legal)
 
-    rows = fold(events.select("key", "event_id", "event", "ts"), ["ts", "event_id"], "before string, legal boolean", step, late)
-    return rows.filter("NOT legal").select("key", "event_id", "before", "event")
+    rows = fold(events.select("key", "event_id", "event", "ts"), ["ts", "event_id"], "before string, legal boolean", step, late, ["ts", "event_id"])
+    return rows.filter("NOT coalesce(legal, false)").select("key", "event_id", "before", "event", "outcome")

@@ -1,11 +1,19 @@
-"""Stateful streams that carry a small state per key: drawdown, hash chain, dead band, exponential moments, filtered states.
+"""Stateful streams that carry a small state per key: drawdown, hash chain, dead band, exponential moments, filtered states, orders.
 
 Each takes a stream of (key, ts, order columns, values) and returns a row for
-each row that the watermark has passed, in order: rows wait in the state until
-no earlier one can come, so the result does not depend on how the stream is cut
-into micro-batches.  A key's waiting rows span the watermark's delay only; of
-rows that repeat the order columns while they wait one is taken.  Rows later
-than the watermark are dropped by the stream.  What a fold has seen of a key
+each row that comes in, with its ``outcome``:
+
+* ``seen``: the fold has taken it.  Rows wait in the state until the watermark
+  has passed them, and are taken in order, so the result does not depend on how
+  the stream is cut into micro-batches.  Rows that share their order columns are
+  all taken, in the order of their values.
+* ``repeat``: it repeats the ``unique`` columns of a row of its key that waits
+  beside it; its values of the fold are null.
+* ``late``: the watermark had passed it when it came; values null as well.
+
+Nothing is dropped: ``events.finish`` writes the outcomes into folders of their
+own.  A key's waiting rows span the watermark's delay only, by minute, and a
+trigger reads and writes the minutes it touches.  What a fold has seen of a key
 stays, as a chain or a drawdown has no end.
 """
 
@@ -18,35 +26,86 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
+
+_MINUTE = 60_000
+
+
+class _Fold(StatefulProcessor):
+    """State: what ``step`` returned last, and the rows that wait, by minute."""
+
+    def __init__(self, columns: list[str], names: list[str], order: list[str], unique: list[str], added: list[str], step: Callable) -> None:
+        self.columns, self.names, self.added, self.step = columns, names, added, step
+        self.order, self.unique, self.stamp = [columns.index(c) for c in order], [columns.index(c) for c in unique], columns.index("ms__")
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.now = handle.getValueState("now", "value binary")
+        self.waiting = handle.getMapState("waiting", "minute long", "rows binary")
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[*self.names, *self.added, "outcome"])
 
+    def _own(self, row: tuple) -> tuple:
+        return tuple(row[self.columns.index(n)] for n in self.names)
 
-def fold(rows: DataFrame, order: list[str], out: str, step: Callable, late: str = "1 hour") -> DataFrame:
-    """Rows (key, ts, ``order``, others) with what ``step(state or None, row)`` returns: the next state, and the values of ``out`` as a tuple."""
-    rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).withColumn("__ms", F.unix_millis("ts"))
-    names = [c for c in rows.columns if c != "__ms"]
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__ms")
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        mark, minutes, late = timerValues.getCurrentWatermarkInMs(), {}, []
+        for frame in rows:
+            for row in frame[self.columns].itertuples(index=False, name=None):
+                if not row[self.stamp] >= mark:  # nor has a time
+                    late.append((*self._own(row), *[None] * len(self.added), "late"))
+                else:
+                    minutes.setdefault(int(row[self.stamp]) // _MINUTE, []).append(row)
+        for minute, fresh in minutes.items():
+            held = pickle.loads(self.waiting.getValue((minute,))[0]) if self.waiting.containsKey((minute,)) else []
+            self.waiting.updateValue((minute,), (pickle.dumps(held + fresh),))
+            self.handle.registerTimer(min(int(row[self.stamp]) for row in fresh))
+        if late:
+            yield self._frame(late)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark, passed = timerValues.getCurrentWatermarkInMs(), []
+        for minute in [k[0] for k in self.waiting.keys()]:
+            if minute * _MINUTE >= mark:
+                continue
+            held = pickle.loads(self.waiting.getValue((minute,))[0])
+            rest = [row for row in held if row[self.stamp] >= mark]
+            passed += [row for row in held if row[self.stamp] < mark]
+            if rest:
+                self.waiting.updateValue((minute,), (pickle.dumps(rest),))
+                self.handle.registerTimer(min(int(row[self.stamp]) for row in rest))
+            else:
+                self.waiting.removeKey((minute,))
+        if not passed:
+            return
+        now = pickle.loads(self.now.get()[0]) if self.now.exists() else None
+        values, seen = [], set()
+        # Nulls first; rows that tie are in the order of what they hold.
+        for row in sorted(passed, key=lambda r: ([(r[i] is not None, r[i]) for i in self.order], repr(r))):
+            mine = tuple(row[i] for i in self.unique)
+            if self.unique and mine in seen:
+                values.append((*self._own(row), *[None] * len(self.added), "repeat"))
+                continue
+            seen.add(mine)
+            now, value = self.step(now, dict(zip(self.columns, row, strict=True)))
+            values.append((*self._own(row), *value, "seen"))
+        self.now.update((pickle.dumps(now),))
+        yield self._frame(values)
+
+    def close(self) -> None:
+        pass
+
+
+def fold(rows: DataFrame, order: list[str], out: str, step: Callable, late: str = "1 hour", unique: list[str] | None = None) -> DataFrame:
+    """Rows (key, ts, ``order``, others) with what ``step(state or None, row)`` returns (the next state, and the values of ``out`` as a tuple) and ``outcome``."""
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    # The copy is no event time to Spark, which would drop late rows before the fold sees them.
+    rows = rows.withColumn("ts", F.timestamp_micros(F.unix_micros("ts"))).withColumn("ms__", F.unix_millis("ts"))
+    names = [c for c in rows.columns if c != "ms__"]
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "ms__")
     added = [part.split()[0] for part in out.split(", ")]
-    at, stamp = [rows.columns.index(c) for c in order], rows.columns.index("__ms")
-
-    def run(key, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        now, waiting = pickle.loads(held.get[0]) if held.exists else (None, {})
-        for frame in frames:
-            for row in frame.itertuples(index=False, name=None):
-                waiting.setdefault(tuple(row[i] for i in at), row)
-        mark = held.getCurrentWatermarkMs()
-        values = []
-        for place in sorted(p for p, row in waiting.items() if row[stamp] < mark):
-            row = dict(zip(rows_columns, waiting.pop(place), strict=True))
-            now, value = step(now, row)
-            values.append((*(row[n] for n in names), *value))
-        held.update((pickle.dumps((now, waiting)),))
-        if waiting:
-            held.setTimeoutTimestamp(max(mark, min(row[stamp] for row in waiting.values())))
-        if values:
-            yield pd.DataFrame(values, columns=[*names, *added])
-
-    rows_columns = rows.columns
-    return rows.groupBy("key").applyInPandasWithState(run, f"{kept}, {out}", "held binary", "append", "EventTimeTimeout")
+    return rows.groupBy("key").transformWithStateInPandas(_Fold(rows.columns, names, order, unique or [], added, step), f"{kept}, {out}, outcome string", "Append", "EventTime")
 
 
 def running_drawdown(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -109,3 +168,89 @@ def filtered_states(rows: DataFrame, order: list[str], means: list[float], varia
         return (now,), (now,)
 
     return fold(rows, order, "probabilities array<double>", step)
+
+
+_TERMINAL = {"FILLED", "REJECTED", "CANCELLED"}
+
+
+def order_states(events: DataFrame, late: str = "1 hour", remember_ms: int = 30 * 86_400_000) -> DataFrame:
+    """What every event of an order does: a stream of (key: the order, ts, event_id, event, quantity) with verdict, status and filled after it.
+
+    An order is OUTBOX (its quantity is the requested one), ACK, FILL until
+    that is reached, or REJECT or CANCEL.  ``verdict``: applied; duplicate (the
+    order has had that event id within ``remember_ms``); overfilled (a fill
+    beyond the requested quantity); illegal (any other event that may not come
+    now, and unknown ones).  Only applied events change the order.  Late ones
+    have the outcome ``late`` and no verdict.
+    """
+
+    def step(state, row):
+        status, requested, filled, ids = state or (None, 0, 0, {})
+        ids = {k: at for k, at in ids.items() if at >= row["ms__"] - remember_ms}
+        event, quantity = row["event"], 0 if pd.isna(row["quantity"]) else int(row["quantity"])
+        if row["event_id"] is not None and row["event_id"] in ids:
+            return (status, requested, filled, ids), ("duplicate", status, filled)
+        if row["event_id"] is not None:
+            ids[row["event_id"]] = row["ms__"]
+        verdict = "illegal"
+        if event == "OUTBOX" and status is None:
+            status, requested, verdict = "PERSISTED", quantity, "applied"
+        elif event == "ACK" and status == "PERSISTED":
+            status, verdict = "ACKNOWLEDGED", "applied"
+        elif event == "FILL" and status in ("ACKNOWLEDGED", "PARTIAL"):
+            verdict = "overfilled" if filled + quantity > requested else "applied"
+            if verdict == "applied":
+                filled += quantity
+                status = "FILLED" if filled == requested else "PARTIAL"
+        elif event in ("REJECT", "CANCEL") and status is not None and status not in _TERMINAL:
+            status, verdict = "REJECTED" if event == "REJECT" else "CANCELLED", "applied"
+        return (status, requested, filled, ids), (verdict, status, filled)
+
+    return fold(events.select("key", "ts", "event_id", "event", "quantity"), ["ts", "event_id"], "verdict string, status string, filled long", step, late)
+
+
+class _Freshness(StatefulProcessor):
+    """State: the newest heartbeat and the status last told; a processing-time timer for when it grows stale."""
+
+    def __init__(self, limit_ms: int) -> None:
+        self.limit = limit_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ms long")
+
+    def _told(self, key, last: int, now: int) -> pd.DataFrame:
+        age = now - last
+        reason = "heartbeat is in the future" if age < 0 else "heartbeat is stale" if age > self.limit else "heartbeat is healthy"
+        row = (key[0], "PASS" if 0 <= age <= self.limit else "BLOCKED", pd.Timestamp(last, unit="ms"), pd.Timestamp(now, unit="ms"), age / 1000, reason)
+        return pd.DataFrame([row], columns=["component", "status", "last", "told_at", "age_seconds", "reason"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        before = self.last.get()[0] if self.last.exists() else None
+        last = max([int(frame["ms__"].max()) for frame in rows if len(frame)] + ([before] if before is not None else []))
+        self.last.update((last,))
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if last + self.limit + 1 > now:
+            self.handle.registerTimer(last + self.limit + 1)
+        yield self._told(key, last, now)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._told(key, self.last.get()[0], timerValues.getCurrentProcessingTimeInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def freshness(heartbeats: DataFrame, component: str, limit_seconds: float) -> DataFrame:
+    """(component, status, last, told_at, age_seconds, reason) of a stream with ``ts``, by the clock of the machine.
+
+    A row is told for each trigger that brings a component's heartbeats, and one
+    without any further event once the newest is older than the limit: PASS, or
+    BLOCKED as stale or from the future.  Heartbeats without a component or a
+    time tell nothing.
+    """
+    rows = heartbeats.select(F.col(component).cast("string").alias("component"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms__")).filter("component IS NOT NULL AND ms__ IS NOT NULL")
+    out = "component string, status string, last timestamp, told_at timestamp, age_seconds double, reason string"
+    return rows.groupBy("component").transformWithStateInPandas(_Freshness(round(limit_seconds * 1000)), out, "Append", "ProcessingTime")
