@@ -277,20 +277,21 @@ def cscv_report(paths: DataFrame, blocks: int = 16, need_members: int = 10, need
     return cscv_splits(paths, blocks).agg(F.count(F.lit(1)).alias("splits"), F.avg(F.col("overfit").cast("double")).alias("pbo"), F.avg((F.col("outside_sharpe") < 0).cast("double")).alias("loss")).select(*head, "splits", "pbo", "loss")
 
 
-def walk_forward(paths: DataFrame, years: list[int], stand_off: int = 0, least: int = 1) -> DataFrame:
+def walk_forward(paths: DataFrame, years: list[int], stand_off: int = 0, least: int = 1, by: list[str] | None = None) -> DataFrame:
     """Anchored walk-forward: for each test year the member of the best Sharpe ratio on all earlier sessions but the last ``stand_off``, and its result in that year.
 
     Ties go to the first member by name; folds with fewer than ``least`` training
-    rows are left out.
+    rows are left out.  ``by``: columns whose values each choose on their own.
     """
     folds = paths.withColumn("fold", F.explode(F.array(*map(F.lit, years))))
-    year = F.year("session")
+    key, year = [*(by or []), "fold"], F.year("session")
+    own = [*key, "member"]
     train = folds.filter(year < F.col("fold"))
     if stand_off or least > 1:
-        back = Window.partitionBy("fold", "member").orderBy(F.desc("session"))
+        back = Window.partitionBy(*own).orderBy(F.desc("session"))
         train = train.withColumn("__back", F.row_number().over(back)).filter(F.col("__back") > stand_off)
-        train = train.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("fold", "member"))).filter(F.col("__n") >= least)
-    train = train.groupBy("fold", "member").agg(F.round(F.try_divide(F.avg("ret"), F.stddev_pop("ret")), 12).alias("score"), F.count("ret").alias("train_n"))
-    best = train.withColumn("__r", F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("score"), "member"))).filter("__r = 1").drop("__r")
-    test = folds.filter(year == F.col("fold")).groupBy("fold", "member").agg((grown("ret") - 1).alias("test_return"), F.count("ret").alias("test_n"))
-    return best.join(test, ["fold", "member"])
+        train = train.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*own))).filter(F.col("__n") >= least)
+    train = train.groupBy(*own).agg(F.round(F.try_divide(F.avg("ret"), F.stddev_pop("ret")), 12).alias("score"), F.count("ret").alias("train_n"))
+    best = train.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "member"))).filter("__r = 1").drop("__r")
+    test = folds.filter(year == F.col("fold")).groupBy(*own).agg((grown("ret") - 1).alias("test_return"), F.count("ret").alias("test_n"))
+    return best.join(test, own)
