@@ -127,3 +127,18 @@ def monitoring(heartbeats: DataFrame, required: list[str], as_of: str, limit_sec
     age = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("last")
     joined = wanted.join(last, component, "left").withColumn("age_seconds", age)
     return joined.withColumn("status", F.when((age >= 0) & (age <= limit_seconds), "PASS").otherwise("BLOCKED"))
+
+
+def continuity(canonical: DataFrame, extension: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """One row per root of the extension: shared_sessions, largest_difference, status and detail, from two frames of (root, session, value).
+
+    PASS if both agree within the tolerance where they overlap; BLOCKED if they
+    differ, share no session with values, or the root is unknown.
+    """
+    known = canonical.select("root").distinct().withColumn("__known", F.lit(True))
+    joined = extension.select("root", "session", F.col("value").alias("__e")).join(canonical.select("root", "session", F.col("value").alias("__c")), ["root", "session"]).dropna()
+    gaps = joined.groupBy("root").agg(F.count(F.lit(1)).alias("shared_sessions"), F.max(F.abs(F.col("__c") - F.col("__e"))).alias("largest_difference"))
+    out = extension.select("root").distinct().join(known, "root", "left").join(gaps, "root", "left")
+    detail = F.when(F.col("__known").isNull(), "the root is not in the canonical history").when(F.col("shared_sessions").isNull(), "no shared sessions").when(F.col("largest_difference") > tolerance, "the series was anchored anew").otherwise("continues the canonical series")
+    status = F.when(F.col("largest_difference") <= tolerance, "PASS").otherwise("BLOCKED")
+    return out.select("root", F.coalesce("shared_sessions", F.lit(0)).alias("shared_sessions"), "largest_difference", status.alias("status"), detail.alias("detail"))

@@ -163,3 +163,72 @@ def panel_quality(panel: DataFrame, field: str = "close") -> DataFrame:
     rows = rows.withColumn("__length", F.sum(F.col("__same").cast("int")).over(Window.partitionBy("symbol", "__run")))
     there = F.when(F.col(field).isNotNull(), F.col("session"))
     return rows.groupBy("symbol").agg(F.min(there).alias("first"), F.max(there).alias("last"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col(field).isNull()).alias("missing"), F.count_if("__same").alias("unchanged"), F.max("__length").alias("longest_unchanged"))
+
+
+def assess_batches(orders: DataFrame, batches: DataFrame, snapshot: DataFrame, positions: DataFrame, participation: float = 0.02, max_age_seconds: float = 300.0, safety_days: int = 5, gross_limit: float = 5.0, margin_limit: float = 0.35) -> DataFrame:
+    """One row per order with what blocks it: participation, reduces, gross and margin multiples of its batch, status, reasons.
+
+    ``orders``: batch, order_id, contract, root, side (BUY or SELL), quantity,
+    order_type, limit_price, decided_at, reduce_only, roll_id.  ``batches``:
+    batch, as_of, nav.  ``snapshot``: one row a contract with root, volume, bid,
+    ask, notional, margin, deadline, exchange, currency.  ``positions``: one row
+    a (batch, contract) with position.
+
+    An order reduces if it is marked so and, by the position, shrinks it without
+    crossing zero; others may not lie within the safety days of the deadline.
+    Totals are those of the batch if all its orders on known contracts pass;
+    beyond a limit only reducing orders go on.  A roll is one reducing and one
+    opening leg of one root and quantity, into a later contract of the same
+    exchange and currency.  Order ids and contracts may not repeat in a batch.
+    """
+    terms = snapshot.select("contract", F.col("root").alias("__root"), "volume", "bid", "ask", "notional", "margin", "deadline", "exchange", "currency", F.lit(True).alias("__known"))
+    rows = orders.join(batches, "batch").join(terms, "contract", "left").join(positions.select("batch", "contract", "position"), ["batch", "contract"], "left")
+    rows = rows.withColumn("position", F.coalesce("position", F.lit(0))).withColumn("__known", F.coalesce("__known", F.lit(False)))
+    rows = rows.withColumn("__signed", F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))).withColumn("__after", F.col("position") + F.col("__signed"))
+    shrinks = (F.col("position") != 0) & (F.abs("__after") < F.abs("position")) & (F.signum("__after") * F.signum("position") >= 0)
+    rows = rows.withColumn("reduces", F.col("__known") & F.coalesce(F.col("reduce_only"), F.lit(False)) & shrinks).withColumn("participation", F.when(F.col("__known") & (F.col("volume") > 0), F.col("quantity") / F.col("volume")))
+
+    # What repeats within a batch: counted by the key that repeats, then by batch.
+    def repeats(column: str, name: str) -> DataFrame:
+        return rows.groupBy("batch", column).agg(F.count(F.lit(1)).alias("__c")).groupBy("batch").agg((F.max("__c") > 1).alias(name))
+
+    moved = rows.filter("__known").groupBy("batch", "contract").agg(F.sum("__signed").alias("__moved"))
+    held = positions.select("batch", "contract", "position").join(moved, ["batch", "contract"], "full_outer").na.fill(0, ["position", "__moved"]).join(terms.select("contract", "notional", "margin", "__known"), "contract", "left")
+    now, then = F.abs("position"), F.abs(F.col("position") + F.col("__moved"))
+    unknown = F.col("__known").isNull() & ((now != 0) | (then != 0))
+    total = held.groupBy("batch").agg(F.sum(now * F.col("notional")).alias("__g0"), F.sum(then * F.col("notional")).alias("__g"), F.sum(then * F.col("margin")).alias("__m"), F.max(unknown.cast("int")).alias("__unknown"))
+
+    leg = lambda c, reducing: F.max(F.when(F.col("reduces") == reducing, F.col(c)))
+    same = lambda c: F.min(c) == F.max(c)
+    rolls = rows.filter("roll_id IS NOT NULL").groupBy("batch", "roll_id").agg(
+        F.count(F.lit(1)).alias("__legs"), (same("root") & same("quantity") & ~same("contract") & ~same("side")).alias("__pair"), F.count_if("reduces").alias("__closing"),
+        ((leg("exchange", True) == leg("exchange", False)) & (leg("currency", True) == leg("currency", False)) & (leg("deadline", False) > leg("deadline", True))).alias("__later"),
+    )
+    out = rows.join(repeats("order_id", "__twice"), "batch").join(repeats("contract", "__shared"), "batch").join(total, "batch", "left").join(rolls, ["batch", "roll_id"], "left")
+    age = F.col("as_of").cast("double") - F.col("decided_at").cast("double")
+    gross, margin = F.try_divide(F.col("__g"), F.col("nav")), F.try_divide(F.col("__m"), F.col("nav"))
+    limited = F.col("order_type") == "MARKETABLE_LIMIT"
+    known, opens = F.col("__known"), ~F.col("reduces")
+    reasons = [
+        ("the batch repeats an order id", F.col("__twice")),
+        ("the batch has several orders for one contract", F.col("__shared")),
+        ("decided in the future", age < 0),
+        ("the decision is stale", age > max_age_seconds),
+        ("the contract is not in the snapshot", ~known),
+        ("another root than the contract's", known & (F.col("root") != F.col("__root"))),
+        ("too large a share of volume", known & F.coalesce(F.col("participation") > participation, F.lit(True))),
+        ("the buy limit is below the ask", known & limited & (F.col("side") == "BUY") & F.coalesce(F.col("limit_price") < F.col("ask"), F.lit(True))),
+        ("the sell limit is above the bid", known & limited & (F.col("side") == "SELL") & F.coalesce(F.col("limit_price") > F.col("bid"), F.lit(True))),
+        ("marked as reducing, but is not", known & F.col("reduce_only") & opens),
+        ("opens within the safety days of the deadline", known & opens & (F.col("deadline") < F.col("as_of") + F.make_interval(days=F.lit(safety_days)))),
+        ("the batch holds contracts without terms", F.col("__unknown") == 1),
+        ("gross notional beyond the limit", opens & (gross > gross_limit)),
+        ("margin beyond the limit", opens & (margin > margin_limit)),
+        ("a roll has two legs", F.col("roll_id").isNotNull() & (F.col("__legs") != 2)),
+        ("roll legs do not match", (F.col("__legs") == 2) & ~F.col("__pair")),
+        ("a roll closes one leg and opens the other", (F.col("__legs") == 2) & F.col("__pair") & (F.col("__closing") != 1)),
+        ("the roll does not lead to a later contract", (F.col("__legs") == 2) & F.col("__pair") & (F.col("__closing") == 1) & ~F.coalesce(F.col("__later"), F.lit(False))),
+    ]
+    found = F.array_compact(F.array(*(F.when(test, F.lit(text)) for text, test in reasons)))
+    out = out.withColumn("reasons", found)
+    return out.select("batch", "order_id", "contract", "participation", "reduces", gross.alias("gross"), margin.alias("margin_share"), F.when(F.size("reasons") == 0, "PASS").otherwise("BLOCKED").alias("status"), F.concat_ws("; ", "reasons").alias("reasons"))

@@ -64,11 +64,20 @@ def stationary_draws(spark: SparkSession, length: int, samples: int, horizon: in
     return grid.withColumn("__s", start).select("rep", "step", F.pmod(F.col("__s.at") + F.col("step") - F.col("__s.since"), F.lit(length)).cast("int").alias("position"))
 
 
+def shared_length(paths: DataFrame) -> int:
+    """Number of sessions of every member; members that do not share their sessions, or have one twice, are refused."""
+    # Equal sums of hashes and equal counts stand for equal sets.
+    each = paths.groupBy("member").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("session").alias("d"), F.sum(F.xxhash64("session").cast("decimal(38,0)")).alias("h"))
+    seen = each.agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("d").alias("once"), F.min("h") == F.max("h")).first()
+    if seen[0] is not None and not (seen[0] == seen[1] == seen[2] and seen[3]):
+        raise ValueError("members do not share their sessions; families.family_members tells which")
+    return seen[1] or 0
+
+
 def _numbered(paths: DataFrame) -> tuple[DataFrame, int]:
-    """(member, position, ret) and the number of positions; paths must share their sessions."""
+    """(member, position, ret) and the number of positions, which all members share."""
     rows = paths.select("member", (F.row_number().over(Window.partitionBy("member").orderBy("session")) - 1).cast("int").alias("position"), "ret")
-    last = rows.agg(F.max("position")).first()[0]
-    return rows, 0 if last is None else last + 1
+    return rows, shared_length(paths)
 
 
 def bootstrap_drawdown(paths: DataFrame, samples: int = 200, horizons: tuple[int, ...] = (252,), blocks: tuple[int, ...] = (21, 63, 126), seed: int = 7, breach: float = 0.1) -> DataFrame:

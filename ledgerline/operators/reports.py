@@ -148,3 +148,52 @@ def published_deltas(values: DataFrame, baseline: str, floors: DataFrame) -> Dat
     delta = F.col("value") - F.col("__b")
     status = F.when(F.col("floor").isNull(), "NO_FLOOR").when(F.abs(delta) > F.col("floor"), "RESOLVED").otherwise("BELOW_FLOOR")
     return rows.select("variant", "statistic", F.when(F.abs(delta) > F.col("floor"), delta).alias("delta"), "floor", status.alias("status"))
+
+
+def straddling_episode(paths: DataFrame, start: str, end: str, boundary: str, periods: int = 252) -> DataFrame:
+    """Three rows a member over an episode that crosses a boundary: whole, before it, and from it on.
+
+    One pass with grouping sets gives sessions, growth, volatility, Sharpe ratio
+    and the drawdown within each part.  ``basis`` names what a part may be used
+    for: MIXED, IN_SAMPLE or OUT_OF_SAMPLE; a member whose sessions lie on one
+    side only is NOT_STRADDLING and has no figures.
+    """
+    rows = paths.filter(F.col("session").between(F.lit(start).cast("date"), F.lit(end).cast("date")) & F.col("ret").isNotNull())
+    rows = rows.withColumn("part", F.when(F.col("session") < F.lit(boundary).cast("date"), "before").otherwise("after"))
+    for name, keys in (("__whole", ["member"]), ("__part", ["member", "part"])):
+        own = Window.partitionBy(*keys).orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn(name, grown("ret", own))
+        rows = rows.withColumn(name, F.col(name) / F.greatest(F.lit(1.0), F.max(name).over(own)) - 1)
+    out = rows.groupingSets([["member"], ["member", "part"]], "member", "part").agg(
+        F.grouping("part").alias("__all"), F.count("ret").alias("sessions"), F.count_if(F.col("session") < F.lit(boundary).cast("date")).alias("__before"), (grown("ret") - 1).alias("growth"), (F.stddev_samp("ret") * periods**0.5).alias("volatility"),
+        (F.try_divide(F.avg("ret"), F.nullif(F.stddev_samp("ret"), F.lit(0.0))) * periods**0.5).alias("sharpe"), F.min("__whole").alias("__dw"), F.min("__part").alias("__dp"),
+    )
+    sides = F.count_if(F.col("__all") == 0).over(Window.partitionBy("member"))
+    whole, figures = F.col("__all") == 1, ["growth", "volatility", "sharpe", "max_drawdown"]
+    out = out.withColumn("max_drawdown", F.when(whole, F.col("__dw")).otherwise(F.col("__dp"))).withColumn("__ok", sides == 2)
+    basis = F.when(~F.col("__ok"), "NOT_STRADDLING").when(whole, "MIXED").when(F.col("part") == "before", "IN_SAMPLE").otherwise("OUT_OF_SAMPLE")
+    return out.select("member", F.coalesce("part", F.lit("whole")).alias("part"), basis.alias("basis"), "sessions", *(F.when(F.col("__ok"), F.col(c)).alias(c) for c in figures))
+
+
+def exposure_shares(book: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Mean and largest weight share and risk share by class and by symbol, from (session, symbol, class, weight after trading, ret).
+
+    A session is earned by the weights of the session before, whatever the
+    window; risk share is cov(weight x return, portfolio) / var(portfolio), so
+    the classes add up to 1, and so do the symbols.  A null class is
+    ``unclassified``; rows of symbols have theirs, rows of classes have none.
+    """
+    held = F.coalesce(F.lag("weight").over(Window.partitionBy("symbol").orderBy("session")), F.lit(0.0))
+    rows = book.withColumn("__earned", held * F.coalesce("ret", F.lit(0.0))).withColumn("class", F.coalesce("class", F.lit("unclassified")))
+    rows = rows.filter(F.col("session") >= F.lit(start).cast("date")) if start else rows
+    rows = rows.filter(F.col("session") <= F.lit(end).cast("date")) if end else rows
+    # A row for each session, class and symbol, and one for each session and class.
+    cells = rows.groupingSets([["session", "class"], ["session", "class", "symbol"]], "session", "class", "symbol").agg(F.sum("weight").alias("weight"), F.sum("__earned").alias("earned"))
+    total = rows.groupBy("session").agg(F.sum("__earned").alias("total"))
+    # A symbol that has no row in a session holds nothing there, so means go over all sessions.
+    many = total.agg(F.count(F.lit(1)).alias("__n"), F.avg("total").alias("__mean"), F.var_pop("total").alias("__var"))
+    each = cells.join(total, "session").groupBy("class", "symbol").agg(F.sum("weight").alias("__w"), F.count(F.lit(1)).alias("__k"), F.max("weight").alias("__m"), F.sum(F.col("earned") * F.col("total")).alias("__et"), F.sum("earned").alias("__e"))
+    each = each.join(F.broadcast(many))
+    covariance = F.col("__et") / F.col("__n") - F.col("__e") / F.col("__n") * F.col("__mean")
+    largest = F.when(F.col("__k") < F.col("__n"), F.greatest("__m", F.lit(0.0))).otherwise(F.col("__m"))
+    return each.select("class", "symbol", (F.col("__w") / F.col("__n")).alias("mean_weight"), largest.alias("largest_weight"), F.try_divide(covariance, F.nullif("__var", F.lit(0.0))).alias("risk_share"))

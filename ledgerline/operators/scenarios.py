@@ -128,10 +128,10 @@ def bound_activity(values: DataFrame, specs: dict[str, tuple[str, float, float]]
     intervention and goes before the comparison with the limit; null values do
     not count.  Headroom is the way from the most extreme value to the limit.
     """
-    at = lambda k: F.element_at(F.create_map(*(F.lit(x) for name, spec in specs.items() for x in (name, spec[k]))), F.col("bound"))
-    rows = values.filter("value IS NOT NULL").withColumn("__side", at(0)).withColumn("__limit", at(1)).withColumn("__slack", at(2))
-    known = F.when(F.col("__side").isin("upper", "lower"), F.col("__side")).otherwise(F.raise_error(F.concat(F.lit("no such bound: "), F.col("bound"))))
-    hit = F.when(known == "upper", F.col("value") >= F.col("__limit") - F.col("__slack")).otherwise(F.col("value") <= F.col("__limit") + F.col("__slack"))
+    at = lambda k: F.try_element_at(F.create_map(*(F.lit(x) for name, spec in specs.items() for x in (name, spec[k]))), F.col("bound"))
+    known = F.when(at(0).isin("upper", "lower"), at(0)).otherwise(F.raise_error(F.concat(F.lit("no such bound: "), F.col("bound"))).cast("string"))
+    rows = values.filter("value IS NOT NULL").withColumn("__side", known).withColumn("__limit", at(1)).withColumn("__slack", at(2))
+    hit = F.when(F.col("__side") == "upper", F.col("value") >= F.col("__limit") - F.col("__slack")).otherwise(F.col("value") <= F.col("__limit") + F.col("__slack"))
     rows = rows.withColumn("__hit", F.coalesce(F.col("binding"), hit) if "binding" in values.columns else hit)
     out = rows.groupBy("bound").agg(F.first("__side").alias("side"), F.first("__limit").alias("limit"), F.count("value").alias("observations"), F.count_if("__hit").alias("binding"), F.min("value").alias("minimum"), F.max("value").alias("maximum"))
     out = out.join(exact_quantiles(rows, "bound", "value", {"median": 0.5}), "bound").withColumn("share", F.col("binding") / F.col("observations"))
