@@ -8,6 +8,9 @@ prefixes; any order gives the same result.
 
 1. Shingles whose hash lies in the lowest quarter (prefixes take about the
    lowest fifth) are counted; a bounded list of frequent ones goes to all tasks.
+   Where a prefix without them reaches beyond the quarter, as in documents that
+   consist of a shared passage and a little of their own, the shingles beyond it
+   are counted over such documents, the only ones to have them in prefixes.
 2. Documents with one prefix and size are one group; equal sets one class.
 3. Prefix shingles are the keys of an index of groups.  Those that one document
    alone has are dropped.
@@ -103,6 +106,27 @@ def frequent_shingles(counts: DataFrame) -> np.ndarray:
     return np.sort(rows["h"].to_numpy(np.int64).view(np.uint64))
 
 
+def frequent_beyond(docs: DataFrame, often: np.ndarray) -> np.ndarray:
+    """``often`` and the frequent shingles beyond the counted quarter, counted over the documents whose prefix reaches there."""
+    frequent = docs.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = frequent.value
+        for batch in chunks(batches, "text"):
+            far = [np.zeros(0, np.uint64)]
+            for s in _sets(batch):
+                low = s[: np.searchsorted(s, _COUNTED)]
+                common = np.isin(low, often, assume_unique=True) if len(often) else np.zeros(len(low), bool)
+                if len(s) and len(low) - np.count_nonzero(common) < len(s) - _need(len(s)) + 1:
+                    far.append(s[len(low) :])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(far).view(np.int64))], names=["h"])
+
+    counts = materialise(docs.select("text").mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") >= FREQUENT), "shingles")
+    out = np.union1d(often, frequent_shingles(counts))
+    release(counts)
+    return out
+
+
 def prefixes(docs: DataFrame, often: np.ndarray) -> DataFrame:
     """docs (id, text) as id, n, cls, gid, sketch, prefix: set size, ids of the set and of (n, prefix), parity sketch, and the prefix in order."""
     frequent = docs.sparkSession.sparkContext.broadcast(often)
@@ -290,7 +314,7 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
     counts = repeated_shingles(docs)
-    rows = materialise(prefixes(docs, frequent_shingles(counts)), "prefixes")
+    rows = materialise(prefixes(docs, frequent_beyond(docs, frequent_shingles(counts))), "prefixes")
     sweep(df.sparkSession)
     filled = rows.filter("n > 0")
     groups = filled.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
