@@ -86,6 +86,16 @@ def _digest(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
+def _head(s: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix of an ascending set, frequent shingles last, and which of the set are frequent."""
+    common = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s if len(often) else np.zeros(len(s), bool)
+    return np.concatenate([s[~common], s[common]])[: len(s) - _need(len(s)) + 1], common
+
+
+def _group(size: int, head: np.ndarray) -> int:
+    return _digest(size.to_bytes(8, "little") + head.tobytes())
+
+
 def repeated_shingles(docs: DataFrame) -> DataFrame:
     """h and count of the counted shingles that more than one document has."""
 
@@ -106,59 +116,64 @@ def frequent_shingles(counts: DataFrame) -> np.ndarray:
     return np.sort(rows["h"].to_numpy(np.int64).view(np.uint64))
 
 
-def frequent_beyond(docs: DataFrame, often: np.ndarray) -> np.ndarray:
-    """``often`` and the frequent shingles beyond the counted quarter, counted over the documents whose prefix reaches there."""
-    frequent = docs.sparkSession.sparkContext.broadcast(often)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = frequent.value
-        for batch in chunks(batches, "text"):
-            far = [np.zeros(0, np.uint64)]
-            for s in _sets(batch):
-                low = s[: np.searchsorted(s, _COUNTED)]
-                common = np.isin(low, often, assume_unique=True) if len(often) else np.zeros(len(low), bool)
-                if len(s) and len(low) - np.count_nonzero(common) < len(s) - _need(len(s)) + 1:
-                    far.append(s[len(low) :])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(far).view(np.int64))], names=["h"])
-
-    counts = materialise(docs.select("text").mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") >= FREQUENT), "shingles")
-    out = np.union1d(often, frequent_shingles(counts))
-    release(counts)
-    return out
-
-
 def prefixes(docs: DataFrame, often: np.ndarray) -> DataFrame:
-    """docs (id, text) as id, n, cls, gid, sketch, prefix: set size, ids of the set and of (n, prefix), parity sketch, and the prefix in order."""
+    """docs (id, text) as id, n, cls, gid, sketch, prefix: set size, ids of the set and of (n, prefix), parity sketch, and the prefix in order.
+
+    ``whole`` is the set where the prefix reaches beyond the counted shingles, else null.
+    """
     frequent = docs.sparkSession.sparkContext.broadcast(often)
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
         for batch in chunks(batches, "text"):
-            n, cls, gid, sketch, prefix = [], [], [], [], []
+            n, cls, gid, sketch, prefix, whole = [], [], [], [], [], []
             for s in _sets(batch):
                 size = len(s)
                 n.append(size)
                 if not size:
-                    cls.append(None), gid.append(None), sketch.append(None), prefix.append(None)
+                    cls.append(None), gid.append(None), sketch.append(None), prefix.append(None), whole.append(None)
                     continue
-                if len(often):
-                    common = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
-                    ordered = np.concatenate([s[~common], s[common]])
-                else:
-                    ordered = s
-                head = ordered[: size - _need(size) + 1]
+                head, common = _head(s, often)
+                own = np.searchsorted(s, _COUNTED)
+                whole.append(s.view(np.int64) if own - np.count_nonzero(common[:own]) < len(head) else None)
                 cls.append(_digest(s.tobytes()))
-                gid.append(_digest(size.to_bytes(8, "little") + head.tobytes()))
+                gid.append(_group(size, head))
                 bits = SKETCH
                 while bits < size:
                     bits *= 4
                 odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
                 sketch.append(np.packbits(odd).tobytes())
                 prefix.append(head.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(gid, pa.int64()), pa.array(sketch, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=["id", "n", "cls", "gid", "sketch", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(gid, pa.int64()), pa.array(sketch, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(whole, pa.list_(pa.int64()))], names=["id", "n", "cls", "gid", "sketch", "prefix", "whole"])
+
+    return docs.mapInArrow(run, f"id {kind}, n int, cls long, gid long, sketch binary, prefix array<long>, whole array<long>")
+
+
+def _beyond(reaching: DataFrame, often: np.ndarray) -> DataFrame:
+    """The rows of ``prefixes`` that reach beyond the counted shingles, with prefixes in which the ones frequent there come last too."""
+    far = reaching.select(F.explode("whole").alias("h")).filter(~F.col("h").between(0, int(_COUNTED) - 1))
+    counts = materialise(far.groupBy("h").count().filter(F.col("count") >= FREQUENT), "shingles")
+    more = frequent_shingles(counts)
+    release(counts)
+    if not len(more):
+        return reaching.drop("whole")
+    frequent = reaching.sparkSession.sparkContext.broadcast(np.union1d(often, more))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reaching.schema if f.name != "whole")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gid, prefix = [], []
+            for s in batch.column("whole"):
+                own = s.values.to_numpy().view(np.uint64)
+                head, _ = _head(own, frequent.value)
+                gid.append(_group(len(own), head))
+                prefix.append(head.view(np.int64))
+            made = {"gid": pa.array(gid, pa.int64()), "prefix": pa.array(prefix, pa.list_(pa.int64()))}
+            names = [c for c in batch.schema.names if c != "whole"]
+            yield pa.RecordBatch.from_arrays([made.get(c, batch.column(c)) for c in names], names=names)
 
-    return docs.mapInArrow(run, f"id {kind}, n int, cls long, gid long, sketch binary, prefix array<long>")
+    return reaching.mapInArrow(run, fields)
 
 
 def _folded(classes: DataFrame) -> DataFrame:
@@ -314,7 +329,10 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
     counts = repeated_shingles(docs)
-    rows = materialise(prefixes(docs, frequent_beyond(docs, frequent_shingles(counts))), "prefixes")
+    often = frequent_shingles(counts)
+    ordered = materialise(prefixes(docs, often), "prefixes")
+    reached = materialise(_beyond(ordered.filter("whole IS NOT NULL"), often), "reached")
+    rows = ordered.filter("whole IS NULL").drop("whole").unionByName(reached)
     sweep(df.sparkSession)
     filled = rows.filter("n > 0")
     groups = filled.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
@@ -326,7 +344,7 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     live = index.select("gid").unionByName(crowded).distinct()
     classes = materialise(filled.join(live, "gid", "left_semi").groupBy("cls").agg(F.min("id").alias("rep"), F.min("gid").alias("gid"), F.min("n").alias("size"), F.first("sketch").alias("sketch")), "classes")
     members = materialise(rows.select("id", "n", "cls"), "members")
-    release(rows, counts)
+    release(ordered, reached, counts)
     sweep(df.sparkSession)
 
     many, turn = classes.count(), 0
