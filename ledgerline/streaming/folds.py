@@ -12,9 +12,9 @@ each row that comes in, with its ``outcome``:
 * ``late``: the watermark had passed it when it came; values null as well.
 
 Nothing is dropped: ``events.finish`` writes the outcomes into folders of their
-own.  A key's waiting rows span the watermark's delay only, by minute, and a
-trigger reads and writes the minutes it touches.  What a fold has seen of a key
-stays, as a chain or a drawdown has no end.
+own.  A key's waiting rows span the watermark's delay only, in pieces as they
+came, and a trigger reads the pieces that hold a row it can take.  What a fold
+has seen of a key stays, as a chain or a drawdown has no end.
 """
 
 from __future__ import annotations
@@ -28,11 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-_MINUTE = 60_000
-
 
 class _Fold(StatefulProcessor):
-    """State: what ``step`` returned last, and the rows that wait, by minute."""
+    """State: what ``step`` returned last, and the rows that wait, in pieces by their earliest millisecond."""
 
     def __init__(self, columns: list[str], names: list[str], order: list[str], unique: list[str], added: list[str], step: Callable) -> None:
         self.columns, self.names, self.added, self.step = columns, names, added, step
@@ -41,7 +39,7 @@ class _Fold(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.now = handle.getValueState("now", "value binary")
-        self.waiting = handle.getMapState("waiting", "minute long", "rows binary")
+        self.waiting = handle.getMapState("waiting", "earliest long", "rows binary")
 
     def _frame(self, rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=[*self.names, *self.added, "outcome"])
@@ -49,34 +47,36 @@ class _Fold(StatefulProcessor):
     def _own(self, row: tuple) -> tuple:
         return tuple(row[self.columns.index(n)] for n in self.names)
 
+    def _wait(self, rows: list[tuple]) -> None:
+        """Keep the rows as one piece, and wake up at its earliest row."""
+        if not rows:
+            return
+        earliest = min(int(row[self.stamp]) for row in rows)
+        if self.waiting.containsKey((earliest,)):
+            rows = pickle.loads(self.waiting.getValue((earliest,))[0]) + rows
+        self.waiting.updateValue((earliest,), (pickle.dumps(rows),))
+        self.handle.registerTimer(earliest)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        mark, minutes, late = timerValues.getCurrentWatermarkInMs(), {}, []
+        mark, fresh, late = timerValues.getCurrentWatermarkInMs(), [], []
         for frame in rows:
             for row in frame[self.columns].itertuples(index=False, name=None):
                 if not row[self.stamp] >= mark:  # nor has a time
                     late.append((*self._own(row), *[None] * len(self.added), "late"))
                 else:
-                    minutes.setdefault(int(row[self.stamp]) // _MINUTE, []).append(row)
-        for minute, fresh in minutes.items():
-            held = pickle.loads(self.waiting.getValue((minute,))[0]) if self.waiting.containsKey((minute,)) else []
-            self.waiting.updateValue((minute,), (pickle.dumps(held + fresh),))
-            self.handle.registerTimer(min(int(row[self.stamp]) for row in fresh))
+                    fresh.append(row)
+        self._wait(fresh)
         if late:
             yield self._frame(late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark, passed = timerValues.getCurrentWatermarkInMs(), []
-        for minute in [k[0] for k in self.waiting.keys()]:
-            if minute * _MINUTE >= mark:
-                continue
-            held = pickle.loads(self.waiting.getValue((minute,))[0])
-            rest = [row for row in held if row[self.stamp] >= mark]
-            passed += [row for row in held if row[self.stamp] < mark]
-            if rest:
-                self.waiting.updateValue((minute,), (pickle.dumps(rest),))
-                self.handle.registerTimer(min(int(row[self.stamp]) for row in rest))
-            else:
-                self.waiting.removeKey((minute,))
+        mark, passed, rest = timerValues.getCurrentWatermarkInMs(), [], []
+        for earliest in [k[0] for k in self.waiting.keys()]:
+            if earliest < mark:
+                for row in pickle.loads(self.waiting.getValue((earliest,))[0]):
+                    (passed if row[self.stamp] < mark else rest).append(row)
+                self.waiting.removeKey((earliest,))
+        self._wait(rest)
         if not passed:
             return
         now = pickle.loads(self.now.get()[0]) if self.now.exists() else None
