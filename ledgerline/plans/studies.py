@@ -108,14 +108,19 @@ def no_trade_buffer(spark, sf_dir):
 # Allocation ------------------------------------------------------------------
 
 
-def fill_sql(source: str, raw: str, cap: float, passes: int = 7) -> str:
-    """CTE ``fill`` (columns of source, budget) by repeated passes: what exceeds the cap goes to the symbols below it."""
-    part = "OVER (PARTITION BY session)"
-    steps = [f"f0 AS (SELECT *, coalesce({raw} / nullif(sum({raw}) {part}, 0), 0.0::DOUBLE) AS w FROM {source})"]
-    for k in range(passes):
-        high, free = f"w > {cap} + 1e-15", f"w > 0 AND w < {cap} - 1e-12"
-        steps.append(f"f{k + 1} AS (SELECT * REPLACE (CASE WHEN {high} THEN {cap}::DOUBLE ELSE w + coalesce(coalesce(sum(w - {cap}) FILTER ({high}) {part}, 0) * w / nullif(sum(w) FILTER ({free}) {part}, 0), 0) * ({free})::INT END AS w) FROM f{k})")
-    return ", ".join([*steps, f"fill AS (SELECT * EXCLUDE (w), least(w, {cap}) AS budget FROM f{passes})"])
+def fill_sql(source: str, raw: str, cap: float) -> str:
+    """CTE ``fill`` (columns of source, budget): shares in proportion to raw, none above the cap, as the optimum they are.
+
+    In falling order a symbol is capped if, with all before it at the cap, its
+    share of what is left is above the cap; the others share what the capped
+    ones leave.
+    """
+    size, by = f"coalesce(greatest({raw}, 0), 0)::DOUBLE", "PARTITION BY session"
+    return f"""ranked AS (SELECT *, {size} AS size, row_number() OVER ({by} ORDER BY {size} DESC, symbol) AS place FROM {source}),
+prefix AS (SELECT *, sum(size) OVER ({by} ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_over FROM ranked),
+marked AS (SELECT *, size > 0 AND size * (1 - (place - 1) * {cap}::DOUBLE) > {cap}::DOUBLE * left_over AS capped FROM prefix),
+shared AS (SELECT *, 1 - {cap}::DOUBLE * count(*) FILTER (capped) OVER ({by}) AS free, sum(size) FILTER (NOT capped) OVER ({by}) AS rest FROM marked),
+fill AS (SELECT * EXCLUDE (size, place, left_over, capped, free, rest), CASE WHEN capped THEN {cap}::DOUBLE ELSE coalesce(greatest(free, 0) * size / nullif(rest, 0), 0) END AS budget FROM shared)"""
 
 
 @query(f"""WITH {BARS}, {fill_sql('bars', 'turnover', 0.3)} SELECT symbol, session, {_r('budget')} FROM fill""")
