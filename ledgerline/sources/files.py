@@ -88,3 +88,17 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(path, bytes, sha256) of every file below a folder, for inputs of files that fit in a task."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def write_dated(panel: DataFrame, path: str) -> None:
+    """Write a panel as Parquet in folders by the year of its session, for ``scan_dated``."""
+    panel.withColumn("year", F.year("session")).repartition("year").write.mode("overwrite").partitionBy("year").parquet(path)
+
+
+def scan_dated(spark: SparkSession, path: str, last: str | None = None) -> DataFrame:
+    """The panel of ``write_dated``, up to the session ``last``: later years are not opened, and of its own year the scan leaves later rows out."""
+    rows = spark.read.parquet(path)
+    if last is not None:
+        day = F.lit(last).cast("date")
+        rows = rows.filter((F.col("year") <= F.year(day)) & (F.col("session") <= day))
+    return rows.drop("year")
