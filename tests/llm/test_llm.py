@@ -359,6 +359,26 @@ def test_sharding_of_null_keys_ties_and_repeats(spark):
     assert all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sizes[s])) for s in range(4))
 
 
+def test_sharding_spreads_repeats_and_small_strata(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("7L AS doc_id", "id % 2 AS tie", "'hot' AS source").unionByName(spark.range(3000).selectExpr("id AS doc_id", "id AS tie", "concat('s', id) AS source"))
+    found = {}
+    for size in (100, 10_000):
+        monkeypatch.setattr(sharding, "BUCKET_ROWS", size)
+        for collapse in (True, False):
+            rows = sharding.interleave(df, "source", "doc_id", 12, tie=["tie"], collapse=collapse).collect()
+            found[size, collapse] = sorted((r["shard"], r["slot"], r["doc_id"], r["tie"], r["source"]) for r in rows)
+    # Neither the number of buckets nor counting equal rows first changes a place.
+    assert len(set(map(str, found.values()))) == 1
+    got = found[100, True]
+    assert [(s, k) for s, k, *_ in got] == [(s, k) for s in range(12) for k in range(500)]
+    hot = [sum(r[0] == s and r[4] == "hot" for r in got) for s in range(12)]
+    assert sum(hot) == 3000 and max(hot) - min(hot) < 80
+    # Runs of equal rows longer than an array are written out whole.
+    monkeypatch.setattr(sharding, "_RUN", 64)
+    again = sharding.interleave(df, "source", "doc_id", 12, tie=["tie"], collapse=True).collect()
+    assert sorted((r["shard"], r["slot"], r["doc_id"], r["tie"], r["source"]) for r in again) == got
+
+
 def planted(kind, n, r):
     letters = "abcdefghijklmnopqrstuvwxyz"
     sets = {"hex": "0123456789ABCDEF", "base32": letters.upper() + "234567", "base36": letters + "0123456789", "BASE36": letters.upper() + "0123456789", "base62": letters + letters.upper() + "0123456789", "base64": letters + letters.upper() + "0123456789+/", "lower": letters, "upper": letters.upper()}
