@@ -20,10 +20,10 @@ that stays.  Spans are joined for the report only after that.
 Suffixes whose 25 words occur once are dropped by a count that combines before
 the shuffle; only the others fetch their surroundings from the texts.
 
-A key of very many suffixes is not sorted in one task: all LENGTH-word windows
-about its places are hashed instead, and those that occur at two places or more
-are spans.  Digests are counted before the shuffle, and the join that finds
-their places again deals each key of many rows over several tasks.
+A key of very many suffixes is sorted by several tasks: its rows are dealt by
+range of the whole sort order, and the last row of each range is compared with
+the first of the next.  The neighbours, and with them the result, are the same
+as if one task had sorted the key.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ from ledgerline.llm.common import chunks, materialise, release, sweep, table
 LENGTH = 50
 KEY = LENGTH // 2
 SPAN = LENGTH - KEY + 1  # window of the minimisers, and reach of the extension
-#: A key of at least so many suffixes is crowded: its surroundings fill about 64 MB, Spark's advised size of a shuffle partition.  If more than CROWDED_MAX keys are, the bar is doubled until they fit.
+#: A key of at least so many suffixes is sorted by several tasks: its surroundings fill about 64 MB, Spark's advised size of a shuffle partition.  If more than CROWDED_MAX keys are, the bar is doubled until they fit.  Neither changes a result.
 CROWDED, CROWDED_MAX = 250_000, 100_000
 
 
@@ -113,32 +113,88 @@ def _surroundings(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, f"key {kind}, pos int, h long, before binary, after binary")
 
 
+def _neighbours(batch: pa.RecordBatch, pick=None) -> pa.RecordBatch:
+    """Neighbouring rows of a key (of them those that ``pick`` marks), extended both ways: key, start, end, other, other_start."""
+    h, pos, keys = batch.column("h").to_numpy(), batch.column("pos").to_numpy().astype(np.int64), batch.column("key")
+    before, after = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, SPAN) for c in ("before", "after"))
+    i = np.flatnonzero(h[1:] == h[:-1] if pick is None else (h[1:] == h[:-1]) & pick)
+    reach = lambda a: np.cumprod((a[i] == a[i + 1]) & (a[i] != 0), axis=1, dtype=np.int8).sum(axis=1, dtype=np.int64)
+    to_left, to_right = reach(before), reach(after)
+    long = to_left + KEY + to_right >= LENGTH
+    i, to_left, to_right = i[long], to_left[long], to_right[long]
+    a, b = np.concatenate([i, i + 1]), np.concatenate([i + 1, i])
+    begin = pos[a] - np.tile(to_left, 2)
+    end = pos[a] + KEY + np.tile(to_right, 2)
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(a)), pa.array(begin).cast(pa.int32()), pa.array(end).cast(pa.int32()), keys.take(pa.array(b)), pa.array(pos[b] - np.tile(to_left, 2)).cast(pa.int32())], names=["key", "start", "end", "other", "other_start"])
+
+
+def _joined(held: pa.RecordBatch | None, batch: pa.RecordBatch) -> pa.RecordBatch:
+    return batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+
+
+def _sorting(order: str) -> list[str]:
+    return ["h", order, "before" if order == "after" else "after", "key", "pos"]
+
+
 def _compare(rows: DataFrame, order: str) -> DataFrame:
-    """Neighbours in the given order, extended both ways: key, start, end, other."""
+    """Neighbours in the given order within each partition."""
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            batch = _joined(held, batch)
+            held = batch.slice(batch.num_rows - 1) if batch.num_rows else None
+            if batch.num_rows > 1:
+                yield _neighbours(batch)
+
+    return rows.sortWithinPartitions(*_sorting(order)).mapInArrow(run, f"key {kind}, start int, end int, other {kind}, other_start int")
+
+
+def _compare_ranges(rows: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+    """Neighbours in the given order over all of ``rows``, dealt by range; second: the written table behind it.
+
+    A range's task also writes its first and its last row (``side`` 0 and 1),
+    two rows a partition; in their common order each last row stands before the
+    first of the next range, and only these two are compared.
+    """
     kind = rows.schema["key"].dataType.simpleString()
+    pair, edge = ["key", "start", "end", "other", "other_start"], ["key", "pos", "h", "before", "after"]
+    empty = {"start": pa.int32(), "end": pa.int32(), "other_start": pa.int32(), "pos": pa.int32(), "h": pa.int64(), "before": pa.binary(), "after": pa.binary(), "side": pa.int32()}
+    names = [*pair, *edge[1:], "side"]
+
+    def padded(batch: pa.RecordBatch, side: int | None = None) -> pa.RecordBatch:
+        own = {n: batch.column(n) for n in batch.schema.names}
+        own["side"] = pa.array([side] * batch.num_rows, pa.int32())
+        none = {n: pa.nulls(batch.num_rows, empty[n] if n in empty else batch.schema.field("key").type) for n in names if n not in own}
+        return pa.RecordBatch.from_arrays([(own | none)[n] for n in names], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in (b.select(edge) for b in batches if b.num_rows):
+            if held is None:
+                yield padded(batch.slice(0, 1), 0)
+            batch = _joined(held, batch)
+            held = batch.slice(batch.num_rows - 1)
+            if batch.num_rows > 1:
+                yield padded(_neighbours(batch))
+        if held is not None:
+            yield padded(held, 1)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            batch = _joined(held, batch)
             held = batch.slice(batch.num_rows - 1) if batch.num_rows else None
-            if batch.num_rows < 2:
-                continue
-            h, pos, keys = batch.column("h").to_numpy(), batch.column("pos").to_numpy().astype(np.int64), batch.column("key")
-            before, after = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, SPAN) for c in ("before", "after"))
-            i = np.flatnonzero(h[1:] == h[:-1])
-            reach = lambda a: np.cumprod((a[i] == a[i + 1]) & (a[i] != 0), axis=1, dtype=np.int8).sum(axis=1, dtype=np.int64)
-            to_left, to_right = reach(before), reach(after)
-            long = to_left + KEY + to_right >= LENGTH
-            i, to_left, to_right = i[long], to_left[long], to_right[long]
-            a, b = np.concatenate([i, i + 1]), np.concatenate([i + 1, i])
-            begin = pos[a] - np.tile(to_left, 2)
-            end = pos[a] + KEY + np.tile(to_right, 2)
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(a)), pa.array(begin).cast(pa.int32()), pa.array(end).cast(pa.int32()), keys.take(pa.array(b)), pa.array(pos[b] - np.tile(to_left, 2)).cast(pa.int32())], names=["key", "start", "end", "other", "other_start"])
-
-    sorted_rows = rows.sortWithinPartitions("h", *((order, "before") if order == "after" else (order, "after")), "key", "pos")
-    return sorted_rows.mapInArrow(run, f"key {kind}, start int, end int, other {kind}, other_start int")
+            if batch.num_rows > 1:
+                side = batch.column("side").to_numpy()
+                yield _neighbours(batch, (side[:-1] == 1) & (side[1:] == 0))
+
+    dealt = rows.select(edge).repartitionByRange(*_sorting(order)).sortWithinPartitions(*_sorting(order))
+    found = materialise(dealt.mapInArrow(run, f"key {kind}, start int, end int, other {kind}, other_start int, pos int, h long, before binary, after binary, side int"), "suffix-ranges")
+    edges = found.filter("side IS NOT NULL").select(*edge, "side").repartition(1).sortWithinPartitions(*_sorting(order), "side")
+    between = edges.mapInArrow(across, f"key {kind}, start int, end int, other {kind}, other_start int")
+    return found.filter("side IS NULL").select(pair).unionByName(between), found
 
 
 def _windows(df: DataFrame) -> DataFrame:
@@ -188,23 +244,6 @@ def _spread(rows: DataFrame, counts: DataFrame, by: list[str]) -> DataFrame:
     return dealt.join(counts.withColumn("__share", F.explode(F.sequence(F.lit(0), shares))), [*by, "__share"]).drop("__share")
 
 
-def _around(places: DataFrame, by_key) -> DataFrame:
-    """Repeated LENGTH-word windows about the places (key, crowded): key, start, end, other."""
-    at = places.select("key", F.explode("crowded").alias("pos"))
-    spans = at.select("key", F.greatest(F.col("pos") - (LENGTH - KEY), F.lit(0)).alias("start"), (F.col("pos") + LENGTH).alias("end"))
-    # Spans that share LENGTH - 1 words or more are one, so that no window is hashed twice.
-    spans = _islands(spans, 1 - LENGTH).groupBy("key", "group").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    windows = _windows(by_key(spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("runs"))))
-    found = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.count("key").alias("__keyed"), F.min("key").alias("__low"), F.max("key").alias("__high"), F.min("pos").alias("__first"), F.max("pos").alias("__last"))
-    several = F.coalesce(F.col("__low") != F.col("__high"), F.lit(False)) | (F.col("__first") != F.col("__last")) | ((F.col("__keyed") > 0) & (F.col("__keyed") < F.col("n")))
-    digests = materialise(found.filter(several).select("h1", "h2", "n", "__low", "__high"), "suffix-digests")
-    other = F.when(F.col("key").eqNullSafe(F.col("__low")), F.col("__high")).otherwise(F.col("__low"))
-    repeated = _spread(windows, digests, ["h1", "h2"]).select("key", F.col("pos").alias("start"), (F.col("pos") + LENGTH).alias("end"), other.alias("other"))
-    own = materialise(_islands(repeated, 1 - LENGTH).groupBy("key", "group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("other").alias("other")).drop("group"), "suffix-crowded")
-    release(digests)
-    return own
-
-
 def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every passage of at least LENGTH words that occurs elsewhere: key, start, end (words, end exclusive), other, first.
 
@@ -229,15 +268,20 @@ def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     by_key = lambda own: docs.join(own.withColumnRenamed("key", "__key"), F.col("key").eqNullSafe(F.col("__key"))).drop("__key")
     # Both orders read one shuffle of these rows, which has a short lineage.
     rows = _surroundings(by_key(places.filter(F.size("places") > 0).select("key", "places"))).repartition("h")
-    pairs = _compare(rows, "after").unionByName(_compare(rows, "before"))
+    pairs, written = _compare(rows, "after").unionByName(_compare(rows, "before")), [places]
+    if many:
+        crowd = materialise(_surroundings(by_key(places.filter(F.size("crowded") > 0).select("key", F.col("crowded").alias("places")))), "suffix-crowd")
+        for order in ("after", "before"):
+            own, found = _compare_ranges(crowd, order)
+            pairs = pairs.unionByName(own)
+            written.append(found)
+        release(crowd)
     same = F.col("key").eqNullSafe(F.col("other"))
     pairs = pairs.filter(~(same & (F.col("start") == F.col("other_start"))))
     own = pairs.groupBy("key", "start", "end").agg(F.min("other").alias("other"))
-    around = _around(places.filter(F.size("crowded") > 0), by_key) if many else None
-    own = own.unionByName(around) if many else own
     # Spans that share all but one of LENGTH words have no window between them that neither holds.
     runs = materialise(_islands(own, 1 - LENGTH).groupBy("key", "group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("other").alias("other")).drop("group"), "suffix-runs")
-    release(places, *([around] if many else []))
+    release(*written)
     sweep(df.sparkSession)
 
     windows = _windows(by_key(runs.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("runs"))))

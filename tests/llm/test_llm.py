@@ -217,6 +217,28 @@ def test_passages_equal_brute_force(docs, empty, monkeypatch, crowded):
     assert suffixes.repeated_passages(empty).count() == 0
 
 
+def test_passages_do_not_depend_on_how_a_key_is_sorted(spark, monkeypatch):
+    """Equal rows from one task a key and from ranges with edges, also where three texts share only parts of a passage, so that neighbours shorten a span."""
+    r, p = random.Random(21), prose(110, 820).split(" ")
+    rows = []
+    for i in range(300):
+        a, b = sorted((r.randrange(0, 60), r.randrange(50, 111)))
+        rows.append((i if i % 50 else None, f"{prose(20, 2000 + i)} {' '.join(p[a:b])} {prose(20, 3000 + i)}"))
+    rows += [rows[7], (400, rows[7][1]), (401, " ".join(p + p))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(suffixes, "CROWDED", 10**9)
+    want = sorted(map(tuple, suffixes.repeated_passages(df).collect()), key=str)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        for bar in (40, 2):
+            monkeypatch.setattr(suffixes, "CROWDED", bar)
+            assert sorted(map(tuple, suffixes.repeated_passages(df).collect()), key=str) == want and len(want) > 100
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 @pytest.mark.parametrize("crowded", [suffixes.CROWDED, 10])
 def test_removing_later_passages_leaves_one_of_each(spark, monkeypatch, crowded):
     monkeypatch.setattr(suffixes, "CROWDED", crowded)
