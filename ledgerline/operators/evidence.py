@@ -181,3 +181,43 @@ def cost_readiness(calibration: DataFrame, required: DataFrame, recent: DataFram
     tests += [F.when(_no(F.col("recent_fills") >= recent_fills), F.lit(f"recent_fills under {recent_fills}")), F.when(_no(F.col("p95") > 0), F.lit("p95 is not positive"))]
     reasons = F.array_compact(F.array(*tests))
     return rows.select("root", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in [*least, "recent_fills"]), F.array_join(reasons, "; ").alias("reasons"), F.when(F.size(reasons) == 0, "PASS").otherwise("BLOCKED").alias("status"))
+
+
+def evidence_gates(records: DataFrame, artifacts: DataFrame, runs: DataFrame, gates: list[str], as_of: str) -> DataFrame:
+    """(run, gate, records, reasons, status) for every run and every gate that it needs evidence for.
+
+    ``records``: run, gate, artifact, digest, issued, expires, run_digest,
+    author, reviewer, approved, revoked; ``artifacts``: artifact and its content
+    as it stands now; ``runs``: run and the digest it was frozen under.  A gate
+    passes by exactly one record whose artifact still has the signed SHA-256,
+    that is in force, bound to the run, reviewed by another than its author,
+    approved and not revoked.  Unknown fields, and a gate without a record or
+    with several, are BLOCKED; an artifact kept twice with different contents
+    has changed.  Records of other gates or runs are not read.
+    """
+    c, now = F.col, F.lit(as_of).cast("timestamp")
+    kept = artifacts.groupBy("artifact").agg(F.min(F.sha2("content", 256)).alias("__low"), F.max(F.sha2("content", 256)).alias("__high"), F.count_if(c("content").isNull()).alias("__empty"))
+    own = runs.groupBy("run").agg(F.min(F.lower("digest")).alias("__frozen"))
+    signed, name = F.lower("digest"), lambda col: F.nullif(F.lower(F.trim(col)), F.lit(""))
+    sound = signed.rlike("^[0-9a-f]{64}$")
+    faults = {
+        "digest": _no(sound),
+        "artifact missing": c("__empty").isNull(),
+        "artifact changed": c("__empty").isNotNull() & _no((c("__empty") == 0) & (c("__low") == c("__high")) & (c("__low") == signed)),
+        "dates": _no(c("expires") > c("issued")),
+        "not yet issued": F.coalesce(c("issued") > now, F.lit(False)),
+        "expired": F.coalesce(c("expires") <= now, F.lit(False)),
+        "other run": _no(F.lower("run_digest") == c("__frozen")),
+        "names": name("author").isNull() | name("reviewer").isNull(),
+        "own review": F.coalesce(name("author") == name("reviewer"), F.lit(False)),
+        "not approved": _no(c("approved")),
+        "revoked": _no(~c("revoked")),
+    }
+    found = F.array_join(F.array_compact(F.array(*(F.when(test, F.lit(reason)) for reason, test in faults.items()))), ",")
+    rows = records.filter(c("gate").isin(gates)).join(own, "run").join(kept, "artifact", "left").select("run", "gate", found.alias("__found"))
+    # One row a gate before the last join; the text counts only where the record is the only one.
+    by_gate = rows.groupBy("run", "gate").agg(F.count(F.lit(1)).alias("records"), F.min("__found").alias("__found"))
+    needed = own.select("run", F.explode(F.array(*(F.lit(g) for g in gates))).alias("gate"))
+    out = needed.join(by_gate, ["run", "gate"], "left").withColumn("records", F.coalesce("records", F.lit(0).cast("long")))
+    reasons = F.when(c("records") == 0, "no record").when(c("records") > 1, "several records").otherwise(c("__found"))
+    return out.select("run", "gate", "records", reasons.alias("reasons"), F.when(reasons == "", "PASS").otherwise("BLOCKED").alias("status"))

@@ -281,3 +281,31 @@ def stream_stale_components(spark, sf_dir):
     out = streams.finish(streams.stale_components(streams.stream(spark, f"{sf_dir}/events.parquet"), "event_type"), "stale")
     at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return out.select(F.col("event_type").alias("component"), at("since"), at("stale_at"), "beats")
+
+
+# Evidence of release gates -------------------------------------------------------
+
+RELEASE_GATES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query("""WITH r AS (SELECT o_orderkey // 4 AS run, o_orderpriority AS gate, o_orderkey % 1100 AS artifact, o_orderdate AS issued, o_orderdate + to_days(CAST(o_orderkey % 2500 - 20 AS INTEGER)) AS expires, sha256(CAST(o_orderkey // 4 + CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END AS VARCHAR)) AS run_digest,
+  CASE WHEN o_custkey % 29 = 0 THEN ' ' ELSE 'a' || o_custkey % 5 END AS author, 'A' || o_orderkey % 5 AS reviewer, o_totalprice > 50000 AS approved, o_orderstatus = 'P' AND o_orderkey % 3 = 0 AS revoked FROM orders),
+a AS (SELECT doc_id AS artifact, sha256(text) AS signed, sha256(CASE WHEN doc_id % 17 = 0 THEN text || '!' ELSE text END) AS now FROM documents),
+f AS (SELECT run, gate, concat_ws(',', CASE WHEN signed IS NULL THEN 'digest' END, CASE WHEN a.artifact IS NULL THEN 'artifact missing' END, CASE WHEN a.artifact IS NOT NULL AND (now = signed) IS NOT TRUE THEN 'artifact changed' END, CASE WHEN (expires > issued) IS NOT TRUE THEN 'dates' END, CASE WHEN issued > TIMESTAMP '2000-01-01' THEN 'not yet issued' END, CASE WHEN expires <= TIMESTAMP '2000-01-01' THEN 'expired' END,
+  CASE WHEN run_digest <> sha256(CAST(run AS VARCHAR)) THEN 'other run' END, CASE WHEN trim(author) = '' THEN 'names' END, CASE WHEN lower(trim(author)) = lower(reviewer) THEN 'own review' END, CASE WHEN approved IS NOT TRUE THEN 'not approved' END, CASE WHEN revoked IS NOT FALSE THEN 'revoked' END) AS found FROM r LEFT JOIN a USING (artifact)),
+g AS (SELECT run, gate, count(*) AS records, min(found) AS found FROM f GROUP BY ALL), n AS (SELECT DISTINCT run, unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']) AS gate FROM r),
+o AS (SELECT run, gate, coalesce(records, 0) AS records, CASE WHEN records IS NULL THEN 'no record' WHEN records > 1 THEN 'several records' ELSE found END AS reasons FROM n LEFT JOIN g USING (run, gate))
+SELECT *, CASE WHEN reasons = '' THEN 'PASS' ELSE 'BLOCKED' END AS status FROM o""")
+def evidence_gates(spark, sf_dir):
+    docs, k = read(spark, sf_dir, "documents"), F.col("o_orderkey")
+    signed = docs.select(F.col("doc_id").alias("artifact"), F.sha2("text", 256).alias("digest"))
+    now = docs.select(F.col("doc_id").alias("artifact"), F.when(F.col("doc_id") % 17 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("content"))
+    run = F.floor(k / 4)
+    name = lambda prefix, key: F.concat(F.lit(prefix), (F.col(key) % 5).cast("string"))
+    records = read(spark, sf_dir, "orders").select(
+        run.alias("run"), F.col("o_orderpriority").alias("gate"), (k % 1100).alias("artifact"), F.col("o_orderdate").cast("timestamp").alias("issued"), (F.col("o_orderdate") + F.make_dt_interval(days=(k % 2500 - 20).cast("int"))).cast("timestamp").alias("expires"),
+        F.sha2((run + F.when(k % 13 == 0, 1).otherwise(0)).cast("string"), 256).alias("run_digest"), F.when(F.col("o_custkey") % 29 == 0, " ").otherwise(name("a", "o_custkey")).alias("author"), name("A", "o_orderkey").alias("reviewer"),
+        (F.col("o_totalprice") > 50000).alias("approved"), ((F.col("o_orderstatus") == "P") & (k % 3 == 0)).alias("revoked"),
+    ).join(signed, "artifact", "left")
+    runs = records.select("run", F.sha2(F.col("run").cast("string"), 256).alias("digest")).distinct()
+    return evidence.evidence_gates(records, now, runs, RELEASE_GATES, "2000-01-01")

@@ -142,3 +142,36 @@ def test_funded_performance_and_volatility_budget(spark):
     assert (got["calm"].at_ceiling, got["calm"].no_risk, got["calm"].binds) == (1.0, 0.0, False) and got["calm"].over_budget < 1
     assert (got["wild"].at_ceiling, got["wild"].no_risk, got["wild"].binds) == (0.25, 0.5, True) and got["wild"].mean_cash == pytest.approx(0.8)
     assert got["wild"].realized == pytest.approx(ret.std(ddof=1) * 252**0.5)
+
+
+def test_evidence_gates(spark):
+    from hashlib import sha256
+
+    from ledgerline.operators import evidence
+
+    at, digest = lambda d: dt.datetime(2024, 1, d), lambda t: sha256(t.encode()).hexdigest()
+    good = {"run": 1, "gate": "a", "artifact": "x", "digest": digest("text"), "issued": at(1), "expires": at(20), "run_digest": digest("run"), "author": "Ann", "reviewer": "Bob", "approved": True, "revoked": False}
+    kind = "run long, gate string, artifact string, digest string, issued timestamp, expires timestamp, run_digest string, author string, reviewer string, approved boolean, revoked boolean"
+    files = spark.createDataFrame([("x", "text"), ("x", "text"), ("y", "one"), ("y", "two"), ("z", None)], "artifact string, content string")
+    runs = spark.createDataFrame([(1, digest("run").upper()), (2, None)], "run long, digest string")
+
+    def report(*records):
+        rows = [tuple(r.values()) for r in records]
+        return {(r.run, r.gate): (r.records, r.reasons, r.status) for r in evidence.evidence_gates(spark.createDataFrame(rows, kind), files, runs, ["a", "b"], "2024-01-10").collect()}
+
+    none = (0, "no record", "BLOCKED")
+    assert report() == {(r, g): none for r in (1, 2) for g in "ab"}
+    assert report(good, good | {"gate": "other"}, good | {"run": 9}) == {(1, "a"): (1, "", "PASS"), (1, "b"): none, (2, "a"): none, (2, "b"): none}
+    assert report(good, good)[1, "a"] == (2, "several records", "BLOCKED")
+    cases = {
+        "digest,artifact changed": {"digest": None}, "artifact missing": {"artifact": "w"}, "artifact changed": {"digest": digest("other")}, "dates,expired": {"expires": at(1)}, "dates": {"issued": None},
+        "not yet issued": {"issued": at(11)}, "expired": {"expires": at(10)}, "other run": {"run_digest": digest("else")}, "names": {"author": " "}, "own review": {"reviewer": "ANN "}, "not approved": {"approved": None}, "revoked": {"revoked": None},
+    }
+    keys = {"artifact missing": None}
+    batch = [(reason, good | change) for reason, change in cases.items()] + [("artifact changed", good | {"artifact": "y", "digest": digest("one")}), ("artifact changed", good | {"artifact": "z"}), ("artifact missing", good | {"artifact": keys["artifact missing"]})]
+    # One run a case, so that all are judged in one job.
+    runs = spark.createDataFrame([(i, digest("run")) for i in range(len(batch))], "run long, digest string")
+    got = report(*(r | {"run": i} for i, (_, r) in enumerate(batch)))
+    assert [got[i, "a"][1] for i in range(len(batch))] == [reason for reason, _ in batch]
+    runs = spark.createDataFrame([(2, None)], "run long, digest string")
+    assert report(good | {"run": 2})[2, "a"] == (1, "other run", "BLOCKED")
