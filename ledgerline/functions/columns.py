@@ -24,3 +24,10 @@ def elapsed_years(first: Column, last: Column) -> Column:
 def uniform(*parts) -> Column:
     """A whole number below 2^32 from text, the same in every engine."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")
+
+
+def millis(at: str | Column) -> Column:
+    """Milliseconds since 1970 of an instant, to the nearest one (halves away from zero) as DuckDB's ``epoch_ms`` has them; ``unix_millis`` cuts."""
+    micros = F.unix_micros(at)
+    away = micros + F.when(micros < 0, -500).otherwise(500)
+    return ((away - away % 1000) / 1000).cast("long")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.columns import millis
 from ledgerline.operators import allocation, controls, families, performance, regimes, rolling, signals
 from ledgerline.operators.panel import align, by_symbol, month_end_rows
 from ledgerline.plans.catalogue import draws_sql, LEDGER, MONTHS, P, TRADES, WEALTH, W, _r, query, trades
@@ -500,7 +501,7 @@ def stream_freshness(spark, sf_dir):
     """The tables end in the past, so every component is stale by the clock."""
     told = streams.finish(folds.freshness(streams.stream(spark, f"{sf_dir}/events.parquet"), "event_type", 300), "fresh", once=True)
     newest = told.groupBy("component").agg(F.max_by(F.struct("status", "last", "reason"), F.struct("told_at", "last")).alias("m"))
-    return newest.select("component", "m.status", F.unix_millis("m.last").alias("last_ms"), "m.reason")
+    return newest.select("component", "m.status", millis("m.last").alias("last_ms"), "m.reason")
 
 
 # Files -----------------------------------------------------------------------

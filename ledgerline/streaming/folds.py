@@ -210,30 +210,31 @@ def order_states(events: DataFrame, late: str = "1 hour", remember_ms: int = 30
 
 
 class _Freshness(StatefulProcessor):
-    """State: the newest heartbeat and the status last told; a processing-time timer for when it grows stale."""
+    """State: the newest heartbeat, in microseconds; a processing-time timer for when it grows stale."""
 
     def __init__(self, limit_ms: int) -> None:
         self.limit = limit_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "ms long")
+        self.last = handle.getValueState("last", "us long")
 
     def _told(self, key, last: int, now: int) -> pd.DataFrame:
-        age = now - last
-        reason = "heartbeat is in the future" if age < 0 else "heartbeat is stale" if age > self.limit else "heartbeat is healthy"
-        row = (key[0], "PASS" if 0 <= age <= self.limit else "BLOCKED", pd.Timestamp(last, unit="ms"), pd.Timestamp(now, unit="ms"), age / 1000, reason)
+        age = 1000 * now - last
+        reason = "heartbeat is in the future" if age < 0 else "heartbeat is stale" if age > 1000 * self.limit else "heartbeat is healthy"
+        row = (key[0], "PASS" if 0 <= age <= 1000 * self.limit else "BLOCKED", last, 1000 * now, age / 1e6, reason)
         return pd.DataFrame([row], columns=["component", "status", "last", "told_at", "age_seconds", "reason"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentProcessingTimeInMs()
         before = self.last.get()[0] if self.last.exists() else None
-        last = max([int(frame["ms__"].max()) for frame in rows if len(frame)] + ([before] if before is not None else []))
+        last = max([int(frame["us__"].max()) for frame in rows if len(frame)] + ([before] if before is not None else []))
         self.last.update((last,))
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
-        if last + self.limit + 1 > now:
-            self.handle.registerTimer(last + self.limit + 1)
+        stale = last // 1000 + self.limit + 1
+        if stale > now:
+            self.handle.registerTimer(stale)
         yield self._told(key, last, now)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -251,6 +252,7 @@ def freshness(heartbeats: DataFrame, component: str, limit_seconds: float) -> Da
     BLOCKED as stale or from the future.  Heartbeats without a component or a
     time tell nothing.
     """
-    rows = heartbeats.select(F.col(component).cast("string").alias("component"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms__")).filter("component IS NOT NULL AND ms__ IS NOT NULL")
-    out = "component string, status string, last timestamp, told_at timestamp, age_seconds double, reason string"
-    return rows.groupBy("component").transformWithStateInPandas(_Freshness(round(limit_seconds * 1000)), out, "Append", "ProcessingTime")
+    rows = heartbeats.select(F.col(component).cast("string").alias("component"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us__")).filter("component IS NOT NULL AND us__ IS NOT NULL")
+    out = "component string, status string, last long, told_at long, age_seconds double, reason string"
+    told = rows.groupBy("component").transformWithStateInPandas(_Freshness(round(limit_seconds * 1000)), out, "Append", "ProcessingTime")
+    return told.withColumns({c: F.timestamp_micros(c) for c in ("last", "told_at")})

@@ -90,3 +90,28 @@ def test_registered_once(name):
     import __spark_entry__
 
     assert name in __spark_entry__.queries() and name in __spark_entry__.oracle_sql()
+
+
+def against_sql(spark, folder, name, rows):
+    """What a registered query and its SQL return on a table of events of (event_id, user_id, event_type, value, ts in microseconds)."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    import __spark_entry__
+
+    given = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, us long")
+    given.select("event_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value").coalesce(1).write.parquet(f"{folder}/events.parquet")
+    sql = __spark_entry__.oracle_sql()[name]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    got = __spark_entry__.queries()[name](spark, str(folder)).collect()
+    return sorted(map(tuple, got), key=repr), sorted(con.execute(sql if isinstance(sql, str) else sql[0]).fetchall(), key=repr)
+
+
+WEEK = 604_800_000_000
+
+
+def test_heartbeats_are_told_to_the_nearest_millisecond(spark, tmp_path):
+    at = 2800 * WEEK
+    got, expected = against_sql(spark, tmp_path, "stream_freshness", [(1, 1, "a", 0.0, at + 1499), (2, 1, "b", 0.0, at + 1500), (3, 1, "b", 0.0, at + 1400), (4, 1, "c", 0.0, at + 1777)])
+    assert got == expected and [r[2] for r in got] == [at // 1000 + 1, at // 1000 + 2, at // 1000 + 2]
