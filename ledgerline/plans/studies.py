@@ -480,9 +480,10 @@ _STEP = """CASE WHEN list_contains(ids, n.event_id) THEN 'duplicate' WHEN n.even
 def order_flow(spark, sf_dir) -> DataFrame:
     e = streams.stream(spark, f"{sf_dir}/events.parquet")
     event = F.when(F.col("event_type") == "signup", "OUTBOX").when(F.col("event_type") == "view", "ACK").when(F.col("event_type") == "error", "REJECT").otherwise("FILL")
-    ms, whole = F.unix_millis(F.col("ts").cast("timestamp")), F.floor("value")
+    ms, whole = millis(F.col("ts").cast("timestamp")), F.floor("value")
+    through = lambda size: ((ms - ms % size) / size).cast("long")  # noqa: E731  (towards zero, as // of the SQL)
     quantity = F.when(event == "OUTBOX", 3 + whole % 5).otherwise(1 + whole % 3)
-    return e.select(F.concat_ws(":", "user_id", F.floor(ms / 604800000)).alias("key"), "ts", F.concat_ws(":", event, F.floor(ms / 86400000)).alias("event_id"), event.alias("event"), quantity.alias("quantity"))
+    return e.select(F.concat_ws(":", "user_id", through(604800000)).alias("key"), "ts", F.concat_ws(":", event, through(86400000)).alias("event_id"), event.alias("event"), quantity.alias("quantity"))
 
 
 @query(f"""WITH RECURSIVE {ORDERED}, n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS i FROM ev),
@@ -493,7 +494,7 @@ w AS (SELECT key, CAST(0 AS BIGINT) AS i, CAST(NULL AS TIMESTAMP) AS ts, '' AS e
 SELECT key, CAST(epoch_ms(ts) AS BIGINT) AS at_ms, event_id, verdict, s AS status, f AS filled FROM w WHERE i > 0 AND {PASSED}""")
 def stream_order_states(spark, sf_dir):
     out = streams.finish(folds.order_states(order_flow(spark, sf_dir)), "orders")
-    return out.select("key", F.unix_millis("ts").alias("at_ms"), "event_id", "verdict", "status", "filled")
+    return out.select("key", millis("ts").alias("at_ms"), "event_id", "verdict", "status", "filled")
 
 
 @query("SELECT event_type AS component, 'BLOCKED' AS status, CAST(epoch_ms(max(ts)) AS BIGINT) AS last_ms, 'heartbeat is stale' AS reason FROM events GROUP BY event_type")

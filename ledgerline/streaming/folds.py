@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from ledgerline.functions.columns import millis
+
 
 class _Fold(StatefulProcessor):
     """State: what ``step`` returned last, and the rows that wait, in pieces by their earliest millisecond."""
@@ -99,9 +101,9 @@ class _Fold(StatefulProcessor):
 
 def fold(rows: DataFrame, order: list[str], out: str, step: Callable, late: str = "1 hour", unique: list[str] | None = None) -> DataFrame:
     """Rows (key, ts, ``order``, others) with what ``step(state or None, row)`` returns (the next state, and the values of ``out`` as a tuple) and ``outcome``."""
-    rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    # The copy is no event time to Spark, which would drop late rows before the fold sees them.
-    rows = rows.withColumn("ts", F.timestamp_micros(F.unix_micros("ts"))).withColumn("ms__", F.unix_millis("ts"))
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    # The watermark goes by the nearest millisecond, like every time of the fold; its column is left out, as Spark would drop late rows by it before the fold sees them.
+    rows = rows.withColumn("at__", F.timestamp_millis(millis("ts"))).withWatermark("at__", late).withColumn("ms__", F.unix_millis(F.timestamp_micros(F.unix_micros("at__")))).drop("at__")
     names = [c for c in rows.columns if c != "ms__"]
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "ms__")
     added = [part.split()[0] for part in out.split(", ")]

@@ -115,3 +115,12 @@ def test_heartbeats_are_told_to_the_nearest_millisecond(spark, tmp_path):
     at = 2800 * WEEK
     got, expected = against_sql(spark, tmp_path, "stream_freshness", [(1, 1, "a", 0.0, at + 1499), (2, 1, "b", 0.0, at + 1500), (3, 1, "b", 0.0, at + 1400), (4, 1, "c", 0.0, at + 1777)])
     assert got == expected and [r[2] for r in got] == [at // 1000 + 1, at // 1000 + 2, at // 1000 + 2]
+
+
+def test_orders_are_cut_and_told_by_the_nearest_millisecond(spark, tmp_path):
+    at, hour = 2800 * WEEK, 3_600_000_000
+    # Just before a week that the nearest millisecond has begun; then two rows on either side of the watermark.
+    rows = [(1, 1, "signup", 4.0, at - 400), (2, 1, "view", 1.0, at + 1500), (3, 1, "purchase", 1.0, at + 2499)]
+    rows += [(4, 2, "signup", 1.0, at + hour + 1400), (5, 3, "signup", 1.0, at + hour + 1600), (6, 4, "signup", 1.0, at + 2 * hour + 1700)]
+    got, expected = against_sql(spark, tmp_path, "stream_order_states", rows)
+    assert got == expected and [(r[0], r[1]) for r in got] == [("1:2800", at // 1000), ("1:2800", at // 1000 + 2), ("1:2800", at // 1000 + 2), ("2:2800", (at + hour) // 1000 + 1)]
