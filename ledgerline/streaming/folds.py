@@ -12,9 +12,11 @@ each row that comes in, with its ``outcome``:
 * ``late``: the watermark had passed it when it came; values null as well.
 
 Nothing is dropped: ``events.finish`` writes the outcomes into folders of their
-own.  A key's waiting rows span the watermark's delay only, in pieces as they
-came, and a trigger reads the pieces that hold a row it can take.  What a fold
-has seen of a key stays, as a chain or a drawdown has no end.
+own.  Keys are dealt to ``GROUPS`` groups, whose number is part of a stream's
+state.  A group's waiting rows span the watermark's delay only, in pieces as they
+came, and a trigger reads the pieces that hold a row it can take, and the states
+of the keys whose rows it takes.  What a fold has seen of a key stays, as a chain
+or a drawdown has no end.
 """
 
 from __future__ import annotations
@@ -27,43 +29,55 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import IntegralType
 
 from ledgerline.functions.columns import millis
 
 
+#: Groups of keys that a stream's fold is dealt to: a call into Python for each key would cost more than its rows.
+GROUPS = 1024
+
+
 class _Fold(StatefulProcessor):
-    """State: what ``step`` returned last, and the rows that wait, in pieces by their earliest millisecond."""
+    """State of a group of keys: what ``step`` returned last for each key, and the rows that wait, in pieces by their earliest millisecond."""
 
-    def __init__(self, columns: list[str], names: list[str], order: list[str], unique: list[str], added: list[str], step: Callable) -> None:
-        self.columns, self.names, self.added, self.step = columns, names, added, step
-        self.order, self.unique, self.stamp = [columns.index(c) for c in order], [columns.index(c) for c in unique], columns.index("ms__")
+    def __init__(self, columns: list[str], whole: set[str], names: list[str], order: list[str], unique: list[str], added: list[str], step: Callable) -> None:
+        self.columns, self.whole, self.added, self.step = columns, whole, added, step
+        at = columns.index
+        self.own, self.names, self.order, self.unique, self.key, self.stamp = [at(c) for c in names], names, [at(c) for c in order], [at(c) for c in unique], at("key__"), at("ms__")
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("now", "value binary")
+        self.now = handle.getMapState("now", "key string", "value binary")
         self.waiting = handle.getMapState("waiting", "earliest long", "rows binary")
 
+    def _rows(self, frame: pd.DataFrame) -> Iterator[tuple]:
+        """Rows as tuples; whole numbers come as text, as pandas makes them fractions beside a null."""
+        each = (([int(v) if isinstance(v, str) else None for v in frame[c]] if c in self.whole else frame[c].tolist()) for c in self.columns)
+        return zip(*each, strict=True)
+
     def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[*self.names, *self.added, "outcome"])
+        return pd.DataFrame(rows, columns=[*self.names, *self.added, "outcome"], dtype=object)
 
     def _own(self, row: tuple) -> tuple:
-        return tuple(row[self.columns.index(n)] for n in self.names)
+        return tuple(row[i] for i in self.own)
 
     def _wait(self, rows: list[tuple]) -> None:
         """Keep the rows as one piece, and wake up at its earliest row."""
         if not rows:
             return
-        earliest = min(int(row[self.stamp]) for row in rows)
-        if self.waiting.containsKey((earliest,)):
-            rows = pickle.loads(self.waiting.getValue((earliest,))[0]) + rows
+        earliest = min(row[self.stamp] for row in rows)
+        kept = self.waiting.getValue((earliest,)) if self.waiting.containsKey((earliest,)) else None
+        if kept is not None:
+            rows = pickle.loads(kept[0]) + rows
         self.waiting.updateValue((earliest,), (pickle.dumps(rows),))
         self.handle.registerTimer(earliest)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         mark, fresh, late = timerValues.getCurrentWatermarkInMs(), [], []
         for frame in rows:
-            for row in frame[self.columns].itertuples(index=False, name=None):
-                if not row[self.stamp] >= mark:  # nor has a time
+            for row in self._rows(frame):
+                if row[self.stamp] is None or row[self.stamp] < mark:
                     late.append((*self._own(row), *[None] * len(self.added), "late"))
                 else:
                     fresh.append(row)
@@ -72,42 +86,59 @@ class _Fold(StatefulProcessor):
             yield self._frame(late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark, passed, rest = timerValues.getCurrentWatermarkInMs(), [], []
+        mark, passed, rest = timerValues.getCurrentWatermarkInMs(), {}, []
         for earliest in [k[0] for k in self.waiting.keys()]:
             if earliest < mark:
                 for row in pickle.loads(self.waiting.getValue((earliest,))[0]):
-                    (passed if row[self.stamp] < mark else rest).append(row)
+                    if row[self.stamp] < mark:
+                        passed.setdefault(row[self.key], []).append(row)
+                    else:
+                        rest.append(row)
                 self.waiting.removeKey((earliest,))
         self._wait(rest)
         if not passed:
             return
-        now = pickle.loads(self.now.get()[0]) if self.now.exists() else None
-        values, seen = [], set()
+        values = []
+        for mine, rows in passed.items():
+            values.extend(self._fold(mine, rows))
+        yield self._frame(values)
+
+    def _fold(self, key: str, rows: list[tuple]) -> Iterator[tuple]:
+        """Take a key's rows in order, from and to its state."""
+        before = self.now.getValue((key,)) if self.now.containsKey((key,)) else None
+        now, seen = None if before is None else pickle.loads(before[0]), set()
         # Nulls first; rows that tie are in the order of what they hold.
-        for row in sorted(passed, key=lambda r: ([(r[i] is not None, r[i]) for i in self.order], repr(r))):
-            mine = tuple(row[i] for i in self.unique)
-            if self.unique and mine in seen:
-                values.append((*self._own(row), *[None] * len(self.added), "repeat"))
-                continue
-            seen.add(mine)
+        for row in sorted(rows, key=lambda r: ([(r[i] is not None, r[i]) for i in self.order], repr(r))):
+            if self.unique:
+                mine = tuple(row[i] for i in self.unique)
+                if mine in seen:
+                    yield (*self._own(row), *[None] * len(self.added), "repeat")
+                    continue
+                seen.add(mine)
             now, value = self.step(now, dict(zip(self.columns, row, strict=True)))
-            values.append((*self._own(row), *value, "seen"))
-        self.now.update((pickle.dumps(now),))
-        yield self._frame(values)
+            yield (*self._own(row), *value, "seen")
+        self.now.updateValue((key,), (pickle.dumps(now),))
 
     def close(self) -> None:
         pass
 
 
 def fold(rows: DataFrame, order: list[str], out: str, step: Callable, late: str = "1 hour", unique: list[str] | None = None) -> DataFrame:
-    """Rows (key, ts, ``order``, others) with what ``step(state or None, row)`` returns (the next state, and the values of ``out`` as a tuple) and ``outcome``."""
+    """Rows (key, ts, ``order``, others) with what ``step(state or None, row)`` returns (the next state, and the values of ``out`` as a tuple) and ``outcome``.
+
+    A row of ``step`` has its ``ts`` in microseconds, and ``ms__`` in milliseconds.
+    """
     rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    names, kinds = rows.columns, {f.name: f.dataType for f in rows.schema}
     # The watermark goes by the nearest millisecond, like every time of the fold; its column is left out, as Spark would drop late rows by it before the fold sees them.
     rows = rows.withColumn("at__", F.timestamp_millis(millis("ts"))).withWatermark("at__", late).withColumn("ms__", F.unix_millis(F.timestamp_micros(F.unix_micros("at__")))).drop("at__")
-    names = [c for c in rows.columns if c != "ms__"]
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "ms__")
+    rows = rows.withColumn("ts", F.unix_micros("ts")).withColumn("key__", F.coalesce(F.concat(F.lit("="), F.col("key").cast("string")), F.lit("")))
+    columns, whole = rows.columns, {f.name for f in rows.schema if isinstance(f.dataType, IntegralType)}
+    rows = rows.select(F.pmod(F.xxhash64("key"), F.lit(GROUPS)).cast("int").alias("group__"), *(F.col(c).cast("string").alias(c) if c in whole else F.col(c) for c in columns))
+    kept = ", ".join(f"`{n}` {'long' if n == 'ts' else kinds[n].simpleString()}" for n in names)
     added = [part.split()[0] for part in out.split(", ")]
-    return rows.groupBy("key").transformWithStateInPandas(_Fold(rows.columns, names, order, unique or [], added, step), f"{kept}, {out}, outcome string", "Append", "EventTime")
+    done = rows.groupBy("group__").transformWithStateInPandas(_Fold(columns, whole, names, order, unique or [], added, step), f"{kept}, {out}, outcome string", "Append", "EventTime")
+    return done.withColumn("ts", F.timestamp_micros("ts"))
 
 
 def running_drawdown(rows: DataFrame, order: list[str]) -> DataFrame:

@@ -124,3 +124,17 @@ def test_orders_are_cut_and_told_by_the_nearest_millisecond(spark, tmp_path):
     rows += [(4, 2, "signup", 1.0, at + hour + 1400), (5, 3, "signup", 1.0, at + hour + 1600), (6, 4, "signup", 1.0, at + 2 * hour + 1700)]
     got, expected = against_sql(spark, tmp_path, "stream_order_states", rows)
     assert got == expected and [(r[0], r[1]) for r in got] == [("1:2800", at // 1000), ("1:2800", at // 1000 + 2), ("1:2800", at // 1000 + 2), ("2:2800", (at + hour) // 1000 + 1)]
+
+
+def test_keys_share_a_group_and_keep_their_own_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(folds, "GROUPS", 1)
+    schema, big = "key long, ts timestamp, sequence long, previous_hash string, record_hash string", 2**53 + 1
+    first = [(k, AT, big, "", f"{k}") for k in (1, 2, big, None)] + [(9, AT + 5 * HOUR, 0, "", "")]
+    second = [(1, AT + 5 * HOUR, big + 1, "1", "x"), (big, AT + 5 * HOUR, big + 2, "?", "x"), (None, AT + 5 * HOUR, big + 1, "None", "x"), (2, AT, big + 1, "2", "x"), (9, AT + 11 * HOUR, 1, "", "")]
+    out = folds.chain_breaks(files(spark, str(tmp_path / "in"), schema, [first, second]), ["sequence"])
+    got = {(r.key, r.sequence, r.outcome): (r.sequence_break, r.hash_break, r.ts) for r in streams.finish(out, "groups", None).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {
+        **{(k, big, "seen"): (False, False) for k in (1, 2, big, None)}, (9, 0, "seen"): (False, False),
+        (1, big + 1, "seen"): (False, False), (big, big + 2, "seen"): (True, True), (None, big + 1, "seen"): (False, False), (2, big + 1, "late"): (None, None),
+    }
+    assert got[(None, big, "seen")][2] == AT
