@@ -1,11 +1,10 @@
 """Chat formatting by prefix-target expansion.
 
 Every assistant turn is exploded into one training example: all preceding turns
-are its context and only that reply carries loss.  All contexts of a
-conversation are prefixes of one formatted conversation, so an example is one
-row that holds the end of its context in it, its own formatted reply and the
-loss span; the output grows with the turns and not with their square.
-``example_texts`` writes the contexts out in full where that is wanted.
+are its context and only that reply carries loss.  An
+example is one row that holds its whole formatted context, its own formatted
+reply and the loss span, so the examples of a conversation grow with the square
+of its length.
 
 Template of one turn: ``<|turn|>role\\ntext<|end|>\\n``.  Inside roles and texts
 a backslash is put before every backslash and into every control string (those
@@ -73,26 +72,25 @@ def format_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 
 
 def examples(turns: DataFrame) -> DataFrame:
-    """One row per assistant turn: conv_id, position, context_end, reply, loss_start, loss_end.
+    """One row per assistant turn: conv_id, position, context_end, context, reply, loss_start, loss_end.
 
-    The example's text is the formatted conversation up to ``context_end`` and
-    then ``reply``; the loss span lies in the reply and leaves out its header and
-    end mark.
+    ``context`` is the formatted text of all turns before, ``context_end`` its
+    length, and the example's text is the context and then ``reply``; the loss span
+    lies in the reply and leaves out its header and end mark.  A conversation's
+    examples together hold the square of its length, by definition; they are cut
+    from it in one task.
     """
-    targets = turns.filter(F.col("role") == "assistant")
-    return targets.select("conv_id", "position", F.col("seg_start").alias("context_end"), F.col("segment").alias("reply"), F.col("text_start").alias("loss_start"), (F.col("seg_end") - len(END)).alias("loss_end"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "segment"))), lambda x: x["segment"]), "")
+    targets = F.collect_list(F.when(F.col("role") == "assistant", F.struct("position", "seg_start", "seg_end", "text_start")))
+    each = turns.groupBy("conv_id").agg(whole.alias("__whole"), targets.alias("__targets")).select("conv_id", "__whole", F.explode("__targets").alias("t")).select("conv_id", "__whole", "t.*")
+    cut = lambda start, end: F.substring(F.col("__whole"), start + 1, end - start)
+    context, reply = cut(F.lit(0), F.col("seg_start")), cut(F.col("seg_start"), F.col("seg_end"))
+    return each.select("conv_id", "position", F.col("seg_start").alias("context_end"), context.alias("context"), reply.alias("reply"), F.col("text_start").alias("loss_start"), (F.col("seg_end") - len(END)).alias("loss_end"))
 
 
 def example_texts(turns: DataFrame) -> DataFrame:
-    """Examples written out: conv_id, position, text, loss_start, loss_end.
-
-    A conversation's examples together hold the square of its length, by
-    definition; use it on conversations of bounded length.
-    """
-    targets = examples(turns).select(F.col("conv_id").alias("__c"), F.col("position").alias("__last"), "loss_start", "loss_end")
-    parts = turns.select("conv_id", "position", "segment").join(targets, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("position") <= F.col("__last")))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "segment"))), lambda x: x["segment"]), "")
-    return parts.groupBy("conv_id", "__last", "loss_start", "loss_end").agg(whole.alias("text")).select("conv_id", F.col("__last").alias("position"), "text", "loss_start", "loss_end")
+    """Examples as one text each: conv_id, position, text, loss_start, loss_end."""
+    return examples(turns).select("conv_id", "position", F.concat("context", "reply").alias("text"), "loss_start", "loss_end")
 
 
 _SEGMENT = re.compile(re.escape(TURN) + r"(.*?)\n(.*)" + re.escape(END) + r"\Z", re.S)
@@ -103,6 +101,7 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fold a conversation's turns and examples, in order, into one row; holds one turn at a time."""
     names = _DIGEST.replace(",", "").split()[::2]
     at, begun, n, many, turns, loss, loss_chars, chars = None, False, 0, 0, hashlib.sha256(), hashlib.sha256(), 0, 0
+    prefix, context = hashlib.sha256(), ""
 
     def rows(done: list[tuple]) -> pa.RecordBatch:
         columns = zip(*done, strict=True) if done else [[]] * len(names)
@@ -110,21 +109,24 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         done: list[tuple] = []
-        for conv, text, start, begin, end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "text", "start", "loss_start", "loss_end")), strict=True):
+        for conv, text, start, before in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "text", "start", "context")), strict=True):
             if not begun or conv != at:
                 if begun:
                     done.append((at, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, many))
                 at, begun, n, many, turns, loss, loss_chars, chars = conv, True, 0, 0, hashlib.sha256(), hashlib.sha256(), 0, 0
-            if begin is None:
+                prefix = hashlib.sha256()
+            if before is None:
+                context = prefix.hexdigest()
+                prefix.update(text.encode())
                 role, body = _SEGMENT.match(text).groups()
                 turns.update(f"{unescape_role(role)}\n{unescape(body)}\n".encode())
                 n += 1
                 chars += len(text)
                 continue
-            # An example stands right after the turn that is its reply.
-            if start + len(text) != chars:
+            # An example stands right after the turn that is its reply; its context is all that came before that.
+            if before != context or start + len(text) + len(END) != chars:
                 raise ValueError(f"an example of conversation {conv} does not continue its context")
-            trained = unescape(text[begin - start : end - start])
+            trained = unescape(text)
             loss.update(trained.encode())
             loss_chars += len(trained)
             many += 1
@@ -135,9 +137,11 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_back(turns: DataFrame, targets: DataFrame) -> DataFrame:
     """Parse formatted turns and their examples again: digests of the turns, and of the text that the examples train on, per conversation."""
-    none = F.lit(None).cast("long")
-    whole = turns.select("conv_id", "position", F.lit(0).alias("kind"), F.col("segment").alias("text"), F.col("seg_start").alias("start"), none.alias("loss_start"), none.alias("loss_end"))
-    part = targets.select("conv_id", "position", F.lit(1).alias("kind"), F.col("reply").alias("text"), F.col("context_end").alias("start"), "loss_start", "loss_end")
+    none = F.lit(None).cast("string")
+    whole = turns.select("conv_id", "position", F.lit(0).alias("kind"), F.col("segment").alias("text"), F.col("seg_start").alias("start"), none.alias("context"))
+    # The loss text is cut from the whole example by its span; of the context only the digest is carried on.
+    trained = F.substring(F.concat("context", "reply"), F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start"))
+    part = targets.select("conv_id", "position", F.lit(1).alias("kind"), trained.alias("text"), F.col("loss_start").alias("start"), F.sha2("context", 256).alias("context"))
     return whole.unionByName(part).repartition("conv_id").sortWithinPartitions("conv_id", "position", "kind").mapInArrow(_read_back, _DIGEST)
 
 
@@ -146,7 +150,8 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
     turns = materialise(format_turns(given.unionByName(probe)), "turns")
-    return read_back(turns, examples(turns))
+    # Contexts repeat one another, so they are packed with a wide window.
+    return read_back(turns, materialise(examples(turns), "examples", compression="zstd"))
 
 
 OP7_SQL = f"""

@@ -556,3 +556,19 @@ def test_pipeline_stages_on_hard_rows(spark, tmp_path):
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and sorted((x["doc_id"] for x in out.collect()), key=str) == ids
     none = docs.limit(0)
     assert all(stage(spark, none, folder).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_chat_examples_hold_their_whole_context(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(c, t, "assistant" if t % 2 else "user", f"turn {t} \u00e9</s>\\") for c in (1, 2, None) for t in range(6)]
+    turns = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    segments = {(r.conv_id, r.position): r.segment for r in turns.collect()}
+    found = {(r.conv_id, r.position): r for r in chat.examples(turns).collect()}
+    assert sorted(found, key=repr) == sorted(((c, t) for c in (1, 2, None) for t in (1, 3, 5)), key=repr)
+    for (c, t), r in found.items():
+        assert r.context == "".join(segments[c, i] for i in range(t)) and r.reply == segments[c, t] and r.context_end == len(r.context)
+    # A context that is not what stands before the reply is refused.
+    other = chat.examples(turns).withColumn("context", F.when((F.col("conv_id") == 2) & (F.col("position") == 3), F.translate("context", "0", "1")).otherwise(F.col("context")))
+    with pytest.raises(Exception, match="does not continue its context"):
+        chat.read_back(turns, other).collect()
