@@ -97,13 +97,15 @@ def canonical_digest(rows: DataFrame, group: str, key: str, fields: list[str], d
     rows by key, and the group over its parts in order, so no task holds a group.
     Blank and repeated keys are counted in ``wrong`` and leave no digest.
     """
-    clean = F.trim(F.col(key).cast("string"))
-    own = rows.select(group, clean.alias("__k"), F.to_json(F.struct(clean.alias(key), *fields), {"ignoreNullFields": "false"}).alias("__j"))
-    own = own.withColumn("__p", F.substring(F.md5(F.coalesce("__k", F.lit(""))), 1, digits))
-    inside = F.array_sort(F.collect_list(F.struct("__k", "__j")))
-    parts = own.groupBy(group, "__p").agg(
-        F.count(F.lit(1)).alias("__n"), (F.count(F.lit(1)) - F.countDistinct(F.nullif("__k", F.lit("")))).alias("__bad"),
-        F.sha2(F.array_join(F.transform(inside, lambda x: x["__j"]), "\n"), 256).alias("__h"),
+    # Rows are shuffled once, as they are; the JSON is written and keys are counted where a part stands together.
+    own = rows.select(group, F.coalesce(F.trim(F.col(key).cast("string")), F.lit("")).alias("__k"), *fields)
+    own = own.withColumn("__p", F.substring(F.md5("__k"), 1, digits))
+    parts = own.groupBy(group, "__p").agg(F.array_sort(F.collect_list(F.struct("__k", *fields))).alias("__rows"))
+    json = lambda x: F.to_json(F.struct(x["__k"].alias(key), *(x[f].alias(f) for f in fields)), {"ignoreNullFields": "false"})
+    keys = F.array_distinct(F.transform("__rows", lambda x: x["__k"]))
+    parts = parts.select(
+        group, "__p", F.size("__rows").cast("long").alias("__n"), (F.size("__rows") - F.size(F.array_remove(keys, ""))).cast("long").alias("__bad"),
+        F.sha2(F.array_join(F.transform("__rows", json), "\n"), 256).alias("__h"),
     )
     whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__p", "__h"))), lambda x: x["__h"]), "\n"), 256)
     out = parts.groupBy(group).agg(F.sum("__n").alias("rows"), F.sum("__bad").alias("wrong"), whole.alias("digest"))

@@ -175,3 +175,11 @@ def test_evidence_gates(spark):
     assert [got[i, "a"][1] for i in range(len(batch))] == [reason for reason, _ in batch]
     runs = spark.createDataFrame([(2, None)], "run long, digest string")
     assert report(good | {"run": 2})[2, "a"] == (1, "other run", "BLOCKED")
+
+
+def test_canonical_digest_shuffles_its_rows_once(spark):
+    rows = spark.createDataFrame([("a", " x", 1), ("a", "y", None), ("b", "", 1), ("c", "x", 2), ("c", "x ", 1), ("d", None, 1), ("d", None, 2)], "book string, id string, n long")
+    out = intake.canonical_digest(rows, "book", "id", ["n"])
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    parts = lambda *keys: hashlib.sha256("\n".join(hashlib.sha256(j.encode()).hexdigest() for _, j in sorted((hashlib.md5(k.encode()).hexdigest()[:2], j) for k, j in keys)).encode()).hexdigest()
+    assert {r.book: (r.rows, r.wrong, r.digest) for r in out.collect()} == {"a": (2, 0, parts(("x", '{"id":"x","n":1}'), ("y", '{"id":"y","n":null}'))), "b": (1, 1, None), "c": (2, 1, None), "d": (2, 2, None)}
