@@ -182,17 +182,20 @@ def assess_batches(orders: DataFrame, batches: DataFrame, snapshot: DataFrame, p
     exchange and currency.  Order ids and contracts may not repeat in a batch.
     """
     terms = snapshot.select("contract", F.col("root").alias("__root"), "volume", "bid", "ask", "notional", "margin", "deadline", "exchange", "currency", F.lit(True).alias("__known"))
+    # Terms and figures of whole batches are small beside the orders, which are not shuffled for them.
+    terms, batches = F.broadcast(terms), F.broadcast(batches)
     rows = orders.join(batches, "batch").join(terms, "contract", "left").join(positions.select("batch", "contract", "position"), ["batch", "contract"], "left")
     rows = rows.withColumn("position", F.coalesce("position", F.lit(0))).withColumn("__known", F.coalesce("__known", F.lit(False)))
-    rows = rows.withColumn("__signed", F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))).withColumn("__after", F.col("position") + F.col("__signed"))
+    signed = F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))
+    rows = rows.withColumn("__signed", signed).withColumn("__after", F.col("position") + F.col("__signed"))
     shrinks = (F.col("position") != 0) & (F.abs("__after") < F.abs("position")) & (F.signum("__after") * F.signum("position") >= 0)
     rows = rows.withColumn("reduces", F.col("__known") & F.coalesce(F.col("reduce_only"), F.lit(False)) & shrinks).withColumn("participation", F.when(F.col("__known") & (F.col("volume") > 0), F.col("quantity") / F.col("volume")))
 
     # What repeats within a batch: counted by the key that repeats, then by batch.
     def repeats(column: str, name: str) -> DataFrame:
-        return rows.groupBy("batch", column).agg(F.count(F.lit(1)).alias("__c")).groupBy("batch").agg((F.max("__c") > 1).alias(name))
+        return F.broadcast(orders.groupBy("batch", column).agg(F.count(F.lit(1)).alias("__c")).groupBy("batch").agg((F.max("__c") > 1).alias(name)))
 
-    moved = rows.filter("__known").groupBy("batch", "contract").agg(F.sum("__signed").alias("__moved"))
+    moved = orders.join(batches.select("batch"), "batch").join(terms.select("contract"), "contract").groupBy("batch", "contract").agg(F.sum(signed).alias("__moved"))
     held = positions.select("batch", "contract", "position").join(moved, ["batch", "contract"], "full_outer").na.fill(0, ["position", "__moved"]).join(terms.select("contract", "notional", "margin", "__known"), "contract", "left")
     now, then = F.abs("position"), F.abs(F.col("position") + F.col("__moved"))
     unknown = F.col("__known").isNull() & ((now != 0) | (then != 0))
@@ -204,7 +207,7 @@ def assess_batches(orders: DataFrame, batches: DataFrame, snapshot: DataFrame, p
         F.count(F.lit(1)).alias("__legs"), (same("root") & same("quantity") & ~same("contract") & ~same("side")).alias("__pair"), F.count_if("reduces").alias("__closing"),
         ((leg("exchange", True) == leg("exchange", False)) & (leg("currency", True) == leg("currency", False)) & (leg("deadline", False) > leg("deadline", True))).alias("__later"),
     )
-    out = rows.join(repeats("order_id", "__twice"), "batch").join(repeats("contract", "__shared"), "batch").join(total, "batch", "left").join(rolls, ["batch", "roll_id"], "left")
+    out = rows.join(repeats("order_id", "__twice"), "batch").join(repeats("contract", "__shared"), "batch").join(F.broadcast(total), "batch", "left").join(rolls, ["batch", "roll_id"], "left")
     age = F.col("as_of").cast("double") - F.col("decided_at").cast("double")
     gross, margin = F.try_divide(F.col("__g"), F.col("nav")), F.try_divide(F.col("__m"), F.col("nav"))
     limited = F.col("order_type") == "MARKETABLE_LIMIT"
