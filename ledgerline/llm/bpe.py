@@ -165,6 +165,11 @@ class BpeModel:
         self._ids(text[at:], out)
         return out
 
+    def forget(self) -> None:
+        """Let remembered words go: a task's worker is used again, by other stages."""
+        self.known.clear()
+        self.seen.clear()
+
     def decode(self, ids: list[int]) -> str:
         """Tokens' names joined by spaces, as a file without a decoder asks for."""
         names = self.names
@@ -228,14 +233,17 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(bpe_path())
-        for batch in chunks(batches, "text", 500_000):
-            n, of_ids, of_text = [], [], []
-            for t in batch.column("text").to_pylist():
-                ids = m.encode(t or "")
-                n.append(len(ids))
-                of_ids.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
-                of_text.append(hashlib.sha256(m.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for batch in chunks(batches, "text", 500_000):
+                n, of_ids, of_text = [], [], []
+                for t in batch.column("text").to_pylist():
+                    ids = m.encode(t or "")
+                    n.append(len(ids))
+                    of_ids.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+                    of_text.append(hashlib.sha256(m.decode(ids).encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            m.forget()
 
     out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("key", key)

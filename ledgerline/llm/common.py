@@ -14,7 +14,9 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
 #: Python tasks work on at most about this many bytes of text at a time.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
+#: Batches that Spark sends to Python tasks hold at most about this many bytes.
+BATCH_BYTES = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,9 +72,22 @@ def sweep(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on the bytes of a batch for Python to BATCH_BYTES; a lower limit stays.
+
+    A batch stands in the JVM's buffers and, with the one before, in the Python
+    worker, for each core; Spark's own limits are 10,000 rows or 64 MB.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose ``text`` column holds about ``limit`` bytes;
-    a single longer row is a slice of its own."""
+    a single longer row is a slice of its own.  What a batch took is given back
+    after it, as reused Python workers would hold it through all later stages."""
+    pool = pa.default_memory_pool()
     for batch in batches:
         sizes = pa.compute.binary_length(batch.column(text)).fill_null(0).to_pylist()
         begin, held = 0, 0
@@ -83,3 +98,5 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             held += size
         if begin < len(sizes):
             yield batch.slice(begin)
+        del batch
+        pool.release_unused()

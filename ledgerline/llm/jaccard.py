@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm import wordhash
-from ledgerline.llm.common import chunks, materialise, release, sweep, table
+from ledgerline.llm.common import bounded_batches, chunks, materialise, release, sweep, table
 from ledgerline.llm.components import components
 
 SHINGLE = 5
@@ -327,6 +327,7 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     has none.  Equal texts tie and are one class.  An empty table gives an empty
     table.  Other columns are not read, so their names cannot clash.
     """
+    bounded_batches(df.sparkSession)
     docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
     counts = repeated_shingles(docs)
     often = frequent_shingles(counts)

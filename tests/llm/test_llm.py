@@ -6,9 +6,10 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from ledgerline.llm import bpe, chat, decontaminate, jaccard, quality, secrets, sharding, suffixes, tiff, unit_dedup
+from ledgerline.llm import bpe, chat, common, decontaminate, jaccard, quality, secrets, sharding, suffixes, tiff, unit_dedup
 
 rng = random.Random(5)
 VOCAB = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(300)]
@@ -572,3 +573,18 @@ def test_chat_examples_hold_their_whole_context(spark):
     other = chat.examples(turns).withColumn("context", F.when((F.col("conv_id") == 2) & (F.col("position") == 3), F.translate("context", "0", "1")).otherwise(F.col("context")))
     with pytest.raises(Exception, match="does not continue its context"):
         chat.read_back(turns, other).collect()
+
+
+def test_python_workers_keep_little_between_stages(spark):
+    """Batches for Python are bounded in bytes, and reused workers have forgotten the tokeniser's words."""
+    rows = spark.range(0, 2000, 1, 1).selectExpr("id AS doc_id", "concat('word', id, repeat(' of a long text', 600)) AS text")
+    jaccard.similar_documents(rows.limit(5)).count()
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([len(bpe.model(bpe.bpe_path()).known)])], names=["bytes", "known"])
+
+    seen = rows.mapInArrow(sizes, "bytes long, known long").collect()
+    assert len(seen) > 1 and max(r.bytes for r in seen) <= 1.1 * common.BATCH_BYTES
+    bpe.digests(rows).count()
+    assert {r.known for r in rows.mapInArrow(sizes, "bytes long, known long").collect()} == {0}
