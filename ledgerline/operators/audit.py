@@ -27,7 +27,8 @@ def exact_quantiles(df: DataFrame, group: str, value: str, shares: dict[str, flo
 
     A mergeable sketch brackets each quantile, a second pass counts what lies
     below the bracket, and only the values inside are sorted: some ten in
-    ``accuracy`` rows of a group and share, so a group is no single task.
+    ``accuracy`` rows of a group and share, so a group is no single task.  The
+    brackets, a row for each group, go to all tasks, and the rows stay where they are.
     """
     rows = df.select(group, F.col(value).cast("double").alias("__v")).filter("__v IS NOT NULL")
     wide = 4 / accuracy
@@ -37,11 +38,11 @@ def exact_quantiles(df: DataFrame, group: str, value: str, shares: dict[str, flo
     small, infinite = F.col("__n") <= accuracy, float("inf")
     low = lambda i: F.when(small, -infinite).otherwise(F.get("__m", F.lit(2 * i)))
     high = lambda i: F.when(small, infinite).otherwise(F.get("__m", F.lit(2 * i + 1)))
-    seen, many = rows.join(marks, group), range(len(shares))
+    seen, many = rows.join(F.broadcast(marks), group), range(len(shares))
     below = seen.groupBy(group).agg(F.array(*(F.count_if(F.col("__v") < low(i)) for i in many)).alias("__b"))
     tagged = F.array_compact(F.array(*(F.when((F.col("__v") >= low(i)) & (F.col("__v") <= high(i)), F.lit(i)) for i in many)))
     inside = seen.select(group, "__v", "__n", F.explode(tagged).alias("__i"))
-    inside = inside.withColumn("__k", F.row_number().over(Window.partitionBy(group, "__i").orderBy("__v")) - 1).join(below, group)
+    inside = inside.withColumn("__k", F.row_number().over(Window.partitionBy(group, "__i").orderBy("__v")) - 1).join(F.broadcast(below), group)
     place = (F.col("__n") - 1) * F.get(F.array(*map(F.lit, shares.values())), F.col("__i"))
     at = lambda rank: F.max(F.when(F.col("__k") + F.get("__b", F.col("__i")) == rank, F.col("__v")))
     first, second, part = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))

@@ -253,3 +253,18 @@ def test_manifest_and_fields(spark, tmp_path):
     assert [r["delivery"] for r in files.scan_field(spark, str(tmp_path), kinds, "delivery").collect()] == [202003]
     got = files.manifest(spark, str(tmp_path)).first()
     assert (got["bytes"], got["sha256"]) == (len(text), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_exact_quantiles_leave_rows_where_they_are(spark):
+    """No group's rows meet in one task, also where Spark broadcasts nothing by itself."""
+    from ledgerline.operators import audit
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(0, 500, 1, 4).selectExpr("id % 2 AS g", "CAST(id AS DOUBLE) AS v")
+        out = audit.exact_quantiles(df, "g", "v", {"half": 0.5}, 50)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert {r.g: r.half for r in out.collect()} == {0: 249.0, 1: 250.0}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
