@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -100,16 +100,17 @@ def peak_concurrency(intervals: DataFrame, group: str, start: str, end: str) ->
 NEXT = {"OUTBOX": ["ACK", "REJECT"], "ACK": ["FILL", "REJECT", "ACK"], "FILL": ["FILL", "ACK"], "REJECT": ["OUTBOX"]}
 
 
-def replay_orders(events: DataFrame, key: str = "key", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """Per key: events, illegal transitions, repeated ids, fills and last state, from (key, event_id, event, ts)."""
-    by = Window.partitionBy(key).orderBy(*order)
+def replay_orders(events: DataFrame, key: str | list[str] = "key", order: tuple[str, ...] = ("ts", "event_id"), figures: tuple[Column, ...] = ()) -> DataFrame:
+    """Per key: events, illegal transitions, repeated ids, fills and last state, from (key, event_id, event, ts), and further ``figures`` of its events."""
+    keys = [key] if isinstance(key, str) else key
+    by = Window.partitionBy(*keys).orderBy(*order)
     before = F.lag("event").over(by)
     legal = F.when(before.isNull(), F.col("event") == "OUTBOX")
     for state, following in NEXT.items():
         legal = legal.when(before == state, F.col("event").isin(following))
-    rows = events.withColumn("__ok", F.coalesce(legal, F.lit(False))).withColumn("__seen", F.row_number().over(Window.partitionBy(key, "event_id").orderBy(*order)))
+    rows = events.withColumn("__ok", F.coalesce(legal, F.lit(False))).withColumn("__seen", F.row_number().over(Window.partitionBy(*keys, "event_id").orderBy(*order)))
     last = F.max_by("event", F.struct(*order))
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("events"), F.sum(F.when(F.col("__ok"), 0).otherwise(1)).alias("illegal"), F.sum(F.when(F.col("__seen") > 1, 1).otherwise(0)).alias("repeated"), F.sum(F.when(F.col("event") == "FILL", 1).otherwise(0)).alias("fills"), last.alias("state"))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("events"), F.sum(F.when(F.col("__ok"), 0).otherwise(1)).alias("illegal"), F.sum(F.when(F.col("__seen") > 1, 1).otherwise(0)).alias("repeated"), F.sum(F.when(F.col("event") == "FILL", 1).otherwise(0)).alias("fills"), last.alias("state"), *figures)
 
 
 def chain_audit(entries: DataFrame, journal: str = "journal", order: tuple[str, ...] = ("sequence",)) -> DataFrame:

@@ -126,20 +126,19 @@ def scalar_in_force(scalars: DataFrame, exposure: str, warm_up: int = 63) -> Dat
     return scalars.join(carried.withColumn("in_force", F.coalesce("in_force", F.lit(1.0))), ["symbol", "session"])
 
 
-def recovery_report(events: DataFrame, broker: DataFrame) -> DataFrame:
+def recovery_report(events: DataFrame, broker: DataFrame, parts: int | None = None) -> DataFrame:
     """Two rows per book after a restart: whether its journal replays, and whether the open orders are those of the broker.
 
     ``events`` are (book, key, event_id, event, ts, quantity), where quantity is
     what an OUTBOX orders and a FILL fills; ``broker`` is (book, key, open).
     ``observed`` counts orders replayed, and orders that differ (null where the
     replay fails).  An order is open in the states OUTBOX, ACK and FILL while
-    something remains.
+    something remains.  With ``parts`` the orders are dealt over so many tasks.
     """
-    events = events.withColumn("__key", F.struct("book", "key"))
-    states = replay_orders(events, "__key")
     amount = lambda kind: F.sum(F.when(F.col("event") == kind, F.col("quantity")).otherwise(0))
-    left = events.groupBy("__key").agg((amount("OUTBOX") - amount("FILL")).alias("remaining"))
-    orders = states.join(left, "__key").select("__key.*", "illegal", "repeated", F.when(F.col("state") != "REJECT", F.greatest(F.col("remaining"), F.lit(0))).otherwise(0).alias("ours"), (F.col("remaining") < 0).cast("int").alias("over"))
+    remaining = F.col("remaining")
+    states = replay_orders(events.repartition(parts, "book", "key") if parts else events, ["book", "key"], figures=((amount("OUTBOX") - amount("FILL")).alias("remaining"),))
+    orders = states.select("book", "key", "illegal", "repeated", F.when(F.col("state") != "REJECT", F.greatest(remaining, F.lit(0))).otherwise(0).alias("ours"), (remaining < 0).cast("int").alias("over"))
     both = orders.join(broker.select("book", "key", F.col("open").alias("theirs")), ["book", "key"], "full_outer")
     breaks = F.coalesce("ours", F.lit(0)) != F.coalesce("theirs", F.lit(0))
     out = both.groupBy("book").agg(F.count("illegal").alias("orders"), F.coalesce(F.sum(F.col("illegal") + F.col("repeated") + F.col("over")), F.lit(0)).alias("faults"), F.count_if(breaks).alias("breaks"))

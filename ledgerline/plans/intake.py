@@ -11,7 +11,7 @@ from ledgerline.plans.catalogue import W, _r, query
 from ledgerline.plans.scenarios import figures_sql
 from ledgerline.plans.studies import FUNDED, clip, ewm_sql, funded, over
 from ledgerline.sources.files import manifest, scan_dated, scan_field, scratch, write_dated, write_panel
-from ledgerline.sources.views import BARS, PATHS, bars, paths, read
+from ledgerline.sources.views import BARS, PATHS, bars, parts_for, paths, read
 
 # Fields of files -----------------------------------------------------------------
 
@@ -232,6 +232,9 @@ def recovery_report(spark, sf_dir):
     """Journals of the orders with a line: returned lines wait; urgent orders of some customers miss their acknowledgement, some low ones differ at the broker."""
     line = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("q"), (F.col("l_returnflag") == "R").alias("waits"), F.col("l_shipdate").cast("timestamp").alias("shipped"))
     order = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("book"), F.col("o_custkey").alias("cust"), F.col("o_orderdate").cast("timestamp").alias("day"))
+    # The number of lines stands in the files; a task's share of orders stays the same as they grow.
+    if parts := parts_for(spark, read(spark, sf_dir, "lineitem").count()):
+        line, order = line.repartition(parts, "key"), order.repartition(parts, "key")
     own = line.groupBy("key").agg(F.sum("q").alias("ordered"), F.sum(F.when(F.col("waits"), F.col("q")).otherwise(0)).alias("open"))
     order = order.join(own, "key")
     unheard = (F.col("book") == "1-URGENT") & (F.col("cust") % 50 == 1)
@@ -241,7 +244,7 @@ def recovery_report(spark, sf_dir):
     each = F.concat_ws(":", F.lit("3"), *(F.col(c).cast("string") for c in ("l_linenumber", "l_partkey", "l_suppkey")), F.col("shipped").cast("string"), F.col("q").cast("string"))
     filled = line.filter("NOT waits").join(order.select("key", "book", "day"), "key").select("book", "key", *event("FILL", each, F.greatest("shipped", "day"), F.col("q")))
     theirs = order.select("book", "key", (F.col("open") + F.when((F.col("book") == "5-LOW") & (F.col("cust") % 97 == 2), 1).otherwise(0)).alias("open"))
-    return intake.recovery_report(asked.unionByName(heard).unionByName(filled), theirs)
+    return intake.recovery_report(asked.unionByName(heard).unionByName(filled), theirs, parts)
 
 
 # Funded and scaled paths -----------------------------------------------------------

@@ -13,6 +13,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a large table that one task of a shuffle is dealt, about.
+ROWS_A_TASK = 200_000
+
+
+def parts_for(spark: SparkSession, rows: int) -> int | None:
+    """The tasks over which so many rows are dealt; None where the session's own number is enough."""
+    parts = -(-rows // ROWS_A_TASK)
+    return parts if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars (symbol, session, close, high, low, volume, turnover) from lineitem: six symbols."""
     rows = read(spark, sf_dir, "lineitem").select(

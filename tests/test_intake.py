@@ -129,6 +129,21 @@ def test_recovery_report(spark):
     assert report([*good, ("p", "o1", "4", "FILL", at(3), 7)], [])["p", "journal_replay"][2] == "1 faults"
 
 
+def test_recovery_report_deals_orders_over_more_tasks(spark):
+    from ledgerline.sources import views
+
+    at = lambda n: dt.datetime(2024, 1, 1, 0, n)
+    rows = [(f"b{i % 3}", i, str(n), kind, at(n), q) for i in range(300) for n, (kind, q) in enumerate([("OUTBOX", 9), ("ACK", 0), ("FILL", i % 12)])]
+    events = spark.createDataFrame(rows, "book string, key int, event_id string, event string, ts timestamp, quantity long").repartition(3)
+    broker = spark.createDataFrame([(f"b{i % 3}", i, max(9 - i % 12, 0)) for i in range(300)], "book string, key int, open long")
+    whole, dealt = intake.recovery_report(events, broker), intake.recovery_report(events, broker, 7)
+    assert sorted(whole.collect()) == sorted(dealt.collect()) and len(dealt.collect()) == 6
+    # Events are dealt once, by the number of parts, for the replay and for what remains.
+    plan = intake.recovery_report(events, broker, 7)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1 and plan.count("SortMergeJoin") == 1
+    assert views.parts_for(spark, 100) is None and views.parts_for(spark, 36_000_000) == 180
+
+
 def test_funded_performance_and_volatility_budget(spark):
     rng = np.random.default_rng(5)
     ret, interest = rng.normal(0.0003, 0.01, 300), np.full(300, 0.0001)
